@@ -15,10 +15,14 @@ Tasks write under a name of their own and rename, so a repeated task leaves the
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,37 +52,65 @@ def public_tokenizer(name: str) -> str:
 # ---------------------------------------------------------------- encoding
 
 
-class PieceIds(dict):
-    """blank-free piece of text -> its ids as bytes. The tokenizer never merges across a blank or newline, so
-    ids of a text are those of its pieces in turn."""
+_LETTER, _NUMBER = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
-    def __init__(self, path: str, dtype: str, bound: int = 500_000):
+
+class RunIds(dict):
+    """Run of letters or marks, or a digit -> its ids as bytes, from the tokenizer itself on first sight.
+
+    A tokenizer whose own description says that it composes, lower-cases and cuts text into such runs never merges across
+    them, so the ids of a text are those of its runs in turn. That holds as it stands for texts of Latin-1 characters, which
+    normalisation leaves alone but for case; all other texts, and all texts of other tokenizers, are encoded whole."""
+
+    def __init__(self, path: str, dtype: str, bound: int = 700_000):
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.bound = Tokenizer.from_file(path), dtype, bound
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > self.bound:
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.plain = re.compile(r"[\t-\r -~\xa1-\xff]*").fullmatch
+        self.runs = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+").findall
+        self.cuts = self._cuts_runs()
+
+    def _cuts_runs(self) -> bool:
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [(n.get("type"), (n.get("pattern") or {}).get("Regex")) for n in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        return kinds == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", pattern), ("ByteLevel", None)]
+
+    def whole(self, text: str) -> bytes:
+        got = array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return (got if sys.byteorder == "little" else np.array(got).astype(self.dtype)).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= self.bound:
             self.clear()
-            new = list(pieces)
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(got.ids, self.dtype).tobytes()
+        got = self[run] = self.whole(run)
+        return got
+
+    def of(self, text: str) -> bytes:
+        if self.cuts and "<|" not in text and self.plain(text):  # "<|" may open a special token
+            return b"".join(map(self.__getitem__, self.runs(text.lower())))
+        return self.whole(text)
+
+
+@lru_cache(maxsize=1)
+def run_ids(path: str, dtype: str) -> RunIds:
+    """One for each Python worker, so what a task has learnt serves the next."""
+    return RunIds(path, dtype)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col="doc_id", text_col="text", dtype="<u2") -> DataFrame:
     """doc_id and ids (binary) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known = PieceIds(tokenizer_path, dtype)
+        known = run_ids(tokenizer_path, dtype)
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                split = [t.replace("\n", " ").split(" ") if t else [] for t in common.pylist(part, "text")]
-                known.learn({p for pieces in split for p in pieces})
-                ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in split]
+                ids = [known.of(t or "") + end for t in common.pylist(part, "text")]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
