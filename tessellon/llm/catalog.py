@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, token_store
+from tessellon.llm import decontaminate, quality, token_store, toxicity
 
 QUERIES = {
+    "op2_factorization_machine_toxicity": toxicity.op2,
+    "op3_line_crf_quality": quality.op3,
     "op4_suffix_array_decontamination": decontaminate.op4,
     "op8_token_store": token_store.op8,
 }

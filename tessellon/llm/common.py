@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One for each Python worker."""
+    return WordHashes()
+
+
 def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Hash of each window of k word hashes; a shorter, non-empty text is one window."""
     n = len(hashes)
