@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, quality, token_store, toxicity
+from tessellon.llm import decontaminate, fingerprint, near_dup, quality, token_store, toxicity
 
 QUERIES = {
     "op2_factorization_machine_toxicity": toxicity.op2,
     "op3_line_crf_quality": quality.op3,
     "op4_suffix_array_decontamination": decontaminate.op4,
+    "op6_scaled_fingerprints": fingerprint.op6,
+    "op7_bagminhash_near_dup": near_dup.op7,
     "op8_token_store": token_store.op8,
 }
 

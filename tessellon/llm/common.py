@@ -156,3 +156,95 @@ def range_of(column: Column, cuts: list[int]) -> Column:
     found = F.expr(f"array({','.join(f'{c}L' for c in cuts)})")
     low = F.aggregate(found, F.lit(0), lambda n, c: n + F.when(c < column, 1).otherwise(0))
     return F.coalesce(low, F.lit(0))
+
+
+def shingle_runs(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of texts laid end to end (counts: words of each), and the number of shingles of each text."""
+    ends = np.cumsum(counts)
+    many = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    full = shingles(hashes, k) if len(hashes) >= k else np.empty(0, np.uint64)
+    starts = ends - counts
+    # a text of k words or more takes its windows from the common run; windows across texts are left out
+    take = np.repeat(counts >= k, many)
+    place = np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    out = np.empty(int(many.sum()), np.uint64)
+    out[take] = full[place[take]]
+    for i in np.flatnonzero((counts > 0) & (counts < k)):
+        out[int(many[:i].sum())] = shingles(hashes[starts[i] : ends[i]], k)[0]
+    return out, many
+
+
+class SortedLists:
+    """Candidate pairs from rows that arrive sorted by list: rows of a list of at most `most` rows are paired all with all, those
+    of a longer list with its first row only, and are handed on for another step. Holds `most` rows at a time and one batch.
+
+    keep(columns, i, j) says which pairs of row numbers are worth emitting (i before j)."""
+
+    def __init__(self, columns: list[str], most: int, keep):
+        self.columns, self.most, self.keep = columns, most, keep
+        self.held: dict[str, np.ndarray] | None = None
+        self.long = False  # whether the held list is longer; then only its first row is held
+
+    def add(self, rows: dict[str, np.ndarray], last: bool = False):
+        """(columns, i, j, is_first) of pairs, and the row numbers that belong to long lists."""
+        if self.held is not None:
+            rows = {c: np.concatenate([self.held[c], rows[c]]) for c in self.columns}
+        key = rows[self.columns[0]]
+        n = len(key)
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([begins, [n]]))
+        group = np.repeat(np.arange(len(begins)), sizes)
+        long = sizes > self.most
+        carried_long = self.long and n > 0
+        if carried_long:
+            long[0] = True
+        open_tail = n > 0 and not last
+        ready = np.ones(len(begins), bool)
+        if open_tail and not long[-1]:
+            ready[-1] = False
+        done = ready[group] if n else np.empty(0, bool)
+        first = begins[group] if n else np.empty(0, np.int64)
+        is_long = long[group] if n else np.empty(0, bool)
+        pairs_i, pairs_j = [], []
+        j = np.flatnonzero(done & is_long & (np.arange(n) > first))
+        pairs_i.append(first[j])
+        pairs_j.append(j)
+        short = done & ~is_long
+        widest = int(sizes[ready & ~long].max(initial=0))
+        place = np.arange(n) - first
+        rest = np.flatnonzero(short)
+        for lag in range(1, widest):
+            rest = rest[place[rest] >= lag]
+            pairs_i.append(rest - lag)
+            pairs_j.append(rest)
+        i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
+        ok = self.keep(rows, i, j) if len(i) else np.empty(0, bool)
+        i, j = i[ok], j[ok]
+        handed = np.flatnonzero(done & is_long)
+        if carried_long:
+            handed = handed[handed > 0]  # its first row has been handed on before
+        at_first = first[j] == i
+        out = rows
+        if open_tail:
+            a = begins[-1]
+            self.long = bool(long[-1])
+            self.held = {c: v[a : a + 1] if self.long else v[a:] for c, v in rows.items()}
+        else:
+            self.held, self.long = None, False
+        return out, i, j, at_first, handed
+
+
+def parity_bits(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set laid end to end: bit b is the parity of the number of its hashes that fall to b. The bits in
+    which two sets' words differ are at most as many as the elements in which the sets differ."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    bit = (hashes >> np.uint64(57)).astype(np.int64)
+    table = np.bincount(owner * 128 + bit, minlength=128 * len(counts)).reshape(-1, 128) & 1
+    packed = np.packbits(table.astype(np.uint8), axis=1).view("<u8")
+    return packed[:, 0].astype(np.uint64).view(np.int64), packed[:, 1].astype(np.uint64).view(np.int64)
+
+
+def bits_apart(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a = (rows["x"][i] ^ rows["x"][j]).view(np.uint64)
+    b = (rows["y"][i] ^ rows["y"][j]).view(np.uint64)
+    return np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b)
