@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, fingerprint, near_dup, quality, token_store, toxicity
+from tessellon.llm import decontaminate, fingerprint, line_dedup, near_dup, quality, token_store, toxicity
 
 QUERIES = {
     "op2_factorization_machine_toxicity": toxicity.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_scaled_fingerprints": fingerprint.op6,
     "op7_bagminhash_near_dup": near_dup.op7,
     "op8_token_store": token_store.op8,
+    "op10_line_dedup": line_dedup.op10,
 }
 
 ORACLES: dict[str, str] = {

@@ -175,63 +175,140 @@ def shingle_runs(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np
 
 
 class SortedLists:
-    """Candidate pairs from rows that arrive sorted by list: rows of a list of at most `most` rows are paired all with all, those
-    of a longer list with its first row only, and are handed on for another step. Holds `most` rows at a time and one batch.
+    """Candidate pairs from rows that arrive sorted by list. Rows of a list of at most `most` rows are paired all with all; rows
+    of a longer list are handed on for another step and, with star, paired with the list's first row. Holds `most` rows at
+    a time and one batch.
 
-    keep(columns, i, j) says which pairs of row numbers are worth emitting (i before j)."""
+    keep(rows, i, j) says which pairs of row numbers are worth emitting (i before j). near(rows, i, j), where given, must
+    turn false for good as j moves away from i."""
 
-    def __init__(self, columns: list[str], most: int, keep):
-        self.columns, self.most, self.keep = columns, most, keep
+    def __init__(self, columns: list[str], most: int, keep, near=None, star: bool = True):
+        self.columns, self.most, self.keep, self.near, self.star = columns, most, keep, near, star
         self.held: dict[str, np.ndarray] | None = None
         self.long = False  # whether the held list is longer; then only its first row is held
 
     def add(self, rows: dict[str, np.ndarray], last: bool = False):
-        """(columns, i, j, is_first) of pairs, and the row numbers that belong to long lists."""
+        """Rows, i and j of the pairs, whether i is its list's first row, and the numbers of rows that are handed on."""
         if self.held is not None:
             rows = {c: np.concatenate([self.held[c], rows[c]]) for c in self.columns}
         key = rows[self.columns[0]]
-        n = len(key)
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+        n, none = len(key), np.empty(0, np.int64)
+        if not n:
+            return rows, none, none, np.empty(0, bool), none
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([begins, [n]]))
-        group = np.repeat(np.arange(len(begins)), sizes)
         long = sizes > self.most
-        carried_long = self.long and n > 0
-        if carried_long:
-            long[0] = True
-        open_tail = n > 0 and not last
+        carried = self.long
+        long[0] |= carried
         ready = np.ones(len(begins), bool)
-        if open_tail and not long[-1]:
-            ready[-1] = False
-        done = ready[group] if n else np.empty(0, bool)
-        first = begins[group] if n else np.empty(0, np.int64)
-        is_long = long[group] if n else np.empty(0, bool)
-        pairs_i, pairs_j = [], []
-        j = np.flatnonzero(done & is_long & (np.arange(n) > first))
-        pairs_i.append(first[j])
-        pairs_j.append(j)
-        short = done & ~is_long
-        widest = int(sizes[ready & ~long].max(initial=0))
+        ready[-1] = last or bool(long[-1])
+        first = np.repeat(begins, sizes)
         place = np.arange(n) - first
-        rest = np.flatnonzero(short)
-        for lag in range(1, widest):
+        in_long, in_short = np.repeat(long, sizes), np.repeat(ready & ~long, sizes)
+        found_i, found_j = [none], [none]
+
+        def offer(i: np.ndarray, j: np.ndarray) -> None:
+            ok = self.keep(rows, i, j)
+            found_i.append(i[ok])
+            found_j.append(j[ok])
+
+        if self.star:
+            j = np.flatnonzero(in_long & (place > 0))
+            offer(first[j], j)
+        rest, lag = np.flatnonzero(in_short), 0
+        while True:
+            lag += 1
             rest = rest[place[rest] >= lag]
-            pairs_i.append(rest - lag)
-            pairs_j.append(rest)
-        i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-        ok = self.keep(rows, i, j) if len(i) else np.empty(0, bool)
-        i, j = i[ok], j[ok]
-        handed = np.flatnonzero(done & is_long)
-        if carried_long:
+            if self.near is not None and len(rest):
+                rest = rest[self.near(rows, rest - lag, rest)]
+            if not len(rest):
+                break
+            offer(rest - lag, rest)
+        handed = np.flatnonzero(in_long)
+        if carried:
             handed = handed[handed > 0]  # its first row has been handed on before
-        at_first = first[j] == i
-        out = rows
-        if open_tail:
-            a = begins[-1]
+        if last:
+            self.held, self.long = None, False
+        else:
             self.long = bool(long[-1])
+            a = begins[-1]
             self.held = {c: v[a : a + 1] if self.long else v[a:] for c, v in rows.items()}
-        else:
-            self.held, self.long = None, False
-        return out, i, j, at_first, handed
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        return rows, i, j, first[j] == i, handed
+
+
+def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of longs of several batches together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns])
+        n += batch.num_rows
+        if n >= rows:
+            yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
+            held, n = [], 0
+    if held:
+        yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
+
+
+def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by list (the first column) and within it by `closed`, open ones first: every open row with every other of its
+    list, in blocks, where their roots differ and likely(rows, i, j). Yields a, b: the greater and the lesser node."""
+
+    def across(left, right):
+        step = max(1, cells // max(1, len(right["node"])))
+        both = {c: np.concatenate([left[c], right[c]]) for c in left}
+        for at in range(0, len(left["node"]), step):
+            i, j = np.divmod(np.arange(min(step, len(left["node"]) - at) * len(right["node"])), len(right["node"]))
+            i, j = i + at, j + len(left["node"])
+            ok = both["root"][i] != both["root"][j]
+            i, j = i[ok], j[ok]
+            ok = likely(both, i, j)
+            yield both["node"][i[ok]], both["node"][j[ok]]
+
+    key, held = None, []
+    for batch in batches:
+        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in [*columns, "root"]}
+        closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
+        found = []
+        for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(rows[columns[0]])) + 1):
+            if not len(at):
+                continue
+            if rows[columns[0]][at[0]] != key:
+                key, held = rows[columns[0]][at[0]], []
+            for block in np.array_split(at, -(-len(at) // 2048)):
+                mine = {c: v[block] for c, v in rows.items()}
+                for other in held:
+                    found += across(other, mine)
+                fresh = {c: v[~closed[block]] for c, v in mine.items()}
+                if len(fresh["node"]):
+                    found += across(fresh, fresh)
+                    if (~closed[block]).sum() < len(block):
+                        found += across(fresh, {c: v[closed[block]] for c, v in mine.items()})
+                    held.append(fresh)
+        none = np.empty(0, np.int64)
+        a, b = (np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+BLOOM_BITS = 1 << 25
+
+
+def bloom_place(node: str = "node") -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BLOOM_BITS))
+
+
+def bloom(nodes: DataFrame) -> np.ndarray:
+    """A bit for each node's hash, in a table of fixed size (4 MB), whatever the number of nodes."""
+    place = bloom_place() + 1
+    rows = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    table = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in rows:
+        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def in_bloom(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return ((table[places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def parity_bits(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,6 @@ THRESHOLD = 0.8
 MOST = 32
 #: Of 128 one-bit samples, at most so many differ at similarity 0.8: the mean 12.8 and over five standard deviations (3.4).
 BITS_APART = 31
-BLOOM_BITS = 1 << 25
 
 
 def multisets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,13 +151,9 @@ def _likely(rows, i, j):
 _COLUMNS = ["key", "node", "n", "x", "y"]
 
 
-def _columns(batch) -> dict[str, np.ndarray]:
-    return {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in _COLUMNS}
-
-
 def _pairs(batches):
     """kind 0: pair with the list's first; 1: other pair of a short list; 2: row of a long list."""
-    lists = SortedListsOf()
+    lists = common.SortedLists(_COLUMNS, MOST, _likely)
 
     def out(got):
         rows, i, j, first, handed = got
@@ -169,75 +164,20 @@ def _pairs(batches):
         cols += [np.concatenate([zero, rows[c][handed]]) for c in ("n", "x", "y")]
         return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "a", "b", "n", "x", "y"])
 
-    for batch in batches:
-        yield out(lists.add(_columns(batch)))
+    for rows in common.gathered(batches, _COLUMNS):
+        yield out(lists.add(rows))
     yield out(lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
 
 
-def SortedListsOf():
-    return common.SortedLists(_COLUMNS, MOST, _likely)
-
-
 def _open_pairs(batches):
-    """Rows sorted by list, those outside the main component first: each of them with every later row of the list."""
-    key, held = None, []
-    empty = {c: np.empty(0, np.int64) for c in _COLUMNS}
-    for batch in batches:
-        rows = _columns(batch)
-        main = batch.column(batch.schema.get_field_index("main")).to_numpy(zero_copy_only=False).astype(bool)
-        root = batch.column(batch.schema.get_field_index("root")).to_numpy()
-        found = []
-        for at in np.split(np.arange(len(main)), np.flatnonzero(np.diff(rows["key"])) + 1):
-            if not len(at):
-                continue
-            if rows["key"][at[0]] != key:
-                key, held = rows["key"][at[0]], []
-            for block in np.array_split(at, -(-len(at) // 2048)):
-                mine = {c: v[block] for c, v in rows.items()}
-                mine["root"] = root[block]
-                for other in held:
-                    found.append(_across(other, mine))
-                fresh = {c: v[~main[block]] for c, v in mine.items()}
-                if len(fresh["key"]):
-                    found.append(_across(fresh, fresh))
-                    held.append(fresh)
-        a = np.concatenate([f[0] for f in found] or [empty["key"]])
-        b = np.concatenate([f[1] for f in found] or [empty["key"]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-
-def _across(left, right, cells: int = 4_000_000):
-    """Likely pairs of rows in different components, between two blocks."""
-    out_a, out_b = [], []
-    step = max(1, cells // max(1, len(right["key"])))
-    for at in range(0, len(left["key"]), step):
-        i, j = np.meshgrid(np.arange(at, min(at + step, len(left["key"]))), np.arange(len(right["key"])), indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        apart = left["root"][i] != right["root"][j]
-        i, j = i[apart], j[apart]
-        both = {c: np.concatenate([left[c], right[c]]) for c in _COLUMNS}
-        ok = _likely(both, i, j + len(left["key"]))
-        out_a.append(left["node"][i[ok]])
-        out_b.append(right["node"][j[ok]])
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def bloom(nodes: DataFrame) -> bytes:
-    """A bit for each node's hash, in a table of fixed size (4 MB)."""
-    place = F.pmod(F.xxhash64("node"), F.lit(BLOOM_BITS)) + 1
-    rows = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    table = bytearray(BLOOM_BITS // 8)
-    for r in rows:
-        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
-    return bytes(table)
+    return common.open_pairs(batches, _COLUMNS, _likely)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Those pairs (a, b) of nodes whose texts' multisets of shingles overlap by the threshold or more."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    place = F.pmod(F.xxhash64("node"), F.lit(BLOOM_BITS))
-    table = spark.sparkContext.broadcast(bloom(nodes))
+    table = spark.sparkContext.broadcast(common.bloom(nodes))
 
     def node_of(batches):
         for batch in batches:
@@ -245,10 +185,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float =
             yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0)], ["node", "text"])
 
     def keep(batches):
-        bits = np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool))).select(["node", "text"])
+            yield batch.filter(pa.array(common.in_bloom(table.value, batch.column(2).to_numpy()))).select(["node", "text"])
 
     def sets(batches):
         for batch in batches:
@@ -258,7 +196,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(runs[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())], ["node", "bag"])
 
     texts = docs.select(common.as_bytes(text_col).alias("text")).mapInArrow(node_of, "node long, text binary")
-    texts = texts.withColumn("p", place).mapInArrow(keep, "node long, text binary")
+    texts = texts.withColumn("p", common.bloom_place()).mapInArrow(keep, "node long, text binary")
     bags = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, bag binary")
     bags = common.stage(bags, "bags")
 
@@ -304,8 +242,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("root", F.coalesce("root", "node"))
     sizes = rows.groupBy("key", "root").count()
     mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main_root"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(mains, "key").withColumn("main", F.col("root") == F.col("main_root")).select(*_COLUMNS, "root", "main")
-    more = rows.repartition(n, "key").sortWithinPartitions("key", "main").mapInArrow(_open_pairs, "a long, b long")
+    rows = rows.join(mains, "key").withColumn("closed", F.col("root") == F.col("main_root")).select(*_COLUMNS, "root", "closed")
+    more = rows.repartition(n, "key").sortWithinPartitions("key", "closed").mapInArrow(_open_pairs, "a long, b long")
     rest = rest.union(more).join(stars, ["a", "b"], "left_anti").distinct()
     rest = common.stage(rest, "rest")
     if rest.head(1):
