@@ -7,11 +7,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,27 +81,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _M64(31))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, kept for repeated words; emptied when it reaches its bound."""
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(256)], np.uint64)
 
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text whose words have blanks between, and the places where they start."""
+    data = np.frombuffer(text, np.uint8)
+    word = data > 32
+    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(data)]])))
+    place &= 255  # a longer word's letters share powers; its length and order within 256 still count
+    with np.errstate(over="ignore"):
+        value = (data + np.uint64(1)) * _POWERS[place]
+        value[~word] = 0
+        sums = np.add.reduceat(value, starts)
+        return mix64(sums ^ ((ends - starts).astype(np.uint64) << np.uint64(56))), starts
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """One for each Python worker."""
-    return WordHashes()
+def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts laid end to end, and the number of words of each."""
+    parts = [t or b"" for t in texts]
+    hashes, starts = hash_words(b" ".join(parts).translate(_WORD_BYTES))
+    begins = np.cumsum(np.array([0, *(len(p) + 1 for p in parts)], np.int64))
+    at = np.searchsorted(starts, begins)
+    return hashes, np.diff(at)
 
 
 def shingles(hashes: np.ndarray, k: int = 5) -> np.ndarray:
@@ -176,25 +180,27 @@ def shingle_runs(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np
 
 class SortedLists:
     """Candidate pairs from rows that arrive sorted by list. Rows of a list of at most `most` rows are paired all with all; rows
-    of a longer list are handed on for another step and, with star, paired with the list's first row. Holds `most` rows at
+    of a longer list are paired with the list's first row at most, and handed on for another step. Holds `most` rows at
     a time and one batch.
 
     keep(rows, i, j) says which pairs of row numbers are worth emitting (i before j). near(rows, i, j), where given, must
     turn false for good as j moves away from i."""
 
-    def __init__(self, columns: list[str], most: int, keep, near=None, star: bool = True):
-        self.columns, self.most, self.keep, self.near, self.star = columns, most, keep, near, star
+    def __init__(self, columns: list[str], most: int, keep, near=None):
+        self.columns, self.most, self.keep, self.near = columns, most, keep, near
         self.held: dict[str, np.ndarray] | None = None
         self.long = False  # whether the held list is longer; then only its first row is held
 
-    def add(self, rows: dict[str, np.ndarray], last: bool = False):
-        """Rows, i and j of the pairs, whether i is its list's first row, and the numbers of rows that are handed on."""
+    def _open(self, rows: dict[str, np.ndarray], last: bool):
+        """Rows with the held ones before them, and per row: its list's first row, its place, whether its list is long,
+        and whether it is short and complete; the rows to hand on."""
         if self.held is not None:
             rows = {c: np.concatenate([self.held[c], rows[c]]) for c in self.columns}
         key = rows[self.columns[0]]
-        n, none = len(key), np.empty(0, np.int64)
+        n = len(key)
         if not n:
-            return rows, none, none, np.empty(0, bool), none
+            none = np.empty(0, np.int64)
+            return rows, none, none, none.astype(bool), none.astype(bool), none
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([begins, [n]]))
         long = sizes > self.most
@@ -203,27 +209,7 @@ class SortedLists:
         ready = np.ones(len(begins), bool)
         ready[-1] = last or bool(long[-1])
         first = np.repeat(begins, sizes)
-        place = np.arange(n) - first
         in_long, in_short = np.repeat(long, sizes), np.repeat(ready & ~long, sizes)
-        found_i, found_j = [none], [none]
-
-        def offer(i: np.ndarray, j: np.ndarray) -> None:
-            ok = self.keep(rows, i, j)
-            found_i.append(i[ok])
-            found_j.append(j[ok])
-
-        if self.star:
-            j = np.flatnonzero(in_long & (place > 0))
-            offer(first[j], j)
-        rest, lag = np.flatnonzero(in_short), 0
-        while True:
-            lag += 1
-            rest = rest[place[rest] >= lag]
-            if self.near is not None and len(rest):
-                rest = rest[self.near(rows, rest - lag, rest)]
-            if not len(rest):
-                break
-            offer(rest - lag, rest)
         handed = np.flatnonzero(in_long)
         if carried:
             handed = handed[handed > 0]  # its first row has been handed on before
@@ -233,9 +219,55 @@ class SortedLists:
             self.long = bool(long[-1])
             a = begins[-1]
             self.held = {c: v[a : a + 1] if self.long else v[a:] for c, v in rows.items()}
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        return rows, first, np.arange(n) - first, in_long, in_short, handed
+
+    def _likely(self, rows: dict[str, np.ndarray], place: np.ndarray, in_short: np.ndarray):
+        """Pairs within short lists, a lag at a time: no row comes twice on the same side of what is yielded at once."""
+        rest, lag = np.flatnonzero(in_short), 0
+        while True:
+            lag += 1
+            rest = rest[place[rest] >= lag]
+            if self.near is not None and len(rest):
+                rest = rest[self.near(rows, rest - lag, rest)]
+            if not len(rest):
+                return
+            ok = self.keep(rows, rest - lag, rest)
+            yield rest[ok] - lag, rest[ok]
+
+    def add(self, rows: dict[str, np.ndarray], last: bool = False):
+        """Rows, i and j of the pairs, whether i is its list's first row, and the numbers of rows that are handed on."""
+        rows, first, place, in_long, in_short, handed = self._open(rows, last)
+        j = np.flatnonzero(in_long & (place > 0))
+        j = j[self.keep(rows, first[j], j)]
+        found = [(first[j], j), *self._likely(rows, place, in_short)]
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return rows, i, j, first[j] == i, handed
 
+    def add_earliest(self, rows: dict[str, np.ndarray], last: bool = False):
+        """Rows; nodes and their likely partners of the least id not above their own; and the numbers of rows that are handed on: of long
+        lists, and of lists in which a node has more than one such partner."""
+        rows, first, place, in_long, in_short, handed = self._open(rows, last)
+        n = len(place)
+        best, partner, many = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool)
+        ids = rows["id"]
+
+        def offer(i, j):
+            ok = ids[j] <= ids[i]
+            i, j = i[ok], j[ok]
+            many[i[partner[i] >= 0]] = True
+            nearer = (ids[j] < best[i]) | (partner[i] < 0)
+            i, j = i[nearer], j[nearer]
+            best[i], partner[i] = ids[j], j
+
+        for i, j in self._likely(rows, place, in_short):
+            offer(i, j)
+            offer(j, i)
+        a = np.flatnonzero(partner >= 0)
+        dense = np.zeros(n, bool)
+        dense[first[many]] = True
+        handed = np.concatenate([handed, np.flatnonzero(in_short & dense[first])])
+        return rows, rows["node"][a], rows["node"][partner[a]], handed
+
 
 def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
     """Columns of longs of several batches together."""
@@ -311,17 +343,6 @@ def in_bloom(table: np.ndarray, places: np.ndarray) -> np.ndarray:
     return ((table[places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def parity_bits(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set laid end to end: bit b is the parity of the number of its hashes that fall to b. The bits in
-    which two sets' words differ are at most as many as the elements in which the sets differ."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    bit = (hashes >> np.uint64(57)).astype(np.int64)
-    table = np.bincount(owner * 128 + bit, minlength=128 * len(counts)).reshape(-1, 128) & 1
-    packed = np.packbits(table.astype(np.uint8), axis=1).view("<u8")
-    return packed[:, 0].astype(np.uint64).view(np.int64), packed[:, 1].astype(np.uint64).view(np.int64)
-
-
-def bits_apart(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    a = (rows["x"][i] ^ rows["x"][j]).view(np.uint64)
-    b = (rows["y"][i] ^ rows["y"][j]).view(np.uint64)
-    return np.bitwise_count(a).astype(np.int64) + np.bitwise_count(b)
+def bits_apart(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, columns: tuple[str, ...] = ("x", "y")) -> np.ndarray:
+    """In how many bits the columns of two rows differ."""
+    return sum(np.bitwise_count((rows[c][i] ^ rows[c][j]).view(np.uint64)).astype(np.int64) for c in columns)

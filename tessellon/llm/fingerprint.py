@@ -30,10 +30,7 @@ ROWS_PER_RANGE = 20_000
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    known = common.word_hashes()
-    tokens = [common.words(t.encode()) for t in texts]
-    counts = np.array([len(t) for t in tokens], np.int64)
-    hashes = known.of([w for t in tokens for w in t])
+    hashes, counts = common.hash_texts([t.encode() for t in texts])
     runs, many = common.shingle_runs(hashes, counts)
     runs = runs >> np.uint64(32)
     low = runs < LIMIT

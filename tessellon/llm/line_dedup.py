@@ -7,8 +7,12 @@ whether that one stays or goes.
 Equal sets are one node, placed at its first line. Words are ordered from rare to frequent by a table of 2**20 counters over all
 lines (any fixed order gives exact results; ties by the word's hash). Similar sets share a word among their first n - ceil(0.8 n) + 1
 (prefix filter), so a node is listed under each of these. A list is kept in order of length; its nodes are paired
-while the length filter holds, and the positional filter (words left after the shared one) and a parity filter (128 bits that
-differ in at most as many places as the sets) thin the pairs before the sets themselves verify them.
+while the length filter holds, and a parity filter (64 bits that differ in at most as many places as the sets' words
+left over) thins the pairs before the sets themselves verify them. The prefix's own length is the positional filter: a shared word further
+back can't be followed by enough others.
+
+A node is tested first against the likely partner of the least doc_id in each list. Where lists hold more likely partners, nodes that this hasn't removed
+are compared with the whole list, so large groups of variants cost in proportion to their size.
 
 A word that more than LIGHT lines may hold doesn't get a list of its own: similar sets share two words of the prefix
 that is one longer, so the node is listed under pairs of such words. Lists longer than MOST (passages with very many variants)
@@ -24,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -36,7 +39,7 @@ MIN_WORDS = 5
 LIGHT = MOST = 1024
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
-_COLUMNS = ["token", "key", "node", "x", "y"]
+_COLUMNS = ["token", "key", "node", "x", "id"]
 
 
 def doc_key(id_col: str, text_col: str) -> Column:
@@ -48,33 +51,40 @@ def place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
 
 
+def distinct(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each owner in ascending order, their owners, and their number by owner."""
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    h, o = hashes[order], owner[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]) if len(h) else np.empty(0, bool)
+    return h[new], o[new], np.bincount(o[new], minlength=owners)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, dk, line, node and words (sorted, distinct, with blanks between) of every line that takes part."""
+    """id, dk, line, node and words (lower-cased, with blanks between) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in common.slices(batch, "text", 2_000_000):
-                row, number, words = [], [], []
-                for r, text in enumerate(common.pylist(part, "text")):
-                    for k, line in enumerate(text.split(b"\n") if text else ()):
-                        own = set(common.words(line))
-                        if len(own) >= MIN_WORDS:
-                            row.append(r)
-                            number.append(k)
-                            words.append(b" ".join(sorted(own)))
-                nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(nodes), pa.array(words, pa.binary())], ["id", "dk", "line", "node", "words"])
+            for part in common.slices(batch, "text", 1_000_000):
+                split = [t.split(b"\n") if t else [] for t in common.pylist(part, "text")]
+                counts = np.array([len(s) for s in split], np.int64)
+                words = [line for s in split for line in s]
+                hashes, n = common.hash_texts(words)
+                h, owner, n = distinct(hashes, np.repeat(np.arange(len(n)), n), len(n))
+                taken = np.flatnonzero(n >= MIN_WORDS)
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix64(h), dtype=np.uint64)])
+                    ends = np.cumsum(n)
+                    nodes = common.mix64(sums[ends] - sums[ends - n] + n.astype(np.uint64))[taken].view(np.int64)
+                row = np.repeat(np.arange(len(split)), counts)[taken]
+                number = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts))[taken]
+                at = pa.array(row)
+                clean = [words[k].translate(common._WORD_BYTES) for k in taken.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(nodes), pa.array(clean, pa.binary())], ["id", "dk", "line", "node", "words"])
 
     source = docs.select(place(id_col).alias("id"), doc_key(id_col, text_col).alias("dk"), common.as_bytes(text_col).alias("text"))
     return source.mapInArrow(run, "id long, dk long, line int, node long, words binary")
 
 
-def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    tokens = [t.split(b" ") for t in texts]
-    return common.word_hashes().of([w for t in tokens for w in t]), np.array([len(t) for t in tokens], np.int64)
-
-
 def frequencies(found: DataFrame) -> np.ndarray:
     """For each counter, the number of lines' words that fall to it: a table of fixed size (8 MB)."""
 
@@ -82,7 +92,7 @@ def frequencies(found: DataFrame) -> np.ndarray:
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in common.slices(batch, "words", 2_000_000):
-                hashes, _ = _hashes(common.pylist(part, "words"))
+                hashes, _ = common.hash_texts(common.pylist(part, "words"))
                 table += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         chunks = table.reshape(-1, _CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array([c.astype("<i8").tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
@@ -116,39 +126,40 @@ def needed(n: np.ndarray) -> np.ndarray:
     return -(-4 * n // 5)
 
 
-def postings(nodes: DataFrame, table: np.ndarray) -> DataFrame:
-    """A row for each list of a node: key holds 48 bits of the list's hash and the set's size (at most 65,535)."""
-    shared = nodes.sparkSession.sparkContext.broadcast(table)
+def postings(found: DataFrame, table: np.ndarray) -> DataFrame:
+    """A row for each list of a node: key holds 32 bits of the list's hash and the set's size (at most 65,535). Nodes
+    that recur within a batch are listed once."""
+    shared = found.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]):
         freq = shared.value
         for batch in batches:
-            for part in common.slices(batch, "words", 1_000_000):
-                hashes, n = _hashes(common.pylist(part, "words"))
-                if not len(n):
-                    continue
-                x, y = common.parity_bits(hashes, n)
-                count = freq[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((hashes, count, owner))
-                hashes, count = hashes[order], count[order]
-                at = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+            _, once = np.unique(batch.column(1).to_numpy(), return_index=True)
+            for part in common.slices(batch.take(pa.array(np.sort(once))), "words", 1_000_000):
+                hashes, n = common.hash_texts(common.pylist(part, "words"))
+                h, owner, n = distinct(hashes, np.repeat(np.arange(len(n)), n), len(n))
+                odd = np.bincount(owner * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64) & 1
+                x = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).ravel()
+                count = freq[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.argsort(owner << 40 | np.minimum(count, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
+                h, count = h[order], count[order]
+                at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 prefix = np.repeat(n - needed(n) + 1, n)
                 single = np.flatnonzero((count <= LIGHT) & (at < prefix))
-                owners, keys = [owner[single]], [hashes[single]]
+                owners, keys = [owner[single]], [h[single]]
                 heavy = np.flatnonzero((count > LIGHT) & (at < prefix + 1))
                 where = owner[heavy]
                 for lag in range(1, int(np.bincount(where).max(initial=0)) if len(where) else 0):
                     same = np.flatnonzero(where[lag:] == where[:-lag])
                     with np.errstate(over="ignore"):
-                        keys.append(common.mix64(hashes[heavy[same]] * np.uint64(3) + hashes[heavy[same + lag]]))
+                        keys.append(common.mix64(h[heavy[same]] * np.uint64(3) + h[heavy[same + lag]]))
                     owners.append(where[same])
                 owners, keys = np.concatenate(owners), np.concatenate(keys)
-                key = (keys >> np.uint64(17)).astype(np.int64) << 16 | np.minimum(n, 65535)[owners]
-                node = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owners]), pa.array(x[owners]), pa.array(y[owners])], ["key", "node", "x", "y"])
+                key = (keys >> np.uint64(32)).astype(np.int64) << 16 | np.minimum(n, 65535)[owners]
+                doc, node = part.column(0).to_numpy(), part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owners]), pa.array(x[owners]), pa.array(doc[owners])], ["key", "node", "x", "id"])
 
-    return nodes.select("node", "words").mapInArrow(run, "key long, node long, x long, y long")
+    return found.select("id", "node", "words").mapInArrow(run, "key long, node long, x long, id long")
 
 
 def _near(rows, i, j):
@@ -159,25 +170,33 @@ def _likely(rows, i, j):
     n, m = rows["key"][i] & 65535, rows["key"][j] & 65535
     fits = np.minimum(n, m) * 5 >= np.maximum(n, m) * 4
     # |a or b| - |a and b| is at most a ninth of |a| + |b| at similarity 0.8
-    return fits & ((common.bits_apart(rows, i, j) * 9 <= n + m) | (np.maximum(n, m) == 65535))
+    return fits & ((common.bits_apart(rows, i, j, ("x",)) * 9 <= n + m) | (np.maximum(n, m) == 65535))
 
 
 def _pairs(batches):
-    """kind 0: a pair of a short list; 1: a row of a long list."""
-    lists = common.SortedLists(_COLUMNS, MOST, _likely, _near, star=False)
-
-    def out(got):
-        rows, i, j, _, handed = got
-        a, b = rows["node"][i], rows["node"][j]
-        zero = np.zeros(len(i), np.int64)
-        kind = np.concatenate([np.zeros(len(i)), np.ones(len(handed))]).astype(np.int32)
+    """kind 0: a node of a short list with the likely partner of the least doc_id, not above its own; 1: a row of a long list, or
+    of one in which a node has more than one such partner."""
+    lists = common.SortedLists(_COLUMNS, MOST, _likely, _near)
+
+    def out(rows, a, b, handed):
+        zero = np.zeros(len(a), np.int64)
+        kind = np.concatenate([np.zeros(len(a)), np.ones(len(handed))]).astype(np.int32)
         cols = [np.concatenate([zero, rows["key"][handed]]), np.concatenate([np.maximum(a, b), rows["node"][handed]]), np.concatenate([np.minimum(a, b), np.zeros(len(handed), np.int64)])]
-        cols += [np.concatenate([zero, rows[c][handed]]) for c in ("x", "y")]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "a", "b", "x", "y"])
+        cols += [np.concatenate([zero, rows["x"][handed]])]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "a", "b", "x"])
 
+    before = None
     for rows in common.gathered(batches, _COLUMNS[1:]):
-        yield out(lists.add({"token": rows["key"] >> 16, **rows}))
-    yield out(lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
+        # the same node may come from several batches: its rows are side by side
+        key, node = rows["key"], rows["node"]
+        if not len(key):
+            continue
+        fresh = np.concatenate([[before != (key[0], node[0])], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        before = (key[-1], node[-1])
+        rows = {c: v[fresh] for c, v in rows.items()}
+        if len(rows["key"]):
+            yield out(*lists.add_earliest({"token": rows["key"] >> 16, **rows}))
+    yield out(*lists.add_earliest({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
 
 
 def _open_pairs(batches):
@@ -197,7 +216,7 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             ok = []
             for a, b in zip(common.pylist(batch, "words_a"), common.pylist(batch, "words_b"), strict=True):
-                a, b = set(a.split(b" ")), set(b.split(b" "))
+                a, b = set(a.split()), set(b.split())
                 shared = len(a & b)
                 ok.append(5 * shared >= 4 * (len(a) + len(b) - shared))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
@@ -214,9 +233,8 @@ def repeated_lines(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     n = common.tasks(spark)
     table = frequencies(found)
-    nodes = found.groupBy("node").agg(F.first("words").alias("words"))
-    dealt = postings(nodes, table).repartition(n, F.shiftright("key", 16)).sortWithinPartitions("key")
-    pairs = common.stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, x long, y long"), "line-pairs")
+    dealt = postings(found, table).repartition(n, F.shiftright("key", 16)).sortWithinPartitions("key", "node", "id")
+    pairs = common.stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, x long"), "line-pairs")
     common.reclaim(spark)
     firsts = common.stage(found.groupBy("node").agg(F.min(F.struct("id", "dk", "line")).alias("first")), "firsts")
 
@@ -226,11 +244,11 @@ def repeated_lines(found: DataFrame) -> DataFrame:
         return both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("node"))
 
     tested = pairs.where("kind = 0").select("a", "b")
-    rows = pairs.where("kind = 1").select("key", F.shiftright("key", 16).alias("token"), F.col("a").alias("node"), "x", "y").join(firsts, "node")
-    hubs = rows.groupBy("token").agg(F.min_by(F.struct("node", "key", "x", "y"), "first").alias("h"))
+    rows = pairs.where("kind = 1").select("key", F.shiftright("key", 16).alias("token"), F.col("a").alias("node"), "x").join(firsts, "node").withColumn("id", F.col("first.id"))
+    hubs = rows.groupBy("token").agg(F.min_by(F.struct("node", "key", "x"), "first").alias("h"))
     to_hub = rows.join(hubs, "token").where("node <> h.node")
     size = lambda c: F.col(c).bitwiseAND(65535)
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("h.x"))) + F.bit_count(F.col("y").bitwiseXOR(F.col("h.y")))
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("h.x")))
     likely = (F.least(size("key"), size("h.key")) * 5 >= F.greatest(size("key"), size("h.key")) * 4) & ((apart * 9 <= size("key") + size("h.key")) | (F.greatest(size("key"), size("h.key")) == 65535))
     stars = to_hub.where(likely).select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b"))
     tested = common.stage(tested.union(stars).distinct(), "tested")

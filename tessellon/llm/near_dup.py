@@ -105,11 +105,16 @@ def one_bits(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _text_parts(texts: list[bytes | None]):
-    tokens = [common.words(t) for t in texts]
-    counts = np.array([len(t) for t in tokens], np.int64)
-    nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(t)) for t in tokens], np.uint64).view(np.int64)
-    runs, many = common.shingle_runs(common.word_hashes().of([w for t in tokens for w in t]), counts)
-    return nodes, runs, many
+    """Nodes (hash of the words in turn), shingle hashes laid end to end, and the number of shingles of each text."""
+    hashes, counts = common.hash_texts(texts)
+    ends = np.cumsum(counts)
+    raw = hashes.tobytes()
+    nodes = [xxhash.xxh3_64_intdigest(raw[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+    return np.array(nodes, np.uint64).view(np.int64), *common.shingle_runs(hashes, counts)
+
+
+def nodes_of(texts: list[bytes | None]) -> np.ndarray:
+    return _text_parts(texts)[0]
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,8 +186,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float =
 
     def node_of(batches):
         for batch in batches:
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(common.words(t))) for t in common.pylist(batch, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0)], ["node", "text"])
+            for part in common.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(common.pylist(part, "text"))), part.column(0)], ["node", "text"])
 
     def keep(batches):
         for batch in batches:
@@ -269,9 +274,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def with_node(batches):
         for batch in batches:
-            texts = [t.encode() if isinstance(t, str) else t for t in common.pylist(batch, text_col)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(common.words(t))) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes)], [*batch.schema.names, "__tess_node"])
+            for part in common.slices(batch, text_col):
+                texts = [t.encode() if isinstance(t, str) else t for t in common.pylist(part, text_col)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(texts))], [*part.schema.names, "__tess_node"])
 
     from pyspark.sql.types import LongType, StructType
 
