@@ -21,6 +21,7 @@ _M64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +60,13 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the batches that go to Python workers small, whatever the texts' length: they and their copies are what a
+    worker's memory holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -282,9 +290,11 @@ def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int =
         yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
 
 
-def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 1_000_000, bands: str | None = None) -> Iterator[pa.RecordBatch]:
     """For rows sorted by list (the first column) and within it by `closed`, open ones first: every open row with every other of its
-    list, in blocks, where their roots differ and likely(rows, i, j). Yields a, b: the greater and the lesser node."""
+    list, in blocks, where their roots differ and likely(rows, i, j). Yields a, b: the greater and the lesser node.
+
+    bands names a binary column with the keys of all lists of a row: a pair that shares several is yielded by the first only."""
 
     def across(left, right):
         step = max(1, cells // max(1, len(right["node"])))
@@ -295,11 +305,18 @@ def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, ce
             ok = both["root"][i] != both["root"][j]
             i, j = i[ok], j[ok]
             ok = likely(both, i, j)
-            yield both["node"][i[ok]], both["node"][j[ok]]
+            i, j = i[ok], j[ok]
+            if bands and len(i):
+                same = both[bands][i] == both[bands][j]
+                ok = both[bands][i, np.argmax(same, 1)] == both[columns[0]][i]
+                i, j = i[ok], j[ok]
+            yield both["node"][i], both["node"][j]
 
     key, held = None, []
     for batch in batches:
         rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in [*columns, "root"]}
+        if bands:
+            rows[bands] = np.frombuffer(b"".join(pylist(batch, bands)), np.int64).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.int64)
         closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
         found = []
         for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(rows[columns[0]])) + 1):
@@ -307,7 +324,7 @@ def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, ce
                 continue
             if rows[columns[0]][at[0]] != key:
                 key, held = rows[columns[0]][at[0]], []
-            for block in np.array_split(at, -(-len(at) // 2048)):
+            for block in np.array_split(at, -(-len(at) // 1024)):
                 mine = {c: v[block] for c, v in rows.items()}
                 for other in held:
                     found += across(other, mine)
@@ -326,7 +343,8 @@ BLOOM_BITS = 1 << 25
 
 
 def bloom_place(node: str = "node") -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(BLOOM_BITS))
+    """A node is a hash already: its low bits are its place."""
+    return F.col(node).bitwiseAND(BLOOM_BITS - 1)
 
 
 def bloom(nodes: DataFrame) -> np.ndarray:
@@ -339,7 +357,8 @@ def bloom(nodes: DataFrame) -> np.ndarray:
     return table
 
 
-def in_bloom(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+def in_bloom(table: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    places = nodes & (BLOOM_BITS - 1)
     return ((table[places >> 3] >> (places & 7).astype(np.uint8)) & 1).astype(bool)
 
 

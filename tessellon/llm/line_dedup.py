@@ -210,7 +210,7 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array(common.in_bloom(table.value, batch.column(2).to_numpy()))).select(["node", "words"])
+            yield batch.filter(pa.array(common.in_bloom(table.value, batch.column(0).to_numpy())))
 
     def similar(batches):
         for batch in batches:
@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
                 ok.append(5 * shared >= 4 * (len(a) + len(b) - shared))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    sets = found.select("node", "words", common.bloom_place().alias("p")).mapInArrow(keep, "node long, words binary")
+    sets = found.select("node", "words").mapInArrow(keep, "node long, words binary")
     sets = common.stage(sets.groupBy("node").agg(F.first("words").alias("words")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")

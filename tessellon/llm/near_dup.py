@@ -9,8 +9,8 @@ slots' values. Two signatures agree in a slot with the weighted Jaccard similari
 32 bands of 4 slots propose pairs (a pair at similarity 0.8 is missed with probability 5e-8); multiset overlap over the shingles themselves
 verifies them. Texts with equal words are one node, so copies are never paired. Within a band's list of more
 than MOST nodes all are paired with the first; after verified links have been joined to components, nodes outside a long list's main component
-are compared with the rest of the list, in blocks, so no link is lost to the list's length. One bit of each
-slot travels with a node, and pairs whose 128 bits put the similarity far below the threshold (over 5 standard deviations) are
+are compared with the rest of the list, in blocks (each pair in the first list that it shares), so no link is lost to the list's length. One bit of each
+slot travels with a node, and pairs whose 128 bits put the similarity far below the threshold (4.7 standard deviations) are
 not verified.
 
 A class is a connected component of verified links. Null and empty texts have no shingles: they form one class. A null
@@ -33,8 +33,8 @@ from tessellon.llm.components import components
 SLOTS, BANDS = 128, 32
 THRESHOLD = 0.8
 MOST = 32
-#: Of 128 one-bit samples, at most so many differ at similarity 0.8: the mean 12.8 and over five standard deviations (3.4).
-BITS_APART = 31
+#: Of 128 one-bit samples, at most so many differ at similarity 0.8: the mean 12.8 and 4.7 standard deviations (3.4).
+BITS_APART = 29
 
 
 def multisets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def _pairs(batches):
 
 
 def _open_pairs(batches):
-    return common.open_pairs(batches, _COLUMNS, _likely)
+    return common.open_pairs(batches, _COLUMNS, _likely, bands="bands")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,14 +184,11 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float =
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     table = spark.sparkContext.broadcast(common.bloom(nodes))
 
-    def node_of(batches):
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(common.pylist(part, "text"))), part.column(0)], ["node", "text"])
-
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array(common.in_bloom(table.value, batch.column(2).to_numpy()))).select(["node", "text"])
+            for part in common.slices(batch, "text", 1_500_000):
+                nodes = nodes_of(common.pylist(part, "text"))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), part.column(0)], ["node", "text"]).filter(pa.array(common.in_bloom(table.value, nodes)))
 
     def sets(batches):
         for batch in batches:
@@ -200,8 +197,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float =
                 ends = np.cumsum(many)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(runs[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())], ["node", "bag"])
 
-    texts = docs.select(common.as_bytes(text_col).alias("text")).mapInArrow(node_of, "node long, text binary")
-    texts = texts.withColumn("p", common.bloom_place()).mapInArrow(keep, "node long, text binary")
+    texts = docs.select(common.as_bytes(text_col).alias("text")).mapInArrow(keep, "node long, text binary")
     bags = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, bag binary")
     bags = common.stage(bags, "bags")
 
@@ -230,6 +226,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id and node of every row, and root: the node that stands for its class."""
     spark = docs.sparkSession
     n = common.tasks(spark)
+    common.bound_batches(spark)
     signed = common.stage(sign(docs, id_col, text_col), "signed")
     contents = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y", "bands")))
     postings = contents.mapInArrow(_postings, "key long, node long, n long, x long, y long")
@@ -247,7 +244,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("root", F.coalesce("root", "node"))
     sizes = rows.groupBy("key", "root").count()
     mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main_root"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(mains, "key").withColumn("closed", F.col("root") == F.col("main_root")).select(*_COLUMNS, "root", "closed")
+    rows = rows.join(mains, "key").withColumn("closed", F.col("root") == F.col("main_root")).join(contents.select("node", "bands"), "node")
+    rows = rows.select(*_COLUMNS, "root", "closed", "bands")
     more = rows.repartition(n, "key").sortWithinPartitions("key", "closed").mapInArrow(_open_pairs, "a long, b long")
     rest = rest.union(more).join(stars, ["a", "b"], "left_anti").distinct()
     rest = common.stage(rest, "rest")
