@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, fingerprint, line_dedup, near_dup, quality, token_store, toxicity
+from tessellon.llm import decontaminate, fingerprint, line_dedup, near_dup, pieces, quality, token_store, toxicity
 
 QUERIES = {
+    "op1_merge_dropout_pieces": pieces.op1,
     "op2_factorization_machine_toxicity": toxicity.op2,
     "op3_line_crf_quality": quality.op3,
     "op4_suffix_array_decontamination": decontaminate.op4,
