@@ -63,8 +63,8 @@ def reclaim(spark: SparkSession) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Keeps the batches that go to Python workers small, whatever the texts' length: they and their copies are what a
     worker's memory holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -146,6 +146,7 @@ def slices(batch: pa.RecordBatch, column: str, bytes_each: int = 4_000_000) -> I
     step = max(1, bytes_each // mean)
     for at in range(0, rows, step):
         yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()
 
 
 def pylist(batch: pa.RecordBatch, column: str) -> list:
@@ -253,10 +254,10 @@ class SortedLists:
 
     def add_earliest(self, rows: dict[str, np.ndarray], last: bool = False):
         """Rows; nodes and their likely partners of the least id not above their own; and the numbers of rows that are handed on: of long
-        lists, and of lists in which a node has more than one such partner."""
+        lists, and those with likely partners of lists in which a node has more than one such partner."""
         rows, first, place, in_long, in_short, handed = self._open(rows, last)
         n = len(place)
-        best, partner, many = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool)
+        best, partner, many, touched = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool), np.zeros(n, bool)
         ids = rows["id"]
 
         def offer(i, j):
@@ -268,16 +269,17 @@ class SortedLists:
             best[i], partner[i] = ids[j], j
 
         for i, j in self._likely(rows, place, in_short):
+            touched[i] = touched[j] = True
             offer(i, j)
             offer(j, i)
         a = np.flatnonzero(partner >= 0)
         dense = np.zeros(n, bool)
         dense[first[many]] = True
-        handed = np.concatenate([handed, np.flatnonzero(in_short & dense[first])])
+        handed = np.concatenate([handed, np.flatnonzero(touched & dense[first])])
         return rows, rows["node"][a], rows["node"][partner[a]], handed
 
 
-def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 40_000) -> Iterator[dict[str, np.ndarray]]:
     """Columns of longs of several batches together."""
     held, n = [], 0
     for batch in batches:
