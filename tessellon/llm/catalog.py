@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, fingerprint, line_dedup, near_dup, pieces, quality, token_store, toxicity
+from tessellon.llm import decontaminate, fingerprint, licenses, line_dedup, near_dup, pieces, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op1_merge_dropout_pieces": pieces.op1,
     "op2_factorization_machine_toxicity": toxicity.op2,
     "op3_line_crf_quality": quality.op3,
     "op4_suffix_array_decontamination": decontaminate.op4,
+    "op5_license_similarity_join": licenses.op5,
     "op6_scaled_fingerprints": fingerprint.op6,
     "op7_bagminhash_near_dup": near_dup.op7,
     "op8_token_store": token_store.op8,
+    "op9_weak_supervision_pii": pii.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
