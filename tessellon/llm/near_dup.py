@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tessellon.llm import common
 from tessellon.llm.components import components
@@ -276,13 +277,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 texts = [t.encode() if isinstance(t, str) else t for t in common.pylist(part, text_col)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(texts))], [*part.schema.names, "__tess_node"])
 
-    from pyspark.sql.types import LongType, StructType
-
     rows = docs.mapInArrow(with_node, StructType([*docs.schema.fields]).add("__tess_node", LongType()))
-    kept = rows.join(keepers, (rows["__tess_node"] == keepers["__tess_node"]) & rows[id_col].eqNullSafe(keepers["__tess_id"]), "left_semi")
-    # rows that repeat a keeper's id and words: the first of them stays
-    names = [f"`{c}`" for c in docs.columns]
-    one = kept.groupBy("__tess_node", id_col).agg(F.min_by(F.struct(*names), F.col(text_col)).alias("__tess_row"))
+    # one key for the join and for the choice among repeated rows, so that texts are dealt out once
+    rows = rows.withColumn("__tess_key", F.xxhash64("__tess_node", F.col(id_col)))
+    keepers = keepers.withColumn("__tess_key", F.xxhash64("__tess_node", "__tess_id"))
+    same = (rows["__tess_key"] == keepers["__tess_key"]) & (rows["__tess_node"] == keepers["__tess_node"]) & rows[id_col].eqNullSafe(keepers["__tess_id"])
+    kept = rows.join(keepers, same, "left_semi")
+    # rows that repeat a keeper's id and words: the one with the least text stays
+    one = kept.groupBy("__tess_key", "__tess_node").agg(F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("__tess_row"))
     return one.select(*(F.col("__tess_row").getField(c).alias(c) for c in docs.columns))
 
 
