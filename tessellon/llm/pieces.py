@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -114,11 +116,13 @@ class PieceModel:
             if rank == _NEVER:
                 break
             k = ranks.index(rank)
-            if limit and self._skipped(base, places[k], rank, limit):
-                ranks[k] = _NEVER
-                continue
-            joined = symbols[k] = symbols[k] + symbols[k + 1]
-            del symbols[k + 1], ranks[k], places[k + 1]
+            if limit:  # _skipped(), in place for speed
+                h = ((base ^ (places[k] * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F)) * 0xBF58476D1CE4E5B9) & _MASK
+                if h ^ (h >> 31) < limit:
+                    ranks[k] = _NEVER
+                    continue
+            joined = symbols[k] = symbols[k] + symbols.pop(k + 1)
+            del ranks[k], places[k + 1]
             if k < len(ranks):
                 ranks[k] = get(joined + symbols[k + 1], _NEVER)
             if k:
@@ -158,14 +162,18 @@ class PieceModel:
 class Known(dict):
     """unit -> ids as bytes, for one variant."""
 
-    def __init__(self, model: PieceModel, rate: float, key: int, dtype: str, bound: int = 200_000):
+    def __init__(self, model: PieceModel, rate: float, key: int, dtype: str, bound: int = 450_000):
         super().__init__()
-        self.model, self.rate, self.key, self.dtype, self.bound = model, rate, key, dtype, bound
+        self.model, self.rate, self.key, self.bound = model, rate, key, bound
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        got = self[unit] = np.array(self.model.segment(unit, self.rate, self.key), self.dtype).tobytes()
+        ids = array(self.code, self.model.segment(unit, self.rate, self.key))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        got = self[unit] = ids.tobytes()
         return got
 
 
