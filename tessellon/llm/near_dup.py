@@ -8,8 +8,9 @@ slots' values. Two signatures agree in a slot with the weighted Jaccard similari
 
 32 bands of 4 slots propose pairs (a pair at similarity 0.8 is missed with probability 5e-8); multiset overlap over the shingles themselves
 verifies them. Texts with equal words are one node, so copies are never paired. Within a band's list of more
-than MOST nodes all are paired with the first; after verified links have been joined to components, nodes outside a long list's main component
-are compared with the rest of the list, in blocks (each pair in the first list that it shares), so no link is lost to the list's length. One bit of each
+than MOST nodes all are paired with the first; after verified links have been joined to components, nodes outside the main component of
+long lists that share nodes (a family) are compared with the family's other nodes, in blocks, until they are linked to them or all likely
+ones have been verified, so no link is lost to a list's length and links are not multiplied by it. One bit of each
 slot travels with a node, and pairs whose 128 bits put the similarity far below the threshold (4.7 standard deviations) are
 not verified.
 
@@ -175,85 +176,160 @@ def _pairs(batches):
     yield out(lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
 
 
-def _open_pairs(batches):
-    return common.open_pairs(batches, _COLUMNS, _likely, bands="bands")
+def folded(run: np.ndarray) -> np.ndarray:
+    """A multiset of hashes as a sorted set: its second and further equal elements get hashes of their own."""
+    run = np.sort(run)
+    again = np.concatenate([[False], run[1:] == run[:-1]])
+    if again.any():
+        at = np.arange(len(run))
+        turn = at - np.maximum.accumulate(np.where(again, 0, at))
+        with np.errstate(over="ignore"):
+            run = np.sort(np.where(again, common.mix64(run + turn.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), run))
+    return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts' multisets of shingles overlap by the threshold or more."""
-    spark = pairs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    table = spark.sparkContext.broadcast(common.bloom(nodes))
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two folded multisets; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int((b[at] == a).sum())
+    return shared / (len(a) + len(b) - shared)
 
-    def keep(batches):
-        for batch in batches:
-            for part in common.slices(batch, "text", 1_500_000):
-                nodes = nodes_of(common.pylist(part, "text"))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), part.column(0)], ["node", "text"]).filter(pa.array(common.in_bloom(table.value, nodes)))
 
-    def sets(batches):
+class Families:
+    """Links between components within families of rows that arrive family by family, open rows first. Every open row is
+    compared with every other row of its family whose bits make the similarity likely, nearest first, unless links found so far have already
+    brought the two together. Holds a family's open rows, and a batch."""
+
+    def __init__(self):
+        self.family, self.held, self.parent = None, [], {}
+
+    def _root(self, r: int) -> int:
+        path = []
+        while (up := self.parent.get(r, r)) != r:
+            path.append(r)
+            r = up
+        for q in path:
+            self.parent[q] = r
+        return r
+
+    def _link(self, left: dict, right: dict, same: bool):
+        step = max(1, 1_000_000 // max(1, len(right["node"])))
+        both = {c: np.concatenate([left[c], right[c]]) for c in ("node", "n", "x", "y", "root")}
+        bags = [*left["bag"], *right["bag"]]
+        width = len(left["node"])
+        for at in range(0, width, step):
+            i, j = np.divmod(np.arange(min(step, width - at) * len(right["node"])), len(right["node"]))
+            i, j = i + at, j + width
+            ok = both["root"][i] != both["root"][j]
+            if same:
+                ok &= i < j - width
+            i, j = i[ok], j[ok]
+            ok = _likely(both, i, j)
+            i, j = i[ok], j[ok]
+            for k in np.argsort(common.bits_apart(both, i, j), kind="stable").tolist():
+                a, b = int(i[k]), int(j[k])
+                ra, rb = self._root(int(both["root"][a])), self._root(int(both["root"][b]))
+                if ra != rb and overlap(np.frombuffer(bags[a], "<u8"), np.frombuffer(bags[b], "<u8")) >= THRESHOLD:
+                    self.parent[max(ra, rb)] = min(ra, rb)
+                    yield int(both["node"][a]), int(both["node"][b])
+
+    def add(self, batch: pa.RecordBatch):
+        cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("family", "node", "n", "x", "y", "root")}
+        closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
+        bags = np.array([*common.pylist(batch, "bag"), None], object)[:-1]
+        for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(cols["family"])) + 1):
+            if not len(at):
+                continue
+            if cols["family"][at[0]] != self.family:
+                self.family, self.held, self.parent = cols["family"][at[0]], [], {}
+            mine = {c: v[at] for c, v in cols.items()} | {"bag": bags[at]}
+            shut = {c: v[closed[at]] for c, v in mine.items()}
+            fresh = {c: v[~closed[at]] for c, v in mine.items()}
+            for other in self.held:
+                yield from self._link(other, mine, False)
+            if len(fresh["node"]):
+                yield from self._link(fresh, fresh, True)
+                yield from self._link(fresh, shut, False)
+                self.held.append(fresh)
+
+
+def _family_links(batches):
+    families = Families()
+    for batch in batches:
+        found = list(families.add(batch))
+        a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def bags_of(nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """node and bag (folded multiset, binary) of these nodes, staged. A table of fixed size keeps most other texts out early."""
+    table = docs.sparkSession.sparkContext.broadcast(common.bloom(nodes))
+
+    def keep(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 1_500_000):
-                _, runs, many = _text_parts(common.pylist(part, "text"))
+                found, runs, many = _text_parts(common.pylist(part, "text"))
                 ends = np.cumsum(many)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(runs[e - n : e]).astype("<u8").tobytes() for e, n in zip(ends.tolist(), many.tolist(), strict=True)], pa.binary())], ["node", "bag"])
+                # copies side by side count once
+                mine = [k for k in np.unique(found, return_index=True)[1] if common.in_bloom(table.value, found[k : k + 1])[0]]
+                bags = [folded(runs[ends[k] - many[k] : ends[k]]).astype("<u8").tobytes() for k in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(found[mine] if mine else found[:0]), pa.array(bags, pa.binary())], ["node", "bag"])
+
+    rows = docs.select(common.as_bytes(text_col).alias("text")).mapInArrow(keep, "node long, bag binary")
+    return common.stage(rows.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+
 
-    texts = docs.select(common.as_bytes(text_col).alias("text")).mapInArrow(keep, "node long, text binary")
-    bags = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, bag binary")
-    bags = common.stage(bags, "bags")
+def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those pairs (a, b) of nodes whose multisets overlap by the threshold or more."""
 
-    def overlap(batches):
+    def alike(batches):
         for batch in batches:
-            ok = [weighted_jaccard(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= threshold for a, b in zip(common.pylist(batch, "bag_a"), common.pylist(batch, "bag_b"), strict=True)]
+            ok = [overlap(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= threshold for a, b in zip(common.pylist(batch, "bag_a"), common.pylist(batch, "bag_b"), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     both = both.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(overlap, "a long, b long")
-
-
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted multisets: the sum of lesser weights by the sum of greater ones."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    u, n = np.unique(a, return_counts=True)
-    v, m = np.unique(b, return_counts=True)
-    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-    shared = int(np.minimum(n, np.where(v[at] == u, m[at], 0)).sum())
-    return shared / (len(a) + len(b) - shared)
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(alike, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and node of every row, and root: the node that stands for its class."""
     spark = docs.sparkSession
-    n = common.tasks(spark)
     common.bound_batches(spark)
+    n = common.tasks(spark)
     signed = common.stage(sign(docs, id_col, text_col), "signed")
     contents = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y", "bands")))
     postings = contents.mapInArrow(_postings, "key long, node long, n long, x long, y long")
     dealt = postings.repartition(n, "key").sortWithinPartitions("key", "node")
     found = common.stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, n long, x long, y long"), "near-pairs")
     common.reclaim(spark)
-    stars = found.where("kind = 0").select("a", "b").distinct()
-    links = common.stage(verify(stars, docs, text_col), "links")
+    pairs = found.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    pairs = common.stage(pairs, "pairs")
+    rows = found.where("kind = 2").select(F.col("a").alias("node"), "n", "x", "y", "key")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(rows.select("node"))
+    bags = bags_of(named, docs, text_col)
+    links = common.stage(verify(pairs.where("kind = 0").select("a", "b"), bags), "links")
     roots = components(links)
-    # pairs of short lists, and rows of long ones, that the first links haven't brought together
+    # pairs of short lists that the first links haven't brought together
     at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    rest = found.where("kind = 1").select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left")
+    rest = pairs.where("kind = 1").select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rows = found.where("kind = 2").select("key", F.col("a").alias("node"), "n", "x", "y").join(roots, "node", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
-    sizes = rows.groupBy("key", "root").count()
-    mains = sizes.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main_root"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(mains, "key").withColumn("closed", F.col("root") == F.col("main_root")).join(contents.select("node", "bands"), "node")
-    rows = rows.select(*_COLUMNS, "root", "closed", "bands")
-    more = rows.repartition(n, "key").sortWithinPartitions("key", "closed").mapInArrow(_open_pairs, "a long, b long")
-    rest = rest.union(more).join(stars, ["a", "b"], "left_anti").distinct()
-    rest = common.stage(rest, "rest")
-    if rest.head(1):
-        links = links.union(common.stage(verify(rest, docs, text_col), "links"))
-        roots = components(links)
-    out = signed.select("id", "node").join(roots, "node", "left")
+    links = links.union(common.stage(verify(rest, bags), "links"))
+    # long lists that share nodes are one family, whose nodes meet once
+    heads = rows.groupBy("key").agg(F.min("node").alias("b"))
+    family = components(rows.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
+    members = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y"))).join(family, "node")
+    members = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = members.groupBy("family", "root").count()
+    mains = sizes.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main")).join(bags, "node")
+    members = members.select("family", "node", "n", "x", "y", "root", "closed", "bag").repartition(n, "family").sortWithinPartitions("family", "closed", "node")
+    links = links.union(common.stage(members.mapInArrow(_family_links, "a long, b long"), "links"))
+    out = signed.select("id", "node").join(components(links), "node", "left")
     return out.select("id", "node", F.coalesce("root", "node").alias("root"))
 
 
