@@ -252,15 +252,39 @@ class SortedLists:
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         return rows, i, j, first[j] == i, handed
 
-    def add_earliest(self, rows: dict[str, np.ndarray], last: bool = False):
-        """Rows; nodes and their likely partners of the least id not above their own; and the numbers of rows that are handed on: of long
-        lists, and those with likely partners of lists in which a node has more than one such partner."""
-        rows, first, place, in_long, in_short, handed = self._open(rows, last)
-        n = len(place)
-        best, partner, many, touched = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), np.zeros(n, bool), np.zeros(n, bool)
+
+class Earliest(SortedLists):
+    """The same lists, but each row keeps only its likely partner of the least id not above its own. Longer lists are cut
+    into pieces of `most` rows, and partners are looked for within the piece."""
+
+    def add(self, rows: dict[str, np.ndarray], last: bool = False):
+        """Nodes, their partners, whether they have one, and whether there may be further ones: all rows of pieces, and rows with more
+        than one likely partner not above their own id. Rows with neither are left out."""
+        held = 0
+        if self.held is not None:
+            held = len(self.held[self.columns[0]])
+            rows = {c: np.concatenate([self.held[c], rows[c]]) for c in self.columns}
+        key = rows[self.columns[0]]
+        n = len(key)
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([begins, [n]]))
+        first = np.repeat(begins, sizes)
+        cut = np.repeat(sizes > self.most, sizes)
+        if self.long and held:
+            cut[: sizes[0]] = True
+        piece = (np.arange(n) - first) // self.most
+        first = first + piece * self.most
+        ready = np.ones(n, bool)
+        if n and not last:
+            a = int(first[-1])
+            ready[a:] = False
+            self.held, self.long = {c: v[a:] for c, v in rows.items()}, bool(cut[-1])
+        else:
+            self.held, self.long = None, False
+        best, partner, many = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), cut & ready
         ids = rows["id"]
 
-        def offer(i, j):
+        def offer(i: np.ndarray, j: np.ndarray) -> None:
             ok = ids[j] <= ids[i]
             i, j = i[ok], j[ok]
             many[i[partner[i] >= 0]] = True
@@ -268,15 +292,11 @@ class SortedLists:
             i, j = i[nearer], j[nearer]
             best[i], partner[i] = ids[j], j
 
-        for i, j in self._likely(rows, place, in_short):
-            touched[i] = touched[j] = True
+        for i, j in self._likely(rows, np.arange(n) - first, ready):
             offer(i, j)
             offer(j, i)
-        a = np.flatnonzero(partner >= 0)
-        dense = np.zeros(n, bool)
-        dense[first[many]] = True
-        handed = np.concatenate([handed, np.flatnonzero(touched & dense[first])])
-        return rows, rows["node"][a], rows["node"][partner[a]], handed
+        out = np.flatnonzero((partner >= 0) | many)
+        return rows["node"][out], rows["node"][partner[out]], partner[out] >= 0, many[out]
 
 
 def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 40_000) -> Iterator[dict[str, np.ndarray]]:
@@ -292,11 +312,9 @@ def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int =
         yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
 
 
-def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 1_000_000, bands: str | None = None) -> Iterator[pa.RecordBatch]:
+def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """For rows sorted by list (the first column) and within it by `closed`, open ones first: every open row with every other of its
-    list, in blocks, where their roots differ and likely(rows, i, j). Yields a, b: the greater and the lesser node.
-
-    bands names a binary column with the keys of all lists of a row: a pair that shares several is yielded by the first only."""
+    list, in blocks, where their nodes differ and likely(rows, i, j). Yields a, b: the greater and the lesser node."""
 
     def across(left, right):
         step = max(1, cells // max(1, len(right["node"])))
@@ -304,22 +322,16 @@ def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, ce
         for at in range(0, len(left["node"]), step):
             i, j = np.divmod(np.arange(min(step, len(left["node"]) - at) * len(right["node"])), len(right["node"]))
             i, j = i + at, j + len(left["node"])
-            ok = both["root"][i] != both["root"][j]
+            ok = both["node"][i] != both["node"][j]
             i, j = i[ok], j[ok]
             ok = likely(both, i, j)
-            i, j = i[ok], j[ok]
-            if bands and len(i):
-                same = both[bands][i] == both[bands][j]
-                ok = both[bands][i, np.argmax(same, 1)] == both[columns[0]][i]
-                i, j = i[ok], j[ok]
-            yield both["node"][i], both["node"][j]
+            yield both["node"][i[ok]], both["node"][j[ok]]
 
     key, held = None, []
     for batch in batches:
-        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in [*columns, "root"]}
-        if bands:
-            rows[bands] = np.frombuffer(b"".join(pylist(batch, bands)), np.int64).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1), np.int64)
+        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
         closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
+        rows["closed"] = closed
         found = []
         for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(rows[columns[0]])) + 1):
             if not len(at):

@@ -11,12 +11,13 @@ while the length filter holds, and a parity filter (64 bits that differ in at mo
 left over) thins the pairs before the sets themselves verify them. The prefix's own length is the positional filter: a shared word further
 back can't be followed by enough others.
 
-A node is tested first against the likely partner of the least doc_id in each list. Where lists hold more likely partners, nodes that this hasn't removed
-are compared with the whole list, so large groups of variants cost in proportion to their size.
+A node is tested first against the partner that most of its lists name, of those with the least doc_id; then, if it stays, against
+the other lists' partners; and if it may have still others, against all earlier likely nodes of its lists. So a large
+group of variants costs in proportion to its size, and no similar pair that could remove a line is passed over.
 
 A word that more than LIGHT lines may hold doesn't get a list of its own: similar sets share two words of the prefix
-that is one longer, so the node is listed under pairs of such words. Lists longer than MOST (passages with very many variants)
-are joined to their earliest node first; only nodes not removed by then are compared with the rest, in blocks.
+that is one longer, so the node is listed under pairs of such words. Lists longer than MOST are cut into
+pieces of that length in the first step.
 
 Null text has no lines; empty lines stay. Rows equal in doc_id and text count as one document. Columns other than the text
 are passed on; a text whose lines all go becomes empty.
@@ -173,45 +174,55 @@ def _likely(rows, i, j):
     return fits & ((common.bits_apart(rows, i, j, ("x",)) * 9 <= n + m) | (np.maximum(n, m) == 65535))
 
 
-def _pairs(batches):
-    """kind 0: a node of a short list with the likely partner of the least doc_id, not above its own; 1: a row of a long list, or
-    of one in which a node has more than one such partner."""
-    lists = common.SortedLists(_COLUMNS, MOST, _likely, _near)
-
-    def out(rows, a, b, handed):
-        zero = np.zeros(len(a), np.int64)
-        kind = np.concatenate([np.zeros(len(a)), np.ones(len(handed))]).astype(np.int32)
-        cols = [np.concatenate([zero, rows["key"][handed]]), np.concatenate([np.maximum(a, b), rows["node"][handed]]), np.concatenate([np.minimum(a, b), np.zeros(len(handed), np.int64)])]
-        cols += [np.concatenate([zero, rows["x"][handed]])]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "a", "b", "x"])
-
+def _distinct_rows(batches) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by key, node and id: of a node's rows in a list, which lie side by side, the first. Adds the list's token."""
     before = None
     for rows in common.gathered(batches, _COLUMNS[1:]):
-        # the same node may come from several batches: its rows are side by side
         key, node = rows["key"], rows["node"]
-        if not len(key):
-            continue
-        fresh = np.concatenate([[before != (key[0], node[0])], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        before = (key[-1], node[-1])
-        rows = {c: v[fresh] for c, v in rows.items()}
-        if len(rows["key"]):
-            yield out(*lists.add_earliest({"token": rows["key"] >> 16, **rows}))
-    yield out(*lists.add_earliest({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
+        if len(key):
+            fresh = np.concatenate([[before != (key[0], node[0])], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            before = (key[-1], node[-1])
+            rows = {c: v[fresh] for c, v in rows.items()}
+            yield {"token": rows["key"] >> 16, **rows}
+
+
+def _partners(batches):
+    """a: a node; b: its likely partner of the least doc_id in one list (null: none); many: whether there may be others."""
+    lists = common.Earliest(_COLUMNS, MOST, _likely, _near)
+
+    def out(a, b, has, many):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=~has), pa.array(many)], ["a", "b", "many"])
+
+    for rows in _distinct_rows(batches):
+        yield out(*lists.add(rows))
+    yield out(*lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
+
+
+def _earlier(rows, i, j):
+    """Likely pairs in which an open row's partner isn't above its own doc_id."""
+    up = (~rows["closed"][i] & (rows["id"][j] <= rows["id"][i])) | (~rows["closed"][j] & (rows["id"][i] <= rows["id"][j]))
+    return up & _likely(rows, i, j)
 
 
 def _open_pairs(batches):
-    return common.open_pairs(batches, _COLUMNS, _likely)
+    return common.open_pairs(batches, _COLUMNS, _earlier)
 
 
-def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets have the similarity."""
-    spark = pairs.sparkSession
-    table = spark.sparkContext.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+def sets_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """node and words of these nodes, staged; a table of fixed size keeps most others out early."""
+    table = found.sparkSession.sparkContext.broadcast(common.bloom(nodes))
 
     def keep(batches):
         for batch in batches:
             yield batch.filter(pa.array(common.in_bloom(table.value, batch.column(0).to_numpy())))
 
+    rows = found.select("node", "words").mapInArrow(keep, "node long, words binary")
+    return common.stage(rows.groupBy("node").agg(F.first("words").alias("words")), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets have the similarity."""
+
     def similar(batches):
         for batch in batches:
             ok = []
@@ -221,8 +232,6 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
                 ok.append(5 * shared >= 4 * (len(a) + len(b) - shared))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    sets = found.select("node", "words").mapInArrow(keep, "node long, words binary")
-    sets = common.stage(sets.groupBy("node").agg(F.first("words").alias("words")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     return both.select("a", "b", "words_a", "words_b").mapInArrow(similar, "a long, b long")
@@ -233,33 +242,50 @@ def repeated_lines(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     n = common.tasks(spark)
     table = frequencies(found)
-    dealt = postings(found, table).repartition(n, F.shiftright("key", 16)).sortWithinPartitions("key", "node", "id")
-    pairs = common.stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, x long"), "line-pairs")
+    dealt = lambda rows: rows.repartition(n, F.shiftright("key", 16))
+    listed = postings(found, table)
+    partners = common.stage(dealt(listed).sortWithinPartitions("key", "node", "id").mapInArrow(_partners, "a long, b long, many boolean"), "partners")
     common.reclaim(spark)
     firsts = common.stage(found.groupBy("node").agg(F.min(F.struct("id", "dk", "line")).alias("first")), "firsts")
 
     def later(similar: DataFrame) -> DataFrame:
         both = similar.join(firsts.select(F.col("node").alias("a"), F.col("first").alias("at_a")), "a")
         both = both.join(firsts.select(F.col("node").alias("b"), F.col("first").alias("at_b")), "b")
-        return both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("node"))
-
-    tested = pairs.where("kind = 0").select("a", "b")
-    rows = pairs.where("kind = 1").select("key", F.shiftright("key", 16).alias("token"), F.col("a").alias("node"), "x").join(firsts, "node").withColumn("id", F.col("first.id"))
-    hubs = rows.groupBy("token").agg(F.min_by(F.struct("node", "key", "x"), "first").alias("h"))
-    to_hub = rows.join(hubs, "token").where("node <> h.node")
-    size = lambda c: F.col(c).bitwiseAND(65535)
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("h.x")))
-    likely = (F.least(size("key"), size("h.key")) * 5 >= F.greatest(size("key"), size("h.key")) * 4) & ((apart * 9 <= size("key") + size("h.key")) | (F.greatest(size("key"), size("h.key")) == 65535))
-    stars = to_hub.where(likely).select(F.greatest("node", "h.node").alias("a"), F.least("node", "h.node").alias("b"))
-    tested = common.stage(tested.union(stars).distinct(), "tested")
-    gone = common.stage(later(verify(tested, found)).distinct(), "gone")
-    # nodes of long lists that aren't removed yet, against the whole list
-    state = rows.join(gone.withColumn("closed", F.lit(True)), "node", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
-    state = state.select(*_COLUMNS, F.col("node").alias("root"), "closed")
-    more = state.repartition(n, "token").sortWithinPartitions("token", "closed").mapInArrow(_open_pairs, "a long, b long")
-    more = common.stage(more.distinct().join(tested, ["a", "b"], "left_anti"), "more")
-    if more.head(1):
-        gone = gone.union(later(verify(more, found))).distinct()
+        return both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("node")).distinct()
+
+    pairs = common.stage(partners.where("b is not null").groupBy("a", "b").count(), "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), found)
+    # most lines that go are shown to go by the partner that most lists name; the others are asked about only where it fails
+    best = common.stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "best")
+    gone = common.stage(later(verify(best, sets)), "gone")
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(gone.select(F.col("node").alias("a")), "a", "left_anti")
+    gone = common.stage(gone.union(later(verify(rest, sets))).distinct(), "gone")
+    common.reclaim(spark)
+    # nodes that still stay and may have other partners: against all of their lists
+    left = partners.where("many").select(F.col("a").alias("node")).distinct().join(gone, "node", "left_anti")
+    left = common.stage(left.withColumn("closed", F.lit(False)), "left")
+    if left.head(1):
+        stays = spark.sparkContext.broadcast(common.bloom(left))
+
+        def of_left(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(common.in_bloom(stays.value, batch.column(1).to_numpy())))
+
+        mine = postings(found.select("id", "node", "words").mapInArrow(of_left, "id long, node long, words binary"), table)
+        lists = spark.sparkContext.broadcast(common.bloom(mine.select(F.shiftright("key", 16).alias("node"))))
+
+        def keep(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(common.in_bloom(lists.value, batch.column(0).to_numpy() >> 16)))
+
+        some = listed.mapInArrow(keep, "key long, node long, x long, id long").groupBy("key", "node", "x").agg(F.min("id").alias("id"))
+        some = some.join(left, "node", "left").withColumn("closed", F.coalesce("closed", F.lit(True))).withColumn("token", F.shiftright("key", 16))
+        open_rows = some.select(*_COLUMNS, "closed").repartition(n, "token").sortWithinPartitions("token", "closed")
+        more = common.stage(open_rows.mapInArrow(_open_pairs, "a long, b long").distinct(), "more")
+        tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = common.stage(more.join(tested, ["a", "b"], "left_anti"), "more")
+        sets = sets_of(more.select(F.explode(F.array("a", "b")).alias("node")), found)
+        gone = common.stage(gone.union(later(verify(more, sets))).distinct(), "gone")
     all_of = found.select("node", "id", "dk", "line").join(firsts, "node").join(gone.withColumn("gone", F.lit(True)), "node", "left")
     out = all_of.where(F.col("gone").isNotNull() | (F.struct("id", "dk", "line") != F.col("first"))).select("dk", "line")
     return out.distinct()
