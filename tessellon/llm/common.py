@@ -253,10 +253,12 @@ class SortedLists:
         return rows, i, j, first[j] == i, handed
 
 
-class Earliest(SortedLists):
-    """The same lists, but each row keeps only its likely partner of the least id not above its own. Longer lists are cut
+class Nearest(SortedLists):
+    """The same lists, but each row keeps only its nearest likely partner (by `gap`) with an id not above its own. Longer lists are cut
     into pieces of `most` rows, and partners are looked for within the piece."""
 
+    gap: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
     def add(self, rows: dict[str, np.ndarray], last: bool = False):
         """Nodes, their partners, whether they have one, and whether there may be further ones: all rows of pieces, and rows with more
         than one likely partner not above their own id. Rows with neither are left out."""
@@ -284,36 +286,41 @@ class Earliest(SortedLists):
         best, partner, many = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), cut & ready
         ids = rows["id"]
 
-        def offer(i: np.ndarray, j: np.ndarray) -> None:
+        def offer(i: np.ndarray, j: np.ndarray, gap: np.ndarray) -> None:
             ok = ids[j] <= ids[i]
-            i, j = i[ok], j[ok]
+            i, j, gap = i[ok], j[ok], gap[ok]
             many[i[partner[i] >= 0]] = True
-            nearer = (ids[j] < best[i]) | (partner[i] < 0)
-            i, j = i[nearer], j[nearer]
-            best[i], partner[i] = ids[j], j
+            nearer = gap < best[i]
+            i, j, gap = i[nearer], j[nearer], gap[nearer]
+            best[i], partner[i] = gap, j
 
         for i, j in self._likely(rows, np.arange(n) - first, ready):
-            offer(i, j)
-            offer(j, i)
+            gap = self.gap(rows, i, j)
+            offer(i, j, gap)
+            offer(j, i, gap)
         out = np.flatnonzero((partner >= 0) | many)
         return rows["node"][out], rows["node"][partner[out]], partner[out] >= 0, many[out]
 
 
-def gathered(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 40_000) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of longs of several batches together."""
+def longs(columns: list[str]) -> Callable[[pa.RecordBatch], dict[str, np.ndarray]]:
+    return lambda batch: {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
+
+
+def gathered(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], rows: int = 40_000) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of several batches together, as arrays."""
     held, n = [], 0
     for batch in batches:
-        held.append([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns])
+        held.append(read(batch))
         n += batch.num_rows
         if n >= rows:
-            yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
+            yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held, n = [], 0
     if held:
-        yield {c: np.concatenate(v) for c, v in zip(columns, zip(*held, strict=True), strict=True)}
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
-def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, cells: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by list (the first column) and within it by `closed`, open ones first: every open row with every other of its
+def open_pairs(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], dict[str, np.ndarray]], likely, cells: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by list ("token") and within it by "closed", open ones first: every open row with every other of its
     list, in blocks, where their nodes differ and likely(rows, i, j). Yields a, b: the greater and the lesser node."""
 
     def across(left, right):
@@ -329,15 +336,14 @@ def open_pairs(batches: Iterator[pa.RecordBatch], columns: list[str], likely, ce
 
     key, held = None, []
     for batch in batches:
-        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
-        closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
-        rows["closed"] = closed
+        rows = read(batch)
+        closed = rows["closed"]
         found = []
-        for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(rows[columns[0]])) + 1):
+        for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(rows["token"])) + 1):
             if not len(at):
                 continue
-            if rows[columns[0]][at[0]] != key:
-                key, held = rows[columns[0]][at[0]], []
+            if rows["token"][at[0]] != key:
+                key, held = rows["token"][at[0]], []
             for block in np.array_split(at, -(-len(at) // 1024)):
                 mine = {c: v[block] for c, v in rows.items()}
                 for other in held:

@@ -7,11 +7,11 @@ whether that one stays or goes.
 Equal sets are one node, placed at its first line. Words are ordered from rare to frequent by a table of 2**20 counters over all
 lines (any fixed order gives exact results; ties by the word's hash). Similar sets share a word among their first n - ceil(0.8 n) + 1
 (prefix filter), so a node is listed under each of these. A list is kept in order of length; its nodes are paired
-while the length filter holds, and a parity filter (64 bits that differ in at most as many places as the sets' words
+while the length filter holds, and a parity filter (tables of 64 to 1,024 bits that differ in at most as many places as the sets' words
 left over) thins the pairs before the sets themselves verify them. The prefix's own length is the positional filter: a shared word further
 back can't be followed by enough others.
 
-A node is tested first against the partner that most of its lists name, of those with the least doc_id; then, if it stays, against
+A node is tested first against the partner that most of its lists name: in each list the nearest by parity whose doc_id isn't above its own; then, if it stays, against
 the other lists' partners; and if it may have still others, against all earlier likely nodes of its lists. So a large
 group of variants costs in proportion to its size, and no similar pair that could remove a line is passed over.
 
@@ -40,7 +40,9 @@ MIN_WORDS = 5
 LIGHT = MOST = 1024
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
-_COLUMNS = ["token", "key", "node", "x", "id"]
+_COLUMNS = ["token", "key", "node", "id", "bits", "level"]
+#: 64-bit words of the widest parity table, and the set sizes below which a table has 1, 2, 4 and 8 of them.
+WIDEST, SIZES = 16, (96, 192, 384, 768)
 
 
 def doc_key(id_col: str, text_col: str) -> Column:
@@ -139,8 +141,7 @@ def postings(found: DataFrame, table: np.ndarray) -> DataFrame:
             for part in common.slices(batch.take(pa.array(np.sort(once))), "words", 1_000_000):
                 hashes, n = common.hash_texts(common.pylist(part, "words"))
                 h, owner, n = distinct(hashes, np.repeat(np.arange(len(n)), n), len(n))
-                odd = np.bincount(owner * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64) & 1
-                x = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).ravel()
+                tables = parity_tables(h, owner, n)
                 count = freq[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 order = np.argsort(owner << 40 | np.minimum(count, (1 << 40) - 1), kind="stable")  # ties stay in the order of hashes
                 h, count = h[order], count[order]
@@ -158,44 +159,99 @@ def postings(found: DataFrame, table: np.ndarray) -> DataFrame:
                 owners, keys = np.concatenate(owners), np.concatenate(keys)
                 key = (keys >> np.uint64(32)).astype(np.int64) << 16 | np.minimum(n, 65535)[owners]
                 doc, node = part.column(0).to_numpy(), part.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owners]), pa.array(x[owners]), pa.array(doc[owners])], ["key", "node", "x", "id"])
-
-    return found.select("id", "node", "words").mapInArrow(run, "key long, node long, x long, id long")
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[owners]), pa.array(doc[owners]), tables.take(pa.array(owners))], ["key", "node", "id", "bits"])
+
+    return found.select("id", "node", "words").mapInArrow(run, "key long, node long, id long, bits binary")
+
+
+def parity_tables(h: np.ndarray, owner: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each set, the parity of the number of its hashes that fall to each place of a table, whose width goes with the
+    set's size. Folding a table's halves onto each other gives the set's table of half the width."""
+    level = np.searchsorted(SIZES, n, "right")
+    out = np.empty(len(n), object)
+    for k in np.unique(level):
+        mine = np.flatnonzero(level == k)
+        width = 64 << int(k)
+        place = np.full(len(n), -1)
+        place[mine] = np.arange(len(mine))
+        own = place[owner]
+        at = own[own >= 0] * width + (h[own >= 0] >> np.uint64(64 - 10)).astype(np.int64) % width
+        odd = (np.bincount(at, minlength=width * len(mine)).reshape(-1, width) & 1).astype(np.uint8)
+        packed = np.packbits(odd, axis=1)
+        out[mine] = [r.tobytes() for r in packed]
+    return pa.array(list(out), pa.binary())
+
+
+def read_rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    rows = common.longs(["key", "node", "id"])(batch)
+    array = batch.column(batch.schema.get_field_index("bits"))
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    words = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64) if len(array) else np.empty(0, np.uint64)
+    starts, sizes = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+    bits = np.zeros((len(array), WIDEST), np.uint64)
+    for w in np.unique(sizes):
+        mine = np.flatnonzero(sizes == w)
+        bits[mine, :w] = words[starts[mine, None] + np.arange(w)]
+    return {"token": rows["key"] >> 16, **rows, "bits": bits, "level": np.log2(np.maximum(sizes, 1)).astype(np.int64)}
+
+
+def read_open(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return read_rows(batch) | {"closed": batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)}
 
 
 def _near(rows, i, j):
     return (rows["key"][i] & 65535) * 5 >= (rows["key"][j] & 65535) * 4
 
 
+def _apart(rows, i, j):
+    """In how many places the two sets' tables differ, at the width of the narrower one."""
+    if "folds" not in rows:
+        folds = [rows["bits"]]
+        while folds[0].shape[1] > 1:
+            half = folds[0].shape[1] // 2
+            folds.insert(0, folds[0][:, :half] ^ folds[0][:, half:])
+        rows["folds"] = folds
+    level = np.minimum(rows["level"][i], rows["level"][j])
+    out = np.empty(len(i), np.int64)
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        table = rows["folds"][k]
+        out[at] = np.bitwise_count(table[i[at]] ^ table[j[at]]).sum(1)
+    return out
+
+
 def _likely(rows, i, j):
     n, m = rows["key"][i] & 65535, rows["key"][j] & 65535
-    fits = np.minimum(n, m) * 5 >= np.maximum(n, m) * 4
+    out = (np.minimum(n, m) * 5 >= np.maximum(n, m) * 4) | (np.maximum(n, m) == 65535)
+    at = np.flatnonzero(out)
     # |a or b| - |a and b| is at most a ninth of |a| + |b| at similarity 0.8
-    return fits & ((common.bits_apart(rows, i, j, ("x",)) * 9 <= n + m) | (np.maximum(n, m) == 65535))
+    out[at] = (_apart(rows, i[at], j[at]) * 9 <= n[at] + m[at]) | (np.maximum(n, m)[at] == 65535)
+    return out
 
 
 def _distinct_rows(batches) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by key, node and id: of a node's rows in a list, which lie side by side, the first. Adds the list's token."""
+    """Rows sorted by key, node and id: of a node's rows in a list, which lie side by side, the first."""
     before = None
-    for rows in common.gathered(batches, _COLUMNS[1:]):
+    for rows in common.gathered(batches, read_rows):
         key, node = rows["key"], rows["node"]
         if len(key):
             fresh = np.concatenate([[before != (key[0], node[0])], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
             before = (key[-1], node[-1])
-            rows = {c: v[fresh] for c, v in rows.items()}
-            yield {"token": rows["key"] >> 16, **rows}
+            yield {c: v[fresh] for c, v in rows.items()}
 
 
 def _partners(batches):
-    """a: a node; b: its likely partner of the least doc_id in one list (null: none); many: whether there may be others."""
-    lists = common.Earliest(_COLUMNS, MOST, _likely, _near)
+    """a: a node; b: its nearest likely partner in one list, not above its own doc_id (null: none); many: whether there may be others."""
+    lists = common.Nearest(_COLUMNS, MOST, _likely, _near)
+    lists.gap = _apart
 
     def out(a, b, has, many):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=~has), pa.array(many)], ["a", "b", "many"])
 
     for rows in _distinct_rows(batches):
         yield out(*lists.add(rows))
-    yield out(*lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
+    none = {c: np.empty(0, np.int64) for c in _COLUMNS} | {"bits": np.empty((0, WIDEST), np.uint64)}
+    yield out(*lists.add(none, last=True))
 
 
 def _earlier(rows, i, j):
@@ -205,7 +261,7 @@ def _earlier(rows, i, j):
 
 
 def _open_pairs(batches):
-    return common.open_pairs(batches, _COLUMNS, _earlier)
+    return common.open_pairs(batches, read_open, _earlier)
 
 
 def sets_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -278,9 +334,9 @@ def repeated_lines(found: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(common.in_bloom(lists.value, batch.column(0).to_numpy() >> 16)))
 
-        some = listed.mapInArrow(keep, "key long, node long, x long, id long").groupBy("key", "node", "x").agg(F.min("id").alias("id"))
+        some = listed.mapInArrow(keep, "key long, node long, id long, bits binary").groupBy("key", "node").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
         some = some.join(left, "node", "left").withColumn("closed", F.coalesce("closed", F.lit(True))).withColumn("token", F.shiftright("key", 16))
-        open_rows = some.select(*_COLUMNS, "closed").repartition(n, "token").sortWithinPartitions("token", "closed")
+        open_rows = some.select("token", "key", "node", "id", "bits", "closed").repartition(n, "token").sortWithinPartitions("token", "closed")
         more = common.stage(open_rows.mapInArrow(_open_pairs, "a long, b long").distinct(), "more")
         tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = common.stage(more.join(tested, ["a", "b"], "left_anti"), "more")

@@ -171,7 +171,7 @@ def _pairs(batches):
         cols += [np.concatenate([zero, rows[c][handed]]) for c in ("n", "x", "y")]
         return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "a", "b", "n", "x", "y"])
 
-    for rows in common.gathered(batches, _COLUMNS):
+    for rows in common.gathered(batches, common.longs(_COLUMNS)):
         yield out(lists.add(rows))
     yield out(lists.add({c: np.empty(0, np.int64) for c in _COLUMNS}, last=True))
 
