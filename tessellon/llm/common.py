@@ -254,14 +254,15 @@ class SortedLists:
 
 
 class Nearest(SortedLists):
-    """The same lists, but each row keeps only its nearest likely partner (by `gap`) with an id not above its own. Longer lists are cut
+    """The same lists, but each row keeps only its nearest likely partners (`partners` of them, by `gap`) with ids not above its own. Longer lists are cut
     into pieces of `most` rows, and partners are looked for within the piece."""
 
     gap: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+    partners = 6
 
     def add(self, rows: dict[str, np.ndarray], last: bool = False):
         """Nodes, their partners, whether they have one, and whether there may be further ones: all rows of pieces, and rows with more
-        than one likely partner not above their own id. Rows with neither are left out."""
+        likely partners than are kept. Rows with neither are left out."""
         held = 0
         if self.held is not None:
             held = len(self.held[self.columns[0]])
@@ -283,23 +284,27 @@ class Nearest(SortedLists):
             self.held, self.long = {c: v[a:] for c, v in rows.items()}, bool(cut[-1])
         else:
             self.held, self.long = None, False
-        best, partner, many = np.full(n, np.iinfo(np.int64).max), np.full(n, -1), cut & ready
+        far = np.iinfo(np.int64).max
+        best, partner, seen = np.full((n, self.partners), far), np.full((n, self.partners), -1), np.zeros(n, np.int64)
         ids = rows["id"]
 
         def offer(i: np.ndarray, j: np.ndarray, gap: np.ndarray) -> None:
             ok = ids[j] <= ids[i]
             i, j, gap = i[ok], j[ok], gap[ok]
-            many[i[partner[i] >= 0]] = True
-            nearer = gap < best[i]
-            i, j, gap = i[nearer], j[nearer], gap[nearer]
-            best[i], partner[i] = gap, j
+            seen[i] += 1
+            worst = best[i].argmax(1)
+            nearer = gap < best[i, worst]
+            i, worst = i[nearer], worst[nearer]
+            best[i, worst], partner[i, worst] = gap[nearer], j[nearer]
 
         for i, j in self._likely(rows, np.arange(n) - first, ready):
             gap = self.gap(rows, i, j)
             offer(i, j, gap)
             offer(j, i, gap)
-        out = np.flatnonzero((partner >= 0) | many)
-        return rows["node"][out], rows["node"][partner[out]], partner[out] >= 0, many[out]
+        many = (seen > self.partners) | (cut & ready)
+        row, slot = np.nonzero((partner >= 0) | (many[:, None] & (np.arange(self.partners) == 0)))
+        found = partner[row, slot]
+        return rows["node"][row], rows["node"][found], found >= 0, many[row]
 
 
 def longs(columns: list[str]) -> Callable[[pa.RecordBatch], dict[str, np.ndarray]]:
