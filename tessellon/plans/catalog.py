@@ -1,10 +1,588 @@
-"""Every query of the engine by name, with its SQL twin."""
+"""Every query of the engine by name; plans/oracles.py has its SQL twin where SQL can say it.
+
+All queries read whole tables. Days are counted from fixed reference days, so results can be repeated.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessellon.functions import dates, stats, urls
+from tessellon.functions import text as tx
+from tessellon.functions import vectors as vx
+from tessellon.operators import cards, chunking, dedupe, evaluation, gates, metadata, normalize, retrieval, routing
+from tessellon.plans.oracles import ORACLES
+from tessellon.plans.session import table
+from tessellon.streaming import events as ev
+
+__all__ = ["ORACLES", "QUERIES"]
+
+def _as_of():
+    return F.lit("2025-09-08").cast("date")
+
+DIM = 768
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# ---------------------------------------------------------------- texts, ids, URLs, days
+
+
+@query
+def doc_word_stats(spark, sf):
+    return _docs(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("word_count"), tx.token_count(F.col("text")).alias("token_count"), tx.sentences(F.col("text")).alias("sentences"))
+
+
+@query
+def readability(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.round(tx.readability_grade(F.col("text")), 6).alias("grade"))
+
+
+@query
+def slug_ids(spark, sf):
+    title = F.substring_index(F.col("text"), "\n", 1)
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string"))
+    return _docs(spark, sf).select("doc_id", tx.slugify(title).alias("slug"), metadata.doc_id(F.lit("crm"), F.col("source"), F.lit(None), title, url).alias("composite"), tx.sha1_8(url).alias("url_digest"), F.sha2("text", 256).alias("text_digest"))
+
+
+@query
+def normalized_terms(spark, sf):
+    d = _docs(spark, sf).select("doc_id", tx.terms(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query
+def keyphrases(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.array_join(tx.keyphrases(F.substring_index(F.col("text"), "\n", 1), F.col("text")), ",").alias("phrases"))
+
+
+@query
+def url_canonical(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", urls.strip_tracking(u).alias("clean_url"), urls.host(u).alias("host"), urls.with_https(u).alias("secure_url"), urls.feed_key(u).alias("feed_key"))
+
+
+@query
+def url_domain_counts(spark, sf):
+    return table(spark, sf, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.countDistinct(urls.feed_key(F.col("url"))).alias("distinct_urls"))
+
+
+@query
+def allowlist_ratio(spark, sf):
+    h = urls.bare_host(F.col("url"))
+    roots = ["example.com", "example.org"]
+    return table(spark, sf, "pages").agg(F.count("*").alias("pages"), F.count_if(urls.in_domains(h, roots)).alias("allowed"), F.round(F.count_if(urls.in_domains(h, roots)) / F.greatest(F.count("*"), F.lit(1)), 6).alias("ratio"))
+
+
+@query
+def url_collisions(spark, sf):
+    p = table(spark, sf, "pages").groupBy(urls.strip_tracking(F.col("url")).alias("clean_url")).agg(F.countDistinct("page_id").alias("pages"), F.min("page_id").alias("first_page"))
+    return p.where("pages > 1")
+
+
+@query
+def feed_match(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    feed = table(spark, sf, "pages").where("page_id % 3 = 0").select(F.concat(urls.with_https(F.col("url")), F.lit("#feed")).alias("link"), F.col("page_id").alias("entry_no"))
+    m = metadata.match_feed(pages, feed)
+    return m.select("page_id", "feed_key", F.col("entry.link").alias("link"))
+
+
+@query
+def page_titles(spark, sf):
+    h = F.col("html")
+    return table(spark, sf, "pages").select("page_id", normalize.page_title(h).alias("title"), normalize.meta_title(h).alias("meta_title"), normalize.meta_time(h).alias("meta_time"), normalize.page_day(h).alias("day"), normalize.canonical_url(h).alias("canonical"))
+
+
+@query
+def page_links(spark, sf):
+    from tessellon.sources.readers import page_links as links
+
+    p = table(spark, sf, "pages").select("page_id", links(F.col("html")).alias("l"))
+    return p.select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
+
+
+@query
+def date_parse(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    forms = ["EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy", "'on' yyyy"]
+    pick = None
+    for k, f in enumerate(forms):
+        test, value = F.col("o_orderkey") % len(forms) == k, F.date_format("d", f)
+        pick = F.when(test, value) if pick is None else pick.when(test, value)
+    return o.select("o_orderkey", dates.parse_day(pick).alias("day"), dates.sane(dates.parse_day(pick), F.lit("1996-12-31").cast("date"), "1994-01-01").alias("sane_day"))
+
+
+@query
+def recency_buckets(spark, sf):
+    as_of = F.lit("1998-12-01").cast("date")
+    age = dates.age_days(F.col("o_orderdate").cast("date"), as_of)
+    o = table(spark, sf, "orders").select("o_orderpriority", age.alias("age"))
+    return o.groupBy("o_orderpriority").agg(
+        F.count("*").alias("orders"), *(F.count_if(F.col("age") <= n).alias(f"within_{n}") for n in (90, 180, 365)), F.count_if(F.col("age") > 365).alias("older"),
+        F.round(F.avg(F.greatest(F.lit(0.0), 1 - F.col("age") / 730.0)), 6).alias("mean_recency"),
+    )
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query
+def page_documents(spark, sf):
+    d = normalize.documents(table(spark, sf, "pages"))
+    return d.select("page_id", "html_title", "source_domain", "word_count", "token_count", "hash_sha256", F.left("text", F.lit(200)).alias("head"))
+
+
+@query
+def language_filter(spark, sf):
+    d = _docs(spark, sf).withColumn("word_count", tx.word_count(F.col("text")))
+    d = normalize.keep_language(d, "en", "lang", F.col("source").isin("src1", "src2"))
+    d = normalize.drop_short(d, F.col("source") == "src3")
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("word_count").alias("words"))
+
+
+@query
+def phase_split(spark, sf):
+    p = normalize.phase(F.col("doc_id").cast("string"))
+    return _docs(spark, sf).groupBy(p.alias("phase")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def topics_tagging(spark, sf):
+    c = table(spark, sf, "conversations")
+    t, x = F.lit(""), F.col("text")
+    rules = [("Greeting", ["the", "that"]), ("Question", ["?", "what"]), ("Waste", ["trash", "scum"]), ("AI", ["ai ", " ai"])]
+    people = [("buyer", ["re", "con"]), ("analyst", ["ation", "ing"]), ("agent", ["edo"])]
+    return c.select("conv_id", "turn", metadata.topics(t, x, rules).alias("topic"), metadata.topics(t, x).alias("business_topic"), F.array_join(metadata.personas(t, x, people), ",").alias("personas"))
+
+
+@query
+def title_picks(spark, sf):
+    p = table(spark, sf, "pages")
+    slug = F.concat(F.lit("page-no-"), F.col("page_id").cast("string"))
+    blank = F.when(F.col("page_id") % 2 == 0, normalize.meta_title(F.col("html"))).otherwise(F.lit("  "))
+    h1 = F.concat(F.lit("x\nH1: Title "), F.col("page_id").cast("string"), F.lit("\ny"))
+    return p.select("page_id", metadata.pick_title(blank, F.lit(None), F.when(F.col("page_id") % 3 == 0, h1), F.lit(""), slug).alias("title"))
+
+
+@query
+def publish_days(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), "o_orderstatus")
+    kind = F.when(F.col("o_orderkey") % 4 == 0, "10-K").when(F.col("o_orderkey") % 4 == 1, "press").when(F.col("o_orderkey") % 4 == 2, "help_docs").otherwise("wiki")
+    said = F.concat(F.lit("Last updated: "), F.date_format(F.date_add("d", 3), "MMMM d, yyyy"), F.lit(" by us"))
+    meta = F.when(F.col("o_orderstatus") == "O", F.date_format(F.date_add("d", 1), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    day = metadata.pick_day(kind, meta, F.when(F.col("o_orderkey") % 3 == 0, F.date_add("d", 2)), F.col("d"), said, F.date_format("d", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.date_add("d", 9), F.lit("2001-01-01").cast("date"), F.lit("1990-01-01").cast("date"))
+    return o.select("o_orderkey", kind.alias("doctype"), day.alias("publish_date"))
+
+
+@query
+def link_status(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("&gclid=1"))).alias("side_url"), F.when(F.col("page_id") % 4 == 0, 200).when(F.col("page_id") % 4 == 1, 404).alias("side_status"), (F.col("page_id") % 5 == 0).alias("has_payload"))
+    return metadata.link_state(p, ["example.org"]).select("page_id", "final_url", "link_ok", "status_code")
+
+
+@query
+def inventory(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id"), F.when(F.col("doc_id") % 7 > 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd")).alias("publish_date"), "source", F.when(F.col("lang") != "fr", F.col("lang")).alias("language"), F.array("lang", "source").alias("persona_tags"))
+    return metadata.inventory(d)
+
+
+@query
+def incremental_new(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "lang")
+    have = table(spark, sf, "labels").select("doc_id")
+    return metadata.new_only(d, have).groupBy("lang").agg(F.count("*").alias("docs"))
+
+
+@query
+def required_fields(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise(" ").alias("lang"), F.when(F.col("doc_id") % 4 > 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("persona_tags"))
+    gaps = metadata.missing_fields(["source", "lang", "persona_tags"], dict(d.dtypes))
+    m = d.select("doc_id", gaps.alias("gaps"))
+    return m.groupBy(F.array_join("gaps", ",").alias("missing")).agg(F.count("*").alias("docs"))
+
+
+# ---------------------------------------------------------------- chunks and spans
+
+
+def _chunks(spark, sf):
+    return chunking.windows(_docs(spark, sf))
+
+
+@query
+def chunk_windows(spark, sf):
+    c = _chunks(spark, sf)
+    return c.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "token_count", F.md5("text").alias("digest"))
+
+
+@query
+def chunk_count_envelope(spark, sf):
+    n = _chunks(spark, sf).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("chunk_words"))
+    d = _docs(spark, sf).select("doc_id", tx.token_count(F.col("text")).alias("tokens"), tx.word_count(F.col("text")).alias("words")).where("tokens > 0")
+    e = d.join(n, "doc_id", "left").withColumn("expected", F.greatest(F.lit(1), F.ceil((F.col("tokens") - 120) / 680)))
+    ok = (F.col("chunks") >= F.floor(0.6 * F.col("expected"))) & (F.col("chunks") <= F.ceil(1.6 * F.col("expected")))
+    return e.agg(F.count("*").alias("docs"), F.count_if(ok).alias("inside"), F.round(F.sum("chunk_words") / F.sum("words"), 6).alias("coverage"))
+
+
+@query
+def structure_spans(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.concat(F.lit("Item 1. Business\n"), "text", F.lit("\nITEM 1A Risk Factors\nrisks\nItem 7. Discussion\nItem 2.02 Results\nend")).alias("text"))
+    return chunking.item_spans(d)
+
+
+@query
+def adjacent_jaccard(spark, sf):
+    a = chunking.adjacent_similarity(_chunks(spark, sf))
+    return a.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query
+def nonadjacent_p95(spark, sf):
+    d = chunking.distant_similarity(_chunks(spark, sf))
+    return d.agg(F.count("*").alias("pairs"), F.round(stats.floor_index("jaccard", 0.95), 6).alias("p95"))
+
+
+@query
+def heading_windows(spark, sf):
+    """Windows whose starts move to the nearest line start."""
+    d = _docs(spark, sf).where(F.length("text") > 0).select("doc_id", "text", F.length("text").alias("n"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.length(x) + 1)
+    marks = F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    starts = chunking.snapped_starts(F.col("n"), F.lit(800), F.lit(680), marks)
+    return d.select("doc_id", F.size(starts).cast("long").alias("windows"), F.array_join(starts.cast("array<string>"), ",").alias("starts"))
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+@query
+def exact_dup_clusters(spark, sf):
+    return dedupe.exact_clusters(_docs(spark, sf))
+
+
+def _distinct_docs(spark, sf):
+    return _docs(spark, sf).select("doc_id", "text", tx.word_count(F.col("text")).alias("word_count"))
+
+
+@query
+def near_dup_pairs(spark, sf):
+    p = dedupe.near_pairs(_docs(spark, sf))
+    return p.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query
+def dedup_components(spark, sf):
+    return dedupe.components(dedupe.near_pairs(_docs(spark, sf)))
+
+
+@query
+def dedup_canonical(spark, sf):
+    d = _distinct_docs(spark, sf)
+    g = dedupe.groups(d, dedupe.near_pairs(d))
+    return g.select("component", "canonical_id", "members", F.round("jaccard_min", 6).alias("jaccard_min"), F.round("jaccard_max", 6).alias("jaccard_max"))
+
+
+@query
+def dedup_kept(spark, sf):
+    d = _distinct_docs(spark, sf)
+    return dedupe.kept(d, dedupe.near_pairs(d)).select("doc_id", "word_count")
+
+
+# ---------------------------------------------------------------- vectors and search
+
+
+@query
+def hash_embed_sparse(spark, sf):
+    e = vx.sparse_embedding(table(spark, sf, "benchmark"), "item_id", tx.terms(F.col("text")), DIM)
+    return e.select("item_id", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
+
+
+@query
+def vector_norm_outliers(spark, sf):
+    o = retrieval.outliers(table(spark, sf, "embeddings"))
+    return o.groupBy("outlier").agg(F.count("*").alias("vectors"), F.round(F.min("norm"), 6).alias("least"), F.round(F.max("norm"), 6).alias("greatest"))
+
+
+def _vector_hits(spark, sf, k):
+    v = table(spark, sf, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return retrieval.nearest(v, q, k)
+
+
+@query
+def vector_topk(spark, sf):
+    return _vector_hits(spark, sf, 10).select("query_id", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def lexvec_search(spark, sf):
+    """Benchmark items as queries over documents: hashed vectors propose 100, shared terms re-score them."""
+    docs, items = _docs(spark, sf), table(spark, sf, "benchmark")
+    d = vx.sparse_embedding(docs.select(F.col("doc_id").alias("id"), "text"), "id", tx.terms(F.col("text")), DIM)
+    q = vx.sparse_embedding(items.select(F.col("item_id").alias("query_id"), "text"), "query_id", tx.terms(F.col("text")), DIM)
+    hits = retrieval.sparse_search(d, q, 10)
+    hits = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    return retrieval.blended(hits).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def route_decisions(spark, sf):
+    c = table(spark, sf, "conversations")
+    who = F.element_at(F.array(*(F.lit(p) for p in ("cio", "vp_sales_ops", "vp_customer_experience", "other"))), (F.col("turn") % 4 + 1).cast("int"))
+    q = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("Define "), F.col("role"))).when(F.col("conv_id") % 5 == 1, F.concat(F.lit("What is the API of "), F.col("role"))).otherwise(F.col("text"))
+    d = routing.decide(q, who)
+    return c.select("conv_id", "turn", d["backend"].alias("backend"), d["reason"].alias("reason"))
+
+
+def _scored_hits(spark, sf, k=12):
+    h = _vector_hits(spark, sf, k).withColumnRenamed("rank", "in_rank")
+    label = table(spark, sf, "embeddings").select("vec_id", "label")
+    h = h.join(label, "vec_id").withColumn("domain", F.when(F.col("label") != 9, F.concat(F.lit("d"), F.col("label").cast("string"))))
+    day = F.when(F.col("vec_id") % 11 > 0, F.date_sub(_as_of(), (F.col("vec_id") % 900).cast("int")))
+    return h.select("query_id", F.col("vec_id").alias("chunk_id"), "in_rank", F.round(-F.col("d2"), 6).alias("score"), day.alias("day"), "domain")
+
+
+@query
+def rerank_scored(spark, sf):
+    r = routing.rescore(_scored_hits(spark, sf), _as_of(), routing.WEIGHTS)
+    return r.select("query_id", "chunk_id", F.col("in_rank").cast("long").alias("in_rank"), F.round("final", 6).alias("final"))
+
+
+@query
+def domain_cap_topk(spark, sf):
+    r = routing.rescore(_scored_hits(spark, sf), _as_of(), routing.WEIGHTS).withColumn("final", F.round("final", 6))
+    return routing.capped(r, 5, 2).select("query_id", "chunk_id", F.col("out_rank").cast("long").alias("out_rank"), "chosen")
+
+
+@query
+def diversity_merge(spark, sf):
+    every = _scored_hits(spark, sf, 30)
+    main = every.where("in_rank <= 4")
+    m = routing.merge_diverse(main, [every.where("in_rank between 5 and 12"), every], _as_of(), 5, 2)
+    return m.select("query_id", "chunk_id", F.col("source").cast("long").alias("source"), F.col("out_rank").cast("long").alias("out_rank"))
+
+
+@query
+def fallback_answers(spark, sf):
+    every = _scored_hits(spark, sf, 6)
+    q = every.select("query_id").distinct()
+    got = retrieval.first_answer([("faiss", every.where("query_id % 40 = 0")), ("weaviate", every.where("in_rank <= 2"))], q)
+    return got.groupBy("backend", "fallback_used").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("hits"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def _ranks(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "label")
+    h = _vector_hits(spark, sf, 11).where("vec_id <> query_id").withColumn("rank", F.col("rank") - 1)
+    h = h.join(v.select("vec_id", F.col("label").alias("doc_id")), "vec_id").withColumnRenamed("vec_id", "id")
+    e = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("expected_id"), F.col("label").alias("expected_doc"))
+    return evaluation.hit_ranks(e, h.select("query_id", "id", "doc_id", "rank"))
+
+
+@query
+def retrieval_eval(spark, sf):
+    r = evaluation.recall_and_gain(_ranks(spark, sf), ["expected_doc"], "doc_rank")
+    return r.select(F.col("expected_doc").cast("long").alias("label"), "queries", *(F.round(c, 6).alias(c) for c in r.columns[2:]))
+
+
+@query
+def eval_outcomes(spark, sf):
+    r = _ranks(spark, sf)
+    return r.groupBy(evaluation.outcome(F.col("rank"), F.col("doc_rank"), F.abs(F.col("doc_rank") - 1), 5, 1).alias("outcome")).agg(F.count("*").alias("queries"))
+
+
+@query
+def rank_stats(spark, sf):
+    r = evaluation.rank_figures(_ranks(spark, sf), [], "doc_rank")
+    return r.select(*(F.col(c).cast("long").alias(c) for c in r.columns))
+
+
+@query
+def freshness_coverage(spark, sf):
+    h = _scored_hits(spark, sf).withColumnRenamed("in_rank", "rank")
+    f = evaluation.freshness(h, _as_of())
+    return f.select("query_id", F.round("mean_age", 6).alias("mean_age"), "domains")
+
+
+@query
+def stratified_sample(spark, sf):
+    s = evaluation.stratified(_docs(spark, sf), "source", 5, "doc_id")
+    return s.select("source", "doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query
+def seed_queries(spark, sf):
+    """Labelled queries from a sample: personas in turn, second wording for a persona's repeated query."""
+    s = evaluation.stratified(_docs(spark, sf), "lang", 6, "doc_id")
+    s = s.withColumn("persona", evaluation.round_robin(s, [F.col("doc_id")], ["cio", "vp_customer_experience", "vp_sales_ops"]))
+    s = s.withColumn("q1", F.concat(F.lit("What about "), "lang"))
+    s = s.withColumn("query_text", evaluation.unlike_twins("persona", "q1", "doc_id", F.concat(F.lit("Tell me of "), "lang", F.lit(" "), "source")))
+    return s.select("doc_id", "persona", "query_text", evaluation.eval_id(F.col("doc_id").cast("string"), F.col("persona"), F.col("query_text")).alias("eval_id"))
+
+
+@query
+def planner_queries(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'user'").select("text", (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    d = evaluation.distinct_first(c, "text", "pos")
+    return d.select("pos", F.md5("text").alias("digest"))
+
+
+@query
+def percentile_variants(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("event_type").agg(
+        stats.nearest_rank("value", 0.9).alias("nearest"), stats.floor_index("value", 0.95).alias("floored"), stats.even_index("value", 0.95).alias("evened"), stats.upper_median("value").alias("upper_median"),
+        F.round(stats.hinges("value")["q1"], 6).alias("hinge_low"), F.round(stats.hinges("value")["q3"], 6).alias("hinge_high"), F.round(F.median("value"), 6).alias("median"),
+    )
+
+
+# ---------------------------------------------------------------- gates
+
+
+def _metrics(spark, sf):
+    docs, labels, pages = _docs(spark, sf), table(spark, sf, "labels"), table(spark, sf, "pages")
+    one = lambda df, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
+    n = F.greatest(F.count("*"), F.lit(1))
+    d = docs.select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("h"))
+    copies = d.groupBy("h").agg(F.count("*").alias("n"))
+    rows = [
+        one(d, "n_docs", F.count("*")), one(d, "english", F.count_if(F.col("lang") == "en") / n), one(d, "unique_ids", (F.count("*") == F.countDistinct("doc_id")).cast("int")), one(d, "domains", F.countDistinct("source")),
+        one(copies, "dup_rate", F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))), one(labels, "required", F.count_if(F.col("quality") == 1) / n), one(pages, "allowlisted", F.count_if(urls.in_domains(urls.bare_host(F.col("url")), ["example.com"])) / n),
+        one(pages, "too_short", F.count_if(F.length("html") < 50)), one(d, "too_long", F.count_if(F.length("text") > 1_000_000)),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query
+def gate_checks(spark, sf):
+    names = ["n_docs", "english", "unique_ids", "domains", "dup_rate", "required", "allowlisted", "too_short"]
+    c = gates.checks(_metrics(spark, sf), gates.rules_frame(spark, [r for r in gates.RULES if r.metric in names]))
+    return c.select("gate", "id", "metric", F.round("actual", 6).alias("actual"), "status")
+
+
+@query
+def gate_states(spark, sf):
+    return gates.states(gates.checks(_metrics(spark, sf), gates.rules_frame(spark)))
+
+
+@query
+def semi_anti_integrity(spark, sf):
+    docs, labels = _docs(spark, sf), table(spark, sf, "labels").select("doc_id")
+    c = table(spark, sf, "customer")
+    idle = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    counts = [("labelled", docs.join(labels, "doc_id", "left_semi")), ("unlabelled", docs.join(labels, "doc_id", "left_anti")), ("dangling", labels.join(docs, "doc_id", "left_anti")), ("idle_customers", idle)]
+    out = None
+    for name, df in counts:
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- cards and mails
+
+
+def _mails(spark, sf):
+    c = table(spark, sf, "conversations")
+    n = F.col("turn") % 5
+    extra = F.when(n == 0, F.lit(" Guaranteed results, always.")).when(n == 1, F.lit("\n- one two three four five six seven eight nine ten\n- a b\n- c\n- d e f")).when(n == 2, F.lit(" 100% safe and risk-free")).otherwise("")
+    return c.select("conv_id", "turn", F.concat("text", extra).alias("body"), F.when(F.col("conv_id") % 3 > 0, "Unsubscribe here").otherwise(" ").alias("unsubscribe_block"), F.when(F.col("conv_id") % 4 > 0, "ACME").alias("company_info_block"), F.lit("First card").alias("first_title"))
+
+
+@query
+def compliance_flags(spark, sf):
+    critical, warning = cards.flags(F.col("body"), F.col("unsubscribe_block"), F.col("company_info_block"))
+    return _mails(spark, sf).select("conv_id", "turn", F.array_join(critical, ",").alias("critical"), F.array_join(warning, ",").alias("warning"))
+
+
+@query
+def mail_negotiation(spark, sf):
+    m = cards.negotiate(_mails(spark, sf))
+    return m.select("conv_id", "turn", cards.shortened(F.col("body")).alias("body"), "unsubscribe_block", "company_info_block", F.array_join("critical", ",").alias("critical"), F.array_join("warning", ",").alias("warning"))
+
+
+@query
+def insight_cards(spark, sf):
+    hits = _scored_hits(spark, sf, 10).select(F.concat(F.lit("s"), (F.col("query_id") % 7).cast("string")).alias("session"), (F.col("query_id") * 100 + F.col("in_rank")).cast("int").alias("place"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("chunk_id").cast("string").alias("doc_id"), F.lit("snippet").alias("snippet"), F.lit("").alias("title"), F.lit(None).cast("string").alias("html_title"), F.lit("Topic").alias("topic"), F.lit("").alias("final_url"), F.lit("u").alias("url"), F.col("day").cast("string").alias("publish_date"), F.when(F.col("chunk_id") % 2 == 0, F.col("domain")).otherwise("d0").alias("source_domain"), F.lit("").alias("text"))
+    docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("press").alias("doctype"), F.lit("T").alias("title"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("publish_date"), "text", F.col("source").alias("source_domain"))
+    return cards.select_cards(cards.candidates(hits), docs).select("session", "card_no", "id", "source_domain", "confidence")
+
+
+# ---------------------------------------------------------------- relational idioms and extensions
+
+
+@query
+def pricing_summary(spark, sf):
+    item = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return item.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(paid), 2).alias("sum_paid"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query
+def revenue_by_nation(spark, sf):
+    t = lambda name: table(spark, sf, name)
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    r = t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("c_nationkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return r.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", F.round("v", 2).alias("revenue"))
+
+
+@query
+def top_orders_per_customer(spark, sf):
+    o = retrieval.top_k(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
+    return o.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def event_props(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"), F.countDistinct("k").alias("distinct_k"))
+
+
+@query
+def event_windows(spark, sf):
+    w = ev.windowed(table(spark, sf, "events"))
+    return w.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def event_windows_streamed(spark, sf):
+    """The same windows from a stream of the table's files, once all of it has been read."""
+    from tessellon.plans.session import scratch
+
+    path = scratch(spark, "windows")
+    # the file-stream source reads folders: the table's own, or that of its one file
+    rows = ev.read_events(spark, f"{sf}/events.parquet")
+    stream = ev.windowed(ev.deduplicated(rows), late="0 seconds").writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "log"))
+    stream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.parquet(path).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def source_rollup(spark, sf):
+    d = _docs(spark, sf).rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+    return d.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "docs", "chars")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+@query
+def user_sessions(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").withColumn("gap", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)))
+    e = e.withColumn("s", F.sum(F.when(F.col("gap") <= 1_800_000_000, 0).otherwise(1)).over(w))
+    return e.groupBy("user_id").agg(F.max("s").alias("sessions"), F.count("*").alias("events"))
