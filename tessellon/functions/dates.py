@@ -58,4 +58,4 @@ def within_months(day: Column, as_of: Column, months: int) -> Column:
 
 def recency(day: Column, as_of: Column, horizon: int = 730, unknown: float = 0.3) -> Column:
     """1 today, 0 after the horizon; a day in the future gives more than 1."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1.0 - age_days(day, as_of) / F.lit(float(horizon))), F.lit(unknown))
+    return F.when(day.isNull(), unknown).otherwise(F.greatest(F.lit(0.0), 1.0 - age_days(day, as_of) / F.lit(float(horizon))))

@@ -567,11 +567,10 @@ def event_windows_streamed(spark, sf):
     from tessellon.plans.session import scratch
 
     path = scratch(spark, "windows")
-    # the file-stream source reads folders: the table's own, or that of its one file
     rows = ev.read_events(spark, f"{sf}/events.parquet")
-    stream = ev.windowed(ev.deduplicated(rows), late="0 seconds").writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "log"))
+    stream = ev.windowed(ev.deduplicated(rows), late=None).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "log"))
     stream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    return spark.read.parquet(path).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(path).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query
@@ -583,6 +582,6 @@ def source_rollup(spark, sf):
 @query
 def user_sessions(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("gap", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)))
+    e = table(spark, sf, "events").withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w)))
     e = e.withColumn("s", F.sum(F.when(F.col("gap") <= 1_800_000_000, 0).otherwise(1)).over(w))
     return e.groupBy("user_id").agg(F.max("s").alias("sessions"), F.count("*").alias("events"))

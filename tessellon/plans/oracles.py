@@ -96,7 +96,7 @@ scored AS (
 
 
 def _final(rows: str, w: tuple[float, float, float]) -> str:
-    return f"""SELECT *, {w[0]}::DOUBLE * (1 / (1 + abs(score))) + {w[1]}::DOUBLE * coalesce(greatest(0.0::DOUBLE, 1 - (DATE '2025-09-08' - day) / 730.0::DOUBLE), 0.3::DOUBLE)
+    return f"""SELECT *, {w[0]}::DOUBLE * (1 / (1 + abs(score))) + {w[1]}::DOUBLE * CASE WHEN day IS NULL THEN 0.3::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - (DATE '2025-09-08' - day) / 730.0::DOUBLE) END
     + {w[2]}::DOUBLE * CASE WHEN domain IS NOT NULL AND row_number() OVER (PARTITION BY query_id, domain ORDER BY in_rank) = 1 THEN 0.1::DOUBLE ELSE 0 END AS final FROM {rows}"""
 
 

@@ -19,12 +19,14 @@ PAYLOADS = (".raw.html", ".pdf", ".json")
 def json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False, recursive: bool = False, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows, and the texts of the bad ones."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    reader = spark.read.schema(T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())]))
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multi_line).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("wholetext", multi_line).option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    rows = reader.json(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
+    marked = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = reader.text(path).where(F.trim("value") != "").select("value", parsed.alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields)), rows.where(bad).select(F.col("value").alias("_corrupt"))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
