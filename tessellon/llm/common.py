@@ -258,7 +258,7 @@ class Nearest(SortedLists):
     into pieces of `most` rows, and partners are looked for within the piece."""
 
     gap: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
-    partners = 6
+    partners = 8
 
     def add(self, rows: dict[str, np.ndarray], last: bool = False):
         """Nodes, their partners, whether they have one, and whether there may be further ones: all rows of pieces, and rows with more

@@ -11,7 +11,7 @@ while the length filter holds, and a parity filter (tables of 64 to 1,024 bits t
 left over) thins the pairs before the sets themselves verify them. The prefix's own length is the positional filter: a shared word further
 back can't be followed by enough others.
 
-A node is tested first against the partner that most of its lists name: in each list the six nearest by parity whose doc_ids aren't above its own are named; then, if it stays, against
+A node is tested first against the partner that most of its lists name: in each list the eight nearest by parity whose doc_ids aren't above its own are named; then, if it stays, against
 the other lists' partners; and if it may have still others, against all earlier likely nodes of its lists. So a large
 group of variants costs in proportion to its size, and no similar pair that could remove a line is passed over.
 
@@ -37,7 +37,7 @@ from tessellon.llm import common
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
-LIGHT = MOST = 1024
+LIGHT, MOST = 1024, 16_384
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
 _COLUMNS = ["token", "key", "node", "id", "bits", "level"]
