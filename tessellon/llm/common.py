@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -67,6 +69,25 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cache(name: str, clear: Callable[[], None]) -> None:
+    """Names a cache that Python workers keep from task to task."""
+    _CACHES[name] = clear
+
+
+def use_only(name: str = "") -> None:
+    """Empties the caches of other operators: workers are reused, and their memory is for the operator at work."""
+    others = [clear for key, clear in _CACHES.items() if key != name]
+    for clear in others:
+        clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # where the C library has it
+
+
 def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

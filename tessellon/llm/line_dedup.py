@@ -66,6 +66,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, dk, line, node and words (lower-cased, with blanks between) of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        common.use_only()
         for batch in batches:
             for part in common.slices(batch, "text", 1_000_000):
                 split = [t.split(b"\n") if t else [] for t in common.pylist(part, "text")]
@@ -294,32 +295,39 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def repeated_lines(found: DataFrame) -> DataFrame:
-    """dk and line of every line that goes; found: the staged result of lines()."""
+    """dk and the numbers (gone) of the lines that go, by document, staged; found: the staged result of lines(). Its own steps' tables are deleted."""
     spark = found.sparkSession
+    staged: list[DataFrame] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        staged.append(common.stage(df, name))
+        return staged[-1]
+
     n = common.tasks(spark)
     table = frequencies(found)
     dealt = lambda rows: rows.repartition(n, F.shiftright("key", 16))
     listed = postings(found, table)
-    partners = common.stage(dealt(listed).sortWithinPartitions("key", "node", "id").mapInArrow(_partners, "a long, b long, many boolean"), "partners")
+    partners = stage(dealt(listed).sortWithinPartitions("key", "node", "id").mapInArrow(_partners, "a long, b long, many boolean"), "partners")
     common.reclaim(spark)
-    firsts = common.stage(found.groupBy("node").agg(F.min(F.struct("id", "dk", "line")).alias("first")), "firsts")
+    firsts = stage(found.groupBy("node").agg(F.min(F.struct("id", "dk", "line")).alias("first")), "firsts")
 
     def later(similar: DataFrame) -> DataFrame:
         both = similar.join(firsts.select(F.col("node").alias("a"), F.col("first").alias("at_a")), "a")
         both = both.join(firsts.select(F.col("node").alias("b"), F.col("first").alias("at_b")), "b")
         return both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("node")).distinct()
 
-    pairs = common.stage(partners.where("b is not null").groupBy("a", "b").count(), "pairs")
+    pairs = stage(partners.where("b is not null").groupBy("a", "b").count(), "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), found)
+    staged.append(sets)
     # most lines that go are shown to go by the partner that most lists name; the others are asked about only where it fails
-    best = common.stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "best")
-    gone = common.stage(later(verify(best, sets)), "gone")
+    best = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "best")
+    gone = stage(later(verify(best, sets)), "gone")
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(gone.select(F.col("node").alias("a")), "a", "left_anti")
-    gone = common.stage(gone.union(later(verify(rest, sets))).distinct(), "gone")
+    gone = stage(gone.union(later(verify(rest, sets))).distinct(), "gone")
     common.reclaim(spark)
     # nodes that still stay and may have other partners: against all of their lists
     left = partners.where("many").select(F.col("a").alias("node")).distinct().join(gone, "node", "left_anti")
-    left = common.stage(left.withColumn("closed", F.lit(False)), "left")
+    left = stage(left.withColumn("closed", F.lit(False)), "left")
     if left.head(1):
         stays = spark.sparkContext.broadcast(common.bloom(left))
 
@@ -337,22 +345,25 @@ def repeated_lines(found: DataFrame) -> DataFrame:
         some = listed.mapInArrow(keep, "key long, node long, id long, bits binary").groupBy("key", "node").agg(F.min("id").alias("id"), F.first("bits").alias("bits"))
         some = some.join(left, "node", "left").withColumn("closed", F.coalesce("closed", F.lit(True))).withColumn("token", F.shiftright("key", 16))
         open_rows = some.select("token", "key", "node", "id", "bits", "closed").repartition(n, "token").sortWithinPartitions("token", "closed")
-        more = common.stage(open_rows.mapInArrow(_open_pairs, "a long, b long").distinct(), "more")
+        more = stage(open_rows.mapInArrow(_open_pairs, "a long, b long").distinct(), "more")
         tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = common.stage(more.join(tested, ["a", "b"], "left_anti"), "more")
+        more = stage(more.join(tested, ["a", "b"], "left_anti"), "more")
         sets = sets_of(more.select(F.explode(F.array("a", "b")).alias("node")), found)
-        gone = common.stage(gone.union(later(verify(more, sets))).distinct(), "gone")
+        staged.append(sets)
+        gone = stage(gone.union(later(verify(more, sets))).distinct(), "gone")
     all_of = found.select("node", "id", "dk", "line").join(firsts, "node").join(gone.withColumn("gone", F.lit(True)), "node", "left")
     out = all_of.where(F.col("gone").isNotNull() | (F.struct("id", "dk", "line") != F.col("first"))).select("dk", "line")
-    return out.distinct()
+    gone = common.stage(out.distinct().groupBy("dk").agg(F.collect_list("line").alias("gone")), "gone-lines")
+    common.drop_stage(spark, *staged)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all their columns, with the text's repeated lines taken out, and __tess_gone: the numbers of the lines that went."""
     spark = docs.sparkSession
     found = common.stage(lines(docs, id_col, text_col), "lines")
-    gone = repeated_lines(found).groupBy("dk").agg(F.collect_list("line").alias("gone"))
-    gone = common.stage(gone.select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone")), "gone-lines")
+    gone = repeated_lines(found).select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone"))
+    common.drop_stage(spark, found)
     common.reclaim(spark)
     names = docs.columns
     schema = StructType([*docs.schema.fields]).add("__tess_gone", ArrayType(IntegerType()))

@@ -124,6 +124,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
+        common.use_only()
         for batch in batches:
             for part in common.slices(batch, "text", 1_500_000):
                 nodes, runs, many = _text_parts(common.pylist(part, "text"))
@@ -301,24 +302,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     common.bound_batches(spark)
     n = common.tasks(spark)
-    signed = common.stage(sign(docs, id_col, text_col), "signed")
+    staged: list[DataFrame] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        staged.append(common.stage(df, name))
+        return staged[-1]
+
+    signed = stage(sign(docs, id_col, text_col), "signed")
     contents = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y", "bands")))
     postings = contents.mapInArrow(_postings, "key long, node long, n long, x long, y long")
     dealt = postings.repartition(n, "key").sortWithinPartitions("key", "node")
-    found = common.stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, n long, x long, y long"), "near-pairs")
+    found = stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, n long, x long, y long"), "near-pairs")
     common.reclaim(spark)
     pairs = found.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
-    pairs = common.stage(pairs, "pairs")
+    pairs = stage(pairs, "pairs")
     rows = found.where("kind = 2").select(F.col("a").alias("node"), "n", "x", "y", "key")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(rows.select("node"))
     bags = bags_of(named, docs, text_col)
-    links = common.stage(verify(pairs.where("kind = 0").select("a", "b"), bags), "links")
+    staged.append(bags)
+    links = stage(verify(pairs.where("kind = 0").select("a", "b"), bags), "links")
     roots = components(links)
     # pairs of short lists that the first links haven't brought together
     at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.where("kind = 1").select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.union(common.stage(verify(rest, bags), "links"))
+    links = links.union(stage(verify(rest, bags), "links"))
     # long lists that share nodes are one family, whose nodes meet once
     heads = rows.groupBy("key").agg(F.min("node").alias("b"))
     family = components(rows.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
@@ -328,9 +336,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mains = sizes.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main")).join(bags, "node")
     members = members.select("family", "node", "n", "x", "y", "root", "closed", "bag").repartition(n, "family").sortWithinPartitions("family", "closed", "node")
-    links = links.union(common.stage(members.mapInArrow(_family_links, "a long, b long"), "links"))
+    links = links.union(stage(members.mapInArrow(_family_links, "a long, b long"), "links"))
     out = signed.select("id", "node").join(components(links), "node", "left")
-    return out.select("id", "node", F.coalesce("root", "node").alias("root"))
+    out = common.stage(out.select("id", "node", F.coalesce("root", "node").alias("root")), "classes")
+    common.drop_stage(spark, *staged)
+    common.reclaim(spark)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -207,7 +207,11 @@ def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
     return Encoder(path, rate, seed, variants)
 
 
+common.cache("pieces", encoder.cache_clear)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], args):
+    common.use_only("pieces")
     coder = encoder(*args)
     for batch in batches:
         for part in common.slices(batch, "text"):

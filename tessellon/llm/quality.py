@@ -216,6 +216,7 @@ def keep_good(docs: DataFrame, model: Chain, text_col: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        common.use_only()
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch, text_col) >= threshold))
 

@@ -102,10 +102,14 @@ def run_ids(path: str, dtype: str) -> RunIds:
     return RunIds(path, dtype)
 
 
+common.cache("tokens", run_ids.cache_clear)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col="doc_id", text_col="text", dtype="<u2") -> DataFrame:
     """doc_id and ids (binary) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        common.use_only("tokens")
         known = run_ids(tokenizer_path, dtype)
         end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         for batch in batches:

@@ -49,6 +49,9 @@ class Terms(dict):
         return got
 
 
+common.cache("terms", known_terms.cache_clear)
+
+
 @dataclass
 class FactorizationMachine:
     slots: dict[int, int]  # bucket -> row of the weights
