@@ -15,7 +15,7 @@ from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
 from tessellon.operators import cards, chunking, dedupe, evaluation, gates, metadata, normalize, retrieval, routing
 from tessellon.plans.oracles import ORACLES
-from tessellon.plans.session import table
+from tessellon.plans.session import spread, table
 from tessellon.streaming import events as ev
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -34,7 +34,7 @@ def query(f: Query) -> Query:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 # ---------------------------------------------------------------- texts, ids, URLs, days
