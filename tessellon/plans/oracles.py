@@ -219,4 +219,28 @@ array_to_string(list_filter([CASE WHEN {_words('body')} > 160 THEN 'EXCESS_LENGT
     "user_sessions": """SELECT user_id, CAST(max(s) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, sum(CASE WHEN epoch_us(ts) - epoch_us(p) <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
 FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY 1""",
 }
+_FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_OWN = "(h = 'example.org' OR ends_with(h, '.example.org'))"
+
+ORACLES |= {
+    "keyphrases": f"""WITH a AS (SELECT doc_id, lower(text) AS low, lower(split_part(text, chr(10), 1)) || chr(10) || lower(text) AS whole FROM documents),
+b AS (SELECT doc_id, low, list_transform(regexp_extract_all(whole, '[a-z0-9-]{{4,}}'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')) AS bare, list_filter(regexp_extract_all(low, '[a-z0-9]{{4,}}'), lambda w: NOT list_contains({_STOPS}, w)) AS more FROM a),
+c AS (SELECT *, list_filter({_FIRST_SEEN.format('bare')}, lambda w: length(w) >= 4 AND NOT list_contains({_STOPS}, w) AND contains(low, w))[1:4] AS found FROM b),
+d AS (SELECT *, list_concat(found, more) AS every FROM c)
+SELECT doc_id, array_to_string(CASE WHEN len(found) >= 2 THEN found ELSE ({_FIRST_SEEN.format('every')})[1:2] END, ',') AS phrases FROM d""",
+    "page_links": f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"'']+)["'']', 1) AS l FROM pages), d AS (SELECT page_id, {_FIRST_SEEN.format('l')} AS l FROM l)
+SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM d""",
+    "title_picks": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS el, trim(regexp_extract(html, '(?i)<meta[^>]+property="og:title"[^>]+content="(.*?)"', 1)) AS og FROM pages)
+SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN coalesce(nullif(og, ''), nullif(el, '')) END, CASE WHEN page_id % 3 = 0 THEN 'Title ' || page_id END, 'Page No ' || page_id) AS title FROM t""",
+    "link_status": f"""WITH p AS (SELECT page_id, url, regexp_replace({_host('url')}, ':[0-9]*$', '') AS h, CASE WHEN page_id % 3 = 0 THEN url || '&gclid=1' END AS side, CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS st, page_id % 5 = 0 AS saved FROM pages),
+o AS (SELECT *, coalesce(st = 200, false) OR saved OR {_OWN} AS ok, CASE WHEN coalesce(st = 200, false) OR saved THEN coalesce(side, url) ELSE url END AS f FROM p)
+SELECT page_id, {_strip('f')} AS final_url, ok AS link_ok, CASE WHEN ok THEN 200 ELSE coalesce(st, 0) END AS status_code FROM o""",
+    "gate_checks": f"""WITH c AS (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1),
+m AS (
+  SELECT 'n_docs' AS metric, CAST(count(*) AS DOUBLE) AS v FROM documents UNION ALL SELECT 'english', count(*) FILTER (WHERE lang = 'en') / greatest(count(*), 1) FROM documents UNION ALL SELECT 'unique_ids', CAST(count(*) = count(DISTINCT doc_id) AS INTEGER) FROM documents
+  UNION ALL SELECT 'domains', count(DISTINCT source) FROM documents UNION ALL SELECT 'dup_rate', coalesce(sum(n) FILTER (WHERE n > 1), 0) / greatest(sum(n), 1) FROM c UNION ALL SELECT 'required', count(*) FILTER (WHERE quality = 1) / greatest(count(*), 1) FROM labels
+  UNION ALL SELECT 'allowlisted', count(*) FILTER (WHERE h = 'example.com' OR ends_with(h, '.example.com')) / greatest(count(*), 1) FROM (SELECT regexp_replace({_host('url')}, ':[0-9]*$', '') AS h FROM pages) UNION ALL SELECT 'too_short', count(*) FILTER (WHERE length(html) < 50) FROM pages),
+r(gate, id, metric, low, high) AS (VALUES ('G01', 'COL-007', 'dup_rate', NULL, 0.05), ('G02', 'STD-002', 'english', 0.95, NULL), ('G02', 'STD-003', 'too_short', NULL, 0), ('G03', 'META-001', 'required', 0.98, NULL), ('G03', 'META-005', 'unique_ids', 1, NULL), ('G06', 'LNK-003', 'allowlisted', 1, NULL), ('S0', 'G0-01', 'n_docs', 90, NULL), ('S0', 'G0-03', 'domains', 3, NULL))
+SELECT gate, id, metric, round(v, 6) AS actual, CASE WHEN (low IS NULL OR v >= low) AND (high IS NULL OR v <= high) THEN 'PASS' ELSE 'FAIL' END AS status FROM r JOIN m USING (metric)""",
+}
 ORACLES["event_windows_streamed"] = ORACLES["event_windows"]
