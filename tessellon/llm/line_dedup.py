@@ -322,7 +322,7 @@ def repeated_lines(found: DataFrame) -> DataFrame:
     # most lines that go are shown to go by the partner that most lists name; the others are asked about only where it fails
     best = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "best")
     gone = stage(later(verify(best, sets)), "gone")
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(gone.select(F.col("node").alias("a")), "a", "left_anti")
+    rest = stage(pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(gone.select(F.col("node").alias("a")), "a", "left_anti"), "rest")
     gone = stage(gone.union(later(verify(rest, sets))).distinct(), "gone")
     common.reclaim(spark)
     # nodes that still stay and may have other partners: against all of their lists
@@ -346,7 +346,8 @@ def repeated_lines(found: DataFrame) -> DataFrame:
         some = some.join(left, "node", "left").withColumn("closed", F.coalesce("closed", F.lit(True))).withColumn("token", F.shiftright("key", 16))
         open_rows = some.select("token", "key", "node", "id", "bits", "closed").repartition(n, "token").sortWithinPartitions("token", "closed")
         more = stage(open_rows.mapInArrow(_open_pairs, "a long, b long").distinct(), "more")
-        tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        # only pairs that were verified: of lines that tie on doc_id, the one whose pairs were passed over may be the earlier
+        tested = best.union(rest.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = stage(more.join(tested, ["a", "b"], "left_anti"), "more")
         sets = sets_of(more.select(F.explode(F.array("a", "b")).alias("node")), found)
         staged.append(sets)

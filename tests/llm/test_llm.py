@@ -489,6 +489,20 @@ def test_lines_by_brute_force(spark, monkeypatch, light, most):
     assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
 
+def test_line_whose_earlier_partner_has_gone(spark):
+    """X goes by Z, its best partner, before X is held against Y; Y's nearest are all later lines of the same document."""
+    texts = []
+    for d in range(8):
+        c, p, q, r, s = ([f"{x}{d}n{k}" for k in range(n)] for x, n in (("c", 32), ("p", 4), ("q", 4), ("r", 4), ("s", 4)))
+        often = [f"h{d}n{k}" for k in range(10)]
+        fill = [" ".join([*often, *(f"f{d}n{k}m{j}" for j in range(10))]) for k in range(30)]
+        z, x, y = c + p + r, c + p + q, c + q + s
+        texts.append("\n".join([*map(" ".join, (z, x, y, *([*y, h] for h in often))), *fill]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_lines(texts)
+
+
 def test_lines_on_odd_rows(spark, odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "__tess_gone"]
