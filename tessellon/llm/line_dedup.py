@@ -132,13 +132,15 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 def postings(found: DataFrame, table: np.ndarray) -> DataFrame:
     """A row for each list of a node: key holds 32 bits of the list's hash and the set's size (at most 65,535). Nodes
-    that recur within a batch are listed once."""
+    that recur within a batch are listed once, under their least id, whatever the order of rows."""
     shared = found.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]):
         freq = shared.value
         for batch in batches:
-            _, once = np.unique(batch.column(1).to_numpy(), return_index=True)
+            node = batch.column(1).to_numpy()
+            order = np.lexsort((batch.column(0).to_numpy(), node))
+            once = order[np.concatenate([[True], node[order[1:]] != node[order[:-1]]])] if len(node) else order
             for part in common.slices(batch.take(pa.array(np.sort(once))), "words", 1_000_000):
                 hashes, n = common.hash_texts(common.pylist(part, "words"))
                 h, owner, n = distinct(hashes, np.repeat(np.arange(len(n)), n), len(n))

@@ -503,6 +503,18 @@ def test_line_whose_earlier_partner_has_gone(spark):
     assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
 
+def test_lines_of_documents_out_of_order(spark):
+    """A repeated line counts from its least doc_id, though a batch shows it under a greater one first."""
+    rows = []
+    for g in range(8):
+        c, p, q, r, s = ([f"{x}{g}n{k}" for k in range(n)] for x, n in (("c", 32), ("p", 4), ("q", 4), ("r", 4), ("s", 4)))
+        first, again, last = (" ".join(x) for x in (c + p + r, c + p + q, c + q + s))
+        rows += [(10 * g + 9, again), (10 * g + 2, again), (10 * g + 5, last), (10 * g + 1, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[k] for k, _ in sorted(rows)] == brute_lines([t for _, t in sorted(rows)])
+
+
 def test_lines_on_odd_rows(spark, odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "__tess_gone"]
