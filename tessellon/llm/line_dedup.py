@@ -1,10 +1,11 @@
 """Removal of repeated lines by an exact set-similarity join (operator 10).
 
-A line is the set of its words; lines of fewer than MIN_WORDS distinct words are left alone. Lines are in the order of doc_id (null
+A line is the set of its words; lines without words are left alone. Lines are in the order of doc_id (null
 last), document and line number. A line goes if an earlier line's set has Jaccard similarity THRESHOLD or more with its own,
 whether that one stays or goes.
 
-Equal sets are one node, placed at its first line. Words are ordered from rare to frequent by a table of 2**20 counters over all
+Equal sets are one node, placed at its first line. Sets of fewer than PAIRED words have the similarity with equal sets alone, so
+they are in no list. Words are ordered from rare to frequent by a table of 2**20 counters over all
 lines (any fixed order gives exact results; ties by the word's hash). Similar sets share a word among their first n - ceil(0.8 n) + 1
 (prefix filter), so a node is listed under each of these. A list is kept in order of length; its nodes are paired
 while the length filter holds, and a parity filter (tables of 64 to 1,024 bits that differ in at most as many places as the sets' words
@@ -36,7 +37,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tessellon.llm import common
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: Below four words only equal sets have similarity 0.8; four words have it with these and a fifth.
+PAIRED = 4
 LIGHT, MOST = 1024, 16_384
 COUNTERS = 1 << 20
 _CHUNK = 1 << 12
@@ -63,7 +66,8 @@ def distinct(hashes: np.ndarray, owner: np.ndarray, owners: int) -> tuple[np.nda
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, dk, line, node and words (lower-cased, with blanks between) of every line that takes part."""
+    """id, dk, line, node and words (lower-cased, with blanks between) of every line that takes part; a line of fewer than
+    PAIRED distinct words has its node alone, and no words."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         common.use_only()
@@ -82,7 +86,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 row = np.repeat(np.arange(len(split)), counts)[taken]
                 number = (np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts))[taken]
                 at = pa.array(row)
-                clean = [words[k].translate(common._WORD_BYTES) for k in taken.tolist()]
+                clean = [words[k].translate(common._WORD_BYTES) if m >= PAIRED else b"" for k, m in zip(taken.tolist(), n[taken].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(nodes), pa.array(clean, pa.binary())], ["id", "dk", "line", "node", "words"])
 
     source = docs.select(place(id_col).alias("id"), doc_key(id_col, text_col).alias("dk"), common.as_bytes(text_col).alias("text"))

@@ -515,6 +515,27 @@ def test_lines_of_documents_out_of_order(spark):
     assert [got[k] for k, _ in sorted(rows)] == brute_lines([t for _, t in sorted(rows)])
 
 
+@pytest.mark.parametrize(("light", "most"), [(1024, 16_384), (2, 3)])
+def test_short_lines(spark, monkeypatch, light, most):
+    """Lines of one word or more: equal sets, and four words beside these and a fifth."""
+    monkeypatch.setattr(line_dedup, "LIGHT", light)
+    monkeypatch.setattr(line_dedup, "MOST", most)
+    texts = ["Read more\na b c d e\n\n--", "read MORE!\nmore: read\nx\na b c d", "x\nx y\nk l m n", "k l m n o\nk l m\nmore\n--", "l m k\n\nread\nk l m p", "Read more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    want, seen = [], []
+    for text in texts:
+        keep = []
+        for line in text.split("\n"):
+            w = set(words(line))
+            if not w or not any(5 * len(w & v) >= 4 * len(w | v) for v in seen):
+                keep.append(line)
+            seen.append(w)
+        want.append("\n".join(keep))
+    assert [got[k] for k in range(len(texts))] == want
+    assert got[1] == "x" and got[3] == "k l m\nmore\n--" and got[5] == ""
+
+
 def test_lines_on_odd_rows(spark, odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "__tess_gone"]
