@@ -6,9 +6,9 @@ segmented in various ways, the same on each run. A skipped candidate stays out u
 model's plain segmentation.
 
 No merge crosses a newline, a run of blanks' start, or a mark after a letter where no piece does, so a text is encoded by units.
-Each occurrence of a unit draws one of VARIANTS keys from a keyed sequence that starts at a place set by the document's key;
-segmentations are kept by unit and variant. VARIANTS bounds how many segmentations a unit can have under one seed; other seeds give
-others.
+Each occurrence of a unit in a document has draws of its own, from a generator keyed by seed and document: a bit for each candidate
+merge as it comes up, set with the rate's probability. Segmentations are kept by unit and the bits that were asked for, which changes
+nothing in them. Units of more than SHORT symbols hash their candidates under a key of the occurrence instead.
 
 Characters that no piece has become their bytes' pieces, and so does a literal U+2581, which pieces use for the blank:
 decoding gives back the exact text. A null text has no ids (null) and decodes to null; the empty text has none and decodes to itself.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import sys
 import zlib
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from tessellon.llm import common
 
 BLANK = "▁"
-VARIANTS = 4
+#: A unit of so many symbols has at most 63 candidate merges: each pair once, and two new ones after each merge.
+SHORT = 22
+KEPT = 450_000
 RATE = 0.1
 SEED = 20_24
 _MASK, _NEVER = (1 << 64) - 1, 1 << 60
@@ -129,6 +132,28 @@ class PieceModel:
                 ranks[k - 1] = get(symbols[k - 1] + joined, _NEVER)
         return symbols
 
+    def _merge_drawn(self, symbols: list[str], draw: int) -> tuple[list[str], int]:
+        """The same agenda, where the bits of draw say from the lowest on which candidates are skipped; and how many came up."""
+        get, asked = self.rank.get, 0
+        ranks = [get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
+                break
+            k = ranks.index(rank)
+            skipped = draw >> asked & 1
+            asked += 1
+            if skipped:
+                ranks[k] = _NEVER
+                continue
+            joined = symbols[k] = symbols[k] + symbols.pop(k + 1)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(joined + symbols[k + 1], _NEVER)
+            if k:
+                ranks[k - 1] = get(symbols[k - 1] + joined, _NEVER)
+        return symbols, asked
+
     def _merge_long(self, given: list[str], limit: int, base: int) -> list[str]:
         """The same agenda as a heap, for units of any length."""
         symbols: list[str | None] = list(given)
@@ -159,52 +184,125 @@ class PieceModel:
         return text[len(self.prefix) :] if text else text
 
 
-class Known(dict):
-    """unit -> ids as bytes, for one variant."""
+_LONG = 1 << 63  # the bit that is set in every draw
 
-    def __init__(self, model: PieceModel, rate: float, key: int, dtype: str, bound: int = 450_000):
+
+class Plain(dict):
+    """unit -> its plain ids as bytes, and the bits of a draw that must be 0 for them."""
+
+    def __init__(self, model: PieceModel, dtype: str, bound: int):
         super().__init__()
-        self.model, self.rate, self.key, self.bound = model, rate, key, bound
+        self.model, self.bound = model, bound
         self.code = {"<u2": "H", "<u4": "I"}[dtype]
 
-    def __missing__(self, unit: str) -> bytes:
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def keep(self, unit: str, got: tuple[bytes, int]) -> None:
         if len(self) >= self.bound:
             self.clear()
-        ids = array(self.code, self.model.segment(unit, self.rate, self.key))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        got = self[unit] = ids.tobytes()
+        self[unit] = got
+
+    def __missing__(self, unit: str) -> tuple[bytes, int]:
+        if unit == BLANK:
+            got = self.packed(self.model.segment(unit)), 0
+        elif len(unit) > SHORT:
+            got = self.packed(self.model.segment(unit)), _LONG
+        else:
+            symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), 0)
+            got = self.packed(self.model._ids(symbols)), (1 << asked) - 1
+        self.keep(unit, got)
         return got
 
 
 class Encoder:
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
+    """kept: how many segmentations are held in memory; it has no bearing on the ids."""
+
+    def __init__(self, path: str, rate: float, seed: int, kept: int = KEPT):
         self.model = PieceModel(path)
         self.dtype = "<u2" if len(self.model.bytes_of) <= 1 << 16 else "<u4"
-        keys = [xxhash.xxh3_64_intdigest(f"{seed}/{v}") for v in range(variants if rate else 1)]
-        self.known = [Known(self.model, rate, k, self.dtype) for k in keys]
-        self.seed = seed & _MASK
-        draws = np.arange(1 << 16, dtype=np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(f"{seed}/draws"))
-        picks = (common.mix64(draws) >> np.uint64(40)).astype(np.int64) % len(keys)
-        self.draws = [self.known[p].__getitem__ for p in picks]
+        self.plain = Plain(self.model, self.dtype, kept)
+        self.known: dict[tuple[str, int, int], bytes | int] = {}
+        self.rate, self.seed, self.kept = rate, seed & _MASK, kept
+        # the rate as a binary fraction, to a relative 2**-17 or better
+        digits = 16 + max(0, math.ceil(-math.log2(rate))) if rate else 0
+        q = min(round(rate * (1 << digits)), 1 << digits)
+        self.always = bool(digits) and q == 1 << digits
+        self.digits = [q >> k & 1 for k in range(digits)]
+        while self.digits and not self.digits[0]:
+            self.digits.pop(0)
+
+    def draws(self, key: str, n: int, block: int = 1 << 15) -> Iterator[int]:
+        """A number for each of n occurrences in a document: bits 0 to 62 are set with the rate's probability each, bit 63 always."""
+        source = np.random.SFC64([xxhash.xxh3_64_intdigest(key, seed=self.seed), self.seed])
+        for at in range(0, n, block):
+            m = min(block, n - at)
+            out = np.full(m, _MASK if self.always else 0, np.uint64)
+            if not self.always:
+                for digit, raw in zip(self.digits, source.random_raw(m * len(self.digits)).reshape(len(self.digits), m), strict=True):
+                    out = out | raw if digit else out & raw
+            yield from (out | np.uint64(_LONG)).tolist()
+
+    def first(self, unit: str, draw: int, key: str, place: int) -> bytes:
+        """Ids of an occurrence of a unit whose plain ids aren't kept: most such units are rare, so its own draw is all that is worked out."""
+        if unit == BLANK or len(unit) > SHORT:
+            ids, mask = self.plain[unit]
+            return self.dropped(unit, draw, mask, key, place) if draw & mask else ids
+        symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), draw)
+        ids, mask = self.plain.packed(self.model._ids(symbols)), (1 << asked) - 1
+        if not draw & mask:
+            self.plain.keep(unit, (ids, mask))
+        return ids
+
+    def dropped(self, unit: str, draw: int, mask: int, key: str, place: int) -> bytes:
+        """Ids of an occurrence for which some candidate is skipped. Kept under the bits asked for; where these turn out to be too few,
+        a wider mask is kept in the place of ids."""
+        if mask == _LONG:
+            own = xxhash.xxh3_64_intdigest(f"{key}/{place}", seed=self.seed)
+            return self.plain.packed(self.model.segment(unit, self.rate, own))
+        known = self.known
+        while True:
+            got = known.get((unit, draw & mask, mask))
+            if got is None:
+                break
+            if type(got) is bytes:
+                return got
+            mask = got
+        if len(known) >= self.kept:
+            known.clear()
+        symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), draw)
+        ids, wide = self.plain.packed(self.model._ids(symbols)), (1 << asked) - 1
+        if wide > mask:
+            known[unit, draw & mask, mask] = wide
+            mask = wide
+        known[unit, draw & mask, mask] = ids
+        return ids
 
     def encode(self, text: str, key: str = "") -> bytes:
         """Ids as little-endian bytes."""
         if not text:
             return b""
-        units = self.model.units(self.model.prefix + text)
-        start = xxhash.xxh3_64_intdigest(key, seed=self.seed) & 0xFFFF
-        n, draws = len(units), self.draws
-        if start + n > len(draws):
-            turn = draws[start:] + draws[:start]
-            draws, start = turn * -(-n // len(turn)), 0
-        return b"".join([of(u) for of, u in zip(draws[start : start + n], units, strict=True)])
+        units, plain = self.model.units(self.model.prefix + text), self.plain
+        if not self.rate:
+            return b"".join([plain[u][0] for u in units])
+        out = []
+        for place, (unit, draw) in enumerate(zip(units, self.draws(key, len(units)), strict=True)):
+            got = plain.get(unit)
+            if got is None:
+                out.append(self.first(unit, draw, key, place))
+            else:
+                ids, mask = got
+                out.append(self.dropped(unit, draw, mask, key, place) if draw & mask else ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int, kept: int = KEPT) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path, rate, seed, variants)
+    return Encoder(path, rate, seed, kept)
 
 
 common.cache("pieces", encoder.cache_clear)
@@ -226,9 +324,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, id_col="doc_id", text_col="text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, kept: int = KEPT, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_pieces and ids (array of int) of every whole text."""
-    args = (model_path, rate, seed, variants)
+    args = (model_path, rate, seed, kept)
 
     def run(batches):
         for _, part, _, ids in _batches(batches, args):
@@ -244,7 +342,7 @@ def decode(encoded: DataFrame, model_path: str, id_col="doc_id", ids_col="ids")
     """doc_id and text of encoded documents."""
 
     def run(batches):
-        model = encoder(model_path, 0.0, 0, 1).model
+        model = encoder(model_path, 0.0, 0).model
         for batch in batches:
             texts = [None if i is None else model.decode(i) for i in common.pylist(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -252,10 +350,10 @@ def decode(encoded: DataFrame, model_path: str, id_col="doc_id", ids_col="ids")
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, id_col="doc_id", text_col="text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = SEED, kept: int = KEPT, id_col="doc_id", text_col="text") -> DataFrame:
     """Encodes and decodes every whole text: n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit), the
     decoded text's sha256, and whether it is the text."""
-    args = (model_path, rate, seed, variants)
+    args = (model_path, rate, seed, kept)
 
     def run(batches):
         for coder, part, texts, ids in _batches(batches, args):

@@ -136,6 +136,30 @@ def test_short_and_long_agendas_agree():
             assert model._merge_short(list(unit), limit, 99) == model._merge_long(unit, limit, 99)
 
 
+def test_every_occurrence_has_its_own_dropout():
+    """Shares of segmentations are those of independent draws, and their number isn't bound; what is kept has no bearing."""
+    path, rng = pieces.public_model(), random.Random(3)
+    coder, small = pieces.Encoder(path, 0.1, 7, 100_000), pieces.Encoder(path, 0.1, 7, 1)
+    for unit in (" of", " the", " development", " x" + "development" * 3):
+        plain = coder.model.segment(unit)
+        n = 20_000 if len(unit) < 20 else 2000
+        seen, want = collections.Counter(), collections.Counter()
+        for doc in range(n // 100):
+            got = coder.encode("a" + unit * 100, str(doc))
+            assert doc or got == small.encode("a" + unit * 100, str(doc))
+        for place, draw in enumerate(coder.draws("k", n)):
+            _, mask = coder.plain[unit]
+            seen[coder.dropped(unit, draw, mask, "k", place) if draw & mask else coder.plain[unit][0]] += 1
+            want[coder.plain.packed(coder.model.segment(unit, 0.1, rng.getrandbits(64)))] += 1
+        assert max(abs(seen[k] - want[k]) for k in seen | want) < 5 * n**0.5
+        assert unit == " of" or len(seen) > 4
+        assert 0 < seen[coder.plain.packed(plain)] < n
+    texts = {coder.encode("international " * 200, str(doc)) for doc in range(3)}
+    assert len(texts) == 3
+    short = [coder.encode(" development", str(k)) for k in range(2000)]
+    assert len(set(short)) > 4
+
+
 # ---------------------------------------------------------------- 2, 3
 
 
