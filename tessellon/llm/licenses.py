@@ -4,8 +4,8 @@ Base: places where the words of a known phrase stand one after the other. Method
 contains at least CONTAINMENT of the template's distinct words. Template words are put in one global order, from the rarest to the
 most frequent over all documents; a block that contains `need` of a template's n words holds one of the n - need + 1 rarest (prefix
 filter), has `need` words or more itself (length filter), and the shared word's place in the template leaves enough words
-after it (positional filter). Blocks meet templates in an equality join on prefix words, and the full sets verify what is left. A block that meets several templates is
-labelled by the one it shares most words with.
+after it (positional filter). Blocks meet templates in an equality join on prefix words, and the full sets verify what is left. A block that meets several
+templates has the labels of them all, but for a template whose words in the block are also words of another one that it meets with more.
 
 The templates are a fixed list of a few lines, so they are broadcast. A null text is read as empty: no words, no labels, score 0.
 Rows equal in doc_id and text get equal results. Very long texts are scanned whole.
@@ -96,10 +96,11 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMP
     """dk, the labels of matching templates (array) and the greatest containment."""
     spark = docs.sparkSession
     place = {w: k for k, w in enumerate(template_order(docs, text_col, templates))}
-    rows, prefix = [], set()
+    rows, prefix, wanted = [], set(), []
     for k, (text, label) in enumerate(templates):
         words = sorted(set(_as_words(text)), key=place.__getitem__)
         need = -int(-len(words) * round(containment * 100) // 100)
+        wanted.append((words, need))
         for i, w in enumerate(words[: len(words) - need + 1]):
             rows.append((w, k, label, i, need, words))
             prefix.add(w)
@@ -113,11 +114,16 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMP
     met = tokens.join(F.broadcast(probes), "token")
     left = F.size("words") - F.col("place")
     met = met.where((F.size("block") >= F.col("need")) & (F.least(left, F.size("block")) >= F.col("need")))
-    met = met.withColumn("shared", F.size(F.array_intersect("block", "words"))).where("shared >= need")
-    # a block's label is that of the template it shares most words with: a longer wording before a shorter one inside it
-    top = met.groupBy("dk", "block").agg(F.max_by(F.struct("label", "shared", "words"), F.struct("shared", F.col("shared") / F.size("words"), "template")).alias("t"))
-    met = top.select("dk", "t.label", "t.shared", "t.words")
-    return met.groupBy("dk").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("words")).alias("best"))
+    met = met.withColumn("hit", F.array_intersect("words", "block")).where(F.size("hit") >= F.col("need")).dropDuplicates(["dk", "block", "template"])
+    # a template is no finding of its own where another one meets the block with these words and further ones
+    others = F.array(*(F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need")) for words, need in wanted))
+
+    def covers(other: Column) -> Column:
+        hit = F.array_intersect(other["words"], F.col("block"))
+        return (F.size(hit) >= other["need"]) & (F.size(hit) > F.size("hit")) & (F.size(F.array_except("hit", hit)) == 0)
+
+    met = met.withColumn("label", F.when(~F.exists(others, covers), F.col("label")))
+    return met.groupBy("dk").agg(F.collect_set("label").alias("found"), F.max(F.size("hit") / F.size("words")).alias("best"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -291,6 +291,18 @@ def test_template_join_finds_every_block(spark):
         assert (k in best) == bool(hits)
 
 
+def test_all_templates_of_a_block(spark):
+    t = dict((label, text) for text, label in reversed(licenses.TEMPLATES))
+    rows = [
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0", "apache-2.0,mit"), ("some words " * 400 + t["bsd"] + " more words" * 400 + " " + t["mpl-2.0"], "bsd,mpl-2.0"),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), (t["lgpl"], "gpl,lgpl"), (t["unlicense"] + "\n" + t["proprietary"], "proprietary,unlicense"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser Public License", "lgpl"), (t["gpl"], "gpl"),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[k]["labels"] for k in range(len(rows))] == [labels for _, labels in rows]
+
+
 # ---------------------------------------------------------------- 6
 
 
