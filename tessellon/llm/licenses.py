@@ -1,12 +1,15 @@
 """License scans by an exact set-similarity join, in DataFrame functions alone (operator 5).
 
-Base: places where the words of a known phrase stand one after the other. Method: a block (a line) matches a template if it
+Base: places where the words of a known phrase stand one after the other. Method: a block matches a template if it
 contains at least CONTAINMENT of the template's distinct words. Template words are put in one global order, from the rarest to the
 most frequent over all documents; a block that contains `need` of a template's n words holds one of the n - need + 1 rarest (prefix
 filter), has `need` words or more itself (length filter), and the shared word's place in the template leaves enough words
 after it (positional filter). Blocks meet templates in an equality join on prefix words, and the full sets verify what is left. A block that meets several
 templates has the labels of them all, but for a template whose words in the block are also words of another one that it meets with more.
 
+Blocks are the lines, and the words about the end of each line that has words (blank lines and marks lie between): as many at each
+side as a template has, so that a notice that is wrapped over any number of lines is found.
+
 The templates are a fixed list of a few lines, so they are broadcast. A null text is read as empty: no words, no labels, score 0.
 Rows equal in doc_id and text get equal results. Very long texts are scanned whole.
 """
@@ -92,43 +95,71 @@ def template_order(docs: DataFrame, text_col: str, templates=TEMPLATES) -> list[
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def template_matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """dk, the labels of matching templates (array) and the greatest containment."""
+def _words_of(line: Column) -> Column:
+    return F.array_remove(F.split(F.translate(line, _UPPER, _LOWER), rf"[^{_WORD}]+"), "")
+
+
+def _last(words: Column, n: int | Column) -> Column:
+    return F.slice(words, F.greatest(F.size(words) - n, F.lit(0)) + 1, n)
+
+
+def template_matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, containment: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
+    """dk, the labels of matching templates (array) and the greatest containment. Blocks are lines and, where wrapped, the words about line ends."""
     spark = docs.sparkSession
     place = {w: k for k, w in enumerate(template_order(docs, text_col, templates))}
     rows, prefix, wanted = [], set(), []
     for k, (text, label) in enumerate(templates):
         words = sorted(set(_as_words(text)), key=place.__getitem__)
         need = -int(-len(words) * round(containment * 100) // 100)
-        wanted.append((words, need))
+        wanted.append((words, need, len(_as_words(text))))
         for i, w in enumerate(words[: len(words) - need + 1]):
-            rows.append((w, k, label, i, need, words))
+            rows.append((w, k, label, i, need, words, len(_as_words(text))))
             prefix.add(w)
-    probes = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, words array<string>")
+    probes = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, words array<string>, length int")
     prefix = sorted(prefix)
-    lines = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"), F.explode(F.split(text_col, "\n", -1)).alias("line"))
-    lines = lines.where(F.col("line").rlike(rf"(?i)(?<![{_WORD}])(?:{'|'.join(prefix)})(?![{_WORD}])"))
-    blocks = lines.select("dk", F.array_distinct(F.split(F.translate("line", _UPPER, _LOWER), rf"[^{_WORD}]+")).alias("block"))
-    blocks = blocks.select("dk", F.array_remove("block", "").alias("block"))
-    tokens = blocks.select("dk", "block", F.explode(F.array_intersect("block", F.array(*map(F.lit, prefix)))).alias("token"))
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"), F.col(text_col).alias("text"))
+    some = rf"(?i)(?<![{_WORD}])(?:{'|'.join(prefix)})(?![{_WORD}])"
+    lines = texts.select("dk", F.explode(F.split("text", "\n", -1)).alias("line"))
+    blocks = lines.where(F.col("line").rlike(some)).select("dk", _words_of(F.col("line")).alias("before"), F.array().cast("array<string>").alias("after"), F.lit(False).alias("seam"))
+    if wrapped:
+        blocks = blocks.union(seams(texts.where(F.col("text").contains("\n") & F.col("text").rlike(some)), max(n for _, _, n in wanted)))
+    blocks = blocks.withColumn("block", F.array_distinct(F.concat("before", "after")))
+    tokens = blocks.select("dk", "before", "after", "seam", "block", F.explode(F.array_intersect("block", F.array(*map(F.lit, prefix)))).alias("token"))
     met = tokens.join(F.broadcast(probes), "token")
     left = F.size("words") - F.col("place")
     met = met.where((F.size("block") >= F.col("need")) & (F.least(left, F.size("block")) >= F.col("need")))
-    met = met.withColumn("hit", F.array_intersect("words", "block")).where(F.size("hit") >= F.col("need")).dropDuplicates(["dk", "block", "template"])
+
+    def hits(words: Column, length: Column) -> Column:
+        """A template's words in the block; at a line's end, in as many words at each side as it has itself."""
+        near = F.concat(_last(F.col("before"), length), F.slice("after", 1, length))
+        return F.array_intersect(words, F.when(F.col("seam"), near).otherwise(F.col("block")))
+
+    met = met.withColumn("hit", hits(F.col("words"), F.col("length"))).where(F.size("hit") >= F.col("need")).dropDuplicates(["dk", "before", "after", "seam", "template"])
     # a template is no finding of its own where another one meets the block with these words and further ones
-    others = F.array(*(F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need")) for words, need in wanted))
+    others = F.array(*(F.struct(F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"), F.lit(n).alias("length")) for words, need, n in wanted))
 
     def covers(other: Column) -> Column:
-        hit = F.array_intersect(other["words"], F.col("block"))
+        hit = hits(other["words"], F.greatest(other["length"], F.col("length")))
         return (F.size(hit) >= other["need"]) & (F.size(hit) > F.size("hit")) & (F.size(F.array_except("hit", hit)) == 0)
 
     met = met.withColumn("label", F.when(~F.exists(others, covers), F.col("label")))
     return met.groupBy("dk").agg(F.collect_set("label").alias("found"), F.max(F.size("hit") / F.size("words")).alias("best"))
 
 
+def seams(texts: DataFrame, n: int) -> DataFrame:
+    """dk, and for the end of each line the last n of its words (before) and the n words that follow it, of as many lines as these
+    take (after). A text of n words that is wrapped lies about the first line's end that it crosses."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), _words_of), lambda w: F.size(w) > 0)
+    ends = F.transform(lines, lambda w: F.struct(F.slice(w, 1, n).alias("head"), _last(w, n).alias("tail")))
+    rows = texts.select("dk", ends.alias("ends")).where(F.size("ends") > 1)
+    rows = rows.select("dk", "ends", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)).alias("k"))
+    after = F.slice(F.flatten(F.slice(F.col("ends")["head"], F.col("k") + 1, n)), 1, n)
+    return rows.select("dk", F.element_at("ends", F.col("k"))["tail"].alias("before"), after.alias("after"), F.lit(True).alias("seam"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     base = base_columns(docs, id_col, text_col)
-    out = base.join(template_matches(docs, id_col, text_col), "dk", "left")
+    out = base.join(template_matches(docs, id_col, text_col, wrapped=True), "dk", "left")
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("found", none))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))

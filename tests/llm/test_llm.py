@@ -303,6 +303,22 @@ def test_all_templates_of_a_block(spark):
     assert [got[k]["labels"] for k in range(len(rows))] == [labels for _, labels in rows]
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 12])
+def test_wrapped_templates(spark, width):
+    """A notice over two or more lines, after other words and with comment marks and blank lines between, has its one-line labels."""
+    texts = []
+    for text, _ in licenses.TEMPLATES:
+        w = ["x"] * 2 + text.split() + ["y"] * 3
+        texts.append("\n# \n # ".join(" ".join(w[k : k + width]) for k in range(0, len(w), width)))
+    near = ["you may not use\n" + "filler " * 30 + "this file except in compliance with the License", "Licensed\n" * 40, "a\nb", "\n"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *near])), "doc_id long, text string")
+    plain = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    want = {r["doc_id"]: r["labels"] for r in licenses.scan(plain).collect()}
+    assert {k: got[k]["labels"] for k in want} == want and all(label in want[k].split(",") for k, (_, label) in enumerate(licenses.TEMPLATES))
+    assert [got[len(texts) + k]["labels"] for k in range(len(near))] == [""] * len(near)
+
+
 # ---------------------------------------------------------------- 6
 
 
