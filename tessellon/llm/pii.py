@@ -40,7 +40,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # The wider net.
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,5}")
-_SECRET = re.compile(r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}([^\s,;]{6,200})")
+_SECRET = re.compile(r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}([^\s,;]{6,})")
 
 # Endings of domains, words that announce a kind, and words that speak against numbers being personal.
 ENDINGS = frozenset("com org net edu gov info io co us uk de fr es it eu example".split())
@@ -249,7 +249,7 @@ def find(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: st
                 for s in more:
                     q = pattern_of(text, *s, False)
                     if q not in known:
-                        known[q] = q[1] != "-" and shared.value.probability(q) >= threshold
+                        known[q] = shared.value.probability(q) >= threshold
                     if known[q] and all(s[2] <= a or b <= s[1] for a, b in taken):
                         added.append(s)
                         taken.append((s[1], s[2]))

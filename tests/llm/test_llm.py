@@ -509,6 +509,15 @@ def test_reliabilities_rank_labelers():
     assert p["1++-++0bb"] > 0.9 > 0.1 > p["1--+--0bb"] and trust["ip"]["pattern"] > trust["ip"]["context"] + 0.2
 
 
+def test_classifier_decides_on_every_candidate(spark):
+    """Candidates that fail their pattern are added where the classifier says so, and a secret runs to the end of its token."""
+    texts = ["card 4111 1111 1111 1112", "host 10.0.0.999", "call +1 614 5558", "token=" + "aB3" * 150 + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for weight, want in ((9.0, ["card:5:24", "ip:5:15", "phone:5:16", "secret:6:456"]), (-9.0, [""] * 4)):
+        got = {r["doc_id"]: r["spans"] for r in pii.find(docs, pii.SpanModel({"all": weight}, {})).collect()}
+        assert [got[k] for k in range(4)] == want
+
+
 # ---------------------------------------------------------------- 10
 
 
