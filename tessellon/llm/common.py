@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,24 +111,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _M64(31))
 
 
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(256)], np.uint64)
+#: A word's bytes enter its hash eight at a time; a mask leaves out what follows the word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG_WORD = 64
 
 
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a text whose words have blanks between, and the places where they start."""
-    data = np.frombuffer(text, np.uint8)
-    word = data > 32
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    data = np.frombuffer(text + b" " * 8, np.uint8)
+    edge = np.flatnonzero(np.diff(data > 32, prepend=False))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64), starts
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([[0], starts[1:], [len(data)]])))
-    place &= 255  # a longer word's letters share powers; its length and order within 256 still count
+    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    size = ends - starts
     with np.errstate(over="ignore"):
-        value = (data + np.uint64(1)) * _POWERS[place]
-        value[~word] = 0
-        sums = np.add.reduceat(value, starts)
-        return mix64(sums ^ ((ends - starts).astype(np.uint64) << np.uint64(56))), starts
+        out = mix64((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * _M64(0x9E3779B97F4A7C15))
+        more, done = np.flatnonzero(size > 8), 8
+        while len(more) and done < _LONG_WORD:
+            left = size[more] - done
+            out[more] = mix64(out[more] + (eight[starts[more] + done] & _MASKS[np.minimum(left, 8)]) * _M64(0xD1B54A32D192ED03))
+            more, done = more[left > 8], done + 8
+    for k in more.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
+    return out, starts
 
 
 def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
