@@ -116,17 +116,18 @@ def tags(c: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.array_compact(F.array(*(F.when(contains_any(c, keys), F.lit(name)) for name, keys in rules)))
 
 
-# Words that are no key phrases, and words left out of neighbouring chunks' similarity.
+# Words left out of neighbouring chunks' similarity; these and the further ones are no key phrases.
 STOP = (
     "the a an and or of for to in on by with from at as is are was were be been being this that those these it its their our your you "
     "we they i not no so if then than into out over under about above below after before during while up down off near far per via within without"
 ).split()
+NO_PHRASES = [*STOP, *"data salesforce press release results fiscal quarter year revenue agentforce api".split()]
 
 
 def keyphrases(title: Column, text: Column, stop: list[str] | None = None) -> Column:
     """The first four different words of four letters or more that the text holds, stop words left out; from the text alone if
     fewer than two are found."""
-    avoid = F.array(*map(F.lit, stop or STOP))
+    avoid = F.array(*map(F.lit, stop or NO_PHRASES))
 
     def pick(low: Column) -> Column:
         raw = F.regexp_extract_all(F.concat_ws("\n", F.lower(F.coalesce(title, F.lit(""))), low), F.lit("([a-z0-9-]{4,})"), F.lit(0))

@@ -68,8 +68,13 @@ def with_heads(chunks: DataFrame, heads: str = "heads") -> DataFrame:
     return chunks.withColumn("local_heads", F.slice(F.reverse(F.transform(before, lambda h: h["title"])), 1, 2))
 
 
+# Items that have titles of their own, and the word in a line's title that leaves it in place of them.
+TITLES = {"Item 1": ("Business", "business"), "Item 1A": ("Risk Factors", "risk"), "Item 7": ("Management’s Discussion and Analysis", "discussion"), "Item 7A": ("Market Risk", "risk"), "Item 8": ("Financial Statements", "financial")}
+
+
 def item_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, label, title, start_char, end_char (inclusive) of the items whose lines say "Item 1A" and the like, by start."""
+    """id, label, title, start_char, end_char (inclusive) of the items whose lines say "Item 1A" and the like, by start. Items of TITLES
+    have its title unless the line has another one."""
     d = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("len"), F.posexplode(F.split(text_col, "\n", -1)).alias("k", "line"))
     by_line = Window.partitionBy("id").orderBy("k")
     d = d.withColumn("start", F.sum(F.length("line") + 1).over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("line") - 1)
@@ -77,6 +82,10 @@ def item_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = d.where(F.col("line").rlike(found))
     label = F.concat(F.lit("Item "), F.regexp_extract("line", found, 1), F.upper(F.regexp_extract("line", found, 2)))
     d = d.select("id", "len", "start", label.alias("label"), F.trim(F.regexp_extract("line", found, 3)).alias("title"))
+    fixed = F.col("title")
+    for name, (title, word) in TITLES.items():
+        fixed = F.when((F.col("label") == name) & ((F.col("title") == "") | F.lower("title").contains(word)), title).otherwise(fixed)
+    d = d.withColumn("title", fixed)
     after = F.lead("start").over(Window.partitionBy("id").orderBy("start"))
     return d.select(F.col("id").alias(id_col), "label", "title", F.col("start").cast("long").alias("start_char"), (F.coalesce(after, F.col("len")) - 1).cast("long").alias("end_char"))
 

@@ -102,12 +102,16 @@ def missing_fields(row_fields: list[str], types: dict[str, str]) -> Column:
 
 
 def link_state(docs: DataFrame, roots: list[str]) -> DataFrame:
-    """final_url, link_ok and status_code from what is saved: the sidecar's answer, a saved payload, an allowlisted own or sidecar URL, in turn.
-    Columns url, side_url, side_status and has_payload."""
-    own, side = (urls.in_domains(urls.bare_host(F.col(c)), roots) for c in ("url", "side_url"))
-    ok = (F.col("side_status") == 200) | F.col("has_payload") | own | side
-    final = F.when((F.col("side_status") == 200) | F.col("has_payload"), F.coalesce("side_url", "url")).when(own, F.col("url")).when(side, F.col("side_url")).otherwise(F.col("url"))
-    return docs.withColumns({"final_url": urls.strip_tracking(final), "link_ok": F.coalesce(ok, F.lit(False)), "status_code": F.when(F.coalesce(ok, F.lit(False)), 200).otherwise(F.coalesce("side_status", F.lit(0)))})
+    """final_url, link_ok and status_code from what is saved, without the network. A sidecar that says 200 counts if the payload was saved
+    too; its URL is then the final one. A final URL outside the allowlist gives way to the own URL if that is within, else to the
+    sidecar's; such a link is ok. An answer of 200 without a payload isn't confirmed (0). Columns url, side_url, side_status and has_payload."""
+    within = lambda c: F.coalesce(urls.in_domains(urls.bare_host(c), roots), F.lit(False))
+    confirmed = F.coalesce((F.col("side_status") == 200) & F.col("has_payload"), F.lit(False))
+    reached = F.when(confirmed, F.coalesce("side_url", "url")).otherwise(urls.strip_tracking(F.col("url")))
+    stays, own, side = within(reached), within(F.col("url")), within(F.col("side_url"))
+    final = F.when(stays, reached).when(own, urls.strip_tracking(F.col("url"))).when(side, urls.strip_tracking(F.col("side_url"))).otherwise(reached)
+    status = F.when(confirmed, 200).otherwise(F.coalesce(F.when(F.col("side_status") != 200, F.col("side_status")), F.lit(0)))
+    return docs.withColumns({"final_url": final, "link_ok": confirmed | (~stays & (own | side)), "status_code": status})
 
 
 def inventory(docs: DataFrame) -> DataFrame:

@@ -75,8 +75,9 @@ class _Tree(HTMLParser):
 
 
 def page_text(html: str | None, preserve=PRESERVE, remove=REMOVE, keep_lines: bool = False) -> str:
-    """Text of a page: the first preferred container that occurs, else all; removed parts left out; headings marked "H1: ". White
-    space becomes one blank, or, with keep_lines, blocks and headings keep lines of their own."""
+    """Text of a page: all containers of the first preferred kind that occurs, in turn, else all of it (one within another follows it);
+    removed parts left out; headings marked "H1: ". White space becomes one blank, or, with keep_lines, blocks and headings keep
+    lines of their own."""
     if not html:
         return ""
     tree = _Tree()
@@ -86,9 +87,10 @@ def page_text(html: str | None, preserve=PRESERVE, remove=REMOVE, keep_lines: bo
     for selector in preserve:
         found = [n for n in tree.root.walk() if n.tag and n.fits(selector)]
         if found:
-            holders = found[:1]
+            holders = found
             break
     out: list[str] = []
+    apart = {id(h) for h in holders}
     todo: list = list(reversed(holders))
     while todo:
         item = todo.pop()
@@ -103,7 +105,7 @@ def page_text(html: str | None, preserve=PRESERVE, remove=REMOVE, keep_lines: bo
         close = "\n" if item.tag in BLOCKS or item.tag in HEADINGS else ""
         if close:
             todo.append(close)
-        todo += reversed(item.children)
+        todo += [c for c in reversed(item.children) if id(c) not in apart]
         if item.tag in HEADINGS:
             todo.append(f"\n{item.tag.upper()}: ")
         elif item.tag in BLOCKS:

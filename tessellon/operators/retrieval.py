@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellon.functions import stats
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
 
@@ -44,7 +45,8 @@ def blended(hits: DataFrame, text_col: str = "text", query_col: str = "query_tex
 
 def sparse_search(docs: DataFrame, queries: DataFrame, k: int, candidates: int = 100) -> DataFrame:
     """Squared distances between unit vectors given as sparse rows (id, idx, value) and (query_id, idx, value): 2 - 2 dot.
-    Only shared components are joined; documents that share none are at distance 2 and come last."""
+    Only shared components are joined; documents that share none would be at distance 2 and are left out, so a
+    query may have fewer rows than asked for."""
     dots = docs.join(queries.withColumnRenamed("value", "qv"), "idx").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("qv")).alias("dot"))
     d = dots.select("query_id", "id", (2 - 2 * F.col("dot")).alias("d2"))
     return top_k(d, ["query_id"], [F.col("d2"), F.col("id")], max(k, candidates))
@@ -61,8 +63,8 @@ def first_answer(results: list[tuple[str, DataFrame]], queries: DataFrame, query
 
 
 def outliers(vectors: DataFrame, vec_col: str = "embedding", spread: float = 4.0) -> DataFrame:
-    """Vectors whose norm is further than `spread` interquartile ranges from the median; with no spread, any that differs."""
+    """Vectors whose norm is further from the median than `spread` times the distance of Tukey's hinges; with no distance, any that differs."""
     v = vectors.withColumn("norm", vx.l2_norm(F.col(vec_col)))
-    stats = v.agg(F.expr("percentile(norm, array(0.25, 0.5, 0.75))").alias("q")).select(F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
-    gap = F.abs(F.col("norm") - F.col("median"))
-    return v.crossJoin(F.broadcast(stats)).withColumn("outlier", F.when(F.col("iqr") == 0, gap > 0).otherwise(gap > spread * F.col("iqr")))
+    low, median, high = stats.hinge_values(v, "norm")
+    gap = F.abs(F.col("norm") - F.lit(median))
+    return v.withColumn("outlier", gap > spread * (high - low))

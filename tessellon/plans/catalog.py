@@ -95,7 +95,8 @@ def url_collisions(spark, sf):
 @query
 def feed_match(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
-    feed = table(spark, sf, "pages").where("page_id % 3 = 0").select(F.concat(urls.with_https(F.col("url")), F.lit("#feed")).alias("link"), F.col("page_id").alias("entry_no"))
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(urls.with_https(F.col("url")), F.lit("#feed"))).otherwise(F.regexp_replace("url", "^[A-Za-z]+://", "https://moved."))
+    feed = table(spark, sf, "pages").select(link.alias("link"), F.col("page_id").alias("entry_no"))
     m = metadata.match_feed(pages, feed)
     return m.select("page_id", "feed_key", F.col("entry.link").alias("link"))
 
@@ -189,7 +190,8 @@ def publish_days(spark, sf):
 
 @query
 def link_status(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("&gclid=1"))).alias("side_url"), F.when(F.col("page_id") % 4 == 0, 200).when(F.col("page_id") % 4 == 1, 404).alias("side_status"), (F.col("page_id") % 5 == 0).alias("has_payload"))
+    side = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("&gclid=1"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://www.example.org/kept/"), F.col("page_id").cast("string"), F.lit("?utm_source=x")))
+    p = table(spark, sf, "pages").select("page_id", "url", side.alias("side_url"), F.when(F.col("page_id") % 4 == 0, 200).when(F.col("page_id") % 4 == 1, 404).alias("side_status"), (F.col("page_id") % 5 == 0).alias("has_payload"))
     return metadata.link_state(p, ["example.org"]).select("page_id", "final_url", "link_ok", "status_code")
 
 

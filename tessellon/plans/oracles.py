@@ -8,6 +8,8 @@ _STOP = (
     "the a an and or of for to in on by with from at as is are was were be been being this that those these it its their our your you "
     "we they i not no so if then than into out over under about above below after before during while up down off near far per via within without"
 ).split()
+_NO_PHRASES = [*_STOP, "data", "salesforce", "press", "release", "results", "fiscal", "quarter", "year", "revenue", "agentforce", "api"]
+_PHRASE_STOPS = "[" + ", ".join(f"'{w}'" for w in _NO_PHRASES) + "]"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in _STOP) + "]"
 
 
@@ -147,7 +149,7 @@ FROM (SELECT *, 'https://' || source || '.example.com/' || doc_id AS u FROM docu
     "allowlist_ratio": f"""SELECT count(*) AS pages, count(*) FILTER (WHERE ok) AS allowed, round(count(*) FILTER (WHERE ok) / greatest(count(*), 1), 6) AS ratio FROM (
 SELECT h IN ('example.com', 'example.org') OR ends_with(h, '.example.com') OR ends_with(h, '.example.org') AS ok FROM (SELECT regexp_replace({_host('url')}, ':[0-9]*$', '') AS h FROM pages))""",
     "url_collisions": f"SELECT {_strip('url')} AS clean_url, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM pages GROUP BY 1 HAVING count(DISTINCT page_id) > 1",
-    "feed_match": f"""WITH f AS (SELECT {_feed('link')} AS k, min(link) AS link FROM (SELECT regexp_replace(url, '^[A-Za-z]+:', 'https:') || '#feed' AS link FROM pages WHERE page_id % 3 = 0) GROUP BY 1)
+    "feed_match": f"""WITH f AS (SELECT {_feed('link')} AS k, min(link) AS link FROM (SELECT CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^[A-Za-z]+:', 'https:') || '#feed' ELSE regexp_replace(url, '^[A-Za-z]+://', 'https://moved.') END AS link FROM pages) GROUP BY 1)
 SELECT page_id, {_feed('url')} AS feed_key, link FROM pages LEFT JOIN f ON f.k = {_feed('url')}""",
     "date_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE d END AS day, CASE WHEN o_orderkey % 6 = 5 OR d > DATE '1996-12-31' OR d < DATE '1994-01-01' THEN NULL ELSE d END AS sane_day FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)",
     "recency_buckets": """SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (WHERE age <= 90) AS within_90, count(*) FILTER (WHERE age <= 180) AS within_180, count(*) FILTER (WHERE age <= 365) AS within_365, count(*) FILTER (WHERE age > 365) AS older,
@@ -179,7 +181,8 @@ SELECT count(*) AS pairs, round(list_sort(list(jaccard))[CAST(floor(0.95::DOUBLE
     "dedup_canonical": f"WITH RECURSIVE {_PAIRS}{_GROUPS} SELECT component, canonical_id, members, round(min(jaccard), 6) AS jaccard_min, round(max(jaccard), 6) AS jaccard_max FROM canon JOIN comp USING (component) JOIN pairs ON id_a = id GROUP BY ALL",
     "dedup_kept": f"WITH RECURSIVE {_PAIRS}{_GROUPS} SELECT doc_id, {_words('text')} AS word_count FROM documents WHERE doc_id NOT IN (SELECT id FROM comp JOIN canon USING (component) WHERE id <> canonical_id)",
     "vector_norm_outliers": """WITH v AS (SELECT sqrt(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)) AS norm FROM embeddings),
-s AS (SELECT quantile_cont(norm, 0.5) AS med, quantile_cont(norm, 0.75) - quantile_cont(norm, 0.25) AS iqr FROM v)
+h AS (SELECT list_sort(list(norm)) AS l, count(*) // 2 AS h FROM v),
+s AS (SELECT list_aggregate(l, 'median') AS med, list_aggregate(l[len(l) - h + 1:], 'median') - list_aggregate(l[1:h], 'median') AS iqr FROM (SELECT *, len(l) AS n FROM h))
 SELECT CASE WHEN iqr = 0 THEN abs(norm - med) > 0 ELSE abs(norm - med) > 4 * iqr END AS outlier, count(*) AS vectors, round(min(norm), 6) AS least, round(max(norm), 6) AS greatest FROM v, s GROUP BY 1""",
     "vector_topk": f"WITH {_HITS} SELECT query_id, vec_id, round(d2, 6) AS d2, rank FROM hits WHERE rank <= 10",
     "rerank_scored": f"WITH {_SCORED} SELECT query_id, chunk_id, in_rank, round(final, 6) AS final FROM ({_final('(SELECT * FROM scored WHERE in_rank <= 12)', (0.5, 0.3, 0.2))})",
@@ -197,7 +200,7 @@ SELECT doc_id, persona, query_text, left(sha1(doc_id || persona || query_text),
     "planner_queries": "SELECT min(conv_id * 1000 + turn) AS pos, md5(text) AS digest FROM conversations WHERE role = 'user' GROUP BY text ORDER BY 1 LIMIT 5",
     "percentile_variants": """WITH s AS (SELECT event_type, list_sort(list(value)) AS v, median(value) AS med FROM events GROUP BY 1), h AS (SELECT *, len(v) // 2 AS k FROM s)
 SELECT event_type, v[CAST(ceil(0.9::DOUBLE * len(v)) AS BIGINT)] AS nearest, v[CAST(floor(0.95::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] AS floored, v[CAST(round_even(0.95::DOUBLE * (len(v) - 1), 0) AS BIGINT) + 1] AS evened, v[len(v) // 2 + 1] AS upper_median,
-round(list_median(v[1:k]), 6) AS hinge_low, round(list_median(v[len(v) - k + 1:]), 6) AS hinge_high, round(med, 6) AS median FROM h""",
+round(list_aggregate_median(v[1:k]), 6) AS hinge_low, round(list_aggregate_median(v[len(v) - k + 1:]), 6) AS hinge_high, round(med, 6) AS median FROM h""",
     "semi_anti_integrity": """SELECT 'labelled' AS check_name, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'dangling', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'idle_customers', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "route_decisions": """WITH c AS (SELECT *, ['cio', 'vp_sales_ops', 'vp_customer_experience', 'other'][CAST(turn % 4 + 1 AS INTEGER)] AS p, lower(CASE conv_id % 5 WHEN 0 THEN 'Define ' || role WHEN 1 THEN 'What is the API of ' || role ELSE text END) AS q FROM conversations),
@@ -220,21 +223,36 @@ array_to_string(list_filter([CASE WHEN {_words('body')} > 160 THEN 'EXCESS_LENGT
 FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY 1""",
 }
 _FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
-_OWN = "(h = 'example.org' OR ends_with(h, '.example.org'))"
+def _within(u: str) -> str:
+    h = f"regexp_replace({_host(u)}, ':[0-9]*$', '')"
+    return f"coalesce({h} = 'example.org' OR ends_with({h}, '.example.org'), false)"
+
+
 
 ORACLES |= {
     "keyphrases": f"""WITH a AS (SELECT doc_id, lower(text) AS low, lower(split_part(text, chr(10), 1)) || chr(10) || lower(text) AS whole FROM documents),
-b AS (SELECT doc_id, low, list_transform(regexp_extract_all(whole, '[a-z0-9-]{{4,}}'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')) AS bare, list_filter(regexp_extract_all(low, '[a-z0-9]{{4,}}'), lambda w: NOT list_contains({_STOPS}, w)) AS more FROM a),
-c AS (SELECT *, list_filter({_FIRST_SEEN.format('bare')}, lambda w: length(w) >= 4 AND NOT list_contains({_STOPS}, w) AND contains(low, w))[1:4] AS found FROM b),
+b AS (SELECT doc_id, low, list_transform(regexp_extract_all(whole, '[a-z0-9-]{{4,}}'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')) AS bare, list_filter(regexp_extract_all(low, '[a-z0-9]{{4,}}'), lambda w: NOT list_contains({_PHRASE_STOPS}, w)) AS more FROM a),
+c AS (SELECT *, list_filter({_FIRST_SEEN.format('bare')}, lambda w: length(w) >= 4 AND NOT list_contains({_PHRASE_STOPS}, w) AND contains(low, w))[1:4] AS found FROM b),
 d AS (SELECT *, list_concat(found, more) AS every FROM c)
 SELECT doc_id, array_to_string(CASE WHEN len(found) >= 2 THEN found ELSE ({_FIRST_SEEN.format('every')})[1:2] END, ',') AS phrases FROM d""",
     "page_links": f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"'']+)["'']', 1) AS l FROM pages), d AS (SELECT page_id, {_FIRST_SEEN.format('l')} AS l FROM l)
 SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM d""",
     "title_picks": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS el, trim(regexp_extract(html, '(?i)<meta[^>]+property="og:title"[^>]+content="(.*?)"', 1)) AS og FROM pages)
 SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN coalesce(nullif(og, ''), nullif(el, '')) END, CASE WHEN page_id % 3 = 0 THEN 'Title ' || page_id END, 'Page No ' || page_id) AS title FROM t""",
-    "link_status": f"""WITH p AS (SELECT page_id, url, regexp_replace({_host('url')}, ':[0-9]*$', '') AS h, CASE WHEN page_id % 3 = 0 THEN url || '&gclid=1' END AS side, CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS st, page_id % 5 = 0 AS saved FROM pages),
-o AS (SELECT *, coalesce(st = 200, false) OR saved OR {_OWN} AS ok, CASE WHEN coalesce(st = 200, false) OR saved THEN coalesce(side, url) ELSE url END AS f FROM p)
-SELECT page_id, {_strip('f')} AS final_url, ok AS link_ok, CASE WHEN ok THEN 200 ELSE coalesce(st, 0) END AS status_code FROM o""",
+    "link_status": f"""WITH p AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN url || '&gclid=1' WHEN 1 THEN 'https://www.example.org/kept/' || page_id || '?utm_source=x' END AS side, page_id % 4 = 0 AND page_id % 5 = 0 AS got, CASE WHEN page_id % 4 = 1 THEN 404 ELSE 0 END AS st FROM pages),
+r AS (SELECT *, CASE WHEN got THEN coalesce(side, url) ELSE {_strip('url')} END AS reached FROM p),
+i AS (SELECT *, {_within('reached')} AS stays, {_within('url')} AS own, {_within('side')} AS kept FROM r)
+SELECT page_id, CASE WHEN stays THEN reached WHEN own THEN {_strip('url')} WHEN kept THEN {_strip('side')} ELSE reached END AS final_url, got OR (NOT stays AND (own OR kept)) AS link_ok, CASE WHEN got THEN 200 ELSE st END AS status_code FROM i""",
+    "structure_spans": r"""WITH d AS (SELECT doc_id, string_split('Item 1. Business' || chr(10) || text || chr(10) || 'ITEM 1A Risk Factors' || chr(10) || 'risks' || chr(10) || 'Item 7. Discussion' || chr(10) || 'Item 2.02 Results' || chr(10) || 'end', chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM d),
+s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS n FROM l),
+i AS (SELECT *, regexp_extract(line, '(?i)\bitem[\s ]*(\d+(?:\.\d+)?)(.*)$', ['num', 'rest']) AS m FROM s WHERE regexp_matches(line, '(?i)\bitem[\s ]*\d')),
+e AS (SELECT *, regexp_matches(m.rest, '(?i)^\s*[ab]([^a-z]|$)') AS lettered FROM i),
+t AS (SELECT doc_id, pos, n, 'Item ' || m.num || CASE WHEN lettered THEN upper(left(trim(m.rest), 1)) ELSE '' END AS label, trim(regexp_replace(CASE WHEN lettered THEN trim(m.rest)[2:] ELSE m.rest END, '^\.?\s*', '')) AS title FROM e)
+SELECT doc_id, label, CASE WHEN label = 'Item 1' AND (title = '' OR contains(lower(title), 'business')) THEN 'Business' WHEN label = 'Item 1A' AND (title = '' OR contains(lower(title), 'risk')) THEN 'Risk Factors'
+  WHEN label = 'Item 7' AND (title = '' OR contains(lower(title), 'discussion')) THEN 'Management’s Discussion and Analysis' WHEN label = 'Item 7A' AND (title = '' OR contains(lower(title), 'risk')) THEN 'Market Risk'
+  WHEN label = 'Item 8' AND (title = '' OR contains(lower(title), 'financial')) THEN 'Financial Statements' ELSE title END AS title,
+  CAST(pos AS BIGINT) AS start_char, CAST(coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), n) - 1 AS BIGINT) AS end_char FROM t""",
     "gate_checks": f"""WITH c AS (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1),
 m AS (
   SELECT 'n_docs' AS metric, CAST(count(*) AS DOUBLE) AS v FROM documents UNION ALL SELECT 'english', count(*) FILTER (WHERE lang = 'en') / greatest(count(*), 1) FROM documents UNION ALL SELECT 'unique_ids', CAST(count(*) = count(DISTINCT doc_id) AS INTEGER) FROM documents

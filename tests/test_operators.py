@@ -1,9 +1,11 @@
 """Operators on tiny tables: edge cases and invariants."""
 
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
+from tessellon.functions import stats
 from tessellon.operators import cards, chunking, dedupe, evaluation, gates, metadata, normalize, retrieval, routing
 from tessellon.sources import readers, writers
 
@@ -144,7 +146,7 @@ def test_card_choice():
 def test_link_states_and_fields(spark):
     d = spark.createDataFrame([("https://x.y/1?utm_a=1", None, None, False), ("https://ok.org/", None, None, False), ("https://x.y/2", "https://z/2", 200, False)], "url string, side_url string, side_status int, has_payload boolean")
     got = [(r["final_url"], r["link_ok"], r["status_code"]) for r in metadata.link_state(d, ["ok.org"]).collect()]
-    assert got == [("https://x.y/1", False, 0), ("https://ok.org/", True, 200), ("https://z/2", True, 200)]
+    assert got == [("https://x.y/1", False, 0), ("https://ok.org/", False, 0), ("https://x.y/2", False, 0)]
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -167,3 +169,43 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, word_count long")
     assert dedupe.near_pairs(d).count() == 0 and chunking.windows(d).count() == 0
     assert dedupe.kept(d, dedupe.near_pairs(d)).count() == 0
+
+
+def test_all_containers_of_a_kind_are_read():
+    html = "<html><body><nav>n</nav><article><h1>One</h1><p>a</p></article><p>between</p><article>b<article>c</article>d</article></body></html>"
+    assert normalize.page_text(html) == "H1: One a b d c"
+    assert normalize.page_text("<main>m</main><article>a</article>") == "a"
+    assert normalize.page_text("<p>x</p>") == "x"
+
+
+def test_link_states(spark):
+    rows = [
+        (1, "http://a.example.org/x?utm_source=q", "https://a.example.org/y", 200, True),
+        (2, "http://a.example.org/x", "https://a.example.org/y", 200, False),
+        (3, "http://a.example.org/x", "https://else.net/y", 200, True),
+        (4, "http://else.net/x", "https://a.example.org/y?gclid=3", 404, True),
+        (5, "http://else.net/x", None, 404, True),
+        (6, "http://else.net/x", None, None, None),
+    ]
+    d = spark.createDataFrame(rows, "id long, url string, side_url string, side_status int, has_payload boolean")
+    got = {r["id"]: (r["final_url"], r["link_ok"], r["status_code"]) for r in metadata.link_state(d, ["example.org"]).collect()}
+    assert got == {
+        1: ("https://a.example.org/y", True, 200), 2: ("http://a.example.org/x", False, 0), 3: ("http://a.example.org/x", True, 200),
+        4: ("https://a.example.org/y", True, 404), 5: ("http://else.net/x", False, 404), 6: ("http://else.net/x", False, 0),
+    }
+
+
+def test_titles_of_items(spark):
+    d = spark.createDataFrame([(1, "ITEM 1A the risk of it\nItem 7.\nItem 7A Other\nItem 8 Financial Data")], "doc_id long, text string")
+    got = [(r["label"], r["title"]) for r in chunking.item_spans(d).orderBy("start_char").collect()]
+    assert got == [("Item 1A", "Risk Factors"), ("Item 7", "Management’s Discussion and Analysis"), ("Item 7A", "Other"), ("Item 8", "Financial Statements")]
+
+
+def test_hinges_of_a_column(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 7, 500, 1001):
+        values = sorted(rng.choice([rng.random(), 0.5, 0.25]) for _ in range(n))
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        half = n // 2
+        want = tuple(map(statistics.median, (values[:half] or values, values, values[n - half :] if half else values))) if n else (0.0, 0.0, 0.0)
+        assert stats.hinge_values(df, "x") == want
