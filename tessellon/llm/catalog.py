@@ -34,15 +34,14 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELE
 m AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+bp AS (SELECT item_id, n, i AS j, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bn)),
+mp AS (SELECT dw.doc_id, dw.i, dw.n, bp.item_id, bp.j FROM dw JOIN bp USING (n, g)),
 runs AS (
-  SELECT doc_id, min(i) - 1 AS f, max(e) - 1 AS t FROM (
-    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i, e ROWS UNBOUNDED PRECEDING) AS r FROM (
-      SELECT doc_id, i, i + n AS e, CASE WHEN i > coalesce(max(i + n) OVER (PARTITION BY doc_id ORDER BY i, i + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new
-      FROM (SELECT DISTINCT doc_id, i, n FROM m)))
-  GROUP BY doc_id, r),
-longest AS (SELECT doc_id, f, t FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t - f DESC, f) = 1)
+  SELECT doc_id, CAST(item_id AS VARCHAR) AS item, n + count(*) - 1 AS words, min(i) - 1 AS f, min(j) - 1 AS q
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - j ORDER BY i) AS r FROM mp) GROUP BY doc_id, item_id, n, i - j, r),
+longest AS (SELECT doc_id, f, f + words AS t, item, q FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, f, item, q) = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, f AS longest_from, t AS longest_to
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, f AS longest_from, t AS longest_to, longest.item AS longest_item, q AS longest_at
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """,
 }

@@ -3,12 +3,14 @@
 The training text is cut into shards of a few MB. Each shard's words become numbers (0 for a word that no test item has, and
 between documents), and a suffix array is built of those suffixes that can match: their first words must start
 a test suffix. Suffixes are ordered by their first 13 words; every test suffix is found by two binary searches, which bound
-the block of training places where its window stands. Matches that overlap or touch with the same shift are
-one verbatim match, so the longest matches and their places follow from the hit windows.
+the block of training places where its window stands. A verbatim match goes on as long as the next place matches the same item's next
+suffix, so the longest match, its place and the item's follow from the places; of equally long ones the first in the document counts, then
+the least item_id as a string, then the first in the item. The hit words are those within any window.
 
 The test items are read in blocks of bounded size; documents pass each block in turn without a shuffle.
 Null and empty texts have no words and match nothing. Repeated item_ids count once; an item without words is skipped. A null
-item_id is named by the empty string. Very long documents are a shard of their own.
+item_id is named by the empty string. Very long documents are a shard of their own. An empty table of documents gives an empty result, one of items
+matches nothing; rows that repeat a document are judged alike. Columns named __tess_* are the operator's own; all others are passed on.
 """
 
 from __future__ import annotations
@@ -36,14 +38,23 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
+        # suffixes are numbered through all items, with a number left out between two items
+        found: dict[tuple[int, ...], list[int]] = {}
+        self.names, bases, base = [], [], 0
+        for item, text in sorted(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in common.words(text)]
             n = min(window, len(ids))
+            self.names.append(item)
+            bases.append(base)
             for i in range(len(ids) - n + 1 if ids else 0):
-                found.setdefault(tuple(ids[i : i + n]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + n]), []).append(base + i)
+            base += max(0, len(ids) - n + 1) + 1
+        self.bases = np.array(bases, np.int64)
         self.windows = sorted(found)
-        self.items = [sorted(found[w]) for w in self.windows]
+        self.items = [sorted({self.names[k] for k in np.searchsorted(self.bases, found[w], "right") - 1}) for w in self.windows]
+        self.suffixes = np.array([g for w in self.windows for g in found[w]], np.int64)
+        self.many = np.array([len(found[w]) for w in self.windows], np.int64)
+        self.begin = np.cumsum(self.many) - self.many
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
         low, high = np.zeros((len(self.windows), window), ">u4"), np.full((len(self.windows), window), 0xFFFFFFFF, ">u4")
         for i, w in enumerate(self.windows):
@@ -93,13 +104,33 @@ def match_shard(test: TestSuffixes, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return places[first + np.arange(len(which))], which
 
 
+def longest(test: TestSuffixes, places: np.ndarray, which: np.ndarray) -> tuple[int, int, str, int]:
+    """From, to (exclusive), the item and the place in it of the longest verbatim match, from a document's places and the windows there."""
+    rows = np.repeat(np.arange(len(which)), test.many[which])
+    suffix = test.suffixes[np.repeat(test.begin[which] - (np.cumsum(test.many[which]) - test.many[which]), test.many[which]) + np.arange(len(rows))]
+    at, size = places[rows], test.lengths[which[rows]]
+    order = np.lexsort((at, at - suffix))
+    at, suffix, size = at[order], suffix[order], size[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(suffix) != 1)]))
+    words = np.diff(np.append(begin, len(at))) - 1 + size[begin]
+    top = begin[words == words.max()]
+    # suffixes are numbered in the order of item_ids
+    best = top[np.lexsort((suffix[top], at[top]))[0]]
+    item = int(np.searchsorted(test.bases, suffix[best], "right")) - 1
+    return int(at[best]), int(at[best] + words.max()), test.names[item], int(suffix[best] - test.bases[item])
+
+
+_FOUND = {"__tess_n": pa.int64(), "__tess_hits": pa.binary(), "__tess_items": pa.list_(pa.string()), "__tess_from": pa.int64(), "__tess_to": pa.int64(), "__tess_item": pa.string(), "__tess_at": pa.int64()}
+_FOUND_DDL = "__tess_n long, __tess_hits binary, __tess_items array<string>, __tess_from long, __tess_to long, __tess_item string, __tess_at long"
+
+
 def scan(docs: DataFrame, test: TestSuffixes, text_col: str, carried: bool) -> DataFrame:
-    """Adds n_words, hits (binary: pairs of word positions [from, to)) and items to each row; with carried, to those that an earlier block found."""
+    """Adds n_words, hits (binary: pairs of word positions [from, to)), items and the longest match to each row; with carried, to those that an
+    earlier block found."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(test)
-    extra = "__tess_n long, __tess_hits binary, __tess_items array<string>"
     names = [c for c in docs.columns if not c.startswith("__tess_")] if carried else docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), extra])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), _FOUND_DDL])
 
     def run(batches: Iterator[pa.RecordBatch]):
         test = shared.value
@@ -114,7 +145,7 @@ def scan(docs: DataFrame, test: TestSuffixes, text_col: str, carried: bool) -> D
                     ids[at : at + len(t)] = np.fromiter((get(w, 0) for w in t), np.int64, len(t))
                 places, which = match_shard(test, ids)
                 doc = np.searchsorted(starts, places, "right") - 1
-                hits, items = [b""] * len(tokens), [[]] * len(tokens)
+                hits, items, best = [b""] * len(tokens), [[]] * len(tokens), [(None, None, None, None)] * len(tokens)
                 order = np.lexsort((places, doc))
                 doc, places, which = doc[order], places[order], which[order]
                 for d in np.unique(doc):
@@ -122,11 +153,16 @@ def scan(docs: DataFrame, test: TestSuffixes, text_col: str, carried: bool) -> D
                     begin = places[lo:hi] - starts[d]
                     hits[d] = merged(np.stack([begin, begin + test.lengths[which[lo:hi]]], 1)).tobytes()
                     items[d] = sorted({i for w in set(which[lo:hi].tolist()) for i in test.items[w]})
+                    best[d] = longest(test, begin, which[lo:hi])
                 if carried:
-                    for d, (old, had) in enumerate(zip(common.pylist(part, "__tess_hits"), common.pylist(part, "__tess_items"), strict=True)):
-                        hits[d] = merged(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in (old, hits[d])])).tobytes()
+                    old = zip(*(common.pylist(part, c) for c in list(_FOUND)[1:]), strict=True)
+                    for d, (spans, had, *match) in enumerate(old):
+                        hits[d] = merged(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in (spans, hits[d])])).tobytes()
                         items[d] = sorted({*had, *items[d]})
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(n), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], [*names, "__tess_n", "__tess_hits", "__tess_items"])
+                        best[d] = min((m for m in (tuple(match), best[d]) if m[0] is not None), key=lambda m: (m[0] - m[1], m[0], m[2], m[3]), default=best[d])
+                found = [n, hits, items, *(zip(*best, strict=True) if best else [[]] * 4)]
+                cols = [pa.array(list(v) if k != "__tess_n" else v, t) for (k, t), v in zip(_FOUND.items(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *cols], [*names, *_FOUND])
 
     return docs.mapInArrow(run, schema)
 
@@ -167,7 +203,7 @@ def spans_of(hits: bytes) -> np.ndarray:
 
 
 def report(found: DataFrame, id_col: str) -> DataFrame:
-    """The matches' figures by document, and the longest run of hit words with its place."""
+    """The matches' figures by document, and the longest verbatim match with its place and its item's."""
 
     def run(batches):
         for batch in batches:
@@ -175,16 +211,15 @@ def report(found: DataFrame, id_col: str) -> DataFrame:
             spans = [spans_of(h) for h in common.pylist(batch, "__tess_hits")]
             items = common.pylist(batch, "__tess_items")
             hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-            top = [s[np.argmax(s[:, 1] - s[:, 0])].tolist() if len(s) else [None, None] for s in spans]
+            best = [batch.column(batch.schema.get_field_index(c)) for c in list(_FOUND)[3:]]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]),
-                pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)]),
-                pa.array([t[0] for t in top], pa.int64()), pa.array([t[1] for t in top], pa.int64()),
-            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_from", "longest_to"])
+                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
+                pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)], pa.bool_()), *best,
+            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_from", "longest_to", "longest_item", "longest_at"])
 
-    kept = found.select(F.col(id_col).cast("long").alias("doc_id"), "__tess_n", "__tess_hits", "__tess_items")
-    return kept.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_from long, longest_to long")
+    kept = found.select(F.col(id_col).cast("long").alias("doc_id"), *_FOUND)
+    return kept.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_from long, longest_to long, longest_item string, longest_at long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
@@ -194,7 +229,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text",
         for batch in batches:
             hit = [int(np.diff(spans_of(h), axis=1).sum()) for h in common.pylist(batch, "__tess_hits")]
             keep = pa.array([not (h > 0 and 20 * h >= n) for h, n in zip(hit, common.pylist(batch, "__tess_n"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-3], batch.schema.names[:-3]).filter(keep)
+            yield pa.RecordBatch.from_arrays(batch.columns[: -len(_FOUND)], batch.schema.names[: -len(_FOUND)]).filter(keep)
 
     found = matches(docs, benchmark, text_col, item_col, item_text_col)
     return found.mapInArrow(run, docs.schema)

@@ -234,19 +234,39 @@ def brute_windows(texts, items, window=13):
     return out
 
 
+def brute_longest(text, items, window=13):
+    """From, to, item and place of the longest run of words that the text shares with an item, of a window or more."""
+    w, best = words(text), []
+    for item, other in items:
+        v = words(other)
+        n = min(window, len(v))
+        for p in range(len(w) - n + 1 if n else 0):
+            for q in range(len(v) - n + 1):
+                if w[p : p + n] == v[q : q + n]:
+                    m = n
+                    while p + m < len(w) and q + m < len(v) and w[p + m] == v[q + m]:
+                        m += 1
+                    best.append((-m, p, item, q))
+    m, p, item, q = min(best, default=(None,) * 4)
+    return (p, p - m, item, q) if best else (None,) * 4
+
+
 def test_windows_by_brute_force_in_blocks(spark, odd, none, monkeypatch):
     rng = random.Random(6)
     vocab = "aa bb cc dd ee".split()
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     items = [(str(k), " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 2, 5, 13, 20])))) for k in range(25)]
-    items += [("x", " ".join(texts[3].split()[:16])), ("x", " ".join(texts[3].split()[:16])), ("y", texts[9])]
+    items += [("x", " ".join(texts[3].split()[:16])), ("x", " ".join(texts[3].split()[:16])), ("y", texts[9]), ("two", " ".join(texts[3].split()[:15])), ("runs", " ".join(texts[9].split()[2:30]))]
+    texts += [" ".join(texts[3].split()[:15] + texts[9].split()[4:24]), "aa " * 40]
+    items.append(("same", "aa " * 20))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = brute_windows(texts, items)
     for size in (8_000_000, 60):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
-        got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.report(decontaminate.matches(docs, bench), "doc_id").collect()}
-        assert [got[k] for k in range(len(texts))] == want
+        got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.report(decontaminate.matches(docs, bench), "doc_id").collect()}
+        assert [got[k][:5] for k in range(len(texts))] == want
+        assert [got[k][5:] for k in range(len(texts))] == [brute_longest(t, items) for t in texts]
     bench = spark.createDataFrame([(None, "passage3 common passage4 common passage5 common passage6 common passage7 common passage8 common passage9"), ("e", None)], "item_id string, text string")
     kept = decontaminate.remove_contaminated(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
