@@ -14,8 +14,9 @@ words or more are few, and are listed under single words.
 Within a list two nodes must pass the length filter, the positional filter (the first words they share are the list's, so what follows these in the
 shorter remainder bounds the overlap) and a parity filter: tables of 128 to 1,024 bits differ in at most as many places as the sets' words that
 aren't shared. Each node then names the PARTNERS nearest earlier nodes of each list, which the sets themselves verify: first the
-nearest of all, then, if the node stays, the others. A node that still stays though a list may hold further partners for it is held against the whole of such
-lists, in blocks, until one is verified; only the node is handed on. So a large group of variants costs in proportion to its size, and no similar
+nearest of all, then, if the node stays, the others. A node that still stays though a list may hold further partners for it is held against the whole of its
+lists, until one is verified; only the node is handed on. Few nodes come to that: up to ASKED times BLOCKS of them are sent to all texts, ASKED at a
+time; more meet their lists' nodes in an exchange. So a large group of variants costs in proportion to its size, and no similar
 pair that could remove a line is passed over. A list longer than MOST is first searched in pieces of that length and among its PIVOTS earliest nodes.
 
 Postings travel as blocks of many rows for one bucket of lists, of about BUCKET rows each; a bucket of more than HELD rows is
@@ -23,7 +24,7 @@ searched in pieces, and its nodes count as having further partners. So a task ho
 
 Null text has no lines; empty lines stay. Rows equal in doc_id and text count as one document. Columns other than the text
 are passed on; a text whose lines all go becomes empty. An empty table gives an empty table. A text is read whole, so a worker's memory must
-hold the longest one and the hashes of its words. Columns named __tess_dk or __tess_gone are the operator's own. docs is read several times: pass a table.
+hold the longest one and the hashes of its words. Columns named __tess_* are the operator's own. docs is read several times: pass a table.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tessellon.llm import common
 
@@ -54,8 +54,11 @@ _MOST_COUNTED = (1 << 24) - 1
 SIZES = (192, 384, 768)
 _WIDEST = 16
 BUCKET, HELD = 100_000, 1_000_000
-_SENT = 400_000
-_CELLS = 500_000
+#: Nodes that are sent to all texts at once, and how many times; beyond that lists are exchanged instead.
+ASKED, BLOCKS = 20_000, 4
+_SENT = 150_000
+_CELLS = 400_000
+_SLICE = 500_000
 _ONE = np.uint64(1)
 
 
@@ -150,7 +153,7 @@ def _parts(batches: Iterator[pa.RecordBatch]):
     """Lines, and the ids and document keys of their texts' rows."""
     common.use_only()
     for batch in batches:
-        for part in common.slices(batch, "text", 1_000_000):
+        for part in common.slices(batch, "text", _SLICE):
             yield Lines.of(common.pylist(part, "text")), part.column(0).to_numpy(), part.column(1).to_numpy()
 
 
@@ -417,10 +420,16 @@ def nearest(rows: dict[str, np.ndarray], cut: bool, most: int, pivots: int = PIV
     """Of each node and list: the nearest earlier nodes (a, b, gap), and nodes that may have still others in a list (b is -1 there): a row's number
     for a and b."""
     key, node = rows["key"], rows["node"]
-    by = np.lexsort((rows["rank"], rows["id"], node, key))
+    by = np.lexsort((node, key))
     new = np.ones(len(by), bool)
     new[1:] = (key[by[1:]] != key[by[:-1]]) | (node[by[1:]] != node[by[:-1]])
-    by = by[new]
+    if not new.all():  # of a node's rows in a list, its first line's
+        again = np.zeros(len(by), bool)
+        again[:-1] = ~new[1:]
+        again |= ~new
+        mine = by[again]
+        by[again] = mine[np.lexsort((rows["rank"][mine], rows["id"][mine], node[mine], key[mine]))]
+        by = by[new]
     lists = key[by] >> np.uint64(16)
     begins = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(by) else np.empty(0, np.int64)
     size = np.diff(np.append(begins, len(by)))
@@ -436,6 +445,10 @@ def nearest(rows: dict[str, np.ndarray], cut: bool, most: int, pivots: int = PIV
     row = np.arange(count)
     least = key >> np.uint64(16) << np.uint64(16) | np.minimum(needed(n), 65535).astype(np.uint64)
     low = np.maximum(np.searchsorted(key, least), np.where(long, first + (row - first) // most * most, 0))
+    # by the positional filter the smaller set has at most 9/4 of the larger one's room less its size
+    most_n = np.minimum(rows["room"].astype(np.int64) * 9 // 4 - n, n)
+    bound = key >> np.uint64(16) << np.uint64(16) | np.maximum(np.minimum(most_n, 65535), 0).astype(np.uint64)
+    high = np.where(n >= 65535, row, np.minimum(np.searchsorted(key, bound, "right"), row))
     best, partner, seen = np.full((count, partners), 1 << 20), np.full((count, partners), -1), np.zeros(count, np.int64)
 
     def offer(later: np.ndarray, earlier: np.ndarray, gap: np.ndarray) -> None:
@@ -472,7 +485,7 @@ def nearest(rows: dict[str, np.ndarray], cut: bool, most: int, pivots: int = PIV
                 pair(i, j)
             at = end
 
-    pair_ranges(row, low, row - low, row)
+    pair_ranges(row, low, np.maximum(high - low, 0), row)
     for a, m in zip(begins[size > most].tolist(), size[size > most].tolist(), strict=True):
         mine = np.arange(a, a + m)
         early = mine[np.lexsort((rows["rank"][a : a + m], rows["id"][a : a + m]))[:pivots]]
@@ -534,6 +547,80 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _ASKED = "list long, node long, id long, dk long, line int, n int, room int, bits binary, words binary"
 
 
+class Asked:
+    """Nodes that ask for similar earlier ones: their places, words and postings, by list."""
+
+    def __init__(self, rows: list[tuple[int, tuple[int, int, int], bytes]], listing: Listing):
+        rows = sorted(rows)
+        got = Lines.of([words for _, _, words in rows])
+        self.node, self.n = got.node, got.n
+        self.first = np.array([place for _, place, _ in rows], np.int64).reshape(-1, 3)
+        self.words = [frozenset(words.split()) for _, _, words in rows]
+        self.bits = parity(got.hashes, got.owner, len(got.n), 128)
+        owner, key, room = listing.keys(got)
+        order = np.argsort(key >> np.uint64(16), kind="stable")
+        self.key, self.owner, self.room = (key >> np.uint64(16))[order], owner[order], room[order]
+
+    def met(self, got: Lines, ids: np.ndarray, keys: np.ndarray, listing: Listing, done: np.ndarray) -> list[int]:
+        """Nodes not done before that one of the lines precedes and resembles; they are done then."""
+        owner, key, room = listing.keys(got)
+        low, high = (np.searchsorted(self.key, key >> np.uint64(16), side) for side in ("left", "right"))
+        some = np.flatnonzero(high > low)
+        if not len(some):
+            return []
+        mine = np.zeros(len(got.n), bool)
+        mine[owner[some]] = True
+        few = got.only(mine)
+        owner, room, low, many = (np.cumsum(mine) - 1)[owner[some]], room[some], low[some], (high - low)[some]
+        bits = parity(few.hashes, few.owner, len(few.n), 128)
+        places = np.stack([ids[few.row], keys[few.row], few.number], 1)
+        total, at, out = np.cumsum(many), 0, []
+        while at < len(owner):
+            end = max(at + 1, int(np.searchsorted(total, total[at] - many[at] + _CELLS, "right")))
+            c = many[at:end]
+            i = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:end], c)
+            j, space = np.repeat(owner[at:end], c), np.minimum(np.repeat(room[at:end], c), self.room[i])
+            i = self.owner[i]
+            size = self.n[i] + few.n[j]
+            ok = (space * 9 >= 4 * size) & ~done[i] & (self.node[i] != few.node[j]) & precede(places[j], self.first[i])
+            i, j, size = i[ok], j[ok], size[ok]
+            gap = np.bitwise_count(self.bits[i] ^ bits[j]).sum(1).astype(np.int64)
+            ok = gap * 9 <= size
+            i, j = i[ok][order := np.argsort(gap[ok], kind="stable")], j[ok][order]
+            for a, b in dict.fromkeys(zip(i.tolist(), j.tolist(), strict=True)):
+                if not done[a] and similar(self.words[a], set(few.words(b).split())):
+                    done[a] = True
+                    out.append(int(self.node[a]))
+            at = end
+        return out
+
+
+def precede(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the places (id, dk, line) of a come before those of b."""
+    out = a[:, 2] < b[:, 2]
+    for k in (1, 0):
+        out = (a[:, k] < b[:, k]) | ((a[:, k] == b[:, k]) & out)
+    return out
+
+
+def asked_of_all(docs: DataFrame, id_col: str, text_col: str, listing: Listing, asked: DataFrame) -> DataFrame:
+    """Those of few nodes (node, first, words) that have a similar earlier node in their lists: they are sent to all texts."""
+    context = docs.sparkSession.sparkContext
+    rows = [(r["node"], tuple(r["first"]), bytes(r["words"])) for r in asked.toLocalIterator()]
+    shared = context.broadcast((Asked(rows, listing), listing))
+
+    def run(batches):
+        asked, listing = shared.value
+        done = np.zeros(len(asked.node), bool)
+        for got, ids, keys in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(asked.met(got.only(got.n >= PAIRED), ids, keys, listing, done), pa.int64())], ["node"])
+
+    return _source(docs, id_col, text_col).mapInArrow(run, "node long").distinct()
+
+
+_ASKED = "list long, node long, id long, dk long, line int, n int, room int, bits binary, words binary, asks boolean"
+
+
 def whole_lists(docs: DataFrame, id_col: str, text_col: str, listing: Listing, left: DataFrame, held: int = 5000) -> DataFrame:
     """Those nodes of left (node, list) that have a similar earlier node in their lists. Every list's nodes meet its open ones, `held` of these in a
     task, and an open one is done with its first."""
@@ -544,31 +631,24 @@ def whole_lists(docs: DataFrame, id_col: str, text_col: str, listing: Listing, l
 
     def listed(batches):
         for got, ids, keys in _parts(batches):
-            rank = ranks(keys[got.row], got.number)
-            once = first_of_each(got.node, ids[got.row], rank) & (got.n >= PAIRED)
-            got = got.only(once)
+            got = got.only(first_of_each(got.node, ids[got.row], ranks(keys[got.row], got.number)) & (got.n >= PAIRED))
             owners, key, room = shared.value.keys(got)
             key = (key >> np.uint64(16)).astype(np.int64)
-            ok = common.in_bloom(lists.value, key)
-            owners, key, room = owners[ok], key[ok], room[ok]
-            if len(owners):
-                bits = parity(got.hashes, got.owner, len(got.n), 128)[owners]
-                row = got.row[owners]
-                cols = [pa.array(key), pa.array(got.node[owners]), pa.array(ids[row]), pa.array(keys[row]), pa.array(got.number[owners].astype(np.int32)), pa.array(got.n[owners].astype(np.int32)), pa.array(room.astype(np.int32))]
-                cols += [_binary(bits, np.arange(len(bits) + 1) * 16), pa.array([got.words(k) for k in owners.tolist()], pa.binary())]
+            ok = np.flatnonzero(common.in_bloom(lists.value, key))
+            bits = parity(got.hashes, got.owner, len(got.n), 128)
+            for a in range(0, len(ok), 4000):
+                own = owners[ok[a : a + 4000]]
+                row = got.row[own]
+                cols = [pa.array(key[ok[a : a + 4000]]), pa.array(got.node[own]), pa.array(ids[row]), pa.array(keys[row]), pa.array(got.number[own].astype(np.int32)), pa.array(got.n[own].astype(np.int32)), pa.array(room[ok[a : a + 4000]].astype(np.int32))]
+                cols += [_binary(bits[own], np.arange(len(own) + 1) * 16), pa.array([got.words(k) for k in own.tolist()], pa.binary()), pa.array(common.in_bloom(open_ones.value, got.node[own]))]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _ASKED.split(", ")])
 
-    def asked(batches):
-        for batch in batches:
-            yield batch.append_column("asks", pa.array(common.in_bloom(open_ones.value, batch.column(1).to_numpy())))
-
     def meet(batches):
         now, asking, done = None, [], np.empty(0, bool)
         for batch in batches:
             chunk, asks = batch.column(batch.schema.get_field_index("chunk")).to_numpy(), batch.column(batch.schema.get_field_index("asks")).to_numpy(zero_copy_only=False)
             rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("list", "node", "id", "dk", "line", "n", "room")}
-            bits = batch.column(batch.schema.get_field_index("bits"))
-            rows["bits"] = np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(-1, 2)
+            rows["bits"] = np.frombuffer(b"".join(common.pylist(batch, "bits")), "<u8").reshape(-1, 2)
             rows["words"] = np.array([*common.pylist(batch, "words"), None], object)[:-1]
             new = np.concatenate([[True], (rows["list"][1:] != rows["list"][:-1]) | (chunk[1:] != chunk[:-1]) | (asks[1:] != asks[:-1])])
             gone = []
@@ -588,12 +668,14 @@ def whole_lists(docs: DataFrame, id_col: str, text_col: str, listing: Listing, l
                     gone += first_matches(asking[0], mine, done)
             yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["node"])
 
-    rows = _source(docs, id_col, text_col).mapInArrow(listed, _ASKED).mapInArrow(asked, _ASKED + ", asks boolean")
+    rows = _source(docs, id_col, text_col).mapInArrow(listed, _ASKED)
     chunks = left.groupBy("list").agg(F.ceil(F.count("*") / held).cast("int").alias("chunks"))
-    rows = rows.join(chunks, "list")
-    members = rows.withColumn("asks", F.lit(False)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    askers = rows.where("asks").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = members.unionByName(askers).repartition(common.tasks(spark), "list", "chunk").sortWithinPartitions("list", "chunk", F.desc("asks"))
+    role = lambda chunk, asks: F.struct(chunk.cast("int").alias("chunk"), F.lit(asks).alias("asks"))
+    member = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: role(c, False))
+    asker = F.when(F.col("asks"), F.array(role(F.pmod(F.xxhash64("node"), F.col("chunks")), True))).otherwise(F.slice(member, 1, 0))
+    rows = rows.join(chunks, "list").withColumn("role", F.explode(F.concat(asker, member)))
+    rows = rows.drop("asks", "chunks").select("*", "role.chunk", "role.asks").drop("role")
+    dealt = rows.repartition(common.tasks(spark), "list", "chunk").sortWithinPartitions("list", "chunk", F.desc("asks"))
     return dealt.mapInArrow(meet, "node long").distinct()
 
 
@@ -605,10 +687,8 @@ def first_matches(asking: dict[str, np.ndarray], others: dict[str, np.ndarray],
     for a in range(0, len(done), step):
         i, j = np.divmod(np.arange(min(step, len(done) - a) * width), width)
         i += a
-        earlier = (others["id"][j], others["dk"][j], others["line"][j])
-        own = (asking["id"][i], asking["dk"][i], asking["line"][i])
-        before = (earlier[0] < own[0]) | ((earlier[0] == own[0]) & ((earlier[1] < own[1]) | ((earlier[1] == own[1]) & (earlier[2] < own[2]))))
-        ok = before & ~done[i] & (asking["node"][i] != others["node"][j])
+        place = lambda rows, k: np.stack([rows["id"][k], rows["dk"][k], rows["line"][k]], 1)
+        ok = precede(place(others, j), place(asking, i)) & ~done[i] & (asking["node"][i] != others["node"][j])
         i, j = i[ok], j[ok]
         s = (asking["n"][i] + others["n"][j]).astype(np.int64)
         ok = np.minimum(asking["room"][i], others["room"][j]).astype(np.int64) * 9 >= 4 * s
@@ -643,7 +723,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     partners = stage(named_partners(listed, parts, MOST, HELD), "partners")
     common.reclaim(spark)
     pairs = stage(partners.where("b is not null").groupBy("a", "b").agg(F.min("gap").alias("gap")), "pairs")
-    sets = stage(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, id_col, text_col), "sets")
+    known = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(partners.where("many").select("a"))
+    sets = stage(sets_of(known, docs, id_col, text_col), "sets")
     # most lines that go are shown to go by their nearest partner; the others are asked about only where it fails
     best = stage(pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), "best")
     gone = stage(verify(best, sets), "gone")
@@ -652,39 +733,46 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # nodes that still stay and may have other partners
     left = partners.where("many").select(F.col("a").alias("node"), "list").distinct().join(gone, "node", "left_anti")
     left = stage(left, "left")
-    if left.head(1):
+    asked = left.select("node").distinct().join(sets, "node")
+    blocks = -(-asked.count() // ASKED)
+    if blocks > BLOCKS:
         gone = stage(gone.union(whole_lists(docs, id_col, text_col, listing, left)).distinct(), "gone")
+    else:
+        for k in range(blocks):
+            block = asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)
+            gone = stage(gone.union(asked_of_all(docs, id_col, text_col, listing, block)).distinct(), "gone")
     common.reclaim(spark)
     firsts = found.groupBy("node").agg(F.min(F.struct("id", "dk", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = firsts.join(gone.withColumn("gone", F.lit(True)), "node", "full")
     out = found.join(named, "node").where(F.col("gone").isNotNull() | (F.struct("id", "dk", "line") != F.col("first")))
-    lost = common.stage(out.groupBy("dk").agg(F.collect_set("line").alias("gone")), "gone-lines")
+    lost = common.stage(out.groupBy("dk").agg(F.collect_set("line").alias("gone")).mapInArrow(_flagged, "dk long, gone array<int>, flags array<boolean>"), "gone-lines")
     common.drop_stage(spark, *staged)
     return lost
 
 
+def _flagged(batches: Iterator[pa.RecordBatch]):
+    """The numbers in order, and by number whether the line goes."""
+    for batch in batches:
+        gone = [sorted(numbers) for numbers in common.pylist(batch, "gone")]
+        flags = []
+        for numbers in gone:
+            own = np.zeros(numbers[-1] + 1, bool)
+            own[numbers] = True
+            flags.append(own.tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_()))], ["dk", "gone", "flags"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all their columns, with the text's repeated lines taken out, and __tess_gone: the numbers of the lines that went."""
     spark = docs.sparkSession
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone"))
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone"), F.col("flags").alias("__tess_flags"))
     common.reclaim(spark)
-    names = docs.columns
-    schema = StructType([*docs.schema.fields]).add("__tess_gone", ArrayType(IntegerType()))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts, lost = batch.column(at).to_pylist(), common.pylist(batch, "__tess_gone")
-            for k, numbers in enumerate(lost):
-                if numbers:
-                    numbers = set(numbers)
-                    texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in numbers)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols[names.index(text_col)] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([sorted(x or ()) for x in lost], pa.list_(pa.int32()))], [*names, "__tess_gone"])
-
-    marked = docs.withColumn("__tess_dk", doc_key(id_col, text_col)).join(gone, "__tess_dk", "left")
-    return marked.drop("__tess_dk").mapInArrow(run, schema)
+    lines = F.split(F.col(text_col), "\n", -1)
+    kept = F.filter(lines, lambda x, k: ~F.coalesce(F.get("__tess_flags", k), F.lit(False)))
+    marked = docs.withColumn("__tess_dk", doc_key(id_col, text_col)).join(gone, "__tess_dk", "left").drop("__tess_dk")
+    none = F.array().cast("array<int>")
+    text = F.when(F.col("__tess_flags").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return marked.withColumn(text_col, text).withColumn("__tess_gone", F.coalesce("__tess_gone", none)).select(*(f"`{c}`" for c in docs.columns), "__tess_gone")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

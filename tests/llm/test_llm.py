@@ -558,10 +558,11 @@ def brute_lines(docs):
     return out
 
 
-@pytest.mark.parametrize(("light", "most"), [(1024, 16_384), (2, 3), (3, 1000), (1000, 2)])
-def test_lines_by_brute_force(spark, monkeypatch, light, most):
+@pytest.mark.parametrize(("light", "most", "blocks"), [(1024, 16_384, 4), (2, 3, 4), (2, 3, 0), (3, 1000, 4), (1000, 2, 0)])
+def test_lines_by_brute_force(spark, monkeypatch, light, most, blocks):
     monkeypatch.setattr(line_dedup, "LIGHT", light)
     monkeypatch.setattr(line_dedup, "MOST", most)
+    monkeypatch.setattr(line_dedup, "BLOCKS", blocks)
     rng = random.Random(14)
     pool = variants(rng, 30, 40, 5) + variants(rng, 20, 250, 40) + variants(rng, 20, 8, 1) + variants(rng, 10, 110, 20)
     texts = ["\n".join([*(rng.choice(pool) for _ in range(rng.randint(0, 6))), *([""] * rng.randint(0, 2)), "short line"]) for _ in range(60)]
@@ -584,6 +585,20 @@ def test_line_whose_earlier_partner_has_gone(spark):
     assert [got[k] for k in range(len(texts))] == brute_lines(texts)
 
 
+@pytest.mark.parametrize(("held", "asked"), [(40, 3), (500, 20_000)])
+def test_lines_in_pieces(spark, monkeypatch, held, asked):
+    """Buckets that come in pieces, several blocks of open nodes, sets of more than BIG words."""
+    for name, value in (("HELD", held), ("BUCKET", 200), ("ASKED", asked), ("BLOCKS", 1000), ("BIG", 60), ("PIVOTS", 2)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(15)
+    pool = variants(rng, 12, 40, 5) + variants(rng, 8, 65, 7) + variants(rng, 6, 200, 20) + variants(rng, 4, 900, 80)
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").distinct()
+    rows = sorted((r["doc_id"], r["k"], r["text"]) for r in docs.select("*", line_dedup.doc_key("doc_id", "text").alias("k")).collect())
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == sorted(zip([r[0] for r in rows], brute_lines([r[2] for r in rows]), strict=True))
+
+
 def test_lines_of_documents_out_of_order(spark):
     """A repeated line counts from its least doc_id, though a batch shows it under a greater one first."""
     rows = []
