@@ -23,6 +23,7 @@ import re
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,8 @@ KEPT = 450_000
 RATE = 0.1
 SEED = 20_24
 _MASK, _NEVER = (1 << 64) - 1, 1 << 60
+_ID_BITS = 20
+_ID_MASK = (1 << _ID_BITS) - 1
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> str:
@@ -73,6 +76,25 @@ class PieceModel:
                 self.bytes_of[i] = p.piece.replace(BLANK, " ").encode()
         order = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {p: order[s] for p, s in scores.items()}  # 0 is merged first
+        # symbols by number: pieces have theirs, characters that occur in pieces alone the next ones; any other character has the last
+        # number and takes part in no merge. Pairs that are a piece have its rank and number, which gives the
+        # agenda's order where ranks differ: only runs of blanks may have equal ones.
+        number = dict(self.piece)
+        for c in sorted({c for p in self.piece for c in p} - set(number)):
+            number[c] = len(self.bytes_of) + len(number) - len(self.piece)
+        self.single = {c: i for c, i in number.items() if len(c) == 1}
+        self.lone, self.alone = _ID_MASK, {i: c for c, i in self.single.items() if i >= len(self.bytes_of)}
+        self.pairs: dict[int, int] | None = None
+        ranked = Counter(self.rank[p] for p in self.piece if len(p) > 1)
+        tied = {p for p in self.piece if len(p) > 1 and ranked[self.rank[p]] > 1}
+        if not any(p.strip(BLANK) for p in tied) and len(self.bytes_of) + len(number) < _ID_MASK:
+            self.pairs = {}
+            for p, i in self.piece.items():
+                value = self.rank[p] << _ID_BITS | i
+                for k in range(1, len(p)):
+                    left, right = number.get(p[:k]), number.get(p[k:])
+                    if left is not None and right is not None:
+                        self.pairs[left << _ID_BITS | right] = value
         if any(BLANK in p.lstrip(BLANK) for p in self.piece):
             raise ValueError("pieces that go over a blank aren't supported")
         marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -154,6 +176,41 @@ class PieceModel:
                 ranks[k - 1] = get(symbols[k - 1] + joined, _NEVER)
         return symbols, asked
 
+    def drawn(self, unit: str, draw: int) -> tuple[list[int], int]:
+        """Ids of a short unit, where the bits of draw say from the lowest on which candidates are skipped; and how many came up."""
+        text = unit.replace(" ", BLANK)
+        if self.pairs is None or "  " in unit:
+            symbols, asked = self._merge_drawn(list(text), draw)
+            return self._ids(symbols), asked
+        lone, single, get = self.lone, self.single, self.pairs.get
+        symbols = [single.get(c, lone) for c in text]
+        spare = [c for c, i in zip(text, symbols, strict=True) if i == lone]
+        ranks = [get(a << _ID_BITS | b, _NEVER) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        asked = 0
+        while ranks:
+            rank = min(ranks)
+            if rank == _NEVER:
+                break
+            k = ranks.index(rank)
+            asked += 1
+            if draw & 1:
+                ranks[k] = _NEVER
+                draw >>= 1
+                continue
+            draw >>= 1
+            joined = symbols[k] = rank & _ID_MASK
+            del symbols[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = get(joined << _ID_BITS | symbols[k + 1], _NEVER)
+            if k:
+                ranks[k - 1] = get(symbols[k - 1] << _ID_BITS | joined, _NEVER)
+        if max(symbols) < len(self.bytes_of):
+            return symbols, asked
+        out, rest = [], iter(spare)
+        for i in symbols:
+            out += [i] if i < len(self.bytes_of) else self._ids([next(rest) if i == lone else self.alone[i]])
+        return out, asked
+
     def _merge_long(self, given: list[str], limit: int, base: int) -> list[str]:
         """The same agenda as a heap, for units of any length."""
         symbols: list[str | None] = list(given)
@@ -212,8 +269,8 @@ class Plain(dict):
         elif len(unit) > SHORT:
             got = self.packed(self.model.segment(unit)), _LONG
         else:
-            symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), 0)
-            got = self.packed(self.model._ids(symbols)), (1 << asked) - 1
+            ids, asked = self.model.drawn(unit, 0)
+            got = self.packed(ids), (1 << asked) - 1
         self.keep(unit, got)
         return got
 
@@ -251,8 +308,8 @@ class Encoder:
         if unit == BLANK or len(unit) > SHORT:
             ids, mask = self.plain[unit]
             return self.dropped(unit, draw, mask, key, place) if draw & mask else ids
-        symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), draw)
-        ids, mask = self.plain.packed(self.model._ids(symbols)), (1 << asked) - 1
+        ids, asked = self.model.drawn(unit, draw)
+        ids, mask = self.plain.packed(ids), (1 << asked) - 1
         if not draw & mask:
             self.plain.keep(unit, (ids, mask))
         return ids
@@ -273,8 +330,8 @@ class Encoder:
             mask = got
         if len(known) >= self.kept:
             known.clear()
-        symbols, asked = self.model._merge_drawn(list(unit.replace(" ", BLANK)), draw)
-        ids, wide = self.plain.packed(self.model._ids(symbols)), (1 << asked) - 1
+        ids, asked = self.model.drawn(unit, draw)
+        ids, wide = self.plain.packed(ids), (1 << asked) - 1
         if wide > mask:
             known[unit, draw & mask, mask] = wide
             mask = wide

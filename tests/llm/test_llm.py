@@ -136,6 +136,36 @@ def test_short_and_long_agendas_agree():
             assert model._merge_short(list(unit), limit, 99) == model._merge_long(unit, limit, 99)
 
 
+def brute_agenda(model, unit, draw):
+    """The agenda by its definition: the best pair that is a piece and isn't skipped, leftmost among equals; each that comes up takes a bit."""
+    symbols, skipped, asked = list(unit.replace(" ", pieces.BLANK)), set(), 0
+    while True:
+        some = [(model.rank[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in model.rank and k not in skipped]  # noqa: B905
+        if not some:
+            return model._ids(symbols), asked
+        _, k = min(some)
+        asked += 1
+        if draw >> (asked - 1) & 1:
+            skipped.add(k)
+            continue
+        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        # a skipped candidate comes up again once one of its symbols has changed
+        skipped = {q if q < k else q - 1 for q in skipped if q not in (k - 1, k, k + 1)}
+
+
+def test_dropout_by_the_definition():
+    model = pieces.PieceModel(pieces.public_model())
+    assert model.pairs is not None
+    rng = random.Random(31)
+    letters = "etaoinshrdlu" * 3 + "ABC.,-'09é日\u0378😀 "
+    for k in range(3000):
+        unit = " " * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, pieces.SHORT - 3)))
+        draw = sum(1 << b for b in range(63) if rng.random() < (0.0, 0.1, 0.5)[k % 3]) | 1 << 63
+        assert model.drawn(unit, draw) == brute_agenda(model, unit, draw)
+        symbols, asked = model._merge_drawn(list(unit.replace(" ", pieces.BLANK)), draw)
+        assert (model._ids(symbols), asked) == model.drawn(unit, draw)
+
+
 def test_every_occurrence_has_its_own_dropout():
     """Shares of segmentations are those of independent draws, and their number isn't bound; what is kept has no bearing."""
     path, rng = pieces.public_model(), random.Random(3)
