@@ -25,9 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from tessellon.llm import common
 from tessellon.llm.components import components
@@ -115,12 +114,8 @@ def _text_parts(texts: list[bytes | None]):
     return np.array(nodes, np.uint64).view(np.int64), *common.shingle_runs(hashes, counts)
 
 
-def nodes_of(texts: list[bytes | None]) -> np.ndarray:
-    return _text_parts(texts)[0]
-
-
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (hash of the words), n (shingles), x, y (one bit of each slot) and band hashes (binary) of every row."""
+    """id, node (hash of the words), row and row2 (hashes of id and text), n (shingles), x, y (one bit of each slot) and band hashes (binary) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -136,10 +131,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 got = signatures(elements, weights, counts)
                 x, y = one_bits(got)
                 bands = [b.tobytes() if n else b"" for b, n in zip(band_hashes(got).astype("<u8"), many[first], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(many.astype(np.int64)), pa.array(x[again]), pa.array(y[again]), pa.array([bands[k] for k in again], pa.binary())], ["id", "node", "n", "x", "y", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(nodes), pa.array(many.astype(np.int64)), pa.array(x[again]), pa.array(y[again]), pa.array([bands[k] for k in again], pa.binary())], ["id", "row", "row2", "node", "n", "x", "y", "bands"])
+
+    source = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), common.as_bytes(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {kind}, row long, row2 int, node long, n long, x long, y long, bands binary")
 
-    source = docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, node long, n long, x long, y long, bands binary")
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """96 bits that tell rows of other ids or texts apart."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.hash(F.col(text_col), F.col(id_col)).alias("row2")]
 
 
 def _postings(batches):
@@ -298,7 +298,7 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and node of every row, and root: the node that stands for its class."""
+    """id, row, row2 and node of every row, and root: the node that stands for its class."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     n = common.tasks(spark)
@@ -337,8 +337,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main")).join(bags, "node")
     members = members.select("family", "node", "n", "x", "y", "root", "closed", "bag").repartition(n, "family").sortWithinPartitions("family", "closed", "node")
     links = links.union(stage(members.mapInArrow(_family_links, "a long, b long"), "links"))
-    out = signed.select("id", "node").join(components(links), "node", "left")
-    out = common.stage(out.select("id", "node", F.coalesce("root", "node").alias("root")), "classes")
+    out = signed.select("id", "row", "row2", "node").join(components(links), "node", "left")
+    out = common.stage(out.select("id", "row", "row2", "node", F.coalesce("root", "node").alias("root")), "classes")
     common.drop_stage(spark, *staged)
     common.reclaim(spark)
     return out
@@ -353,26 +353,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all their columns, with one row of each class: that with the least doc_id (nulls last), ties by text."""
+    """docs, all their columns, with one row of each class: that with the least doc_id (nulls last), ties by the words' and the row's hash; of rows
+    equal in doc_id and text that with the least hash over all columns. Texts are dealt out once, by the row's hash."""
     found = classes(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
-    keepers = found.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("__tess_id"), F.col("k.node").alias("__tess_node"))
-
-    def with_node(batches):
-        for batch in batches:
-            for part in common.slices(batch, text_col):
-                texts = [t.encode() if isinstance(t, str) else t for t in common.pylist(part, text_col)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nodes_of(texts))], [*part.schema.names, "__tess_node"])
-
-    rows = docs.mapInArrow(with_node, StructType([*docs.schema.fields]).add("__tess_node", LongType()))
-    # one key for the join and for the choice among repeated rows, so that texts are dealt out once
-    rows = rows.withColumn("__tess_key", F.xxhash64("__tess_node", F.col(id_col)))
-    keepers = keepers.withColumn("__tess_key", F.xxhash64("__tess_node", "__tess_id"))
-    same = (rows["__tess_key"] == keepers["__tess_key"]) & (rows["__tess_node"] == keepers["__tess_node"]) & rows[id_col].eqNullSafe(keepers["__tess_id"])
-    kept = rows.join(keepers, same, "left_semi")
-    # rows that repeat a keeper's id and words: the one with the least text stays
-    one = kept.groupBy("__tess_key", "__tess_node").agg(F.min_by(F.struct(*(f"`{c}`" for c in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("__tess_row"))
-    return one.select(*(F.col("__tess_row").getField(c).alias(c) for c in docs.columns))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "row", "row2"))
+    keepers = found.groupBy("root").agg(first.alias("k")).select(F.col("k.row").alias("__tess_row"), F.col("k.row2").alias("__tess_row2"))
+    row, row2 = row_keys(id_col, text_col)
+    keys = ["__tess_row", "__tess_row2"]
+    # the join and the choice among repeated rows have the same keys, so texts are exchanged once
+    kept = docs.withColumns(dict(zip(keys, (row, row2), strict=True))).join(keepers.hint("merge"), keys, "left_semi")
+    every = F.struct(*(f"`{c}`" for c in docs.columns))
+    one = kept.groupBy(*keys).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("__tess_one"))
+    return one.select(*(F.col("__tess_one").getField(c).alias(c) for c in docs.columns))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
