@@ -556,6 +556,8 @@ class Asked:
         self.node, self.n = got.node, got.n
         self.first = np.array([place for _, place, _ in rows], np.int64).reshape(-1, 3)
         self.words = [frozenset(words.split()) for _, _, words in rows]
+        self.known = np.zeros(COUNTERS, bool)
+        self.known[(got.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] = True
         self.bits = parity(got.hashes, got.owner, len(got.n), 128)
         owner, key, room = listing.keys(got)
         order = np.argsort(key >> np.uint64(16), kind="stable")
@@ -563,6 +565,9 @@ class Asked:
 
     def met(self, got: Lines, ids: np.ndarray, keys: np.ndarray, listing: Listing, done: np.ndarray) -> list[int]:
         """Nodes not done before that one of the lines precedes and resembles; they are done then."""
+        # a line that resembles one of the nodes has that share of its own words from theirs
+        familiar = np.bincount(got.owner, self.known[(got.hashes & np.uint64(COUNTERS - 1)).astype(np.int64)], len(got.n))
+        got = got.only((familiar >= needed(got.n)) & (got.n >= PAIRED))
         owner, key, room = listing.keys(got)
         low, high = (np.searchsorted(self.key, key >> np.uint64(16), side) for side in ("left", "right"))
         some = np.flatnonzero(high > low)
@@ -613,7 +618,7 @@ def asked_of_all(docs: DataFrame, id_col: str, text_col: str, listing: Listing,
         asked, listing = shared.value
         done = np.zeros(len(asked.node), bool)
         for got, ids, keys in _parts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(asked.met(got.only(got.n >= PAIRED), ids, keys, listing, done), pa.int64())], ["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked.met(got, ids, keys, listing, done), pa.int64())], ["node"])
 
     return _source(docs, id_col, text_col).mapInArrow(run, "node long").distinct()
 
