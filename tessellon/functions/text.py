@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 _EMPTY = "array<string>"
 
-#: Accented Latin letters and their base letters, from Unicode's own decompositions.
-import unicodedata  # noqa: E402
+def _plain(c: str) -> str:
+    return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+
 
-_ACCENTED = [c for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) and len(d) == 1 and d.isalpha()]
-ACCENTED = "".join(_ACCENTED)
-PLAIN = "".join(unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in _ACCENTED)
+#: Characters that Unicode's compatibility decomposition brings to one ASCII character, and to several.
+_KNOWN = {c: d for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F200))) if (d := _plain(c))}
+ACCENTED = "".join(c for c, d in _KNOWN.items() if len(d) == 1)
+PLAIN = "".join(d for d in _KNOWN.values() if len(d) == 1)
+SEVERAL = {c: d for c, d in _KNOWN.items() if len(d) > 1}
 
 
 def let(value: Column, use) -> Column:
@@ -87,10 +92,18 @@ def readability_grade(c: Column) -> Column:
     return let(words(c), grade)
 
 
+def to_ascii(c: Column) -> Column:
+    """Compatibility forms and accents to ASCII letters, other non-ASCII dropped."""
+    several = F.create_map(*(F.lit(x) for pair in SEVERAL.items() for x in pair))
+    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    c = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), long).otherwise(c)
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+
+
 def normalize_text(c: Column) -> Column:
-    """Lower case, accents off and other non-ASCII dropped, hyphens and slashes to blanks, digits to 0, white space to one blank."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[-/]", " "), "[0-9]", "0"), r"\s+", " "))
+    """Lower case, then ASCII; hyphens and slashes to blanks, a run of digits to one 0, white space to one blank."""
+    plain = to_ascii(F.lower(F.coalesce(c, F.lit(""))))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[-/]", " "), "[0-9]+", "0"), r"\s+", " "))
 
 
 def terms(c: Column) -> Column:

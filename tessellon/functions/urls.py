@@ -35,6 +35,15 @@ def strip_tracking(url: Column, names: list[str] | None = None) -> Column:
     return F.concat(base, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")), fragment)
 
 
+def strip_link(url: Column) -> Column:
+    """A link's URL without utm_*, gclid and fbclid, and without parameters that have no value."""
+    base, fragment = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
+    parts = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&", -1)
+    kept = F.filter(parts, lambda p: p.rlike("^[^=]*=.") & ~p.rlike("^(utm_|(gclid|fbclid)=)"))
+    joined = F.array_join(kept, "&")
+    return F.concat(base, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(F.lit("")), fragment)
+
+
 def with_https(url: Column) -> Column:
     return F.regexp_replace(url, "^[A-Za-z]+:", "https:")
 

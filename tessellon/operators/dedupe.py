@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
-from tessellon.plans.session import scratch
+from tessellon.plans.session import drop, staged
 
 
 def exact_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -14,76 +14,115 @@ def exact_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.groupBy(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha256")).agg(F.count("*").alias("members"), F.min(id_col).alias("first_id")).where("members > 1")
 
 
-def shingle_rows(docs: DataFrame, id_col: str, text_col: str, k: int, exempt: str | None = None) -> DataFrame:
-    """id, s (hash of a distinct shingle) and n (distinct shingles of the text)."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, exempt: str | None = None) -> DataFrame:
+    """id and s (hashes of the distinct shingles in ascending order) of texts of k words or more."""
     rows = docs.where(f"not ({exempt})") if exempt else docs
 
     def runs(w: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(*(F.get(w, i + (j - 1)) for j in range(k))))
-        return F.when(F.size(w) >= k, F.array_distinct(every))
+        return F.when(F.size(w) >= k, F.array_sort(F.array_distinct(every)))
 
-    counted = tx.let(tx.let(tx.ascii_words(F.col(text_col)), runs), lambda s: F.transform(s, lambda x: F.struct(F.size(s).alias("n"), x.alias("s"))))
-    return rows.select(F.col(id_col).alias("id"), F.explode(counted).alias("x")).select("id", "x.n", "x.s")
+    return rows.select(F.col(id_col).alias("id"), tx.let(tx.ascii_words(F.col(text_col)), runs).alias("s")).where("s is not null")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", exempt: str | None = None, posting_cap: int | None = None) -> DataFrame:
-    """id_a < id_b and jaccard of pairs of texts whose shingle sets are that alike.
+def near_links(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", exempt: str | None = None, posting_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """id_a < id_b and jaccard of texts whose shingle sets are that alike, one text (the least id) standing for all with an equal set; and
+    these copies (id_a, id_b, jaccard 1). Together they join whatever the pairs of all texts join.
 
     Only the sets' rarest shingles are joined (a prefix of n - ceil(threshold n) + 1 must meet), so common passages don't
     pair everything with everything; exact counts then come from the sets of the pairs that remain. posting_cap, off by default, drops shingles
     in more texts than that, which can lose pairs. Texts that fulfil `exempt` (a condition in SQL) are left out."""
-    rows = shingle_rows(docs, id_col, text_col, k, exempt)
+    sets = staged(shingle_sets(docs, id_col, text_col, k, exempt), "sets")
+    same = [F.xxhash64("s").alias("h"), F.hash("s").alias("h2")]
+    one = staged(sets.groupBy(*same).agg(F.min("id").alias("id"), F.first("s").alias("s")), "distinct")
+    copies = sets.select("id", *same).join(one.select(F.col("id").alias("id_a"), "h", "h2"), ["h", "h2"]).where("id <> id_a")
+    copies = staged(copies.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard")), "copies")
+    drop(sets)
+    rows = one.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
     df = rows.groupBy("s").agg(F.count("*").alias("df"))
     if posting_cap:
         df = df.where(F.col("df") <= posting_cap)
-    ranked = rows.join(df, "s").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    prefix = ranked.where((F.col("df") > 1) & (F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)).select("id", "n", "s")
+    # shingles of one text alone take part in the order only: they come first
+    shared = df.where("df > 1")
+    met = rows.join(shared, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
+    lone = F.lit(0) if posting_cap else F.col("n") - F.size("own")
+    room = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - lone).cast("int")
+    prefix = met.where(room > 0).select("id", "n", F.explode(F.slice("own", F.lit(1), room)).alias("o")).select("id", "n", "o.s")
     a, b = prefix.alias("a"), prefix.alias("b")
     lengths = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
     candidates = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & lengths).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    sets = rows.groupBy("id").agg(F.collect_list("s").alias("s"))
-    both = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
+    both = candidates.join(one.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("id_a", "id_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = both.select("id_a", "id_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = staged(pairs, "links")
+    drop(one)
+    return pairs, copies
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", exempt: str | None = None, posting_cap: int | None = None) -> DataFrame:
+    """All pairs of near_links, those of copies among each other and with others included: as many as the texts' groups have. For groups
+    and for what stays, links() is enough."""
+    pairs, copies = near_links(docs, threshold, k, id_col, text_col, exempt, posting_cap)
+    ids = copies.select("id_a").distinct().select(F.col("id_a").alias("rep"), F.col("id_a").alias("id")).union(copies.select("id_a", "id_b"))
+    a, b = ids.select("rep", F.col("id").alias("x")), ids.select("rep", F.col("id").alias("y"))
+    within = a.join(b, "rep").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(1.0).alias("jaccard"))
+    across = pairs.join(a.withColumnRenamed("rep", "id_a"), "id_a", "left").join(b.withColumnRenamed("rep", "id_b"), "id_b", "left")
+    x, y = F.coalesce("x", "id_a"), F.coalesce("y", "id_b")
+    return across.select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"), "jaccard").union(within)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """A durable copy in the folder that driver and executors share, which cuts the lineage."""
-    path = scratch(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def links(docs: DataFrame, **how) -> DataFrame:
+    """id_a, id_b and jaccard of links that join the same groups as all pairs do, with the same least and greatest similarity."""
+    pairs, copies = near_links(docs, **how)
+    return pairs.union(copies)
 
 
 def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """id and component (least id) of every id in the pairs. Labels spread along the pairs and jump to their label's own label in each round, so
     the number of rounds grows with the logarithm of a chain's length."""
-    edges = _staged(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct())
-    labels = edges.select(F.col("x").alias("id")).distinct().withColumn("component", F.col("id"))
+    edges = staged(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct(), "edges")
+    labels, before = edges.select(F.col("x").alias("id")).distinct().withColumn("component", F.col("id")), None
     while True:
         around = edges.join(labels, edges["y"] == labels["id"]).groupBy("x").agg(F.min("component").alias("m"))
         near = labels.join(around, labels["id"] == around["x"]).select("id", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        near = _staged(near)
+        near = staged(near, "near")
         jump = near.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        then = _staged(near.join(jump, "component").select("id", F.col("further").alias("component"), "old"))
+        then = staged(near.join(jump, "component").select("id", F.col("further").alias("component"), "old"), "labels")
+        drop(near, *([before] if before else []))
         if then.where("component <> old").limit(1).count() == 0:
+            drop(edges)
             return then.select("id", "component")
-        labels = then.select("id", "component")
+        labels, before = then.select("id", "component"), then
 
 
-def groups(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", day: str | None = None, words: str = "word_count") -> DataFrame:
+def groups(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", day: str | None = None, words: str = "word_count", found: DataFrame | None = None) -> DataFrame:
     """canonical id, members, and the least and greatest similarity within each group of near duplicates. Canonical is the row with the
-    earliest day (null last), then the most words, then the least id."""
-    found = components(pairs)
-    order = F.struct(F.coalesce(F.col(day).cast("string"), F.lit("9999-12-31")) if day else F.lit(""), -F.col(words), F.col(id_col))
-    members = found.join(docs.select(F.col(id_col), order.alias("o")), found["id"] == F.col(id_col)).drop(id_col)
-    canon = members.groupBy("component").agg(F.min_by("id", "o").alias("canonical_id"), F.count("*").alias("members"))
+    earliest day (null last), then the most words, then the least id. found: the pairs' components, where they are there already."""
+    found = components(pairs) if found is None else found
+    canon = _canonical(docs, found, id_col, day, words)
     scores = pairs.join(found, pairs["id_a"] == found["id"]).groupBy("component").agg(F.min("jaccard").alias("jaccard_min"), F.max("jaccard").alias("jaccard_max"))
     return canon.join(scores, "component")
 
 
+def _canonical(docs: DataFrame, found: DataFrame, id_col: str, day: str | None, words: str) -> DataFrame:
+    order = F.struct(F.coalesce(F.col(day).cast("string"), F.lit("9999-12-31")) if day else F.lit(""), -F.col(words), F.col(id_col))
+    members = found.join(docs.select(F.col(id_col), order.alias("o")), found["id"] == F.col(id_col)).drop(id_col)
+    return members.groupBy("component").agg(F.min_by("id", "o").alias("canonical_id"), F.count("*").alias("members"))
+
+
 def kept(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", day: str | None = None, words: str = "word_count") -> DataFrame:
     """docs without the members of groups that aren't canonical."""
     found = components(pairs)
-    canon = groups(docs, pairs, id_col, day, words).select("component", "canonical_id")
+    canon = _canonical(docs, found, id_col, day, words).select("component", "canonical_id")
     gone = found.join(canon, "component").where("id <> canonical_id").select(F.col("id").alias(id_col))
     return docs.join(gone, id_col, "left_anti")
+
+
+def largest_groups(found: DataFrame, k: int = 5) -> DataFrame:
+    """component and members of the k largest groups, ties by component."""
+    return found.groupBy("component").agg(F.count("*").alias("members")).orderBy(F.col("members").desc(), "component").limit(k)
+
+
+def low_coverage(coverage: DataFrame, least: float = 0.9, k: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """The k documents of the least coverage below `least`, ties by id."""
+    return coverage.where(F.col("coverage") < least).orderBy("coverage", id_col).limit(k)

@@ -75,3 +75,47 @@ def distinct_first(rows: DataFrame, value: str, position: str, k: int = 5) -> Da
 
 def eval_id(chunk_id: Column, persona: Column, query: Column) -> Column:
     return F.left(F.sha1(F.concat(chunk_id, persona, query)), F.lit(12))
+
+
+def shares(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Of each given value its rows and share of all rows (0 where there are none), and the least of these shares."""
+    counts = [F.count_if(F.col(column) == v) for v in values]
+    n = F.greatest(F.count("*"), F.lit(1))
+    each = rows.agg(F.array(*(F.struct(F.lit(v).alias("value"), c.alias("n"), (c / n).alias("share")) for v, c in zip(values, counts, strict=True))).alias("s"))
+    each = each.withColumn("least_share", F.array_min(F.transform("s", lambda x: x["share"])))
+    return each.select(F.explode("s").alias("x"), "least_share").select("x.*", "least_share")
+
+
+def keyword_hits(hits: DataFrame, keywords: DataFrame, depth: int = 10) -> DataFrame:
+    """By backend: the fewest hits with a text that a query has, and the fewest of its key words that its best hit holds. hits: backend, query_id,
+    rank, text; keywords: query_id, words (array). A query without hits counts as 0 in both."""
+    asked = keywords.crossJoin(F.broadcast(hits.select("backend").distinct()))
+    h = hits.where(F.col("rank") <= depth).select("backend", "query_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    held = F.size(F.filter("words", lambda w: F.col("t").contains(w)))
+    q = asked.join(h, ["backend", "query_id"], "left").groupBy("backend", "query_id").agg(F.count_if(F.col("t") != "").alias("texts"), F.coalesce(F.max(held), F.lit(0)).alias("held"))
+    return q.groupBy("backend").agg(F.min("texts").alias("least_hits"), F.min("held").alias("least_keywords"))
+
+
+def soft_hits(expected: DataFrame, hits: DataFrame, tolerance: int = 1, depth: int = 10) -> DataFrame:
+    """expected (query_id, expected_id, expected_doc, seq_no) with hit (found within the depth), near (not found, but a hit of its document lies within the
+    tolerance of its place) and the first such document's hit's distance. hits: query_id, id, doc_id, seq_no, rank."""
+    e = expected.withColumnRenamed("seq_no", "expected_seq")
+    h = hits.where(F.col("rank") <= depth)
+    gap = F.abs(F.col("seq_no") - F.col("expected_seq"))
+    own = F.col("doc_id") == F.col("expected_doc")
+    met = e.join(h, "query_id", "left").groupBy("query_id", "expected_id", "expected_doc").agg(
+        F.coalesce(F.bool_or(F.col("id") == F.col("expected_id")), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(own & (gap <= tolerance)), F.lit(False)).alias("near"), F.min_by(F.when(own, gap), F.when(own, F.col("rank"))).alias("gap"),
+    )
+    return met.withColumn("near", F.col("near") & ~F.col("hit"))
+
+
+def with_replacement(rows: DataFrame, order: str, n: int, seed: int = 42) -> DataFrame:
+    """n seeded draws from rows numbered by their order (draw, and the row drawn), repeatable in any engine: draw k takes the row at the digest of
+    seed and k, as a number, modulo the number of rows. The numbering runs over all rows, so use it on samples."""
+    size = rows.count()
+    if not size:
+        return rows.select(F.lit(0).cast("long").alias("draw"), "*").limit(0)
+    digest = F.conv(F.left(F.sha1(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(12)), 16, 10).cast("long")
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (digest % size).alias("_place"))
+    numbered = rows.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
+    return F.broadcast(draws).join(numbered, "_place").drop("_place")

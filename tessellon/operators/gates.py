@@ -79,3 +79,21 @@ def with_prior(metrics: DataFrame, prior: DataFrame) -> DataFrame:
     """metrics, and an earlier report's values for those that are missing."""
     p = prior.select("metric", F.col("value").alias("before"))
     return metrics.join(p, "metric", "full").select("metric", F.coalesce("value", "before").alias("value"))
+
+
+#: The backends' documented latency budgets in ms.
+BUDGETS = {"faiss": 300.0, "weaviate": 1000.0, "pinecone": 1500.0}
+
+
+def derived_rules(domains: float, age_p50: float, p95: dict[str, float]) -> list[Rule]:
+    """Checks whose thresholds come from the baseline: evaluated domains and their age, the routed hits' age (which warns up to a tenth above), and each
+    backend's latency budget, the lesser of the documented one and 1.2 times what was seen."""
+    fresh = float(max(365, int(age_p50)))
+    rules = [
+        Rule("S7", "G7-03", "eval_domains", max(3.0, 0.75 * domains / 10)), Rule("S7", "G7-04", "eval_age", None, max(540.0, age_p50)),
+        Rule("S4", "FRS-001", "mean_age", None, fresh, None, fresh * 1.1),
+    ]
+    for name, seen in sorted(p95.items()):
+        budget = min(BUDGETS[name], seen * 1.2)
+        rules.append(Rule("S3", f"G3-03-{name}", f"latency_{name}", None, budget, None, budget * 1.1))
+    return rules

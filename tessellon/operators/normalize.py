@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +20,7 @@ PRESERVE = ("article", "main", ".content", ".entry-content", "#content")
 REMOVE = ("nav", "footer", '[aria-label*="cookie"]', ".share", ".social", ".newsletter", ".breadcrumb", ".sidebar", "script", "style")
 BLOCKS = ("p", "div", "section", "li")
 HEADINGS = ("h1", "h2", "h3")
+_WORD = re.compile(r"\w+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -116,6 +119,40 @@ def page_text(html: str | None, preserve=PRESERVE, remove=REMOVE, keep_lines: bo
     return "\n".join(x for x in (" ".join(line.split()) for line in joined.split("\n")) if x)
 
 
+# Hosts whose pages keep more, and hosts whose pages count as English.
+SPARE = (("investor.salesforce.com", ("script", "style", '[aria-label*="cookie"]')), ("salesforce.com", tuple(x for x in REMOVE if x not in (".sidebar", ".breadcrumb"))))
+ENGLISH = ("sec.gov", "salesforce.com", "wikipedia.org")
+
+
+def removed_on(host: str | None) -> tuple[str, ...]:
+    """What is removed from a page of this host: the first rule whose host occurs in it, else all."""
+    return next((what for name, what in SPARE if name in (host or "")), REMOVE)
+
+
+def payload_text(payload: str | None, kind: str | None, host: str | None, short: int = 200) -> str:
+    """Text of a payload by its file's ending: a page by its host's rules (a help or developer page of fewer than `short` words is read
+    whole), JSON with an indent of two; nothing for others and for what can't be read."""
+    if not payload:
+        return ""
+    ending, _, doctype = (kind or "").partition(":")
+    if ending == ".json":
+        try:
+            return json.dumps(json.loads(payload), ensure_ascii=False, indent=2)
+        except ValueError:
+            return ""
+    if ending not in (".raw.html", ".html"):
+        return ""
+    text = page_text(payload, remove=removed_on(host))
+    if doctype in ("help_docs", "dev_docs") and len(_WORD.findall(text)) < short:
+        text = page_text(payload, preserve=(), remove=())
+    return text
+
+
+@F.pandas_udf(StringType())
+def payloads(payload: pd.Series, kind: pd.Series, host: pd.Series) -> pd.Series:
+    return pd.Series([payload_text(p, k, h) for p, k, h in zip(payload, kind, host, strict=True)])
+
+
 @F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(page_text)
@@ -176,16 +213,41 @@ def canonical_url(html: Column) -> Column:
     return urls.strip_tracking(F.coalesce(link, og, data))
 
 
-def documents(pages: DataFrame, doctype: str = "wiki", short: int = 200) -> DataFrame:
-    """Pages (page_id, url, html) to normalised documents: title, host, text, counts and digest. A page whose container has fewer than
-    `short` words is read whole; a text without a marked heading gets its title as one."""
-    d = pages.select("page_id", "url", "html", meta_title(F.col("html")).alias("html_title"), meta_time(F.col("html")).alias("meta_published_time"), page_day(F.col("html")).alias("publish_day"), html_text("html").alias("t"))
-    d = d.withColumn("t", F.when(tx.word_count(F.col("t")) < short, full_text("html")).otherwise(F.col("t"))).drop("html")
+def documents(pages: DataFrame, doctype: str = "wiki") -> DataFrame:
+    """Pages (page_id, url, html) to normalised documents: title, host, text, counts and digest. A help or developer page whose container has few
+    words is read whole; a text without a marked heading gets its title as one."""
+    text = payloads(F.col("html"), F.lit(f".html:{doctype}"), urls.host(F.col("url")))
+    d = pages.select("page_id", "url", meta_title(F.col("html")).alias("html_title"), meta_time(F.col("html")).alias("meta_published_time"), page_day(F.col("html")).alias("publish_day"), text.alias("t"))
     text = F.when(F.col("html_title").isNotNull() & ~F.col("t").contains("H1:"), F.concat(F.lit("H1: "), "html_title", F.lit("\n\n"), "t")).otherwise(F.col("t"))
     d = d.withColumn("text", text).drop("t")
     return d.select("*", F.lit(doctype).alias("doctype"), urls.host(F.col("url")).alias("source_domain"), tx.word_count(F.col("text")).alias("word_count"), tx.token_count(F.col("text")).alias("token_count"), F.sha2("text", 256).alias("hash_sha256"))
 
 
+def records(raw: DataFrame, company: str) -> DataFrame:
+    """Raw documents (doc_id, doctype, url, final_url, source_domain, ending, payload, language, visible_date, rss_pubdate, last_modified_http) to normalised ones
+    that are in English; filings of the kind 8-K need 200 words. Hosts of ENGLISH count as English. The day is the page's meta time's, else the
+    visible one, else the feed's."""
+    html = F.col("ending").isin(".raw.html", ".html")
+    host = F.coalesce("source_domain", F.lit(""))
+    known = F.lit(False)
+    for name in ENGLISH:
+        known = known | host.contains(name)
+    title, time = F.when(html, meta_title(F.col("payload"))), F.when(html, meta_time(F.col("payload")))
+    d = raw.select(
+        "doc_id", "doctype", "url", F.coalesce(tx.blank_to_null(F.col("final_url")), F.col("url")).alias("final_url"), "source_domain", "last_modified_http", F.when(known, "en").otherwise(F.coalesce("language", F.lit("en"))).alias("language"),
+        title.alias("html_title"), time.alias("meta_published_time"), F.coalesce(dates.parse_day(time), dates.parse_day(F.col("visible_date")), dates.parse_day(F.col("rss_pubdate"))).cast("string").alias("publish_date"),
+        payloads(F.col("payload"), F.concat_ws(":", "ending", "doctype"), host).alias("t"),
+    )
+    marked = (F.col("t") != "") & ~F.col("t").contains("H1:") & (F.coalesce("html_title", F.lit("")) != "")
+    d = d.where("language = 'en'").withColumn("text", F.when(marked, F.concat(F.lit("H1: "), "html_title", F.lit("\n\n"), "t")).otherwise(F.col("t"))).drop("t")
+    d = d.withColumn("word_count", tx.word_count(F.col("text"))).withColumn("token_count", tx.token_count(F.col("text")))
+    d = drop_short(d, F.col("doctype") == "8-K")
+    return d.select(
+        "doc_id", F.lit(company).alias("company"), "doctype", F.coalesce("html_title", F.lit("")).alias("title"), F.coalesce("publish_date", F.lit("")).alias("publish_date"), "url", "final_url", "source_domain", F.lit("body").alias("section"), F.lit("").alias("topic"),
+        F.array().cast("array<string>").alias("persona_tags"), "language", "text", "word_count", "token_count", F.sha2("text", 256).alias("hash_sha256"), "html_title", "meta_published_time", "last_modified_http",
+    )
+
+
 def keep_language(docs: DataFrame, language: str = "en", lang_col: str = "lang", whitelist: Column | None = None) -> DataFrame:
     """Rows in the language; rows of whitelisted hosts count as being in it."""
     ok = F.col(lang_col) == language

@@ -11,6 +11,7 @@ from tessellon.functions import vectors as vx
 
 #: Queries that are broadcast at once; more are searched in turn, so what is sent to all executors stays bounded.
 QUERY_BLOCK = 1_000
+SPARSE_BLOCK = 200_000
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -20,7 +21,7 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """query_id, id, d2 and rank of the k nearest vectors of each query, ties by id. Queries are a stated, counted set: each
+    """query_id, id, d2 and rank of the k nearest vectors of each query, ties by id. Nine decimals, so that equal vectors tie whatever the order of sums. Queries are a stated, counted set: each
     block of them is broadcast over one scan of the vectors."""
     n = queries.count()
     parts = max(1, -(-n // QUERY_BLOCK))
@@ -34,9 +35,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     return out
 
 
-def blended(hits: DataFrame, text_col: str = "text", query_col: str = "query_text", k: int = 10, vector_share: float = 0.7, snippet: int = 280) -> DataFrame:
+def snippet(text: Column, size: int = 280) -> Column:
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, size)
+
+
+def blended(hits: DataFrame, text_col: str = "text", query_col: str = "query_text", k: int = 10, vector_share: float = 0.7, size: int = 280) -> DataFrame:
     """Candidates (query_id, id, d2, text, query_text) by vector_share / (1 + d2) + the rest times the share of query terms in the snippet."""
-    snip = F.substring(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\s+", " ")), 1, snippet)
+    snip = snippet(F.col(text_col), size)
     share = lambda q: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tx.terms(snip))) / F.size(q)).otherwise(F.lit(0.0))
     boost = tx.let(F.array_distinct(tx.terms(F.col(query_col))), share)
     scored = hits.withColumn("lexical", boost).withColumn("score", F.lit(vector_share) / (1 + F.col("d2")) + F.lit(1 - vector_share) * F.col("lexical"))
@@ -45,11 +50,18 @@ def blended(hits: DataFrame, text_col: str = "text", query_col: str = "query_tex
 
 def sparse_search(docs: DataFrame, queries: DataFrame, k: int, candidates: int = 100) -> DataFrame:
     """Squared distances between unit vectors given as sparse rows (id, idx, value) and (query_id, idx, value): 2 - 2 dot.
-    Only shared components are joined; documents that share none would be at distance 2 and are left out, so a
+    Nine decimals, so that equal vectors tie whatever the order of sums. Queries are a stated, counted set: each block of their rows is broadcast, so that documents' rows, dealt by id, stay where they are. Only
+    shared components are joined; documents that share none would be at distance 2 and are left out, so a
     query may have fewer rows than asked for."""
-    dots = docs.join(queries.withColumnRenamed("value", "qv"), "idx").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("qv")).alias("dot"))
-    d = dots.select("query_id", "id", (2 - 2 * F.col("dot")).alias("d2"))
-    return top_k(d, ["query_id"], [F.col("d2"), F.col("id")], max(k, candidates))
+    parts = max(1, -(-queries.count() // SPARSE_BLOCK))
+    out = None
+    for p in range(parts):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) if parts > 1 else queries
+        dots = docs.join(F.broadcast(own.withColumnRenamed("value", "qv")), "idx").groupBy("query_id", "id").agg(F.sum(F.col("value") * F.col("qv")).alias("dot"))
+        d = dots.select("query_id", "id", F.round(2 - 2 * F.col("dot"), 9).alias("d2"))
+        found = top_k(d, ["query_id"], [F.col("d2"), F.col("id")], max(k, candidates))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def first_answer(results: list[tuple[str, DataFrame]], queries: DataFrame, query_id: str = "query_id") -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from tessellon.functions import dates, stats, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import cards, chunking, dedupe, evaluation, gates, metadata, normalize, retrieval, routing
-from tessellon.plans.oracles import ORACLES
-from tessellon.plans.session import spread, table
+from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, retrieval, routing
+from tessellon.plans.oracles_more import ALL as ORACLES
+from tessellon.plans.session import scratch, spread, table
+from tessellon.sources import readers, writers
 from tessellon.streaming import events as ev
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -109,9 +110,7 @@ def page_titles(spark, sf):
 
 @query
 def page_links(spark, sf):
-    from tessellon.sources.readers import page_links as links
-
-    p = table(spark, sf, "pages").select("page_id", links(F.col("html")).alias("l"))
+    p = table(spark, sf, "pages").select("page_id", readers.page_links(F.col("html")).alias("l"))
     return p.select("page_id", F.size("l").cast("long").alias("n_links"), F.array_join("l", " ").alias("links"))
 
 
@@ -286,20 +285,20 @@ def near_dup_pairs(spark, sf):
 
 @query
 def dedup_components(spark, sf):
-    return dedupe.components(dedupe.near_pairs(_docs(spark, sf)))
+    return dedupe.components(dedupe.links(_docs(spark, sf)))
 
 
 @query
 def dedup_canonical(spark, sf):
     d = _distinct_docs(spark, sf)
-    g = dedupe.groups(d, dedupe.near_pairs(d))
+    g = dedupe.groups(d, dedupe.links(d))
     return g.select("component", "canonical_id", "members", F.round("jaccard_min", 6).alias("jaccard_min"), F.round("jaccard_max", 6).alias("jaccard_max"))
 
 
 @query
 def dedup_kept(spark, sf):
     d = _distinct_docs(spark, sf)
-    return dedupe.kept(d, dedupe.near_pairs(d)).select("doc_id", "word_count")
+    return dedupe.kept(d, dedupe.links(d)).select("doc_id", "word_count")
 
 
 # ---------------------------------------------------------------- vectors and search
@@ -335,7 +334,8 @@ def lexvec_search(spark, sf):
     d = vx.sparse_embedding(docs.select(F.col("doc_id").alias("id"), "text"), "id", tx.terms(F.col("text")), DIM)
     q = vx.sparse_embedding(items.select(F.col("item_id").alias("query_id"), "text"), "query_id", tx.terms(F.col("text")), DIM)
     hits = retrieval.sparse_search(d, q, 10)
-    hits = hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    heads = docs.select(F.col("doc_id").alias("id"), retrieval.snippet(F.col("text")).alias("text"))
+    hits = hits.join(heads, "id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
     return retrieval.blended(hits).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -566,8 +566,6 @@ def event_windows(spark, sf):
 @query
 def event_windows_streamed(spark, sf):
     """The same windows from a stream of the table's files, once all of it has been read."""
-    from tessellon.plans.session import scratch
-
     path = scratch(spark, "windows")
     rows = ev.read_events(spark, f"{sf}/events.parquet")
     stream = ev.windowed(ev.deduplicated(rows), late=None).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "log"))
@@ -587,3 +585,272 @@ def user_sessions(spark, sf):
     e = table(spark, sf, "events").withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w)))
     e = e.withColumn("s", F.sum(F.when(F.col("gap") <= 1_800_000_000, 0).otherwise(1)).over(w))
     return e.groupBy("user_id").agg(F.max("s").alias("sessions"), F.count("*").alias("events"))
+
+
+# ---------------------------------------------------------------- chunk assembly and its checks
+
+
+@query
+def chunk_assembly(spark, sf):
+    d = _docs(spark, sf).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.trim(F.substring_index("text", "\n", 1)).alias("title"), "text", F.lit("wiki").alias("doctype"), F.lit(None).cast("string").alias("publish_date"), F.lit("u").alias("url"),
+        F.lit("").alias("final_url"), F.lit("t").alias("topic"), F.array("lang").alias("persona_tags"), F.lit(0).alias("token_count"), F.lit(None).cast("array<struct<start_char:int,end_char:int>>").alias("item_spans"),
+    )
+    a = assembly.assemble(d, "ACME")
+    return a.select("chunk_id", "start_char", "end_char", "word_count", "token_count", F.size("local_heads").alias("heads"), F.md5("text").alias("digest"), "metadata_snapshot.url")
+
+
+def _sourced_chunks(spark, sf):
+    return _chunks(spark, sf).join(_docs(spark, sf).select("doc_id", F.col("source").alias("doctype")), "doc_id")
+
+
+@query
+def doctype_baselines(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.col("source").alias("doctype"), tx.word_count(F.col("text")).alias("words"), tx.token_count(F.col("text")).alias("tokens"))
+    return assembly.first_baselines(d, "doctype", F.col("doc_id"), ["words", "tokens"])
+
+
+@query
+def chunk_size_envelope(spark, sf):
+    b = doctype_baselines(spark, sf).select("doctype", F.col("median_tokens"), F.lit(None).cast("long").alias("iqr_tokens"))
+    e = assembly.size_envelope(_sourced_chunks(spark, sf), b)
+    return e.select("doctype", "chunks", F.round("share", 6).alias("share"))
+
+
+@query
+def chunk_ends(spark, sf):
+    e = assembly.end_flags(_chunks(spark, sf))
+    return e.groupBy("is_first", "is_last").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
+def _line_starts(spark, sf):
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.length(x) + 1)
+    marks = F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", marks.alias("bounds"))
+
+
+@query
+def boundary_alignment(spark, sf):
+    a = assembly.aligned_starts(_chunks(spark, sf), _line_starts(spark, sf))
+    return a.agg(F.count("*").alias("chunks"), F.count_if("aligned").alias("aligned"), F.sum("delta").cast("long").alias("total_delta"))
+
+
+@query
+def chunk_local_heads(spark, sf):
+    """The two line starts before each window, by their numbers, as headings."""
+    heads = F.transform("bounds", lambda b, k: F.struct(b.alias("pos"), F.concat(F.lit("line "), k.cast("string")).alias("title")))
+    c = _chunks(spark, sf).join(_line_starts(spark, sf).select("doc_id", heads.alias("heads")), "doc_id")
+    return chunking.with_heads(c).select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.array_join("local_heads", "|").alias("heads"))
+
+
+# ---------------------------------------------------------------- groups, shares, thresholds
+
+
+@query
+def near_pairs_exempt(spark, sf):
+    p = dedupe.near_pairs(_docs(spark, sf), exempt="source = 'src1'")
+    return p.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query
+def largest_dup_groups(spark, sf):
+    return dedupe.largest_groups(dedupe.components(dedupe.links(_docs(spark, sf))))
+
+
+@query
+def low_coverage_docs(spark, sf):
+    """Documents whose windows of 60 words lie far from each other cover least of them."""
+    d = _docs(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("words")).where("words > 0")
+    return dedupe.low_coverage(d.select("doc_id", F.round(F.least(F.lit(1.0), 60 * F.ceil(F.col("words") / 200) / F.col("words")), 6).alias("coverage")))
+
+
+@query
+def role_shares(spark, sf):
+    s = evaluation.shares(table(spark, sf, "conversations"), "role", ["user", "assistant", "nobody"])
+    return s.select("value", "n", F.round("share", 6).alias("share"), F.round("least_share", 6).alias("least_share"))
+
+
+@query
+def derived_thresholds(spark, sf):
+    domains = table(spark, sf, "pages").agg(F.countDistinct(urls.host(F.col("url")))).first()[0]
+    age = table(spark, sf, "orders").agg(F.max(F.datediff(F.lit("1998-12-01").cast("date"), "o_orderdate"))).first()[0]
+    return gates.rules_frame(spark, gates.derived_rules(float(domains), float(age), {"faiss": 12.5, "pinecone": 2000.0})).select("gate", "id", "metric", *(F.round(c, 6).alias(c) for c in ("low", "high", "warn_low", "warn_high")))
+
+
+@query
+def least_keyword_hits(spark, sf):
+    c = table(spark, sf, "conversations")
+    hits = c.select(F.col("role").alias("backend"), F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), "text")
+    asked = c.select(F.col("conv_id").alias("query_id")).distinct().withColumn("words", F.array(*map(F.lit, ("the", "re", "tion", "zzz"))))
+    return evaluation.keyword_hits(hits, asked)
+
+
+@query
+def soft_recall(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "label")
+    hits = _vector_hits(spark, sf, 10).join(v, "vec_id").select("query_id", F.col("vec_id").alias("id"), F.col("label").alias("doc_id"), (F.col("vec_id") % 50).alias("seq_no"), "rank")
+    expected = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("expected_id"), F.col("label").alias("expected_doc"), (F.col("vec_id") % 50).alias("seq_no"))
+    s = evaluation.soft_hits(expected, hits.where("id <> query_id"), 5)
+    return s.select("query_id", "hit", "near", F.col("gap").cast("long").alias("gap"))
+
+
+@query
+def seeded_shuffle(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.row_number().over(Window.orderBy(evaluation.hash_order("c_custkey", seed=42), "c_custkey")).alias("place"))
+    return c.select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query
+def drawn_with_replacement(spark, sf):
+    d = evaluation.with_replacement(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 100)
+    return d.select("draw", "s_suppkey")
+
+
+# ---------------------------------------------------------------- intake and payloads
+
+
+@query
+def json_payloads(spark, sf):
+    e = table(spark, sf, "events").select("event_id", normalize.payloads(F.col("props"), F.lit(".json"), F.lit("")).alias("text"))
+    return e.select("event_id", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+
+
+def _built_pages(spark, sf):
+    """Documents as pages: two articles, parts that are removed, and every third page without an article."""
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<nav>menu</nav><article><h1>One</h1><p>"), safe, F.lit('</p><div class="share">x</div></article><p>between</p><article><h2>Two</h2>more</article><footer>f</footer>'))
+    bare = F.concat(F.lit("<script>var a = 1;</script><div>"), safe, F.lit('</div><div class="sidebar big">side</div>'))
+    title = F.concat(F.lit("Page "), F.col("doc_id").cast("string"))
+    return _docs(spark, sf).select("doc_id", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body>"), F.when(F.col("doc_id") % 3 > 0, body).otherwise(bare), F.lit("</body></html>")).alias("html"))
+
+
+@query
+def normalized_records(spark, sf):
+    """Built pages through the whole normalisation: hosts' rules, kinds, days, languages, headings."""
+    p = _built_pages(spark, sf)
+    k = F.col("doc_id")
+    raw = p.select(
+        k.cast("string").alias("doc_id"), F.when(k % 5 == 0, "8-K").when(k % 5 == 1, "press").otherwise("product").alias("doctype"), F.lit("http://x/").alias("url"), F.when(k % 2 == 0, " ").alias("final_url"),
+        F.when(k % 4 == 0, "www.salesforce.com").otherwise("example.net").alias("source_domain"), F.lit(".raw.html").alias("ending"), F.col("html").alias("payload"), F.when(k % 7 == 0, "fr").otherwise("en").alias("language"),
+        F.when(k % 3 == 0, "2024-03-05").alias("visible_date"), F.lit("Wed, 05 Mar 2025 10:00:00 GMT").alias("rss_pubdate"), F.lit(None).cast("string").alias("last_modified_http"),
+    )
+    n = normalize.records(raw, "ACME")
+    return n.select("doc_id", "doctype", "title", "publish_date", "final_url", "word_count", "hash_sha256")
+
+
+@query
+def saved_page_intake(spark, sf):
+    p = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('">'), "html")).otherwise(F.col("html")).alias("html"), "url", "page_id")
+    manifest = p.where("page_id % 4 in (1, 2)").select("file", "url")
+    feed = p.where("page_id % 6 = 0").select(F.col("url").alias("link"), F.lit("Tue, 04 Mar 2025 23:30:00 -0500").alias("pub_date"))
+    s = ingest.saved_pages(p.select("file", "html"), manifest, feed, spark.createDataFrame([], "doc_id string"), "crm")
+    return s.select("file", "status", "requested_url", "source_domain", "rss_pubdate", "content_length", "notes", F.substring_index("doc_id", "::", -1).alias("url_digest"))
+
+
+@query
+def feed_limits(spark, sf):
+    p = table(spark, sf, "pages").select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("feed"), F.col("url").alias("link"), F.col("page_id").alias("place"))
+    f = ingest.feed_entries(p.where("place < 100"), p.select("link", "place"), {"even": 10, "odd": 5}, 25)
+    return f.select("feed", "link", F.col("place").cast("long").alias("place"))
+
+
+@query
+def index_batches(spark, sf):
+    m = ingest.index_manifests(table(spark, sf, "embeddings"), {"pinecone": "kb-chunks", "weaviate": "KbChunk"}, "vec_id", "embedding")
+    return m.select("backend", "index_name", F.col("batch").cast("long").alias("batch"), "rows", "first_id", "last_id", F.col("dim").cast("long").alias("dim"))
+
+
+@query
+def link_variants(spark, sf):
+    u = F.concat(F.substring_index("url", "#", 1), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_x=1&empty=&gclid=&fbclid=2&gclids=3#f"))
+    return table(spark, sf, "pages").select("page_id", urls.strip_link(u).alias("link"))
+
+
+@query
+def recency_rows(spark, sf):
+    as_of = F.lit("1997-06-30").cast("date")
+    day = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate").cast("date"))
+    o = table(spark, sf, "orders").select("o_orderkey", day.alias("day"), (F.col("o_orderstatus") == "O").alias("press"))
+    o = o.where(metadata.in_window(F.col("day"), F.lit("1995-01-01").cast("date"), F.lit("1997-12-31").cast("date")))
+    return o.select("o_orderkey", *metadata.recency_flags(F.col("day"), as_of, F.col("press")), dates.within_months(F.col("day"), as_of, 6).alias("within_6mo"))
+
+
+@query
+def utc_days(spark, sf):
+    text = F.concat(F.date_format(F.col("o_orderdate").cast("date"), "EEE, dd MMM yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " 23:30:00 -0500").otherwise(" 00:30:00 +0200"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.utc_day(text).alias("day"))
+
+
+@query
+def stable_hashes(spark, sf):
+    n = F.lower("n_name")
+    return table(spark, sf, "nation").select("n_nationkey", vx.bucket(n, 768).cast("long").alias("bucket"), vx.sign(n).cast("long").alias("sign"))
+
+
+@query
+def dangling_points(spark, sf):
+    from tessellon.operators import cards as own
+
+    c = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("string").alias("id"), "role")
+    return own.dangling(c.select("session", "id"), c.where("role = 'user'").select("session", "id"))
+
+
+# ---------------------------------------------------------------- files written and read back
+
+
+@query
+def json_lines_read_back(spark, sf):
+    """Documents' fields as JSON lines in two files by language, read with a schema; a broken line is kept apart."""
+    path = scratch(spark, "json")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    writers.json_lines(d.where("lang = 'en'"), path)
+    writers.json_lines(d.where("lang <> 'en'"), path, append=True)
+    spark.createDataFrame([('{"doc_id": 1, "lang": ',), ("",)], "value string").coalesce(1).write.mode("append").text(path)
+    good, bad = readers.json_records(spark, path, "doc_id long, lang string, source string, n_chars long")
+    files = readers.line_counts(spark, path).agg(F.sum("lines").alias("n"))
+    return good.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("value")).unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("bad").alias("lang"), "n", F.lit(0).cast("long").alias("value"))).unionByName(files.select(F.lit("lines").alias("lang"), "n", F.lit(0).cast("long").alias("value")))
+
+
+@query
+def csv_read_back(spark, sf):
+    path = scratch(spark, "csv")
+    writers.csv_with_header(table(spark, sf, "customer").select("c_custkey", "c_name", F.array("c_mktsegment", "c_name").alias("tags")), path)
+    return readers.csv_with_header(spark, path, "c_custkey long, c_name string, tags string")
+
+
+@query
+def parquet_read_back(spark, sf):
+    path = scratch(spark, "parts")
+    writers.parquet(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, ["o_orderstatus"])
+    return spark.read.parquet(path).where("o_orderstatus = 'F'").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query
+def log_words(spark, sf):
+    path = scratch(spark, "log")
+    table(spark, sf, "events").select(F.concat_ws(" ", "event_type", F.when(F.col("event_id") % 10 == 0, "ERROR").otherwise("ok"))).coalesce(1).write.text(path)
+    return readers.log_hits(spark, path, ["ERROR", "ok", "none"]).select(F.col("ERROR").alias("errors"), F.col("ok").alias("fine"), F.col("none").alias("nothing"))
+
+
+@query
+def feed_items_read(spark, sf):
+    """Feeds made of pages: their items' links, titles and days."""
+    item = F.concat(F.lit("<item><title><![CDATA[ Page "), F.col("page_id").cast("string"), F.lit("]]></title><link> "), "url", F.lit(" </link><pubDate>Wed, 05 Mar 2025 22:00:00 -0500</pubDate></item>"))
+    x = table(spark, sf, "pages").select((F.col("page_id") % 7).alias("feed"), item.alias("item")).groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), "\n"), F.lit("</channel></rss>")).alias("xml"))
+    i = readers.feed_items(x)
+    return i.select("link", "title", dates.utc_day(F.col("pub_date")).alias("day"))
+
+
+@query
+def decoded_payloads(spark, sf):
+    raw = F.concat(F.lit(b"\xff\xc3"), F.col("c_name").cast("binary"))
+    return table(spark, sf, "customer").select("c_custkey", F.length(readers.decode_html(raw)).alias("chars"), F.md5(F.substring(readers.decode_html(raw), 3, 100)).alias("digest"))
+
+
+@query
+def prior_report(spark, sf):
+    """Metrics with an earlier report's in the place of those that are missing."""
+    now = _metrics(spark, sf).where("metric <> 'domains'")
+    prior = spark.createDataFrame([("domains", 7.0), ("n_docs", 1.0)], "metric string, value double")
+    m = gates.with_prior(now, prior)
+    return m.select("metric", F.round("value", 6).alias("value"))

@@ -52,7 +52,7 @@ def _feed(u: str) -> str:
 
 
 def _norm(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\x00-\x7F]', '', 'g'), '[-/]', ' ', 'g'), '[0-9]', '0', 'g'), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\x00-\x7F]', '', 'g'), '[-/]', ' ', 'g'), '[0-9]+', '0', 'g'), '\s+', ' ', 'g'))"
 
 
 def _terms(x: str) -> str:
@@ -200,7 +200,7 @@ SELECT doc_id, persona, query_text, left(sha1(doc_id || persona || query_text),
     "planner_queries": "SELECT min(conv_id * 1000 + turn) AS pos, md5(text) AS digest FROM conversations WHERE role = 'user' GROUP BY text ORDER BY 1 LIMIT 5",
     "percentile_variants": """WITH s AS (SELECT event_type, list_sort(list(value)) AS v, median(value) AS med FROM events GROUP BY 1), h AS (SELECT *, len(v) // 2 AS k FROM s)
 SELECT event_type, v[CAST(ceil(0.9::DOUBLE * len(v)) AS BIGINT)] AS nearest, v[CAST(floor(0.95::DOUBLE * (len(v) - 1)) AS BIGINT) + 1] AS floored, v[CAST(round_even(0.95::DOUBLE * (len(v) - 1), 0) AS BIGINT) + 1] AS evened, v[len(v) // 2 + 1] AS upper_median,
-round(list_aggregate_median(v[1:k]), 6) AS hinge_low, round(list_aggregate_median(v[len(v) - k + 1:]), 6) AS hinge_high, round(med, 6) AS median FROM h""",
+round(list_median(v[1:k]), 6) AS hinge_low, round(list_median(v[len(v) - k + 1:]), 6) AS hinge_high, round(med, 6) AS median FROM h""",
     "semi_anti_integrity": """SELECT 'labelled' AS check_name, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'dangling', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'idle_customers', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "route_decisions": """WITH c AS (SELECT *, ['cio', 'vp_sales_ops', 'vp_customer_experience', 'other'][CAST(turn % 4 + 1 AS INTEGER)] AS p, lower(CASE conv_id % 5 WHEN 0 THEN 'Define ' || role WHEN 1 THEN 'What is the API of ' || role ELSE text END) AS q FROM conversations),

@@ -46,4 +46,6 @@ def test_entry(spark):
 def test_rows_only(spark):
     for name in sorted(set(entry.queries()) - set(entry.oracle_sql())):
         if not name.startswith("op") and name != "pipeline":
-            assert entry.queries()[name](spark, SF).columns
+            df = entry.queries()[name](spark, SF)
+            rows = df.collect()
+            assert rows and len({tuple(map(str, r)) for r in rows}) == len(rows), name

@@ -49,7 +49,8 @@ def test_shingles_and_jaccard(spark):
 
 
 def test_normalize_and_terms(spark):
-    assert one(spark, tx.normalize_text(F.col("t")), t=" Déjà-vu/2024  œuf ") == "deja vu 0000 uf"
+    assert one(spark, tx.normalize_text(F.col("t")), t=" Déjà-vu/2024  œuf ") == "deja vu 0 uf"
+    assert one(spark, tx.normalize_text(F.col("t")), t="ﬁne ² Ａ ½ №7") == "fine 0 a 0 No0"
     assert one(spark, tx.terms(F.col("t")), t="Ab cd e") == ["ab", "cd", "bg:ab_cd"]
     assert one(spark, tx.terms(F.col("t")), t="") == []
 
