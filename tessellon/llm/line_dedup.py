@@ -774,7 +774,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     common.reclaim(spark)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x, k: ~F.coalesce(F.get("__tess_flags", k), F.lit(False)))
-    marked = docs.withColumn("__tess_dk", doc_key(id_col, text_col)).join(gone, "__tess_dk", "left").drop("__tess_dk")
+    marked = docs.withColumn("__tess_dk", doc_key(id_col, text_col)).join(gone.hint("merge"), "__tess_dk", "left").drop("__tess_dk")
     none = F.array().cast("array<int>")
     text = F.when(F.col("__tess_flags").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return marked.withColumn(text_col, text).withColumn("__tess_gone", F.coalesce("__tess_gone", none)).select(*(f"`{c}`" for c in docs.columns), "__tess_gone")
