@@ -5,9 +5,11 @@ potential sums the weights of its own bins and of both neighbours' bins, and a 2
 gives each line's probability of being good; their mean, weighted by the lines' lengths (in bytes, plus one), is
 the document's raw score, which a logistic curve fitted on the training rows turns into a probability.
 
-Training reads a bounded sample of labelled rows (``rows``, 6,000 by default, with the smallest seeded hash of doc_id); all lines of
-a document carry its label. Every document is scored over all its lines. A null or empty text is one empty line. Without
-both labels to learn from, all weights are 0 and scores 0.5.
+Training reads a bounded sample of labelled rows (``rows``, 6,000 by default, with the smallest seeded hash of doc_id). Only documents have labels: the
+chain first takes them for their lines' labels, then hides these and learns them by expectation-maximisation, so that a document can have
+lines of both labels. Every document is scored over all its lines, whose labels are counted. A null or empty text is one empty line. Without
+both labels to learn from, all weights are 0 and scores 0.5. Texts are read whole, however many or long their lines; an empty table gives an empty
+result; all rows that repeat a doc_id are scored, and one is learned from. keep_good passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tessellon.llm.toxicity import in_fold, labelled
 
 TRAIN_ROWS = 6_000
 THRESHOLD = 0.3
+#: How far a bad and a good document's label is believed of each of its lines.
+TRUST = (0.85, 0.98)
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SYMBOLS = b"#$%&*@^~=<>{}[]\\_+/`"
@@ -120,15 +124,25 @@ def forward_backward(unary: np.ndarray, counts: np.ndarray, links: np.ndarray, s
     return both[:, 1] / both.sum(1), pair
 
 
-def document_scores(model: Chain, texts: list[bytes | None]) -> np.ndarray:
-    if not texts:
-        return np.empty(0)
+def line_labels(model: Chain, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good) of every line, the number of lines of each text, and the lines' weights."""
     ids, counts, weight = bins(texts)
-    good, _ = forward_backward(model.unary(ids), counts, model.links, model.start)
-    ends = np.cumsum(counts)
-    total = np.add.reduceat(weight, ends - counts)
-    raw = np.add.reduceat(good * weight, ends - counts) / total
-    return 1 / (1 + np.exp(-(model.curve[0] * _logit(raw) + model.curve[1])))
+    return forward_backward(model.unary(ids), counts, model.links, model.start)[0], counts, weight
+
+
+def judged(model: Chain, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The score of each text, and how many of its lines are good and bad."""
+    if not texts:
+        return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+    good, counts, weight = line_labels(model, texts)
+    begins = np.cumsum(counts) - counts
+    raw = np.add.reduceat(good * weight, begins) / np.add.reduceat(weight, begins)
+    fine = np.add.reduceat((good >= 0.5).astype(np.int64), begins)
+    return 1 / (1 + np.exp(-(model.curve[0] * _logit(raw) + model.curve[1]))), fine, counts - fine
+
+
+def document_scores(model: Chain, texts: list[bytes | None]) -> np.ndarray:
+    return judged(model, texts)[0]
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -149,7 +163,9 @@ def fit_curve(p: np.ndarray, y: np.ndarray, l2: float = 0.02) -> tuple[float, fl
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def train(texts: list[bytes], y: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Chain:
+def train(texts: list[bytes], y: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, seed: int = 7, trust: tuple[float, float] = TRUST) -> Chain:
+    """First every line has its document's label; then line labels are hidden, and a document's label speaks for each of its lines
+    with the odds of trust (bad, good): expectation-maximisation over them, a batch at a time."""
     model = Chain(np.zeros(3 * FEATURES), np.zeros((2, 2)), np.zeros(2))
     if len(y) == 0 or y.min() == y.max():
         return model
@@ -159,22 +175,27 @@ def train(texts: list[bytes], y: np.ndarray, steps: int = 400, rate: float = 0.0
     flat = lambda: np.concatenate([model.weights, model.links.ravel(), model.start])
     x = flat()
     m, s, step = np.zeros_like(x), np.zeros_like(x), 0
-    for _ in range(max(10, -(-steps * 200 // len(y)))):
+    voice = np.array([-np.log(trust[0] / (1 - trust[0])), np.log(trust[1] / (1 - trust[1]))])
+    rounds = max(10, -(-steps * 200 // len(y)))
+    for turn in range(2 * rounds):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 200):
             mine = order[at : at + 200]
             lines = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in mine])
             own, n, label = ids[lines], counts[mine], y[mine]
-            truth = np.repeat(label, n)
-            good, pair = forward_backward(model.unary(own), n, model.links, model.start)
+            unary = model.unary(own)
+            good, pair = forward_backward(unary, n, model.links, model.start)
+            if turn < rounds:
+                truth, seen = np.repeat(label, n), np.zeros((2, 2))
+                np.add.at(seen, (label.astype(int), label.astype(int)), n - 1)
+            else:
+                truth, seen = forward_backward(unary + np.repeat(voice[label.astype(int)], n), n, model.links, model.start)
             g = np.zeros_like(x)
             each = np.repeat(1 / n, n)  # a document counts once, however many lines it has
             g[: 3 * FEATURES] = np.bincount(own.ravel(), np.repeat((good - truth) * each, own.shape[1]), 3 * FEATURES)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (label.astype(int), label.astype(int)), n - 1)
             g[3 * FEATURES : -2] = ((pair - seen) / n.mean()).ravel()
             first = np.cumsum(n) - n
-            g[-2:] = [((1 - good[first]) - (1 - label)).sum(), (good[first] - label).sum()]
+            g[-2:] = [(truth[first] - good[first]).sum(), (good[first] - truth[first]).sum()]
             g = g / len(mine) + l2 * x
             step += 1
             m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
@@ -188,16 +209,17 @@ def train(texts: list[bytes], y: np.ndarray, steps: int = 400, rate: float = 0.0
 def train_from(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS, label: str = "quality") -> Chain:
     source = docs.select("doc_id", common.as_bytes("text").alias("text"))
     got = labelled(source, labels, label, learn, rows).select(F.coalesce("text", F.lit(b"")), "y").toLocalIterator()
-    got = sorted((bytes(t), y) for t, y in got)[: 2 * rows]
+    got = sorted((bytes(t), y) for t, y in got)
     return train([t for t, _ in got], np.array([y for _, y in got], float))
 
 
-def _scores(model: Chain, batch: pa.RecordBatch, column: str) -> np.ndarray:
-    parts = []
+def _judged(model: Chain, batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    """Scores, and numbers of good and bad lines."""
+    parts = [judged(model, [])]
     for part in common.slices(batch, column, 2_000_000):
         texts = common.pylist(part, column)
-        parts.append(document_scores(model, [t.encode() if isinstance(t, str) else t for t in texts]))
-    return np.concatenate(parts) if parts else np.empty(0)
+        parts.append(judged(model, [t.encode() if isinstance(t, str) else t for t in texts]))
+    return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
 
 def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,9 +228,9 @@ def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch, "text"), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _judged(shared.value, batch, "text"))], ["id", "score", "good_lines", "bad_lines"])
 
-    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, good_lines long, bad_lines long")
 
 
 def keep_good(docs: DataFrame, model: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +240,7 @@ def keep_good(docs: DataFrame, model: Chain, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]):
         common.use_only()
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, batch, text_col) >= threshold))
+            yield batch.filter(pa.array(_judged(shared.value, batch, text_col)[0] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -228,4 +250,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = in_fold(F.col("doc_id"), 5, 0)
     model = train_from(docs, labels, ~held)
     got = score(docs, model).withColumnRenamed("id", "doc_id")
-    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_lines", "bad_lines")
