@@ -5,8 +5,9 @@ buckets that tell the two labels apart (chi-square over the training rows), a we
 inner products are the weights of pairs, so an insult beside a mention can count for more than both alone.
 
 Training reads a bounded sample of labelled rows (``rows``, 10,000 by default), those with the smallest seeded hash of their doc_id; every
-document is scored. Null and empty texts have no terms and get the machine's base rate. Repeated doc_ids in labels
-count once, with the greater label; null labels and null doc_ids aren't learned from. Without both labels to learn from, the score is the
+document is scored, whole, however long its text. Null and empty texts have no terms and get the machine's base rate. Repeated doc_ids in labels
+count once, with the greater label, and of documents with one doc_id the one with the least hash is learned from; all rows are scored. Null labels and
+null doc_ids aren't learned from. An empty table gives an empty result; other columns of the documents have no bearing. Without both labels to learn from, the score is the
 share of label 1 (0.5 if there is no row).
 """
 
@@ -120,8 +121,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__tess_y"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(rows)
-    # at most `rows` rows of 12 bytes: bounded, so it is broadcast
-    return docs.join(F.broadcast(sample), "doc_id").select("text", F.col("__tess_y").alias("y"))
+    # at most `rows` rows of 12 bytes: bounded, so it is broadcast; of rows that repeat a doc_id one counts
+    met = docs.join(F.broadcast(sample), "doc_id")
+    one = F.min_by(F.struct("text", F.col("__tess_y").alias("y")), F.coalesce(F.xxhash64("text"), F.lit(0))).alias("one")
+    return met.groupBy("doc_id").agg(one).select("one.text", "one.y")
 
 
 def train_from(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS, label: str = "toxic") -> FactorizationMachine:
@@ -134,7 +137,7 @@ def train_from(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TR
     source = docs.select("doc_id", common.as_bytes("text").alias("text"))
     got = labelled(source, labels, label, learn, rows).mapInArrow(run, "terms binary, y int").collect()
     # order by content, so that the result doesn't depend on the order of tasks
-    got = sorted((bytes(r["terms"]), r["y"]) for r in got)[: 2 * rows]
+    got = sorted((bytes(r["terms"]), r["y"]) for r in got)
     return train([np.frombuffer(t, "<i4") for t, _ in got], np.array([y for _, y in got], float))
 
 
