@@ -3,15 +3,15 @@
 Base: places where the words of a known phrase stand one after the other. Method: a block matches a template if it
 contains at least CONTAINMENT of the template's distinct words. Template words are put in one global order, from the rarest to the
 most frequent over all documents; a block that contains `need` of a template's n words holds one of the n - need + 1 rarest (prefix
-filter), has `need` words or more itself (length filter), and the shared word's place in the template leaves enough words
-after it (positional filter). Blocks meet templates in an equality join on prefix words, and the full sets verify what is left. A block that meets several
+filter), has `need` of the templates' words or more itself (length filter), and the first word that the two share has enough words
+after it both in the template and among the block's own template words in that order (positional filter). Blocks meet templates in an equality join on prefix words, and the full sets verify what is left. A block that meets several
 templates has the labels of them all, but for a template whose words in the block are also words of another one that it meets with more.
 
 Blocks are the lines, and the words about the end of each line that has words (blank lines and marks lie between): as many at each
 side as a template has, so that a notice that is wrapped over any number of lines is found.
 
 The templates are a fixed list of a few lines, so they are broadcast. A null text is read as empty: no words, no labels, score 0.
-Rows equal in doc_id and text get equal results. Very long texts are scanned whole.
+Rows equal in doc_id and text get equal results. Very long texts are scanned whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -124,10 +124,12 @@ def template_matches(docs: DataFrame, id_col: str, text_col: str, templates=TEMP
     if wrapped:
         blocks = blocks.union(seams(texts.where(F.col("text").contains("\n") & F.col("text").rlike(some)), max(n for _, _, n in wanted)))
     blocks = blocks.withColumn("block", F.array_distinct(F.concat("before", "after")))
-    tokens = blocks.select("dk", "before", "after", "seam", "block", F.explode(F.array_intersect("block", F.array(*map(F.lit, prefix)))).alias("token"))
+    # words of no template can be shared with none: a block's others, from rare to frequent
+    blocks = blocks.withColumn("held", F.array_intersect(F.array(*map(F.lit, place)), "block")).where(F.size("held") >= min(need for _, need, _ in wanted))
+    tokens = blocks.select("dk", "before", "after", "seam", "block", F.size("held").alias("holds"), F.posexplode("held").alias("at", "token"))
     met = tokens.join(F.broadcast(probes), "token")
-    left = F.size("words") - F.col("place")
-    met = met.where((F.size("block") >= F.col("need")) & (F.least(left, F.size("block")) >= F.col("need")))
+    room = F.least(F.size("words") - F.col("place"), F.col("holds") - F.col("at"))
+    met = met.where((F.col("holds") >= F.col("need")) & (room >= F.col("need")))
 
     def hits(words: Column, length: Column) -> Column:
         """A template's words in the block; at a line's end, in as many words at each side as it has itself."""
