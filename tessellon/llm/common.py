@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, an own one if all runs on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"file://{os.path.join(tempfile.gettempdir(), 'tessellon-shared')}"
 
 
@@ -181,22 +183,33 @@ def pylist(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+#: Ranges of a column, whatever its length: their tasks hold no range whole, so ranges may be long.
+MOST_RANGES = 4096
+
+
 def bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most parts-1 ascending values that cut a column of longs into ranges of like size."""
+    """Ascending values, fewer than `parts` and MOST_RANGES, that cut a column of longs into ranges of like size."""
+    parts = min(parts, MOST_RANGES)
     if parts <= 1:
         return []
     cuts = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(column, cuts, 20_000).alias("c")).first()["c"]
+    got = df.agg(F.percentile_approx(column, cuts, 4 * MOST_RANGES).alias("c")).first()["c"]
     return sorted(set(got or []))
 
 
 def range_of(column: Column, cuts: list[int]) -> Column:
-    """How many of the cuts lie below the value: its range's number; null counts as below all."""
+    """How many of the cuts lie below the value: its range's number; null counts as below all. Looks at every 64th cut first."""
     if not cuts:
         return F.lit(0)
-    found = F.expr(f"array({','.join(f'{c}L' for c in cuts)})")
-    low = F.aggregate(found, F.lit(0), lambda n, c: n + F.when(c < column, 1).otherwise(0))
-    return F.coalesce(low, F.lit(0))
+
+    def below(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda n, c: n + F.when(c < column, 1).otherwise(0))
+
+    longs = lambda some: F.expr(f"array({','.join(f'{c}L' for c in some)})")
+    if len(cuts) <= 64:
+        return F.coalesce(below(longs(cuts)), F.lit(0))
+    coarse = F.greatest(below(longs(cuts[::64])) - 1, F.lit(0)) * 64
+    return F.coalesce(coarse + below(F.slice(longs(cuts), coarse + 1, F.lit(64))), F.lit(0))
 
 
 def shingle_runs(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

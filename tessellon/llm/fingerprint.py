@@ -8,8 +8,10 @@ A text of fewer than five words is one shingle; an empty or null text has an emp
 falls below the threshold keeps its smallest hash alone, so that equal texts always have equal fingerprints and others
 don't share an empty one. Two empty fingerprints are alike (1), an empty one and another aren't (0).
 
-Documents are ordered by descending doc_id, null ids last, ties by text. They are dealt to ranges of doc_id; the
-first document of each range is also sent to the range before it, so that every document meets its next one.
+Documents are ordered by descending doc_id, null ids last, ties by text (rows equal in both follow each other). They are dealt to ranges of
+doc_id, a task each; the first document of each range is also sent to the range before it, so that every document meets its next one. A lone
+document is its own next one; an empty table gives an empty result. A task streams its range and holds two documents at a time, so a very long text
+is bounded by the worker's memory alone. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     also = F.struct(F.element_at(end_of, F.col("range") + 1).alias("range"), F.lit(1).alias("copy"))
     dealt = source.withColumn("to", F.explode(F.when(is_head, F.array(own, also)).otherwise(F.array(own))))
     dealt = dealt.select(F.col("to.range").alias("range"), F.col("to.copy").alias("copy"), "id", "text")
-    return dealt.repartition(max(size, 1), "range").sortWithinPartitions("range", "copy", F.col("id").desc_nulls_last(), "text")
+    return dealt.repartitionById(size, F.col("range")).sortWithinPartitions("range", "copy", F.col("id").desc_nulls_last(), "text")
 
 
 def edited(text: str, following: str) -> str:

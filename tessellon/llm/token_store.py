@@ -2,15 +2,16 @@
 
 Files, all in one folder that driver and executors share:
 
-* ``shard-NNNNN.ids``: 16 bytes of header (magic ``TSLI``, item width 2 or 4, number of ids), then the raw ids,
-  little-endian, of the documents of one doc_id range in ascending order.
+* ``shard-NNNNN.ids``: 16 bytes of header (magic ``TSLI``, item width 2 or 4, eight zero bytes), then the raw ids,
+  little-endian, of the documents of one doc_id range in ascending order. Shards are streamed out: the file's length tells the number of ids.
 * ``index-NNNNN.mph``: for the keys whose hash falls to this part: a seed for each bucket (the perfect hash), and by slot
   the key's stored 32-bit fingerprint, its shard, its offset in ids and its number of ids.
 
 A look-up hashes the key, reads its bucket's seed and one slot: constant time. A key that isn't in the store meets a foreign
 fingerprint and is reported as missing, but for one in 2**32. Repeated doc_ids are told apart by their ordinal
 within the id (ties in the order of their ids' bytes); a null doc_id sorts first. Null and empty texts hold the end id alone.
-Tasks write under a name of their own and rename, so a repeated task leaves the same file.
+Tasks write under a name of their own and rename, so a repeated task leaves the same file. A task streams its shard, so a very long text is bounded
+by the worker's memory alone; an empty table gives a store without documents. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from tessellon.llm import common
 
 MAGIC = b"TSLI"
 HEADER, HEADER_SIZE = "<4sIQ", 16
-#: Rows in a shard and keys in an index part; both bound what one task holds.
+#: Rows in a shard (more where there would be over common.MOST_RANGES shards) and keys in an index part, which bound what its task holds.
 ROWS_PER_SHARD = 20_000
 KEYS_PER_PART = 50_000
 _MISSING = np.uint64(0xFFFFFFFF)
@@ -163,7 +164,7 @@ class _ShardWriter:
 def write_shards(encoded: DataFrame, folder: str, shards: list[int], width: int = 2) -> DataFrame:
     """Writes shards in ascending doc_id order; returns doc_id, ordinal, shard, offset, n of each document (lazy)."""
     dealt = encoded.withColumn("shard", common.range_of(F.col("doc_id"), shards))
-    dealt = dealt.repartition(len(shards) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = dealt.repartitionById(len(shards) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]):
         writer, shard, last, ordinal = None, None, (), 0
@@ -302,7 +303,7 @@ def read_ids(folder: str, shard: int, offset: int, n: int) -> np.ndarray:
         return np.frombuffer(f.read(n * width), f"<u{width}")
 
 
-def read_back(keys: DataFrame, folder: str, parts: int) -> DataFrame:
+def read_back(keys: DataFrame, folder: str, parts: int, shards: int | None = None) -> DataFrame:
     """For rows with doc_id and ordinal: place by the index, then ids from the shards: their number and crc32."""
 
     def find(batches):
@@ -330,7 +331,8 @@ def read_back(keys: DataFrame, folder: str, parts: int) -> DataFrame:
             f.close()
 
     placed = with_key(keys, parts).repartition("part").mapInArrow(find, "doc_id long, shard int, offset long, n long")
-    placed = placed.repartition("shard").sortWithinPartitions("shard", "offset")
+    placed = placed.repartitionById(shards, F.col("shard")) if shards else placed.repartition("shard")
+    placed = placed.sortWithinPartitions("shard", "offset")
     return placed.mapInArrow(read, "doc_id long, shard int, offset long, n long, ids_crc32 long")
 
 
@@ -356,6 +358,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = common.new_path(spark, "token-store")
     entries, before, parts = write(docs, folder, public_tokenizer("word_bpe_49k.json"), 2)
-    got = read_back(entries.select("doc_id", "ordinal"), folder, parts)
+    got = read_back(entries.select("doc_id", "ordinal"), folder, parts, len(before))
     base = F.expr(f"element_at(array({','.join(f'{b}L' for b in before)}), shard + 1)")
     return got.select("doc_id", (base + F.col("offset")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32")
