@@ -10,12 +10,14 @@ slots' values. Two signatures agree in a slot with the weighted Jaccard similari
 verifies them. Texts with equal words are one node, so copies are never paired. Within a band's list of more
 than MOST nodes all are paired with the first; after verified links have been joined to components, nodes outside the main component of
 long lists that share nodes (a family) are compared with the family's other nodes, in blocks, until they are linked to them or all likely
-ones have been verified, so no link is lost to a list's length and links are not multiplied by it. One bit of each
-slot travels with a node, and pairs whose 128 bits put the similarity far below the threshold (4.7 standard deviations) are
-not verified.
+ones have been verified, so no link is lost to a list's length and links are not multiplied by it. A task holds at most about HELD of these nodes; more
+are dealt to several tasks, each of which reads the family. One bit of each slot travels with a node, and pairs whose 128 bits put the
+similarity far below the threshold (4.7 standard deviations) are not verified; with bits_apart=128 all that a band proposes are.
 
 A class is a connected component of verified links. Null and empty texts have no shingles: they form one class. A null
-doc_id is no class's id unless the class has no other; rows with equal doc_id and text count as one document.
+doc_id is no class's id unless the class has no other; rows with equal doc_id and text count as one document. Texts are read whole, so a worker's
+memory must hold the longest one's shingles; an empty table gives an empty result. Columns named __tess_* are the operator's own; all others are passed
+on by keep_one. docs is read several times: pass a table.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from tessellon.llm.components import components
 SLOTS, BANDS = 128, 32
 THRESHOLD = 0.8
 MOST = 32
+#: Nodes of a family outside its main component that a task holds, with their multisets.
+HELD = 2000
 #: Of 128 one-bit samples, at most so many differ at similarity 0.8: the mean 12.8 and 4.7 standard deviations (3.4).
 BITS_APART = 29
 
@@ -151,17 +155,22 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "node", "n", "x", "y"])
 
 
-def _likely(rows, i, j):
-    short, long = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
-    return (short >= THRESHOLD * long) & (common.bits_apart(rows, i, j) <= BITS_APART)
+def likely(bits_apart: int):
+    """Whether the lengths allow the similarity, and at most so many bits differ."""
+
+    def keep(rows, i, j):
+        short, long = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
+        return (short >= THRESHOLD * long) & (common.bits_apart(rows, i, j) <= bits_apart)
+
+    return keep
 
 
 _COLUMNS = ["key", "node", "n", "x", "y"]
 
 
-def _pairs(batches):
+def _pairs(batches, most: int, bits_apart: int):
     """kind 0: pair with the list's first; 1: other pair of a short list; 2: row of a long list."""
-    lists = common.SortedLists(_COLUMNS, MOST, _likely)
+    lists = common.SortedLists(_COLUMNS, most, likely(bits_apart))
 
     def out(got):
         rows, i, j, first, handed = got
@@ -201,12 +210,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Families:
-    """Links between components within families of rows that arrive family by family, open rows first. Every open row is
-    compared with every other row of its family whose bits make the similarity likely, nearest first, unless links found so far have already
-    brought the two together. Holds a family's open rows, and a batch."""
+    """Links between components within families of rows that arrive by family and chunk, those that ask first. Every row that asks is
+    compared with every row of its family whose bits make the similarity likely, nearest first, unless links found so far have already
+    brought the two together; of two that may both ask, the lesser node does. Holds a chunk's asking rows, and a batch."""
 
-    def __init__(self):
-        self.family, self.held, self.parent = None, [], {}
+    def __init__(self, bits_apart: int):
+        self.now, self.held, self.parent, self.likely = None, [], {}, likely(bits_apart)
 
     def _root(self, r: int) -> int:
         path = []
@@ -217,19 +226,18 @@ class Families:
             self.parent[q] = r
         return r
 
-    def _link(self, left: dict, right: dict, same: bool):
+    def _link(self, left: dict, right: dict):
         step = max(1, 1_000_000 // max(1, len(right["node"])))
-        both = {c: np.concatenate([left[c], right[c]]) for c in ("node", "n", "x", "y", "root")}
+        both = {c: np.concatenate([left[c], right[c]]) for c in ("node", "n", "x", "y", "root", "closed")}
         bags = [*left["bag"], *right["bag"]]
         width = len(left["node"])
         for at in range(0, width, step):
             i, j = np.divmod(np.arange(min(step, width - at) * len(right["node"])), len(right["node"]))
             i, j = i + at, j + width
             ok = both["root"][i] != both["root"][j]
-            if same:
-                ok &= i < j - width
+            ok &= both["closed"][j] | (both["node"][i] < both["node"][j])
             i, j = i[ok], j[ok]
-            ok = _likely(both, i, j)
+            ok = self.likely(both, i, j)
             i, j = i[ok], j[ok]
             for k in np.argsort(common.bits_apart(both, i, j), kind="stable").tolist():
                 a, b = int(i[k]), int(j[k])
@@ -239,27 +247,27 @@ class Families:
                     yield int(both["node"][a]), int(both["node"][b])
 
     def add(self, batch: pa.RecordBatch):
-        cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("family", "node", "n", "x", "y", "root")}
-        closed = batch.column(batch.schema.get_field_index("closed")).to_numpy(zero_copy_only=False).astype(bool)
-        bags = np.array([*common.pylist(batch, "bag"), None], object)[:-1]
-        for at in np.split(np.arange(len(closed)), np.flatnonzero(np.diff(cols["family"])) + 1):
+        cols = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("family", "chunk", "asks", "node", "n", "x", "y", "root", "closed")}
+        cols["bag"] = np.array([*common.pylist(batch, "bag"), None], object)[:-1]
+        new = np.zeros(batch.num_rows, bool)
+        for c in ("family", "chunk", "asks"):
+            new[1:] |= cols[c][1:] != cols[c][:-1]
+        for at in np.split(np.arange(batch.num_rows), np.flatnonzero(new)):
             if not len(at):
                 continue
-            if cols["family"][at[0]] != self.family:
-                self.family, self.held, self.parent = cols["family"][at[0]], [], {}
-            mine = {c: v[at] for c, v in cols.items()} | {"bag": bags[at]}
-            shut = {c: v[closed[at]] for c, v in mine.items()}
-            fresh = {c: v[~closed[at]] for c, v in mine.items()}
-            for other in self.held:
-                yield from self._link(other, mine, False)
-            if len(fresh["node"]):
-                yield from self._link(fresh, fresh, True)
-                yield from self._link(fresh, shut, False)
-                self.held.append(fresh)
-
-
-def _family_links(batches):
-    families = Families()
+            now = cols["family"][at[0]], cols["chunk"][at[0]]
+            if now != self.now:
+                self.now, self.held, self.parent = now, [], {}
+            mine = {c: v[at] for c, v in cols.items()}
+            if cols["asks"][at[0]]:
+                self.held.append(mine)
+            else:
+                for other in self.held:
+                    yield from self._link(other, mine)
+
+
+def _family_links(batches, bits_apart: int):
+    families = Families(bits_apart)
     for batch in batches:
         found = list(families.add(batch))
         a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
@@ -297,7 +305,7 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) -> D
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(alike, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_apart: int = BITS_APART) -> DataFrame:
     """id, row, row2 and node of every row, and root: the node that stands for its class."""
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -312,7 +320,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contents = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y", "bands")))
     postings = contents.mapInArrow(_postings, "key long, node long, n long, x long, y long")
     dealt = postings.repartition(n, "key").sortWithinPartitions("key", "node")
-    found = stage(dealt.mapInArrow(_pairs, "kind int, key long, a long, b long, n long, x long, y long"), "near-pairs")
+    most, held = MOST, HELD
+    found = stage(dealt.mapInArrow(lambda batches: _pairs(batches, most, bits_apart), "kind int, key long, a long, b long, n long, x long, y long"), "near-pairs")
     common.reclaim(spark)
     pairs = found.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
     pairs = stage(pairs, "pairs")
@@ -334,9 +343,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("family", "root").count()
     mains = sizes.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main")).join(bags, "node")
-    members = members.select("family", "node", "n", "x", "y", "root", "closed", "bag").repartition(n, "family").sortWithinPartitions("family", "closed", "node")
-    links = links.union(stage(members.mapInArrow(_family_links, "a long, b long"), "links"))
+    members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main"))
+    chunks = members.where("not closed").groupBy("family").agg(F.ceil(F.count("*") / held).cast("int").alias("chunks"))
+    # a node comes to all chunks of its family, and an open one asks in one of them
+    role = lambda chunk, asks: F.struct(chunk.cast("int").alias("chunk"), F.lit(asks).alias("asks"))
+    member = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: role(c, False))
+    asker = F.when(F.col("closed"), F.slice(member, 1, 0)).otherwise(F.array(role(F.pmod(F.xxhash64("node"), F.col("chunks")), True)))
+    members = members.join(chunks, "family").withColumn("role", F.explode(F.concat(asker, member))).join(bags, "node")
+    members = members.select("family", "role.chunk", "role.asks", "node", "n", "x", "y", "root", "closed", "bag")
+    members = members.repartition(n, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("asks"), "node")
+    links = links.union(stage(members.mapInArrow(lambda batches: _family_links(batches, bits_apart), "a long, b long"), "links"))
     out = signed.select("id", "row", "row2", "node").join(components(links), "node", "left")
     out = common.stage(out.select("id", "row", "row2", "node", F.coalesce("root", "node").alias("root")), "classes")
     common.drop_stage(spark, *staged)
@@ -344,9 +360,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_apart: int = BITS_APART) -> DataFrame:
     """doc_id, class_id (the class's least doc_id) and whether the document stays, for every row."""
-    found = classes(docs, id_col, text_col)
+    found = classes(docs, id_col, text_col, bits_apart)
     least = found.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     out = found.join(least, "root")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("stays"), "node")
