@@ -10,7 +10,8 @@ and each pattern's probability of being personal data, kind by kind. A logistic
 votes and the span's own figures, and a candidate that it gives 0.5 or more, and that overlaps no base span, is added.
 
 The counts have one row for each combination of kind, votes and figures (under 100,000 possible), whatever the input. Null
-text is read as empty: no spans. Positions count code points, ends exclusive.
+text is read as empty: no spans. Positions count code points, ends exclusive. Rows that repeat a document count each time and get equal results; texts are
+read whole, however long; an empty table gives an empty result, and a model without weights. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,5}")
 _SECRET = re.compile(r"(?i)\b(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}([^\s,;]{6,})")
 
-# Endings of domains, words that announce a kind, and words that speak against numbers being personal.
+_NAME = re.compile(r"([a-z_-]+)[ \t]{0,3}[=:][ \t]{0,3}$")
+# Endings of domains, words that announce a kind, names that mostly secrets have, and words that speak against numbers being personal.
 ENDINGS = frozenset("com org net edu gov info io co us uk de fr es it eu example".split())
 CUES = {
     "email": "mail email e-mail contact write address reach".split(),
@@ -51,6 +53,7 @@ CUES = {
     "phone": "phone tel call fax mobile cell contact telephone".split(),
     "secret": "password login user account credentials key".split(),
 }
+NAMES = frozenset("password passwd pwd secret apikey api_key api-key accesskey access_key access-key".split())
 AGAINST = "version isbn order invoice build serial chapter section page figure total".split()
 
 
@@ -130,7 +133,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         gazetteer = 1 if s[:2] in ("+1", "+3", "+4") or len(n) == 10 and n[0] in "23456789" and n[3] in "23456789" else 0
         shape = 1 if len(n) in (10, 11, 12) and any(c in s for c in " .-(") else -1 if len(n) > 15 else 0
     else:
-        gazetteer = 1
+        name = _NAME.search(text[max(0, start - 24) : start].lower())
+        gazetteer = 1 if name and name[1] in NAMES else 0
         shape = 1 if len(s) >= 8 and any(c.isdigit() for c in s) else -1
     context = 1 if any(w in CUES[kind] for w in before) else -1 if any(w in AGAINST for w in before) else 0
     each = [s.count(c) / len(s) for c in set(s)]
@@ -185,10 +189,16 @@ def aggregate(counts: dict[str, int], rounds: int = 30) -> tuple[dict[str, float
             for q in mine:
                 z = math.log(prior / (1 - prior)) + sum(math.log(t[1][c] / t[0][c]) for t, c in zip(tables, q[1:6], strict=True))
                 p[q] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-        reliability[KINDS[int(kind)]] = {name: t[1]["+"] * prior + t[0]["-"] * (1 - prior) for name, t in zip(LABELERS, tables, strict=True)}
+        reliability[KINDS[int(kind)]] = {name: _right(t, prior) for name, t in zip(LABELERS, tables, strict=True)}
     return p, reliability
 
 
+def _right(table: dict[int, dict[str, float]], prior: float) -> float:
+    """The share of right votes of those that a labeler casts: silence is none."""
+    right = table[1]["+"] * prior + table[0]["-"] * (1 - prior)
+    return right / (right + table[1]["-"] * prior + table[0]["+"] * (1 - prior))
+
+
 def train(counts: dict[str, int], steps: int = 300, rate: float = 0.5, l2: float = 1e-3) -> SpanModel:
     soft, reliability = aggregate(counts)
     patterns = sorted(counts)
