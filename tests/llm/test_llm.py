@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
@@ -229,6 +231,67 @@ def test_held_out_accuracy(spark, op, label, least):
     assert (p.predicted == p[label]).mean() > least
 
 
+def test_pairwise_sums_by_definition():
+    """The machine's score: bias, weights, and the inner product of every pair of vectors."""
+    rng = np.random.default_rng(3)
+    model = toxicity.FactorizationMachine({}, 0.3, rng.normal(size=30), rng.normal(size=(30, 8)))
+    for n in (0, 1, 2, 9):
+        active = rng.choice(30, n, replace=False)
+        pairs = sum(float(model.vectors[a] @ model.vectors[b]) for k, a in enumerate(active) for b in active[:k])
+        assert math.isclose(model.logit(active), 0.3 + model.weights[active].sum() + pairs, abs_tol=1e-9)
+
+
+def test_toxicity_scores_by_definition(spark):
+    words_of = ["vile", "crowd", "plain", "words", "here", "Vileness", "crowded"]
+    slots = {b: k for k, b in enumerate(sorted({t for w in words_of[:5] for t in toxicity.terms(w.encode())}))}
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorizationMachine(slots, -0.2, rng.normal(size=len(slots)), rng.normal(size=(len(slots), 8)))
+    texts = ["", None, "vile crowd", "Vileness, crowded! plain plain", "nothing known", " ".join(words_of)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k, text in enumerate(texts):
+        active = sorted({slots[t] for w in words(text) for t in toxicity.terms(w.encode()) if t in slots})
+        z = -0.2 + sum(model.weights[active]) + sum(float(model.vectors[a] @ model.vectors[b]) for a in active for b in active if a < b)
+        assert math.isclose(got[k], 1 / (1 + math.exp(-z)), abs_tol=1e-9)
+
+
+def test_scores_are_weighted_marginals():
+    rng = np.random.default_rng(5)
+    model = quality.Chain(rng.normal(size=3 * quality.FEATURES) / 4, rng.normal(size=(2, 2)), rng.normal(size=2), (1.3, -0.4))
+    texts = [b"One line. Of text\nBUY NOW!!! 50% $$$\n\nand, more", b"", b"x", b"a a a a\n| b | 7 |"]
+    scores, good, bad = quality.judged(model, texts)
+    ids, counts, _ = quality.bins(texts)
+    ends = np.cumsum(counts)
+    for k, text in enumerate(texts):
+        unary = model.unary(ids[ends[k] - counts[k] : ends[k]])
+        total, share = 0.0, np.zeros(counts[k])
+        for path in itertools.product((0, 1), repeat=int(counts[k])):
+            s = model.start[path[0]] + sum(u / 2 if p else -u / 2 for u, p in zip(unary, path, strict=True)) + sum(model.links[a, b] for a, b in itertools.pairwise(path))
+            total += math.exp(s)
+            share += math.exp(s) * np.array(path)
+        share /= total
+        weight = np.array([len(x) + 1 for x in text.split(b"\n")])
+        raw = min(max((share * weight).sum() / weight.sum(), 1e-3), 1 - 1e-3)
+        assert math.isclose(scores[k], 1 / (1 + math.exp(-(1.3 * math.log(raw / (1 - raw)) - 0.4))), abs_tol=1e-9)
+        assert (good[k], bad[k]) == ((share >= 0.5).sum(), (share < 0.5).sum())
+
+
+def test_lines_of_both_labels_within_a_document():
+    rng = random.Random(17)
+    nice = lambda: " ".join(rng.choice("the river flows along old stone walls towards town".split()) for _ in range(12)).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["BUY", "$$$", "50%", "|||", "CLICK!!!", "BUY"]) for _ in range(6))
+    texts, y = [], []
+    for _ in range(300):
+        bad = rng.random() < 0.4
+        texts.append("\n".join(junk() if bad and rng.random() < 0.95 else nice() for _ in range(rng.randint(3, 9))).encode())
+        y.append(0.0 if bad else 1.0)
+    model = quality.train(texts, np.array(y))
+    kinds = [[nice, junk][k // 4 % 2] for k in range(12)]
+    good, _, _ = quality.line_labels(model, ["\n".join(k() for k in kinds).encode() for _ in range(20)])
+    right = (good.reshape(20, 12) >= 0.5) == np.array([k is nice for k in kinds])
+    assert right.mean() > 0.9
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(3)
     unary, links, start = rng.normal(size=7), rng.normal(size=(2, 2)), rng.normal(size=2)
@@ -451,9 +514,10 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(gaps)) < 0.02 and np.abs(gaps).max() < 0.2
 
 
-@pytest.mark.parametrize("most", [2, 32])
-def test_near_duplicate_classes(spark, odd, none, monkeypatch, most):
+@pytest.mark.parametrize(("most", "held"), [(2, 2000), (2, 3), (32, 2000)])
+def test_near_duplicate_classes(spark, odd, none, monkeypatch, most, held):
     monkeypatch.setattr(near_dup, "MOST", most)
+    monkeypatch.setattr(near_dup, "HELD", held)
     rng = random.Random(11)
     texts = variants(rng, 40, 120, 6) + variants(rng, 25, 60, 2) + variants(rng, 10, 400, 30) + ["same words here now again"] * 4 + ["", "", "a b"]
     rng.shuffle(texts)
@@ -463,6 +527,9 @@ def test_near_duplicate_classes(spark, odd, none, monkeypatch, most):
     assert [got[k] for k in range(len(texts))] == want
     kept = near_dup.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    if held < 2000:
+        got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs, bits_apart=128).collect()}
+        assert [got[k] for k in range(len(texts))] == want
 
 
 def test_near_duplicates_on_odd_rows(spark, odd, none):
