@@ -38,7 +38,7 @@ from tessellon.llm import common
 BLANK = "▁"
 #: A unit of so many symbols has at most 63 candidate merges: each pair once, and two new ones after each merge.
 SHORT = 22
-KEPT = 450_000
+KEPT = 200_000
 RATE = 0.1
 SEED = 20_24
 _MASK, _NEVER = (1 << 64) - 1, 1 << 60
