@@ -26,6 +26,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,13 @@ class PieceModel:
 _LONG = 1 << 63  # the bit that is set in every draw
 
 
+def make_room(kept: dict, bound: int) -> None:
+    """Drops the older half of a full memory."""
+    if len(kept) >= bound:
+        for key in list(islice(kept, bound // 2)):
+            del kept[key]
+
+
 class Plain(dict):
     """unit -> its plain ids as bytes, and the bits of a draw that must be 0 for them."""
 
@@ -259,8 +267,7 @@ class Plain(dict):
         return out.tobytes()
 
     def keep(self, unit: str, got: tuple[bytes, int]) -> None:
-        if len(self) >= self.bound:
-            self.clear()
+        make_room(self, self.bound)
         self[unit] = got
 
     def __missing__(self, unit: str) -> tuple[bytes, int]:
@@ -328,8 +335,7 @@ class Encoder:
             if type(got) is bytes:
                 return got
             mask = got
-        if len(known) >= self.kept:
-            known.clear()
+        make_room(known, self.kept)
         ids, asked = self.model.drawn(unit, draw)
         ids, wide = self.plain.packed(ids), (1 << asked) - 1
         if wide > mask:
