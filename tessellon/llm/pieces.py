@@ -8,7 +8,8 @@ model's plain segmentation.
 No merge crosses a newline, a run of blanks' start, or a mark after a letter where no piece does, so a text is encoded by units.
 Each occurrence of a unit in a document has draws of its own, from a generator keyed by seed and document: a bit for each candidate
 merge as it comes up, set with the rate's probability. Segmentations are kept by unit and the bits that were asked for, which changes
-nothing in them. Units of more than SHORT symbols hash their candidates under a key of the occurrence instead.
+nothing in them; those that aren't kept are worked out many at a time, in arrays. Units of more than SHORT symbols hash their candidates
+under a key of the occurrence instead.
 
 Characters that no piece has become their bytes' pieces, and so does a literal U+2581, which pieces use for the blank:
 decoding gives back the exact text. A null text has no ids (null) and decodes to null; the empty text has none and decodes to itself.
@@ -40,6 +41,8 @@ BLANK = "▁"
 #: A unit of so many symbols has at most 63 candidate merges: each pair once, and two new ones after each merge.
 SHORT = 22
 KEPT = 200_000
+#: Occurrences whose segmentations are worked out at once.
+TOGETHER = 1 << 15
 RATE = 0.1
 SEED = 20_24
 _MASK, _NEVER = (1 << 64) - 1, 1 << 60
@@ -242,6 +245,112 @@ class PieceModel:
         return text[len(self.prefix) :] if text else text
 
 
+class Agenda:
+    """The agendas of many short units at once: place by place arrays with a column for each unit."""
+
+    PLACE_BITS = 5  # a unit has at most SHORT places
+    CHUNK = 8192
+
+    def __init__(self, model: PieceModel):
+        self.pieces, self.lone = len(model.bytes_of), model.lone
+        pairs = np.array(list(model.pairs), np.uint64)
+        values = np.array(list(model.pairs.values()), np.int64)
+        # pairs by slot of a table: those of a slot lie side by side
+        self.bits = max(8, len(pairs).bit_length() + 2)
+        slots = self._slot(pairs)
+        order = np.argsort(slots, kind="stable")
+        many = np.bincount(slots, minlength=1 << self.bits)
+        self.start, self.most = (np.cumsum(many) - many).astype(np.int32), int(many.max(initial=0))
+        self.many = many.astype(np.uint8)
+        self.keys = np.append(pairs[order], np.uint64(_MASK))
+        values = values[order]
+        # rank, place (0 as yet) and piece, so that the least one is the leftmost of the best
+        self.values = np.append((values >> _ID_BITS) << (_ID_BITS + self.PLACE_BITS) | (values & _ID_MASK), _NEVER)
+        self.single = np.full(sys.maxunicode + 1, self.lone, np.int32)
+        for c, i in model.single.items():
+            self.single[ord(c)] = i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of symbols merge to, by rank and piece; _NEVER for pairs that are no piece."""
+        keys = (left.astype(np.int64) << _ID_BITS | right).view(np.uint64)
+        slot = self._slot(keys)
+        at = self.start[slot]
+        hit = self.keys[at] == keys
+        out = np.where(hit, self.values[at], _NEVER)
+        rest = np.flatnonzero(~hit & (self.many[slot] > 1))
+        for k in range(1, self.most):
+            if not len(rest):
+                break
+            more = at[rest] + k
+            hit = self.keys[more] == keys[rest]
+            out[rest[hit]] = self.values[more[hit]]
+            rest = rest[~hit & (self.many[slot[rest]] > k + 1)]
+        return out
+
+    def run(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of the units, laid end to end, how many each has, and how many candidates came up; the bits of a draw say from the lowest
+        on which candidates are skipped."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).replace(" ", BLANK).encode("utf-32-le"), "<u4")
+        symbols, begins = self.single[points], np.cumsum(size) - size
+        order = np.argsort(size, kind="stable")
+        final = np.full((int(size.max(initial=1)), len(units)), -1, np.int32)
+        asked = np.zeros(len(units), np.int64)
+        for a in range(0, len(units), self.CHUNK):
+            mine = order[a : a + self.CHUNK]
+            self._chunk(symbols, begins[mine], size[mine], draws[mine], mine, final, asked)
+        flat = final.T.ravel()
+        return flat[flat >= 0], (final >= 0).sum(0), asked
+
+    def _chunk(self, symbols, begins, size, draw, which, final, asked) -> None:
+        n, places = len(size), int(size[-1])
+        row = np.arange(places)[:, None]
+        inside = row < size
+        sym = np.full((places + 1, n), self.lone, np.int32)  # the last row stands for what is before and after a unit
+        sym[:places] = np.where(inside, symbols[np.minimum(begins + row, len(symbols) - 1)], -1)
+        after = np.empty((places + 1, n), np.int64)
+        after[:places] = np.where(row + 1 < size, row + 1, places)
+        before = np.empty((places + 1, n), np.int64)
+        before[:places] = np.where(row > 0, row - 1, places)
+        rank = np.full((places + 1, n), _NEVER, np.int64)
+        pair = row + 1 < size
+        rank[:places][pair] = self.joined(sym[:places][pair], sym[1:][pair]) | np.broadcast_to(row, pair.shape)[pair] << _ID_BITS
+        draw, count = draw.copy(), np.zeros(n, np.int64)
+        while True:
+            best = rank[:places].min(0)
+            live = best < _NEVER
+            cols = np.flatnonzero(live)
+            if 4 * len(cols) < 3 * n or not len(cols):
+                done = np.flatnonzero(~live)
+                final[:places, which[done]], asked[which[done]] = sym[:places, done], count[done]
+                if not len(cols):
+                    return
+                sym, after, before, rank = (x.take(cols, 1) for x in (sym, after, before, rank))
+                draw, count, which, best = draw[cols], count[cols], which[cols], best[cols]
+                n = len(cols)
+                cols = np.arange(n)
+            flat_sym, flat_after, flat_before, flat_rank = (x.reshape(-1) for x in (sym, after, before, rank))
+            got = best[cols]
+            place = got >> _ID_BITS & ((1 << self.PLACE_BITS) - 1)
+            at = place * n + cols
+            flat_rank[at] = _NEVER
+            count[cols] += 1
+            go = np.flatnonzero((draw[cols] & np.uint64(1)) == 0)
+            draw >>= np.uint64(1)
+            cols, place, at, piece = cols[go], place[go], at[go], got[go] & _ID_MASK
+            right = flat_after[at] * n + cols
+            onward = flat_after[right]
+            flat_sym[at], flat_sym[right], flat_rank[right], flat_after[at] = piece, -1, _NEVER, onward
+            flat_before[onward * n + cols] = place
+            flat_rank[at] = self.joined(piece, flat_sym[onward * n + cols]) | place << _ID_BITS
+            back = flat_before[at]
+            flat_rank[back * n + cols] = self.joined(flat_sym[back * n + cols], piece) | back << _ID_BITS
+
+
 _LONG = 1 << 63  # the bit that is set in every draw
 
 
@@ -290,6 +399,7 @@ class Encoder:
         self.dtype = "<u2" if len(self.model.bytes_of) <= 1 << 16 else "<u4"
         self.plain = Plain(self.model, self.dtype, kept)
         self.known: dict[tuple[str, int, int], bytes | int] = {}
+        self.agenda = Agenda(self.model) if rate and self.model.pairs is not None else None
         self.rate, self.seed, self.kept = rate, seed & _MASK, kept
         # the rate as a binary fraction, to a relative 2**-17 or better
         digits = 16 + max(0, math.ceil(-math.log2(rate))) if rate else 0
@@ -310,56 +420,102 @@ class Encoder:
                     out = out | raw if digit else out & raw
             yield from (out | np.uint64(_LONG)).tolist()
 
-    def first(self, unit: str, draw: int, key: str, place: int) -> bytes:
-        """Ids of an occurrence of a unit whose plain ids aren't kept: most such units are rare, so its own draw is all that is worked out."""
-        if unit == BLANK or len(unit) > SHORT:
-            ids, mask = self.plain[unit]
-            return self.dropped(unit, draw, mask, key, place) if draw & mask else ids
-        ids, asked = self.model.drawn(unit, draw)
-        ids, mask = self.plain.packed(ids), (1 << asked) - 1
-        if not draw & mask:
-            self.plain.keep(unit, (ids, mask))
-        return ids
-
     def dropped(self, unit: str, draw: int, mask: int, key: str, place: int) -> bytes:
-        """Ids of an occurrence for which some candidate is skipped. Kept under the bits asked for; where these turn out to be too few,
-        a wider mask is kept in the place of ids."""
+        """Ids of one occurrence for which some candidate is skipped."""
+        got = mask if mask == _LONG else self.known.get((unit, draw & mask, mask))
+        while type(got) is int and got != _LONG:
+            mask = got
+            got = self.known.get((unit, draw & mask, mask))
+        return got if type(got) is bytes else self.single(unit, draw, mask, key, place)
+
+    def single(self, unit: str, draw: int, mask: int, key: str, place: int) -> bytes:
+        """Ids of an occurrence that isn't kept and not worked out with others."""
         if mask == _LONG:
             own = xxhash.xxh3_64_intdigest(f"{key}/{place}", seed=self.seed)
             return self.plain.packed(self.model.segment(unit, self.rate, own))
+        ids, asked = self.model.drawn(unit, draw)
+        return self.keep(unit, draw, mask, self.plain.packed(ids), (1 << asked) - 1)
+
+    def keep(self, unit: str, draw: int, mask: int, ids: bytes, wide: int) -> bytes:
+        """Keeps a segmentation under the bits that were asked for (wide); where the plain one's, or a kept mask, are too few, the wider mask is
+        kept in the place of ids. mask -1: the plain segmentation isn't kept yet."""
+        if mask < 0:
+            if not draw & wide:
+                self.plain.keep(unit, (ids, wide))
+            return ids
         known = self.known
-        while True:
-            got = known.get((unit, draw & mask, mask))
-            if got is None:
-                break
-            if type(got) is bytes:
-                return got
-            mask = got
         make_room(known, self.kept)
-        ids, asked = self.model.drawn(unit, draw)
-        ids, wide = self.plain.packed(ids), (1 << asked) - 1
         if wide > mask:
             known[unit, draw & mask, mask] = wide
             mask = wide
         known[unit, draw & mask, mask] = ids
         return ids
 
-    def encode(self, text: str, key: str = "") -> bytes:
-        """Ids as little-endian bytes."""
-        if not text:
-            return b""
-        units, plain = self.model.units(self.model.prefix + text), self.plain
-        if not self.rate:
-            return b"".join([plain[u][0] for u in units])
-        out = []
-        for place, (unit, draw) in enumerate(zip(units, self.draws(key, len(units)), strict=True)):
-            got = plain.get(unit)
-            if got is None:
-                out.append(self.first(unit, draw, key, place))
-            else:
+    def together(self, out: list, pending: list[tuple[int, str, int, int]]) -> None:
+        """Works out pending occurrences (place in out, unit, draw, mask) at once."""
+        if not pending:
+            return
+        if self.agenda is None:
+            for at, unit, draw, mask in pending:
+                out[at] = self.single(unit, draw, mask, "", 0)
+        else:
+            flat, many, asked = self.agenda.run([p[1] for p in pending], np.array([p[2] for p in pending], np.uint64))
+            ends = np.cumsum(many)
+            other = np.zeros(len(flat) + 1, np.int64)
+            np.cumsum(flat >= self.agenda.pieces, out=other[1:])  # symbols that are no pieces become bytes one by one
+            plain = (other[ends] == other[ends - many]).tolist()
+            size = np.dtype(self.dtype).itemsize
+            packed, ends = flat.astype(self.dtype).tobytes(), (ends * size).tolist()
+            begin = 0
+            for (at, unit, draw, mask), end, count, ok in zip(pending, ends, asked.tolist(), plain, strict=True):
+                out[at] = self.keep(unit, draw, mask, packed[begin:end], (1 << count) - 1) if ok else self.single(unit, draw, mask, "", 0)
+                begin = end
+        pending.clear()
+
+    def encode_all(self, texts: list[str | None], keys: list[str]) -> list[bytes | None]:
+        """Ids of each text as little-endian bytes; none for null."""
+        plain, known = self.plain, self.known
+        out: list[bytes] = []
+        ends, pending = [], []
+        for text, key in zip(texts, keys, strict=True):
+            units = self.model.units(self.model.prefix + text) if text else []
+            if not self.rate:
+                out += [plain[u][0] for u in units]
+                ends.append(len(out))
+                continue
+            begin = len(out)
+            for unit, draw in zip(units, self.draws(key, len(units)), strict=True):
+                got = plain.get(unit)
+                if got is None:
+                    if unit != BLANK and len(unit) <= SHORT:
+                        pending.append((len(out), unit, draw, -1))
+                        out.append(b"")
+                        if len(pending) >= TOGETHER:
+                            self.together(out, pending)
+                        continue
+                    got = plain[unit]
                 ids, mask = got
-                out.append(self.dropped(unit, draw, mask, key, place) if draw & mask else ids)
-        return b"".join(out)
+                if draw & mask:
+                    if mask == _LONG:
+                        out.append(self.dropped(unit, draw, mask, key, len(out) - begin))
+                        continue
+                    ids = known.get((unit, draw & mask, mask))
+                    while type(ids) is int:
+                        mask = ids
+                        ids = known.get((unit, draw & mask, mask))
+                    if ids is None:
+                        pending.append((len(out), unit, draw, mask))
+                        out.append(b"")
+                        if len(pending) >= TOGETHER:
+                            self.together(out, pending)
+                        continue
+                out.append(ids)
+            ends.append(len(out))
+        self.together(out, pending)
+        return [None if t is None else b"".join(out[a:b]) for t, a, b in zip(texts, [0, *ends], ends, strict=False)]
+
+    def encode(self, text: str, key: str = "") -> bytes:
+        return self.encode_all([text], [key])[0]
 
 
 @lru_cache(maxsize=1)
@@ -376,10 +532,9 @@ def _batches(batches: Iterator[pa.RecordBatch], args):
     coder = encoder(*args)
     for batch in batches:
         for part in common.slices(batch, "text"):
-            ids, texts = [], common.pylist(part, "text")
-            for text, key in zip(texts, common.pylist(part, "key"), strict=True):
-                ids.append(None if text is None else np.frombuffer(coder.encode(text, key), coder.dtype))
-            yield coder, part, texts, ids
+            texts = common.pylist(part, "text")
+            got = coder.encode_all(texts, common.pylist(part, "key"))
+            yield coder, part, texts, [None if g is None else np.frombuffer(g, coder.dtype) for g in got]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

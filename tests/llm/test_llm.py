@@ -168,6 +168,25 @@ def test_dropout_by_the_definition():
         assert (model._ids(symbols), asked) == model.drawn(unit, draw)
 
 
+def test_agendas_in_arrays_by_the_definition():
+    model, rng = pieces.PieceModel(pieces.public_model()), random.Random(8)
+    agenda = pieces.Agenda(model)
+    letters = "etaoinshrdlu" * 3 + "ABC.,-'09é日\u0378😀 "
+    units, draws = [], []
+    for k in range(12_000):
+        units.append(" " * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, pieces.SHORT - 2))))
+        draws.append(sum(1 << b for b in range(63) if rng.random() < (0.0, 0.1, 0.5, 1.0)[k % 4]) | 1 << 63)
+    flat, many, asked = agenda.run(units, np.array(draws, np.uint64))
+    compared = 0
+    for unit, draw, end, n, count in zip(units, draws, np.cumsum(many).tolist(), many.tolist(), asked.tolist(), strict=True):
+        ids, came_up = brute_agenda(model, unit, draw)
+        assert count == came_up
+        if max(flat[end - n : end]) < agenda.pieces:
+            assert flat[end - n : end].tolist() == ids
+            compared += 1
+    assert compared > 3000
+
+
 def test_every_occurrence_has_its_own_dropout():
     """Shares of segmentations are those of independent draws, and their number isn't bound; what is kept has no bearing."""
     path, rng = pieces.public_model(), random.Random(3)
