@@ -544,9 +544,6 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "node long").distinct()
 
 
-_ASKED = "list long, node long, id long, dk long, line int, n int, room int, bits binary, words binary"
-
-
 class Asked:
     """Nodes that ask for similar earlier ones: their places, words and postings, by list."""
 
