@@ -209,6 +209,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def overlaps(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """overlap of a with each of the others."""
+    sizes = np.array([len(o) for o in others])
+    if not len(a):
+        return (sizes == 0).astype(float)
+    flat = np.concatenate(others)
+    equal = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+    shared = np.diff(np.concatenate([[0], np.cumsum(equal)])[np.concatenate([[0], np.cumsum(sizes)])])
+    return shared / (len(a) + sizes - shared)
+
+
 class Families:
     """Links between components within families of rows that arrive by family and chunk, those that ask first. Every row that asks is
     compared with every row of its family whose bits make the similarity likely, nearest first, unless links found so far have already
@@ -229,21 +240,35 @@ class Families:
     def _link(self, left: dict, right: dict):
         step = max(1, 1_000_000 // max(1, len(right["node"])))
         both = {c: np.concatenate([left[c], right[c]]) for c in ("node", "n", "x", "y", "root", "closed")}
-        bags = [*left["bag"], *right["bag"]]
+        bags = [np.frombuffer(bag, "<u8") for bag in (*left["bag"], *right["bag"])]
+        known, place = np.unique(both["root"], return_inverse=True)
+        root = np.array([self._root(r) for r in known.tolist()], np.int64)[place]
         width = len(left["node"])
         for at in range(0, width, step):
             i, j = np.divmod(np.arange(min(step, width - at) * len(right["node"])), len(right["node"]))
             i, j = i + at, j + width
-            ok = both["root"][i] != both["root"][j]
+            ok = root[i] != root[j]
             ok &= both["closed"][j] | (both["node"][i] < both["node"][j])
             i, j = i[ok], j[ok]
             ok = self.likely(both, i, j)
             i, j = i[ok], j[ok]
-            for k in np.argsort(common.bits_apart(both, i, j), kind="stable").tolist():
-                a, b = int(i[k]), int(j[k])
-                ra, rb = self._root(int(both["root"][a])), self._root(int(both["root"][b]))
-                if ra != rb and overlap(np.frombuffer(bags[a], "<u8"), np.frombuffer(bags[b], "<u8")) >= THRESHOLD:
-                    self.parent[max(ra, rb)] = min(ra, rb)
+            for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                if len(some):
+                    yield from self._ask(both, bags, root, int(i[some[0]]), j[some])
+
+    def _ask(self, both: dict, bags: list[np.ndarray], root: np.ndarray, a: int, rest: np.ndarray):
+        """Links of row a to these rows, nearest first; those that links have brought to it since are left out."""
+        rest = rest[np.argsort(common.bits_apart(both, np.full(len(rest), a), rest), kind="stable")]
+        take = 16
+        while len(rest := rest[root[rest] != root[a]]):
+            # so many that they hold at most about a million shingles
+            size = max(1, min(take, int(np.searchsorted(np.cumsum(both["n"][rest[:take]]), 1 << 20))))
+            some, rest, take = rest[:size], rest[size:], take * 4
+            for b in some[overlaps(bags[a], [bags[k] for k in some.tolist()]) >= THRESHOLD].tolist():
+                less, more = sorted((int(root[a]), int(root[b])))
+                if less != more:
+                    self.parent[more] = less
+                    root[root == more] = less
                     yield int(both["node"][a]), int(both["node"][b])
 
     def add(self, batch: pa.RecordBatch):
@@ -335,12 +360,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.where("kind = 1").select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.union(stage(verify(rest, bags), "links"))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(stage(verify(rest, bags), "links"))
     # long lists that share nodes are one family, whose nodes meet once
     heads = rows.groupBy("key").agg(F.min("node").alias("b"))
     family = components(rows.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
     members = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y"))).join(family, "node")
-    members = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links)
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("family", "root").count()
     mains = sizes.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     members = members.join(mains, "family").withColumn("closed", F.col("root") == F.col("main"))
@@ -352,7 +378,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     members = members.join(chunks, "family").withColumn("role", F.explode(F.concat(asker, member))).join(bags, "node")
     members = members.select("family", "role.chunk", "role.asks", "node", "n", "x", "y", "root", "closed", "bag")
     members = members.repartition(n, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("asks"), "node")
-    links = links.union(stage(members.mapInArrow(lambda batches: _family_links(batches, bits_apart), "a long, b long"), "links"))
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(stage(members.mapInArrow(lambda batches: _family_links(batches, bits_apart), "a long, b long"), "links"))
     out = signed.select("id", "row", "row2", "node").join(components(links), "node", "left")
     out = common.stage(out.select("id", "row", "row2", "node", F.coalesce("root", "node").alias("root")), "classes")
     common.drop_stage(spark, *staged)
