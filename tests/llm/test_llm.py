@@ -65,6 +65,25 @@ def test_hash_words_sees_words():
     assert len(set(known.values())) == len(known)
 
 
+def test_contracted_edges_connect_the_same_nodes():
+    rng = np.random.default_rng(5)
+    for nodes, edges in ((1, 3), (40, 20), (60, 200), (500, 260)):
+        a, b = rng.integers(0, nodes, (2, edges))
+        least = {int(v): int(v) for v in (*a, *b)}
+        for _ in range(nodes):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        got = dict(zip(*(c.tolist() for c in components.contracted(a, b)), strict=True))
+        assert got == {v: r for v, r in least.items() if v != r}
+
+
+def test_overlaps_are_the_overlap_of_each():
+    rng = np.random.default_rng(6)
+    bags = [near_dup.folded(rng.integers(0, 30, k).astype(np.uint64)) for k in (0, 1, 5, 0, 40, 80)]
+    for a in bags:
+        assert near_dup.overlaps(a, bags).tolist() == [near_dup.overlap(a, b) for b in bags]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 440)]
