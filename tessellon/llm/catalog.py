@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessellon.llm import decontaminate, fingerprint, licenses, line_dedup, near_dup, pieces, pii, quality, token_store, toxicity
+from tessellon.llm import decontaminate, fingerprint, licenses, line_dedup, near_dup, pieces, pii, quality, resample, token_store, toxicity, warc, whitening
 
 QUERIES = {
     "op1_merge_dropout_pieces": pieces.op1,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_token_store": token_store.op8,
     "op9_weak_supervision_pii": pii.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_revisit_resolution": warc.op11,
+    "op12_importance_resampling": resample.op12,
+    "op13_embedding_whitening": whitening.op13,
 }
 
 ORACLES: dict[str, str] = {
+    # Base32 letters are cut out of the digest's hexadecimal digits, five bits each.
+    "op11_revisit_resolution": warc.ORACLE,
     # A window of 13 words (or a shorter item's words) is a string of words with blanks between; documents' windows of
     # each length that occurs are joined to the items' by equality.
     "op4_suffix_array_decontamination": r"""

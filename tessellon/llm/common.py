@@ -59,6 +59,12 @@ def drop_stage(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of files that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reclaim(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of queries that have ended."""
     gc.collect()
