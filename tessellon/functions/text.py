@@ -96,8 +96,10 @@ def to_ascii(c: Column) -> Column:
     """Compatibility forms and accents to ASCII letters, other non-ASCII dropped."""
     several = F.create_map(*(F.lit(x) for pair in SEVERAL.items() for x in pair))
     long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
-    c = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), long).otherwise(c)
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    spelt_out = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), long).otherwise(c)
+    plain = F.regexp_replace(F.translate(spelt_out, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    # most texts are ASCII already, and the class of hundreds of characters is tried at every place of a text
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessellon.functions import dates, stats, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, retrieval, routing
+from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, retrieval, routing, vector_index
 from tessellon.plans.oracles_more import ALL as ORACLES
 from tessellon.plans.session import scratch, spread, table
 from tessellon.sources import readers, writers
@@ -327,6 +327,35 @@ def vector_topk(spark, sf):
     return _vector_hits(spark, sf, 10).select("query_id", "vec_id", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
+def _index_queries(v):
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@query
+def index_round_trip(spark, sf):
+    """An index of all vectors, written, opened again and asked for 100 of its own vectors."""
+    v = table(spark, sf, "embeddings")
+    r = vector_index.round_trip(vector_index.build(v, scratch(spark, "vector-index")), v)
+    return r.select("vectors", F.col("dim").cast("long").alias("dim"), "sampled", F.round("error_max", 6).alias("error_max"))
+
+
+@query
+def index_nearest(spark, sf):
+    v = table(spark, sf, "embeddings")
+    found = vector_index.search(vector_index.build(v, scratch(spark, "vector-index")), _index_queries(v), 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def index_recall(spark, sf):
+    """Cells of a few hundred vectors, a part of them asked: how much of the exact answer is found."""
+    v = table(spark, sf, "embeddings")
+    q = _index_queries(v)
+    index = vector_index.build(v, scratch(spark, "vector-index"), part_rows=400)
+    got = vector_index.recall(vector_index.search(index, q, 10, probes=8), retrieval.nearest(v, q, 10), "vec_id")
+    return got.select("queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query
 def lexvec_search(spark, sf):
     """Benchmark items as queries over documents: hashed vectors propose 100, shared terms re-score them."""

@@ -159,6 +159,9 @@ SELECT o_orderkey, CASE WHEN press THEN age <= 365 END AS is_within_12mo, CASE W
     "log_words": "SELECT count(*) FILTER (WHERE event_id % 10 = 0) AS errors, count(*) FILTER (WHERE event_id % 10 <> 0) AS fine, CAST(0 AS BIGINT) AS nothing FROM events",
     "feed_items_read": "SELECT url AS link, 'Page ' || page_id AS title, DATE '2025-03-06' AS day FROM pages",
     "decoded_payloads": "SELECT c_custkey, CAST(2 + length(c_name) AS INTEGER) AS chars, md5(c_name) AS digest FROM customer",
+    "index_round_trip": "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dim, least(100, count(*)) AS sampled, CAST(0 AS DOUBLE) AS error_max FROM embeddings",
+    "index_nearest": f"WITH {_HITS} SELECT query_id, vec_id, round(d2, 6) AS d2, rank FROM hits WHERE rank <= 10",
+    "index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "prior_report": f"WITH {_METRICS} SELECT metric, round(CASE WHEN metric = 'domains' THEN 7.0 ELSE v END, 6) AS value FROM m",
 }
 
