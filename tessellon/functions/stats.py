@@ -1,51 +1,13 @@
-"""The percentile definitions in use, as aggregates over one column."""
+"""Values at places of a whole column's order; operators/ordering.py has percentiles by group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """The ceil(p n)-th smallest value."""
-    return F.expr(f"percentile_disc({p}) within group (order by {x})")
-
-
-def _at(x: str, place: Column) -> Column:
-    values = F.array_sort(F.collect_list(x))
-    return F.when(F.size(values) > 0, F.get(values, place.cast("int")))
-
-
-def floor_index(x: str, p: float) -> Column:
-    """The value at index floor(p (n - 1))."""
-    return _at(x, F.floor(F.lit(p) * (F.count(x) - 1)))
-
-
-def even_index(x: str, p: float) -> Column:
-    """The value at index p (n - 1), halves rounded to even."""
-    return _at(x, F.bround(F.lit(p) * (F.count(x) - 1)))
-
-
-def upper_median(x: str) -> Column:
-    """The value at index n // 2."""
-    return _at(x, F.floor(F.count(x) / 2))
-
-
-def hinges(x: str) -> Column:
-    """Tukey's lower and upper hinge (struct q1, q3): medians of the halves, the middle value left out of both."""
-    v = F.array_sort(F.collect_list(F.col(x).cast("double")))
-    half = F.floor(F.size(v) / 2).cast("int")
-
-    def median(part: Column) -> Column:
-        n = F.size(part)
-        low, high = F.get(part, F.floor((n - 1) / 2).cast("int")), F.get(part, F.floor(n / 2).cast("int"))
-        return F.when(n > 0, (low + high) / 2)
-
-    return F.struct(median(F.slice(v, F.lit(1), half)).alias("q1"), median(F.slice(v, F.size(v) - half + 1, half)).alias("q3"))
-
-
 def values_at(df: DataFrame, x: str, places: Callable[[int], list[int]], cuts: int = 256) -> dict[int, float]:
     """The values of a column at places (from 0, given its size) of its ascending order, without one task holding the column: counts by
     range name the ranges that hold the places, and only these ranges' values are put in order. Nulls are left out."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.functions import stats
+from tessellon.operators import ordering
 
 CUTS = (1, 3, 5, 10)
 
@@ -38,7 +38,8 @@ def outcome(rank: Column, doc_rank: Column, gap: Column, depth: int = 10, tolera
 
 def rank_figures(ranks: DataFrame, by: list[str] | None = None, rank: str = "rank") -> DataFrame:
     """Rank statistics over found rows: upper median, and the values at floors of 0.75 and 0.9 of the last index."""
-    return ranks.where(F.col(rank).isNotNull()).groupBy(*(by or [])).agg(stats.upper_median(rank).alias("p50"), stats.floor_index(rank, 0.75).alias("p75"), stats.floor_index(rank, 0.9).alias("p90"))
+    wanted = {"p50": ordering.upper_median, "p75": ordering.floor_index(0.75), "p90": ordering.floor_index(0.9)}
+    return ordering.percentiles(ranks.where(F.col(rank).isNotNull()), rank, wanted, by or [])
 
 
 def freshness(hits: DataFrame, as_of: Column, depth: int = 10, missing: int = 365, query_id: str = "query_id") -> DataFrame:
@@ -47,22 +48,12 @@ def freshness(hits: DataFrame, as_of: Column, depth: int = 10, missing: int = 36
     return hits.where(F.col("rank") <= depth).groupBy(query_id).agg(F.avg(age).alias("mean_age"), F.countDistinct(F.nullif("domain", F.lit(""))).alias("domains"))
 
 
-def hash_order(*keys: str | Column, seed: int = 7) -> Column:
-    """A seeded order that any engine can repeat: the digest of the seed and the keys."""
-    return F.sha1(F.concat_ws("/", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k for k in keys)))
-
-
 def stratified(rows: DataFrame, stratum: str, quota: int, id_col: str, seed: int = 7) -> DataFrame:
     """The first `quota` rows of each stratum in seeded hash order, with their place."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(id_col, seed=seed), id_col)
+    w = Window.partitionBy(stratum).orderBy(ordering.seeded(id_col, seed=seed), id_col)
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota)
 
 
-def round_robin(rows: DataFrame, order: list[Column], names: list[str]) -> Column:
-    """Names dealt out in turn. The order runs over all rows, so use it on samples."""
-    return F.element_at(F.array(*map(F.lit, names)), ((F.row_number().over(Window.orderBy(*order)) - 1) % len(names) + 1).cast("int"))
-
-
 def unlike_twins(persona: str, query: str, order: str, second: Column) -> Column:
     """The query, or the second wording where the persona has that query already."""
     return F.when(F.row_number().over(Window.partitionBy(persona, query).orderBy(order)) == 1, F.col(query)).otherwise(second)
@@ -107,15 +98,3 @@ def soft_hits(expected: DataFrame, hits: DataFrame, tolerance: int = 1, depth: i
         F.coalesce(F.bool_or(F.col("id") == F.col("expected_id")), F.lit(False)).alias("hit"), F.coalesce(F.bool_or(own & (gap <= tolerance)), F.lit(False)).alias("near"), F.min_by(F.when(own, gap), F.when(own, F.col("rank"))).alias("gap"),
     )
     return met.withColumn("near", F.col("near") & ~F.col("hit"))
-
-
-def with_replacement(rows: DataFrame, order: str, n: int, seed: int = 42) -> DataFrame:
-    """n seeded draws from rows numbered by their order (draw, and the row drawn), repeatable in any engine: draw k takes the row at the digest of
-    seed and k, as a number, modulo the number of rows. The numbering runs over all rows, so use it on samples."""
-    size = rows.count()
-    if not size:
-        return rows.select(F.lit(0).cast("long").alias("draw"), "*").limit(0)
-    digest = F.conv(F.left(F.sha1(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(12)), 16, 10).cast("long")
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (digest % size).alias("_place"))
-    numbered = rows.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
-    return F.broadcast(draws).join(numbered, "_place").drop("_place")

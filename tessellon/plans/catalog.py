@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellon.functions import dates, stats, urls
+from tessellon.functions import dates, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, retrieval, routing, vector_index
+from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, ordering, retrieval, routing, vector_index
 from tessellon.plans.oracles_more import ALL as ORACLES
 from tessellon.plans.session import scratch, spread, table
 from tessellon.sources import readers, writers
@@ -252,7 +252,8 @@ def adjacent_jaccard(spark, sf):
 @query
 def nonadjacent_p95(spark, sf):
     d = chunking.distant_similarity(_chunks(spark, sf))
-    return d.agg(F.count("*").alias("pairs"), F.round(stats.floor_index("jaccard", 0.95), 6).alias("p95"))
+    p = ordering.percentiles(d, "jaccard", {"p95": ordering.floor_index(0.95)})
+    return d.agg(F.count("*").alias("pairs")).crossJoin(F.broadcast(p.select(F.round("p95", 6).alias("p95"))))
 
 
 @query
@@ -459,7 +460,7 @@ def stratified_sample(spark, sf):
 def seed_queries(spark, sf):
     """Labelled queries from a sample: personas in turn, second wording for a persona's repeated query."""
     s = evaluation.stratified(_docs(spark, sf), "lang", 6, "doc_id")
-    s = s.withColumn("persona", evaluation.round_robin(s, [F.col("doc_id")], ["cio", "vp_customer_experience", "vp_sales_ops"]))
+    s = ordering.round_robin(s, [F.col("doc_id")], ["cio", "vp_customer_experience", "vp_sales_ops"], "persona")
     s = s.withColumn("q1", F.concat(F.lit("What about "), "lang"))
     s = s.withColumn("query_text", evaluation.unlike_twins("persona", "q1", "doc_id", F.concat(F.lit("Tell me of "), "lang", F.lit(" "), "source")))
     return s.select("doc_id", "persona", "query_text", evaluation.eval_id(F.col("doc_id").cast("string"), F.col("persona"), F.col("query_text")).alias("eval_id"))
@@ -474,11 +475,12 @@ def planner_queries(spark, sf):
 
 @query
 def percentile_variants(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(
-        stats.nearest_rank("value", 0.9).alias("nearest"), stats.floor_index("value", 0.95).alias("floored"), stats.even_index("value", 0.95).alias("evened"), stats.upper_median("value").alias("upper_median"),
-        F.round(stats.hinges("value")["q1"], 6).alias("hinge_low"), F.round(stats.hinges("value")["q3"], 6).alias("hinge_high"), F.round(F.median("value"), 6).alias("median"),
-    )
+    wanted = {
+        "nearest": ordering.nearest_rank(0.9), "floored": ordering.floor_index(0.95), "evened": ordering.even_index(0.95), "upper_median": ordering.upper_median,
+        "hinge_low": ordering.lower_hinge, "hinge_high": ordering.upper_hinge, "median": ordering.median,
+    }
+    p = ordering.percentiles(table(spark, sf, "events"), "value", wanted, ["event_type"])
+    return p.select("event_type", "nearest", "floored", "evened", "upper_median", *(F.round(c, 6).alias(c) for c in ("hinge_low", "hinge_high", "median")))
 
 
 # ---------------------------------------------------------------- gates
@@ -725,13 +727,13 @@ def soft_recall(spark, sf):
 
 @query
 def seeded_shuffle(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", F.row_number().over(Window.orderBy(evaluation.hash_order("c_custkey", seed=42), "c_custkey")).alias("place"))
-    return c.select("c_custkey", F.col("place").cast("long").alias("place"))
+    c = ordering.shuffled(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    return c.select("c_custkey", (F.col("place") + 1).alias("place"))
 
 
 @query
 def drawn_with_replacement(spark, sf):
-    d = evaluation.with_replacement(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 100)
+    d = ordering.with_replacement(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 100)
     return d.select("draw", "s_suppkey")
 
 

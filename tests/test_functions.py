@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessellon.functions import dates, stats, urls, vectors
+from tessellon.functions import dates, urls, vectors
 from tessellon.functions import text as tx
+from tessellon.operators import ordering
 
 
 def one(spark, column, **values):
@@ -110,7 +111,8 @@ def test_hosts_and_keys(spark):
 def test_percentiles(spark, n):
     values = [float((k * 7) % 11) for k in range(n)]
     d = spark.createDataFrame([(v,) for v in values], "x double")
-    r = d.agg(stats.nearest_rank("x", 0.9).alias("a"), stats.floor_index("x", 0.95).alias("b"), stats.even_index("x", 0.5).alias("c"), stats.upper_median("x").alias("d")).first()
+    wanted = {"a": ordering.nearest_rank(0.9), "b": ordering.floor_index(0.95), "c": ordering.even_index(0.5), "d": ordering.upper_median}
+    r = ordering.percentiles(d, "x", wanted).first()
     s = sorted(values)
     want = (s[math.ceil(0.9 * n) - 1], s[int(0.95 * (n - 1))], s[round(0.5 * (n - 1))], s[n // 2]) if n else (None,) * 4
     assert tuple(r) == want
