@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tessellon.functions import dates, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gates, ingest, metadata, normalize, ordering, retrieval, routing, vector_index
+from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gate_metrics, gates, ingest, metadata, normalize, ordering, retrieval, routing, vector_index
 from tessellon.plans.oracles_more import ALL as ORACLES
-from tessellon.plans.session import scratch, spread, table
+from tessellon.plans.session import scratch, spread, staged, table
 from tessellon.sources import readers, writers
 from tessellon.streaming import events as ev
 
@@ -515,6 +515,60 @@ def gate_states(spark, sf):
     return gates.states(gates.checks(_metrics(spark, sf), gates.rules_frame(spark)))
 
 
+def _gate_raw(spark, sf):
+    """Pages as sidecars of buckets and feeds, some unanswered, copied, without a digest or a day."""
+    n = F.col("page_id")
+    bucket = F.get(F.array(*map(F.lit, ("sec", "investor_news", "newsroom", "newsroom", "product", "dev_docs", "help_docs", "wikipedia"))), (n % 8).cast("int"))
+    before = lambda days: F.date_sub(_as_of(), days.cast("int"))
+    return table(spark, sf, "pages").select(
+        bucket.alias("source_bucket"), F.when(n % 8 == 2, "x; feed=corporate").when(n % 8 == 3, "feed=product").alias("notes"), F.when(n % 40 == 7, 404).otherwise(200).alias("http_status"),
+        F.when(n % 9 == 4, "same").when(n % 9 == 5, " ").otherwise(F.sha2("html", 256)).alias("sha256_raw"), F.when(bucket == "newsroom", "press").otherwise(bucket).alias("doctype"),
+        F.when(n % 7 > 0, before(n * 13 % 1500)).alias("visible_date"), F.when(n % 2 == 0, before(F.lit(100))).alias("rss_pubdate"),
+    )
+
+
+def _gate_docs(spark, sf):
+    """Documents as normalised ones: kinds, titles, days and tags by number, some missing or wrong."""
+    n, text = F.col("doc_id"), F.col("text")
+    day = F.when(n % 13 == 0, "").when(n % 13 == 1, "2031-01-01").when(n % 13 == 2, "soon").otherwise(F.date_sub(_as_of(), (n % 1200).cast("int")).cast("string"))
+    tags = F.when(n % 50 > 0, F.when(n % 3 > 0, F.array("lang")).otherwise(F.array().cast("array<string>")))
+    fixed = {c: F.lit("x") for c in ("company", "url", "final_url", "section", "hash_sha256")}
+    return _docs(spark, sf).select(
+        n.cast("string").alias("doc_id"), F.get(F.array(*map(F.lit, ("press", "10-K", "product", "wiki"))), (n % 4).cast("int")).alias("doctype"), F.when(n % 17 > 0, F.concat(F.lit("Title "), n.cast("string"))).otherwise(" ").alias("title"),
+        day.alias("publish_date"), F.col("source").alias("source_domain"), F.when(text.contains("a"), "T").otherwise("").alias("topic"), tags.alias("persona_tags"), F.col("lang").alias("language"), "text", tx.word_count(text).alias("word_count"),
+        tx.token_count(text).alias("token_count"), F.lit(_AS_OF_TIME).cast("timestamp").alias("ingestion_ts"), F.when(n % 10 == 0, ".pdf").otherwise(".raw.html").alias("ending"), F.when(n % 20 == 0, "m").alias("pdf_page_map"),
+        (F.length(text) + n % 50).alias("before_len"), F.length(text).alias("after_len"), ((n % 100) / 100).alias("sec_item_coverage_ratio"), (n % 8 > 0).alias("headed"), *(c.alias(k) for k, c in fixed.items()),
+    )
+
+
+_AS_OF_TIME = "2025-09-08 00:00:00"
+
+
+@query
+def gate_report(spark, sf):
+    """All metrics of collection, normalisation, metadata, chunking, duplicates, baseline, embeddings and indexes, judged, with the gates' states."""
+    docs = staged(_gate_docs(spark, sf), "gate-docs")
+    chunks = staged(chunking.windows(docs), "gate-chunks")
+    first = chunks.groupBy(F.sha2("text", 256)).agg(F.min(F.struct(F.col("doc_id").cast("long").alias("n"), "seq_no", "doc_id")).alias("f")).select("f.doc_id", "f.seq_no")
+    kept = staged(chunks.join(first, ["doc_id", "seq_no"], "left_semi"), "gate-kept")
+    sizes = spark.createDataFrame([("press", 700, 200)], "doctype string, median_tokens int, iqr_tokens int")
+    headed = docs.withColumn("text", F.when(F.col("headed"), F.concat(F.lit("H1: t\n\n"), "text")).otherwise(F.col("text")))
+    vectors = table(spark, sf, "embeddings")
+    n_docs, n_vectors = docs.count(), vectors.count()
+    hits = _vector_hits(spark, sf, 10).select(F.lit("index").alias("backend"), "query_id", "rank", F.col("vec_id").cast("string").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id", "left")
+    asked = _index_queries(vectors).select("query_id", F.array(*map(F.lit, ("the", "re", "zzz"))).alias("words"))
+    index = vector_index.build(vectors, scratch(spark, "vector-index"))
+    held = index.manifest.agg(F.sum("rows")).first()[0] or 0
+    indexed = vectors.select(F.col("vec_id").cast("string").alias("doc_id"))
+    found = gate_metrics.collection(_gate_raw(spark, sf), _as_of()) | gate_metrics.normalization(headed, n_docs + 10, 4, {"press": (300, 0.99), "10-K": (900, 1.0)}) | gate_metrics.metadata_quality(docs, _as_of())
+    found |= gate_metrics.chunk_quality(docs, chunks, sizes, _line_starts(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))) | gate_metrics.dedupe_quality(docs, chunks, kept)
+    found |= gate_metrics.baseline(docs, chunks, table(spark, sf, "labels").count(), _as_of()) | gate_metrics.embedding_quality(vectors, n_vectors, 64, "embedding")
+    found |= gate_metrics.index_quality(indexed, docs, n_vectors, vector_index.round_trip(index, vectors).first()["error_max"], evaluation.keyword_hits(hits, asked), {"pinecone": held})
+    judged = gates.checks(gate_metrics.frame(spark, found), gates.rules_frame(spark, [r for r in gates.RULES if r.gate in ("G01", "G02", "G03", "G04", "G05", "S0", "S1", "S2")]))
+    state = gates.states(judged).select("gate", F.col("status").alias("gate_status"))
+    return judged.join(state, "gate").select("gate", "id", "metric", F.round("actual", 6).alias("actual"), "status", "gate_status")
+
+
 @query
 def semi_anti_integrity(spark, sf):
     docs, labels = _docs(spark, sf), table(spark, sf, "labels").select("doc_id")

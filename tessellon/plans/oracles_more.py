@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessellon.operators.gates import RULES
-from tessellon.plans.oracles import _CHUNKS, _D2, _HITS, _PAIRS, _SCORED, ORACLES, _capped, _feed, _final, _host, _strip, _terms, _tokens, _words
+from tessellon.plans.oracles import _CHUNKS, _D2, _HITS, _PAIRS, _SCORED, _STOPS, ORACLES, _capped, _feed, _final, _host, _strip, _terms, _tokens, _words
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 _FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::UHUGEINT), lambda s, c: (xor(s, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981037567433372::UHUGEINT)"
@@ -35,6 +35,64 @@ def _number(x: float | None) -> str:
 
 _RULE_ROWS = ", ".join(f"('{r.gate}', '{r.id}', '{r.metric}', {_number(r.low)}, {_number(r.high)}, {_number(r.warn_low)}, {_number(r.warn_high)})" for r in RULES)
 
+# The gates' tables: pages as sidecars, documents as normalised ones, their windows as chunks.
+_GATE_TABLES = f"""{_CHUNKS}, {_MARKS},
+raw AS (SELECT ['sec', 'investor_news', 'newsroom', 'newsroom', 'product', 'dev_docs', 'help_docs', 'wikipedia'][page_id % 8 + 1] AS bucket, CASE page_id % 8 WHEN 2 THEN 'x; feed=corporate' WHEN 3 THEN 'feed=product' END AS notes,
+  CASE WHEN page_id % 40 = 7 THEN 404 ELSE 200 END AS code, CASE WHEN page_id % 9 = 4 THEN 'same' WHEN page_id % 9 <> 5 THEN sha256(html) END AS digest,
+  DATE '2025-09-08' - CASE WHEN page_id % 7 > 0 THEN CAST(page_id * 13 % 1500 AS INTEGER) WHEN page_id % 2 = 0 THEN 100 END AS day FROM pages),
+gd AS (SELECT doc_id, ['press', '10-K', 'product', 'wiki'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 17 > 0 THEN 'Title ' || doc_id ELSE ' ' END AS title,
+  CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN '2031-01-01' WHEN 2 THEN 'soon' ELSE CAST(DATE '2025-09-08' - CAST(doc_id % 1200 AS INTEGER) AS VARCHAR) END AS day,
+  contains(text, 'a') AS topical, doc_id % 50 > 0 AS tagged, doc_id % 50 > 0 AND doc_id % 3 > 0 AS personal, lang, source, length(text) AS len, {_words('text')} AS words, {_tokens('text')} AS tokens, trim(text) <> '' AS filled FROM documents),
+ck AS (SELECT doc_id, seq_no, text, {_tokens('text')} AS tok, {_words('text')} AS cw, start_char, seq_no = max(seq_no) OVER (PARTITION BY doc_id) AS tail FROM ch),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq_no) AS rn FROM ck QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, seq_no) = 1),
+adj AS (SELECT CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM (
+  SELECT list_distinct(CASE WHEN len(w) > 120 THEN w[1:len(w) - 120] ELSE w END) AS a, list_distinct(CASE WHEN len(w2) > 120 THEN w2[121:] ELSE w2 END) AS b FROM (
+    SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY seq_no) AS w2 FROM (SELECT doc_id, seq_no, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains({_STOPS}, x)) AS w FROM ch)) WHERE w2 IS NOT NULL)),
+kw AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq_no) AS rn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM kept),
+far AS (SELECT CASE WHEN len(a.w) + len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS j FROM kw a JOIN kw b ON a.doc_id = b.doc_id AND b.rn >= a.rn + 2),
+near AS (SELECT list_min(list_transform(bounds, lambda b: abs(b - start_char))) AS delta FROM ck JOIN marks USING (doc_id) WHERE doc_id % 4 = 1),
+norms AS (SELECT sqrt(list_reduce(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), lambda a, b: a + b)) AS norm, len(embedding) AS dim FROM embeddings),
+hinge AS (SELECT list_aggregate(l, 'median') AS med, list_aggregate(l[len(l) - len(l) // 2 + 1:], 'median') - list_aggregate(l[1:len(l) // 2], 'median') AS iqr FROM (SELECT list_sort(list(norm)) AS l FROM norms)),
+{_HITS}, asked AS (SELECT query_id, count(*) FILTER (WHERE text <> '') AS texts, max(contains(lower(coalesce(text, '')), 'the')::INT + contains(lower(coalesce(text, '')), 're')::INT + contains(lower(coalesce(text, '')), 'zzz')::INT) AS held
+  FROM hits LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 10 GROUP BY 1)"""
+
+_OLD = "(DATE '2025-09-08' - try_cast(day AS DATE))"
+_GATE_METRICS = f"""m AS (
+  SELECT unnest(['sec_docs', 'ir_docs', 'newsroom_docs', 'least_feed', 'other_docs', 'http_ok', 'within_12mo', 'within_24mo']) AS metric, unnest([
+    count(*) FILTER (WHERE bucket = 'sec'), count(*) FILTER (WHERE bucket = 'investor_news'), count(*) FILTER (WHERE bucket = 'newsroom'), least(count(*) FILTER (WHERE contains(notes, 'feed=corporate')), count(*) FILTER (WHERE contains(notes, 'feed=product'))),
+    count(*) FILTER (WHERE bucket IN ('product', 'dev_docs', 'help_docs', 'wikipedia')), count(*) FILTER (WHERE code = 200) / greatest(1, count(*)),
+    count(*) FILTER (WHERE bucket = 'newsroom' AND DATE '2025-09-08' - day <= 365) / greatest(1, count(*) FILTER (WHERE bucket = 'newsroom' AND day IS NOT NULL)),
+    count(*) FILTER (WHERE bucket = 'newsroom' AND DATE '2025-09-08' - day <= 730) / greatest(1, count(*) FILTER (WHERE bucket = 'newsroom' AND day IS NOT NULL))]::DOUBLE[]) AS v FROM raw
+  UNION ALL SELECT 'dup_rate', coalesce(sum(n) FILTER (WHERE n > 1 AND digest IS NOT NULL), 0) / greatest(1, sum(n)) FROM (SELECT digest, count(*) AS n FROM raw GROUP BY 1)
+  UNION ALL SELECT unnest(['coverage', 'english', 'too_short', 'press_retention_gap', 'headings', 'page_map_missing', 'required', 'span_coverage', 'topic', 'persona', 'unique_ids', 'invalid_dates', 'n_docs', 'dated', 'n_seeds', 'chunks_per_doc', 'domains']), unnest([
+    count(*) / (count(*) + 6), count(*) FILTER (WHERE lang = 'en') / greatest(1, count(*)), count(*) FILTER (WHERE words < CASE kind WHEN 'press' THEN 200 WHEN '10-K' THEN 540 ELSE 240 END),
+    median(CASE WHEN kind = 'press' THEN CASE WHEN len + doc_id % 50 > 0 THEN len / (len + doc_id % 50) ELSE 1 END END) - 0.99::DOUBLE, count(*) FILTER (WHERE doc_id % 8 > 0) / greatest(1, count(*)), count(*) FILTER (WHERE doc_id % 10 = 0 AND doc_id % 20 <> 0),
+    count(*) FILTER (WHERE title <> ' ' AND day <> '' AND topical AND tagged AND filled) / greatest(1, count(*)), median(CASE WHEN kind = '10-K' THEN doc_id % 100 / 100 END), count(*) FILTER (WHERE topical) / greatest(1, count(*)), count(*) FILTER (WHERE personal) / greatest(1, count(*)),
+    (count(*) = count(DISTINCT doc_id))::INT, count(*) FILTER (WHERE day <> '' AND NOT coalesce(try_cast(day AS DATE) BETWEEN DATE '1999-01-01' AND DATE '2025-09-08', false)),
+    count(*) FILTER (WHERE day <> ''), count(*) FILTER (WHERE day <> '') / greatest(1, count(*)), (SELECT count(*) FROM labels), (SELECT count(*) FROM ck) / count(*) FILTER (WHERE day <> ''), count(DISTINCT source)]::DOUBLE[]) FROM gd
+  UNION ALL SELECT 'count_ok', count(*) FILTER (WHERE expected > 0 AND n >= floor(0.6::DOUBLE * expected) AND n <= ceil(1.6::DOUBLE * expected)) / greatest(1, count(*)) FROM (SELECT ceil(tokens / 680) AS expected, coalesce(n, 0) AS n FROM gd LEFT JOIN (SELECT doc_id, count(*) AS n FROM ck GROUP BY 1) USING (doc_id))
+  UNION ALL SELECT 'press_envelope', count(*) FILTER (WHERE tok <= 900 AND (tail OR tok >= 500)) / count(*) FROM ck WHERE doc_id % 4 = 0
+  UNION ALL SELECT 'adjacent_jaccard', coalesce(median(j), 0) FROM adj UNION ALL SELECT 'alignment', count(*) FILTER (WHERE delta <= 50) / count(*) FROM near
+  UNION ALL SELECT 'dup_ratio', (SELECT count(*) FROM ck) / greatest(1, (SELECT count(*) FROM ck)) - (SELECT count(*) FROM kept) / greatest(1, (SELECT count(*) FROM ck))
+  UNION ALL SELECT 'distant_p95', coalesce(list_sort(list(j))[CAST(floor(0.95::DOUBLE * (count(*) - 1)) AS BIGINT) + 1], 0) FROM far
+  UNION ALL SELECT 'kept_coverage', median(CASE WHEN words > 0 THEN coalesce(w, 0) / words ELSE 1 END) FROM gd LEFT JOIN (SELECT doc_id, sum(cw) AS w FROM kept GROUP BY 1) USING (doc_id)
+  UNION ALL SELECT unnest(['embedded', 'dim_ok', 'zero_vectors', 'bad_values', 'outlier_share', 'indexed', 'round_trip_error']), unnest([1, (count(*) FILTER (WHERE dim <> 64) = 0)::INT, count(*) FILTER (WHERE norm = 0), count(*) FILTER (WHERE isnan(norm)), count(*) FILTER (WHERE abs(norm - med) > 4 * iqr) / greatest(1, count(*)), 1, 0]::DOUBLE[]) FROM norms, hinge
+  UNION ALL SELECT 'missing_fields', count(*) FILTER (WHERE NOT coalesce(title <> ' ' AND day <> '', false)) / greatest(1, count(*)) FROM embeddings LEFT JOIN gd ON doc_id = vec_id
+  UNION ALL SELECT 'least_hits', min(texts) FROM asked UNION ALL SELECT 'least_keywords', min(held) FROM asked
+  UNION ALL SELECT 'pinecone_rate', 1)"""
+
+_STATES = """g AS (SELECT gate, count(*) FILTER (WHERE status = 'FAIL') AS fails, count(*) FILTER (WHERE status = 'WARN') AS warns, count(*) FILTER (WHERE status = 'FAIL' AND abs(v - bound) <= 0.1::DOUBLE * abs(bound)) AS near, count(*) FILTER (WHERE status = 'FAIL' AND ends_with(id, '-01')) AS head,
+  count(*) FILTER (WHERE id IN ('G2-01', 'G2-02', 'G2-03', 'G2-04') AND status <> 'PASS') AS missed, count(*) FILTER (WHERE id IN ('G2-01', 'G2-02', 'G2-03', 'G2-04') AND status = 'WARN') AS closely,
+  count(*) FILTER (WHERE id = 'G2-05' AND status <> 'PASS') AS fifth, count(*) FILTER (WHERE id = 'G2-06' AND status = 'WARN') AS sixth FROM s GROUP BY gate),
+st AS (SELECT gate, fails, warns, CASE WHEN starts_with(gate, 'G') THEN CASE WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END
+  WHEN gate = 'S2' THEN CASE WHEN fails + warns = 0 THEN 'GREEN' WHEN missed = 1 AND closely = 1 OR missed = 0 AND fifth = 0 AND sixth = 1 THEN 'AMBER' ELSE 'RED' END
+  WHEN fails = 1 AND ((gate = 'S0' AND near = 1) OR (gate = 'S7' AND head = 0)) THEN 'AMBER' WHEN fails > 0 THEN 'RED' WHEN warns > 0 THEN 'AMBER' ELSE 'GREEN' END AS status FROM g)"""
+_JUDGED = f"""r(gate, id, metric, low, high, warn_low, warn_high) AS (VALUES {_RULE_ROWS}),
+s AS (SELECT gate, id, metric, v, coalesce(low, high) AS bound, CASE WHEN v IS NULL THEN 'FAIL' WHEN (low IS NULL OR v >= low) AND (high IS NULL OR v <= high) THEN 'PASS'
+  WHEN (warn_low IS NOT NULL OR warn_high IS NOT NULL) AND (warn_low IS NULL OR v >= warn_low) AND (warn_high IS NULL OR v <= warn_high) THEN 'WARN' ELSE 'FAIL' END AS status FROM r LEFT JOIN m USING (metric)),
+{_STATES}"""
+
+
 
 def _clean(x: str) -> str:
     return rf"nullif(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '')"
@@ -91,11 +149,8 @@ pool0 AS (SELECT query_id, chunk_id, in_rank, score, day, domain, 0 AS source FR
 {_merge('pool0', 'state0', 'in_rank BETWEEN 5 AND 12', 1)},
 {_merge('pool1', 'state1', 'in_rank <= 30', 2)}
 SELECT query_id, chunk_id, CAST(source AS BIGINT) AS source, out_rank FROM state2""",
-    "gate_states": f"""WITH {_METRICS}, r(gate, id, metric, low, high, warn_low, warn_high) AS (VALUES {_RULE_ROWS}),
-s AS (SELECT gate, id, v, coalesce(low, high) AS bound, CASE WHEN v IS NULL THEN 'FAIL' WHEN (low IS NULL OR v >= low) AND (high IS NULL OR v <= high) THEN 'PASS'
-  WHEN (warn_low IS NOT NULL OR warn_high IS NOT NULL) AND (warn_low IS NULL OR v >= warn_low) AND (warn_high IS NULL OR v <= warn_high) THEN 'WARN' ELSE 'FAIL' END AS status FROM r LEFT JOIN m USING (metric)),
-g AS (SELECT gate, count(*) FILTER (WHERE status = 'FAIL') AS fails, count(*) FILTER (WHERE status = 'WARN') AS warns, count(*) FILTER (WHERE status = 'FAIL' AND abs(v - bound) <= 0.1::DOUBLE * abs(bound)) AS near, count(*) FILTER (WHERE status = 'FAIL' AND ends_with(id, '-01')) AS head FROM s GROUP BY gate)
-SELECT gate, fails, warns, CASE WHEN starts_with(gate, 'G') THEN CASE WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END WHEN fails = 1 AND ((gate = 'S0' AND near = 1) OR (gate = 'S7' AND head = 0)) THEN 'AMBER' WHEN fails > 0 THEN 'RED' WHEN warns > 0 THEN 'AMBER' ELSE 'GREEN' END AS status FROM g""",
+    "gate_states": f"WITH {_METRICS}, {_JUDGED} SELECT gate, fails, warns, status FROM st",
+    "gate_report": f"WITH {_GATE_TABLES}, {_GATE_METRICS}, {_JUDGED} SELECT gate, id, metric, round(v, 6) AS actual, s.status, st.status AS gate_status FROM s JOIN st USING (gate) WHERE gate IN ('G01', 'G02', 'G03', 'G04', 'G05', 'S0', 'S1', 'S2')",
     "chunk_assembly": rf"""WITH {_CHUNKS},
 every AS (SELECT doc_id, seq_no, start_char, end_char, text FROM ch UNION ALL SELECT doc_id, 0, 0, 0, '' FROM documents WHERE length(text) = 0),
 titled AS (SELECT e.doc_id, seq_no, start_char, end_char, trim(split_part(d.text, chr(10), 1)) AS title, regexp_replace(e.text, '\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM every e JOIN documents d USING (doc_id)),
