@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessellon.functions import dates, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gate_metrics, gates, ingest, metadata, normalize, ordering, retrieval, routing, vector_index
+from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gate_metrics, gates, ingest, lexical_index, metadata, normalize, ordering, retrieval, routing, vector_index
 from tessellon.plans.oracles_more import ALL as ORACLES
 from tessellon.plans.session import scratch, spread, staged, table
 from tessellon.sources import readers, writers
@@ -361,9 +361,9 @@ def index_recall(spark, sf):
 def lexvec_search(spark, sf):
     """Benchmark items as queries over documents: hashed vectors propose 100, shared terms re-score them."""
     docs, items = _docs(spark, sf), table(spark, sf, "benchmark")
-    d = vx.sparse_embedding(docs.select(F.col("doc_id").alias("id"), "text"), "id", tx.terms(F.col("text")), DIM)
-    q = vx.sparse_embedding(items.select(F.col("item_id").alias("query_id"), "text"), "query_id", tx.terms(F.col("text")), DIM)
-    hits = retrieval.sparse_search(d, q, 10)
+    terms = tx.terms(F.col("text"))
+    index = lexical_index.build(docs, scratch(spark, "lexical-index"), terms)
+    hits = lexical_index.search(index, items.select(F.col("item_id").alias("query_id"), "text"), terms, 100)
     heads = docs.select(F.col("doc_id").alias("id"), retrieval.snippet(F.col("text")).alias("text"))
     hits = hits.join(heads, "id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
     return retrieval.blended(hits).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
