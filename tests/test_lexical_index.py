@@ -67,8 +67,8 @@ def test_search_is_that_of_the_sparse_rows(spark, monkeypatch, part_docs, querie
 
 
 def test_names_as_ids_copies_and_empty_tables(spark):
-    docs = spark.createDataFrame([("b", "red blue"), ("a", "red blue"), ("c", "red"), ("c", "red blue"), (None, "blue red")], "chunk string, text string")
-    asked = spark.createDataFrame([("q", "blue red")], "query_id string, text string")
+    docs = spark.createDataFrame([("b", "red blue"), ("a", "red blue"), ("c", "red"), ("c", "red blue"), (None, "red blue")], "chunk string, text string")
+    asked = spark.createDataFrame([("q", "red blue")], "query_id string, text string")
     index = lexical_index.build(docs, scratch(spark, "lexical"), terms(), "chunk")
     got = [(r["id"], r["d2"]) for r in lexical_index.search(index, asked, terms(), 4).orderBy("rank").collect()]
     assert got == [(None, 0.0), ("a", 0.0), ("b", 0.0), ("c", 0.0)]
