@@ -16,7 +16,7 @@ from tessellon.functions import vectors as vx
 from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gate_metrics, gates, ingest, lexical_index, metadata, normalize, ordering, retrieval, routing, vector_index
 from tessellon.plans.oracles_more import ALL as ORACLES
 from tessellon.plans.session import scratch, spread, staged, table
-from tessellon.sources import readers, writers
+from tessellon.sources import readers, versions, writers
 from tessellon.streaming import events as ev
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -896,6 +896,32 @@ def json_lines_read_back(spark, sf):
     return good.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("value")).unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("bad").alias("lang"), "n", F.lit(0).cast("long").alias("value"))).unionByName(files.select(F.lit("lines").alias("lang"), "n", F.lit(0).cast("long").alias("value")))
 
 
+@query
+def versioned_update(spark, sf):
+    """A table written, updated in one row, cut by a tenth and rolled back: rows and totals of each version, and how many parts it wrote."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    kept = versions.VersionedTable(spark, scratch(spark, "versions"), "c_custkey", 8)
+    first = rows.agg(F.min("c_custkey")).first()[0]
+    changed = rows.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") == first, 1.0).otherwise(0.0))
+    made = [kept.write(rows), kept.update(changed), kept.update(changed), kept.remove(rows.where("c_custkey % 10 = 0")), kept.roll_back(1)]
+    out = None
+    for n in kept.versions():
+        parts = None if n == 3 else len(next(v for v in made if v.number == n).written)
+        one = kept.read(n).agg(F.count("*").alias("rows"), F.round(F.sum("c_acctbal"), 2).alias("total")).select(F.lit(n).cast("long").alias("version"), "rows", "total", F.lit(parts).cast("long").alias("parts_written"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def packed_documents(spark, sf):
+    """Documents packed into files of about 256 KB, all counted by the manifest; three of them read by their files alone."""
+    docs, folder = _docs(spark, sf).select("doc_id", "text"), scratch(spark, "packed")
+    manifest = writers.packed_json_lines(docs, "doc_id", folder, 256 << 10)
+    some = writers.read_packed(spark, folder, "doc_id long, text string", "doc_id", [0, 7, 19])
+    every = manifest.agg(F.lit(-1).cast("long").alias("doc_id"), F.sum("rows").alias("n"), F.lit(None).cast("string").alias("digest"))
+    return some.select("doc_id", F.lit(1).cast("long").alias("n"), F.md5("text").alias("digest")).unionByName(every)
+
+
 @query
 def csv_read_back(spark, sf):
     path = scratch(spark, "csv")

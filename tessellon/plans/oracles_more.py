@@ -209,6 +209,9 @@ SELECT o_orderkey, CASE WHEN press THEN age <= 365 END AS is_within_12mo, CASE W
     "stable_hashes": f"SELECT n_nationkey, CAST(h % 768 AS BIGINT) AS bucket, CAST(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS sign FROM (SELECT n_nationkey, {_FNV.format('lower(n_name)')} AS h FROM nation)",
     "dangling_points": "SELECT conv_id::VARCHAR AS session, turn::VARCHAR AS id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations u WHERE u.role = 'user' AND u.conv_id = c.conv_id AND u.turn = c.turn)",
     "json_lines_read_back": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS value FROM documents GROUP BY 1 UNION ALL SELECT 'bad', 1, 0 UNION ALL SELECT 'lines', count(*) + 2, 0 FROM documents",
+    "versioned_update": """SELECT v AS version, count(*) AS rows, round(sum(c_acctbal) + CASE WHEN v = 2 OR v = 3 AND min(c_custkey) = (SELECT min(c_custkey) FROM customer) THEN 1 ELSE 0 END, 2) AS total, CASE v WHEN 1 THEN 8 WHEN 2 THEN 1 WHEN 4 THEN 0 END::BIGINT AS parts_written
+FROM customer, (VALUES (1), (2), (3), (4)) t(v) WHERE v <> 3 OR c_custkey % 10 <> 0 GROUP BY v""",
+    "packed_documents": "SELECT -1 AS doc_id, count(*) AS n, NULL AS digest FROM documents UNION ALL SELECT doc_id, 1, md5(text) FROM documents WHERE doc_id IN (0, 7, 19)",
     "csv_read_back": "SELECT c_custkey, c_name, c_mktsegment || ',' || c_name AS tags FROM customer",
     "parquet_read_back": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'",
     "log_words": "SELECT count(*) FILTER (WHERE event_id % 10 = 0) AS errors, count(*) FILTER (WHERE event_id % 10 <> 0) AS fine, CAST(0 AS BIGINT) AS nothing FROM events",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellon.operators import ordering
+
 
 def parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -15,6 +17,28 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def packed_json_lines(rows: DataFrame, key: str, folder: str, file_bytes: int = 128 << 20, order: str | None = None) -> DataFrame:
+    """Rows of a key lie together in one file of JSON lines, many keys in a file: files hold about file_bytes (a key that is larger has one of its own). Returns
+    the manifest (key, file, rows, bytes), which is also written; keys lie in their order, so a manifest's files are ranges of keys."""
+    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    sized = rows.select(F.col(key).alias("_key"), (F.octet_length(line) + 1).cast("long").alias("_bytes"), "*")
+    keys = sized.groupBy("_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes"))
+    # the middle of a key says which file it is in, so a file holds less than twice file_bytes unless one key does
+    filed = ordering.placed(keys, [F.col("_key")], weight="bytes", place="_before").withColumn("_file", F.floor((F.col("_before") + F.col("bytes") / 2) / file_bytes))
+    met = sized.drop("_bytes").join(filed.select(F.col("_key").alias("_k"), "_file"), F.col("_key").eqNullSafe(F.col("_k"))).drop("_k")
+    dealt = met.repartition("_file").sortWithinPartitions("_file", "_key", *([order] if order else [])).drop("_key")
+    dealt.write.mode("overwrite").partitionBy("_file").option("ignoreNullFields", False).json(f"{folder}/data")
+    manifest = filed.select(F.col("_key").alias("key"), F.concat(F.lit(f"{folder}/data/_file="), F.col("_file").cast("string")).alias("file"), "rows", "bytes")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return rows.sparkSession.read.parquet(f"{folder}/manifest")
+
+
+def read_packed(spark: SparkSession, folder: str, schema: str, key_col: str, keys: list) -> DataFrame:
+    """Rows of a few keys: only the files that the manifest names for them are read."""
+    files = [r["file"] for r in spark.read.parquet(f"{folder}/manifest").where(F.col("key").isin(keys)).select("file").distinct().collect()]
+    return spark.read.schema(schema).json(files).where(F.col(key_col).isin(keys)) if files else spark.createDataFrame([], schema)
+
+
 def csv_with_header(df: DataFrame, path: str) -> None:
     """Arrays are joined by commas."""
     flat = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
