@@ -24,15 +24,15 @@ def decide(query: Column, persona: Column | None = None, rules=None, bias=None)
     short or defining query's, else the default."""
     q = F.lower(F.coalesce(query, F.lit("")))
     pick = lambda backend, reason: F.struct(F.lit(backend).alias("backend"), F.lit(reason).alias("reason"))
-    out = None
-    for keys, backend, reason in rules or RULES:
-        test, value = tx.contains_any(q, keys), pick(backend, reason)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    for name, backend in (PERSONA_BACKEND if bias is None else bias).items():
-        if persona is not None:
-            out = out.when(persona == name, pick(backend, "PERSONA_BIAS"))
     short = (F.regexp_count(q, F.lit(r"[^\s\p{Z}]+")) <= 4) | tx.contains_any(q, DEFINING)
-    return out.when(short, pick("faiss", "DEFAULT_SHORT_FAISS")).otherwise(pick("weaviate", "DEFAULT_WEAVIATE"))
+    cases = [(tx.contains_any(q, keys), pick(backend, reason)) for keys, backend, reason in (RULES if rules is None else rules)]
+    if persona is not None:
+        cases += [(persona == name, pick(backend, "PERSONA_BIAS")) for name, backend in (PERSONA_BACKEND if bias is None else bias).items()]
+    (test, value), *more = [*cases, (short, pick("faiss", "DEFAULT_SHORT_FAISS"))]
+    out = F.when(test, value)
+    for test, value in more:
+        out = out.when(test, value)
+    return out.otherwise(pick("weaviate", "DEFAULT_WEAVIATE"))
 
 
 def similarity(score: Column, kind: str = "neg_distance") -> Column:

@@ -5,6 +5,7 @@ All queries read whole tables. Days are counted from fixed reference days, so re
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from tessellon.functions import dates, urls
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
 from tessellon.operators import assembly, cards, chunking, dedupe, evaluation, gate_metrics, gates, ingest, lexical_index, metadata, normalize, ordering, retrieval, routing, vector_index
+from tessellon.plans import config
 from tessellon.plans.oracles_more import ALL as ORACLES
 from tessellon.plans.session import scratch, spread, staged, table
 from tessellon.sources import readers, versions, writers
@@ -369,15 +371,19 @@ def lexvec_search(spark, sf):
     return retrieval.blended(hits).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query
-def route_decisions(spark, sf):
+def _routed(spark, sf, decide):
     c = table(spark, sf, "conversations")
     who = F.element_at(F.array(*(F.lit(p) for p in ("cio", "vp_sales_ops", "vp_customer_experience", "other"))), (F.col("turn") % 4 + 1).cast("int"))
     q = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("Define "), F.col("role"))).when(F.col("conv_id") % 5 == 1, F.concat(F.lit("What is the API of "), F.col("role"))).otherwise(F.col("text"))
-    d = routing.decide(q, who)
+    d = decide(q, who)
     return c.select("conv_id", "turn", d["backend"].alias("backend"), d["reason"].alias("reason"))
 
 
+@query
+def route_decisions(spark, sf):
+    return _routed(spark, sf, routing.decide)
+
+
 def _scored_hits(spark, sf, k=12):
     h = _vector_hits(spark, sf, k).withColumnRenamed("rank", "in_rank")
     label = table(spark, sf, "embeddings").select("vec_id", "label")
@@ -922,6 +928,46 @@ def packed_documents(spark, sf):
     return some.select("doc_id", F.lit(1).cast("long").alias("n"), F.md5("text").alias("digest")).unionByName(every)
 
 
+def _raw_store(spark, sf):
+    """Pages as a raw store: a sidecar for each, and its payloads (some have several, some none)."""
+    n = F.col("page_id")
+    folder = scratch(spark, "raw-store")
+    name = F.concat(F.lit("p"), n.cast("string"))
+    p = spread(table(spark, sf, "pages")).select(n, name.alias("doc_id"), F.col("url").alias("final_url"), F.when(n % 5 == 0, 404).otherwise(200).alias("http_status"), F.lit("é").alias("notes"), F.lit(None).cast("string").alias("headline"), "html")
+    side = p.where("page_id % 4 > 0").select(F.concat("doc_id", F.lit(".meta.json")).alias("name"), writers.json_body("doc_id", "final_url", "http_status", "notes", "headline").alias("body"))
+    kinds = F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 3 == 0, F.array(F.lit(".pdf"), F.lit(".raw.html"))).when(n % 3 == 1, F.array(F.lit(".raw.html"))).otherwise(F.array(F.lit(".json"), F.lit(".pdf")))
+    files = p.select("doc_id", "html", F.explode(kinds).alias("kind")).select(F.concat("doc_id", "kind").alias("name"), F.concat("kind", "html").alias("body"))
+    for rows in (side, files):
+        writers.record_files(rows, folder).agg(F.sum("bytes")).collect()
+    return folder
+
+
+@query
+def raw_by_sidecar(spark, sf):
+    """Payloads of answered requests, the first kind of each, read after sidecars and paths are joined."""
+    r = readers.eligible_raw(spark, _raw_store(spark, sf))
+    return r.select("doc_id", "ending", "length", F.md5("content").alias("digest"), "notes")
+
+
+@query
+def sidecar_lookup(spark, sf):
+    """Pages with their sidecars' fields, null where there is none."""
+    side = readers.sidecars(spark, _raw_store(spark, sf))
+    p = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"))
+    return readers.with_sidecars(p, side).select("doc_id", F.col("side_http_status").cast("long").alias("status"), F.col("side_final_url").alias("final_url"))
+
+
+@query
+def configured_routes(spark, sf):
+    """The rules of a configuration file, checked and compiled: the same decisions as route_decisions."""
+    rules = [{"if": {"has_keywords": keys}, "then": {"backend": backend, "reason": reason}} for keys, backend, reason in routing.RULES]
+    body = json.dumps({"weights": routing.WEIGHTS, "persona_bias": routing.PERSONA_BACKEND, "rules": rules, "fallback_order": ["faiss", "weaviate", "pinecone"], "top_k_default": 10})
+    folder = scratch(spark, "config")
+    writers.record_files(spark.createDataFrame([("router.json", body)], "name string, body string"), folder).collect()
+    made = config.router(config.load(spark, f"{folder}/router.json"))
+    return _routed(spark, sf, made.decide)
+
+
 @query
 def csv_read_back(spark, sf):
     path = scratch(spark, "csv")

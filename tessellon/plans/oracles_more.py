@@ -212,6 +212,10 @@ SELECT o_orderkey, CASE WHEN press THEN age <= 365 END AS is_within_12mo, CASE W
     "versioned_update": """SELECT v AS version, count(*) AS rows, round(sum(c_acctbal) + CASE WHEN v = 2 OR v = 3 AND min(c_custkey) = (SELECT min(c_custkey) FROM customer) THEN 1 ELSE 0 END, 2) AS total, CASE v WHEN 1 THEN 8 WHEN 2 THEN 1 WHEN 4 THEN 0 END::BIGINT AS parts_written
 FROM customer, (VALUES (1), (2), (3), (4)) t(v) WHERE v <> 3 OR c_custkey % 10 <> 0 GROUP BY v""",
     "packed_documents": "SELECT -1 AS doc_id, count(*) AS n, NULL AS digest FROM documents UNION ALL SELECT doc_id, 1, md5(text) FROM documents WHERE doc_id IN (0, 7, 19)",
+    "raw_by_sidecar": """SELECT 'p' || page_id AS doc_id, kind AS ending, CAST(strlen(kind || html) AS BIGINT) AS length, md5(kind || html) AS digest, 'é' AS notes
+FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN '.raw.html' WHEN 1 THEN '.raw.html' ELSE '.pdf' END AS kind FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0 AND page_id % 7 > 0)""",
+    "sidecar_lookup": "SELECT 'p' || page_id AS doc_id, CAST(CASE WHEN page_id % 4 > 0 THEN CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END END AS BIGINT) AS status, CASE WHEN page_id % 4 > 0 THEN url END AS final_url FROM pages",
+    "configured_routes": ORACLES["route_decisions"],
     "csv_read_back": "SELECT c_custkey, c_name, c_mktsegment || ',' || c_name AS tags FROM customer",
     "parquet_read_back": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'",
     "log_words": "SELECT count(*) FILTER (WHERE event_id % 10 = 0) AS errors, count(*) FILTER (WHERE event_id % 10 <> 0) AS fine, CAST(0 AS BIGINT) AS nothing FROM events",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,27 +19,31 @@ EVAL_SEED = "eval_id string, persona string, query_text string, expected_doc_id
 
 #: Payloads of a document in the order in which they are looked for.
 PAYLOADS = (".raw.html", ".pdf", ".json")
+#: Payload bytes that a task holds at a time.
+READ_BYTES = 8 << 20
+# Queries that stand in for missing labelled ones.
+FALLBACK_QUERIES = [("vp_customer_experience", "Agentforce product announcement"), ("cio", "remaining performance obligation definition"), ("vp_sales_ops", "latest earnings results")]
 
 
-def json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False, recursive: bool = False, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the texts of the bad ones."""
+def json_records(spark: SparkSession, path: str, schema: str, multi_line: bool = False, recursive: bool = False, glob: str | None = None, with_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good rows, with their file's path if asked for, and the texts of the bad ones."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    reader = spark.read.option("wholetext", multi_line).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     marked = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = reader.text(path).where(F.trim("value") != "").select("value", parsed.alias("r"))
+    file = [F.col("_metadata.file_path").alias("_file")] if with_file else []
+    rows = reader.text(path, wholetext=multi_line).where(F.trim("value") != "").select("value", parsed.alias("r"), *file)
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
-    return rows.where(~bad).select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields)), rows.where(bad).select(F.col("value").alias("_corrupt"))
+    return rows.where(~bad).select(*(F.col(f"r.{f.name}").alias(f.name) for f in kind.fields), *(["_file"] if with_file else [])), rows.where(bad).select(F.col("value").alias("_corrupt"))
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file for each document; of several with one doc_id the last file stays."""
-    kind = T.StructType.fromDDL(NORMALIZED)
-    rows = spark.read.schema(kind).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+def documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON file for each document, of several with one doc_id the last file's; and the texts of malformed files."""
+    good, bad = json_records(spark, path, NORMALIZED, multi_line=True, with_file=True)
     last = Window.partitionBy("doc_id").orderBy(F.col("_file").desc())
-    return rows.where("doc_id is not null").withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_file")
+    return good.where("doc_id is not null").withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_file"), bad
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -50,17 +59,63 @@ def sidecars(spark: SparkSession, folder: str) -> DataFrame:
     return json_records(spark, folder, RAW_META, multi_line=True, recursive=True, glob="*.meta.json")[0]
 
 
+def payload_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, path, ending and length of the first payload that each document has. The listing alone is read: no payload's bytes. A file
+    without bytes counts as missing (Spark's readers pass over such files)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", name.alias("name"))
+    rank, ending = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for k, kind in enumerate(PAYLOADS):
+        fits = F.col("name").endswith(kind) & ~F.col("name").endswith(".meta.json")
+        rank, ending = F.when(fits, k).otherwise(rank), F.when(fits, kind).otherwise(ending)
+    found = listed.withColumn("rank", rank).withColumn("ending", ending).where("rank is not null")
+    found = found.withColumn("doc_id", F.left("name", F.length("name") - F.length("ending")))
+    return found.groupBy("doc_id").agg(F.min(F.struct("rank", "path", "ending", "length")).alias("p")).select("doc_id", "p.path", "p.ending", "p.length")
+
+
+def with_content(rows: DataFrame, path_col: str = "path") -> DataFrame:
+    """rows with the bytes of the file that each names. Tasks read the files themselves, after all filters and exchanges, and hold
+    one file and READ_BYTES of others at a time."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for k, uri in enumerate(batch.column(names.index(path_col)).to_pylist()):
+                store, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+                with store.open_input_stream(path, compression=None) as source:
+                    held.append(source.read())
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], [*names, "content"])
+                    start, held, size = k + 1, [], 0
+            yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], [*names, "content"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
 def eligible_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Sidecars of answered requests with the first payload that exists: doc_id, path, content and the sidecar's fields."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
-    found = None
-    for rank, ending in enumerate(PAYLOADS):
-        own = files.where(F.col("path").endswith(ending) & ~F.col("path").endswith(".meta.json"))
-        name = F.element_at(F.split("path", "/"), -1)
-        own = own.select(F.left(name, F.length(name) - len(ending)).alias("doc_id"), "path", "content", F.lit(rank).alias("rank"))
-        found = own if found is None else found.unionByName(own)
-    first = found.groupBy("doc_id").agg(F.min_by(F.struct("path", "content"), "rank").alias("p")).select("doc_id", "p.path", "p.content")
-    return sidecars(spark, folder).where("http_status = 200").join(first, "doc_id")
+    """Sidecars of answered requests with the first payload that exists: the sidecar's fields, path, ending, length and content. Sidecars and paths
+    are joined first; only the chosen payloads are read, and their bytes take part in no exchange."""
+    answered = sidecars(spark, folder).where("http_status = 200")
+    return with_content(answered.join(payload_paths(spark, folder), "doc_id"))
+
+
+def with_sidecars(docs: DataFrame, side: DataFrame, prefix: str = "side_") -> DataFrame:
+    """docs with the fields of their sidecars, null where there is none; of several sidecars of one document the one fetched last stays."""
+    fields = [c for c in side.columns if c != "doc_id"]
+    one = side.groupBy("doc_id").agg(F.max_by(F.struct(*fields), F.struct(F.coalesce("fetched_at", F.lit(0).cast("timestamp")), F.coalesce("final_url", F.lit("")))).alias("s"))
+    return docs.join(one.select("doc_id", *(F.col(f"s.{c}").alias(f"{prefix}{c}") for c in fields)), "doc_id", "left")
+
+
+def eval_seed(spark: SparkSession, path: str, fallback: list[tuple[str, str]] = FALLBACK_QUERIES, times: int = 15) -> DataFrame:
+    """Labelled queries from JSON lines; where there is no such file, the fallback's queries `times` times over."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return json_records(spark, path, EVAL_SEED)[0]
+    rows = spark.createDataFrame([(p, q) for p, q in fallback * times], "persona string, query_text string")
+    kind = T.StructType.fromDDL(EVAL_SEED)
+    return rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
 
 
 def csv_with_header(spark: SparkSession, path: str, schema: str) -> DataFrame:

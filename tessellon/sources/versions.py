@@ -58,7 +58,7 @@ class VersionedTable:
             return None
         if number not in known:
             raise KeyError(f"{self.folder} has no version {number}")
-        found = json.loads(self.spark.read.option("wholetext", True).text(f"{self.folder}/versions/v{number:08d}.json").first()[0])
+        found = json.loads(self.spark.read.text(f"{self.folder}/versions/v{number:08d}.json", wholetext=True).first()[0])
         return Version(number, {int(k): v for k, v in found["parts"].items()}, found["written"], found["schema"])
 
     def _commit(self, version: Version) -> Version:

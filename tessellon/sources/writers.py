@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellon.operators import ordering
@@ -39,12 +46,56 @@ def read_packed(spark: SparkSession, folder: str, schema: str, key_col: str, key
     return spark.read.schema(schema).json(files).where(F.col(key_col).isin(keys)) if files else spark.createDataFrame([], schema)
 
 
+def record_files(rows: DataFrame, folder: str, name_col: str = "name", body_col: str = "body") -> DataFrame:
+    """Writes a file for each row (name, body: string or binary). A file is written beside its name and renamed, so it is there whole or not at all, and one
+    that holds the same bytes already is left alone. Returns name, bytes and whether it was written."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for name, body in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                path, same = f"{root}/{name}", False
+                info = store.get_file_info(path)
+                if info.type == fs.FileType.File and info.size == len(body):
+                    with store.open_input_stream(path, compression=None) as source:
+                        same = source.read() == body
+                if not same:
+                    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+                    with store.open_output_stream(draft, compression=None) as target:
+                        target.write(body)
+                    store.move(draft, path)
+                out.append((name, len(body), not same))
+            names, sizes, fresh = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(fresh, pa.bool_())], ["name", "bytes", "written"])
+
+    return rows.select(F.col(name_col).alias("name"), F.col(body_col).cast("binary").alias("body")).mapInArrow(run, "name string, bytes long, written boolean")
+
+
+def json_body(*columns: str) -> Column:
+    """A row as JSON text: nulls kept, other characters than ASCII as they are, indented by two."""
+
+    @F.pandas_udf("string")
+    def pretty(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: json.dumps(json.loads(x), ensure_ascii=False, indent=2))
+
+    return pretty(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
 def csv_with_header(df: DataFrame, path: str) -> None:
     """Arrays are joined by commas."""
     flat = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
+def report(checks: DataFrame, gate: str, status: str) -> str:
+    """A gate report as JSON: its status, its checks and how many have each status; a gate has a few dozen checks at most."""
+    rows = [r.asDict() for r in checks.select("id", "metric", "actual", "threshold", "status").orderBy("id").collect()]
+    counts = {s: sum(r["status"] == s for r in rows) for s in ("PASS", "WARN", "FAIL")}
+    return json.dumps({"gate": gate, "status": status, "checks": rows, "summary": counts}, ensure_ascii=False, indent=2)
+
+
 def markdown(checks: DataFrame, title: str) -> str:
     """A gate report as text; a gate has a few dozen checks at most."""
     rows = checks.select("id", "metric", "actual", "threshold", "status").orderBy("id").collect()
