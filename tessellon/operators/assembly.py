@@ -127,11 +127,3 @@ def first_baselines(docs: DataFrame, kind: str, order: Column, columns: list[str
     """By kind: whole medians of the columns over its first k rows."""
     first = docs.withColumn("_place", F.row_number().over(Window.partitionBy(kind).orderBy(order))).where(F.col("_place") <= k)
     return first.groupBy(kind).agg(F.count("*").alias("docs"), *(F.floor(F.median(c)).cast("long").alias(f"median_{c}") for c in columns))
-
-
-def aligned_starts(chunks: DataFrame, bounds: DataFrame, tolerance: int = 50) -> DataFrame:
-    """chunks of documents that have bounds (doc_id, bounds: array of places) with delta, how far their start is from the nearest, and
-    whether that is within the tolerance."""
-    some = bounds.where(F.size("bounds") > 0)
-    met = chunks.join(some, "doc_id").withColumn("delta", F.array_min(F.transform("bounds", lambda b: F.abs(b - F.col("start_char")))))
-    return met.withColumn("aligned", F.col("delta") <= tolerance).drop("bounds")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,26 +48,56 @@ def windows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), id_col: str = "do
 
 
 def snapped_starts(length: Column, win: Column, step: Column, bounds: Column, tolerance: int = 50) -> Column:
-    """Starts of windows when a start may move to a heading: each next start is the bound nearest to start + step within the
-    tolerance and after the start, else start + step, until a window reaches the end."""
-    most = F.ceil(length / F.greatest(F.lit(1), step - tolerance)).cast("int") + 1
-
-    def nearest(want: Column, start: Column) -> Column:
-        near = F.filter(bounds, lambda b: (b > start) & (F.abs(b - want) <= tolerance))
-        best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b - want).alias("gap"), b.alias("at"))))
-        return F.coalesce(best["at"], want)
-
-    def step_on(starts: Column, _: Column) -> Column:
-        at = F.element_at(starts, -1)
-        return F.when(at + win >= length, starts).otherwise(F.concat(starts, F.array(nearest(at + step, at))))
-
-    return F.aggregate(F.sequence(F.lit(1), most), F.array(F.lit(0)), step_on)
-
-
-def with_heads(chunks: DataFrame, heads: str = "heads") -> DataFrame:
-    """The last two headings (array of structs pos, title, by pos) at or before each chunk's start, the nearest first."""
-    before = F.filter(heads, lambda h: h["pos"] <= F.col("start_char"))
-    return chunks.withColumn("local_heads", F.slice(F.reverse(F.transform(before, lambda h: h["title"])), 1, 2))
+    """Starts of windows when a start may move to a heading: each next start is the bound (bounds: ascending) nearest to start + step within the
+    tolerance and after the start, the lesser of two, else start + step, until a window reaches the end."""
+
+    def of(n: int, win: int, step: int, marks: np.ndarray) -> list[int]:
+        out = [0]
+        while out[-1] + win < n:
+            at, want = out[-1], out[-1] + step
+            low, high = np.searchsorted(marks, [max(at + 1, want - tolerance), want + tolerance + 1])
+            near = marks[low:high]
+            out.append(int(near[np.argmin(np.abs(near - want))]) if len(near) else want)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def starts(n: pd.Series, win: pd.Series, step: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([of(*row[:3], np.asarray(row[3], np.int64)) for row in zip(n, win, step, marks, strict=True)])
+
+    return starts(length, win, step, bounds)
+
+
+def line_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, line (from 0) and pos of every line of a text, and of the end after its last one."""
+    d = docs.select(id_col, F.posexplode(F.concat(F.split(text_col, "\n", -1), F.array(F.lit("")))).alias("line", "t"))
+    before = Window.partitionBy(id_col).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select(id_col, F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0)).alias("pos"))
+
+
+def _with_marks(chunks: DataFrame, marks: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """chunks (mark is false) and marks (pos and other columns) of a document together, by place, marks first where places are equal; and their order."""
+    both = chunks.withColumns({"_at": F.col("start_char").cast("long"), "_mark": F.lit(1)}).unionByName(marks.withColumns({"_at": F.col("pos").cast("long"), "_mark": F.lit(0)}), allowMissingColumns=True)
+    return both, Window.partitionBy(id_col).orderBy("_at", "_mark")
+
+
+def with_heads(chunks: DataFrame, heads: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """chunks with local_heads: the titles of the last two headings (id, pos, title) at or before each start, the nearest first. A document is gone through once, by place."""
+    prior = F.lag("title").over(Window.partitionBy(id_col).orderBy("pos", "title"))
+    both, order = _with_marks(chunks, heads.select(id_col, "pos", F.array_compact(F.array("title", prior)).alias("local_heads")), id_col)
+    last = F.last("local_heads", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    none = F.array().cast("array<string>")
+    return both.withColumn("local_heads", F.coalesce(last, none)).where("_mark = 1").drop("_at", "_mark", "pos")
+
+
+def aligned_starts(chunks: DataFrame, bounds: DataFrame, tolerance: int = 50, id_col: str = "doc_id") -> DataFrame:
+    """chunks of documents that have bounds (id, pos) with delta, how far their start is from the nearest, and whether that is within the tolerance. A document is gone
+    through twice, by place."""
+    both, order = _with_marks(chunks, bounds.select(id_col, "pos"), id_col)
+    back = Window.partitionBy(id_col).orderBy(F.desc("_at"), "_mark")
+    sofar = lambda w: F.last("pos", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("_below", sofar(order)).withColumn("_above", sofar(back)).where("_mark = 1")
+    delta = F.least(F.col("_at") - F.col("_below"), F.col("_above") - F.col("_at"))
+    return met.withColumn("delta", delta).where("delta is not null").withColumn("aligned", F.col("delta") <= tolerance).drop("_at", "_mark", "pos", "_below", "_above")
 
 
 # Items that have titles of their own, and the word in a line's title that leaves it in place of them.

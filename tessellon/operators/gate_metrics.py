@@ -112,7 +112,7 @@ def metadata_quality(docs: DataFrame, as_of: Column, coverage: str = "sec_item_c
 
 def chunk_quality(docs: DataFrame, chunks: DataFrame, baselines: DataFrame, bounds: DataFrame | None = None, cfg: ChunkConfig = ChunkConfig()) -> Metrics:
     """Chunks of documents (doc_id, doctype, token_count): how many there should be, their sizes for press, the likeness of neighbours, and how near
-    filings' chunks start to a boundary (bounds: doc_id, bounds). baselines as for assembly.size_envelope."""
+    filings' chunks start to a boundary (bounds: doc_id, pos). baselines as for assembly.size_envelope."""
     many = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
     expected = F.ceil(F.col("token_count") / max(1, cfg.target - cfg.overlap))
     n = F.coalesce("chunks", F.lit(0))
@@ -122,7 +122,7 @@ def chunk_quality(docs: DataFrame, chunks: DataFrame, baselines: DataFrame, boun
     press = assembly.size_envelope(own.where("doctype = 'press'"), baselines, target=cfg.target).first()
     out = {"count_ok": share(m["fits"], m["n"]), "press_envelope": 1.0 if press is None else press["share"], "adjacent_jaccard": middle(chunking.adjacent_similarity(chunks), "jaccard"), "alignment": 1.0}
     if bounds is not None:
-        a = assembly.aligned_starts(own.where(F.lower("doctype").isin(*FILINGS)), bounds, cfg.tolerance).agg(F.count(F.lit(1)).alias("n"), F.count_if("aligned").alias("ok")).first()
+        a = chunking.aligned_starts(own.where(F.lower("doctype").isin(*FILINGS)), bounds, cfg.tolerance).agg(F.count(F.lit(1)).alias("n"), F.count_if("aligned").alias("ok")).first()
         out["alignment"] = share(a["ok"], a["n"]) if a["n"] else 1.0
     return out
 

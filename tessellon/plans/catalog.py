@@ -262,9 +262,9 @@ def nonadjacent_p95(spark, sf):
 def heading_windows(spark, sf):
     """Windows whose starts move to the nearest line start."""
     d = _docs(spark, sf).where(F.length("text") > 0).select("doc_id", "text", F.length("text").alias("n"))
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.length(x) + 1)
-    marks = F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    starts = chunking.snapped_starts(F.col("n"), F.lit(800), F.lit(680), marks)
+    marks = _line_starts(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("marks"))
+    d = d.join(marks, "doc_id")
+    starts = chunking.snapped_starts(F.col("n"), F.lit(800), F.lit(680), F.col("marks"))
     return d.select("doc_id", F.size(starts).cast("long").alias("windows"), F.array_join(starts.cast("array<string>"), ",").alias("starts"))
 
 
@@ -521,6 +521,12 @@ def gate_states(spark, sf):
     return gates.states(gates.checks(_metrics(spark, sf), gates.rules_frame(spark)))
 
 
+def _kept_chunks(chunks):
+    """Chunks without repetitions of an earlier one's text, by document's number and place."""
+    first = chunks.groupBy(F.sha2("text", 256)).agg(F.min(F.struct(F.col("doc_id").cast("long").alias("n"), "seq_no", "doc_id")).alias("f")).select("f.doc_id", "f.seq_no")
+    return chunks.join(first, ["doc_id", "seq_no"], "left_semi")
+
+
 def _gate_raw(spark, sf):
     """Pages as sidecars of buckets and feeds, some unanswered, copied, without a digest or a day."""
     n = F.col("page_id")
@@ -555,8 +561,7 @@ def gate_report(spark, sf):
     """All metrics of collection, normalisation, metadata, chunking, duplicates, baseline, embeddings and indexes, judged, with the gates' states."""
     docs = staged(_gate_docs(spark, sf), "gate-docs")
     chunks = staged(chunking.windows(docs), "gate-chunks")
-    first = chunks.groupBy(F.sha2("text", 256)).agg(F.min(F.struct(F.col("doc_id").cast("long").alias("n"), "seq_no", "doc_id")).alias("f")).select("f.doc_id", "f.seq_no")
-    kept = staged(chunks.join(first, ["doc_id", "seq_no"], "left_semi"), "gate-kept")
+    kept = staged(_kept_chunks(chunks), "gate-kept")
     sizes = spark.createDataFrame([("press", 700, 200)], "doctype string, median_tokens int, iqr_tokens int")
     headed = docs.withColumn("text", F.when(F.col("headed"), F.concat(F.lit("H1: t\n\n"), "text")).otherwise(F.col("text")))
     vectors = table(spark, sf, "embeddings")
@@ -715,23 +720,21 @@ def chunk_ends(spark, sf):
 
 
 def _line_starts(spark, sf):
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.length(x) + 1)
-    marks = F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    return _docs(spark, sf).where(F.length("text") > 0).select("doc_id", marks.alias("bounds"))
+    return chunking.line_starts(_docs(spark, sf).where(F.length("text") > 0))
 
 
 @query
 def boundary_alignment(spark, sf):
-    a = assembly.aligned_starts(_chunks(spark, sf), _line_starts(spark, sf))
+    a = chunking.aligned_starts(_chunks(spark, sf), _line_starts(spark, sf))
     return a.agg(F.count("*").alias("chunks"), F.count_if("aligned").alias("aligned"), F.sum("delta").cast("long").alias("total_delta"))
 
 
 @query
 def chunk_local_heads(spark, sf):
     """The two line starts before each window, by their numbers, as headings."""
-    heads = F.transform("bounds", lambda b, k: F.struct(b.alias("pos"), F.concat(F.lit("line "), k.cast("string")).alias("title")))
-    c = _chunks(spark, sf).join(_line_starts(spark, sf).select("doc_id", heads.alias("heads")), "doc_id")
-    return chunking.with_heads(c).select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.array_join("local_heads", "|").alias("heads"))
+    heads = _line_starts(spark, sf).select("doc_id", "pos", F.concat(F.lit("line "), F.col("line").cast("string")).alias("title"))
+    c = chunking.with_heads(_chunks(spark, sf), heads)
+    return c.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.array_join("local_heads", "|").alias("heads"))
 
 
 # ---------------------------------------------------------------- groups, shares, thresholds
@@ -750,9 +753,10 @@ def largest_dup_groups(spark, sf):
 
 @query
 def low_coverage_docs(spark, sf):
-    """Documents whose windows of 60 words lie far from each other cover least of them."""
-    d = _docs(spark, sf).select("doc_id", tx.word_count(F.col("text")).alias("words")).where("words > 0")
-    return dedupe.low_coverage(d.select("doc_id", F.round(F.least(F.lit(1.0), 60 * F.ceil(F.col("words") / 200) / F.col("words")), 6).alias("coverage")))
+    """Documents of which repeated chunks left least: words of the chunks that stay by words of the document."""
+    d = _docs(spark, sf).select(F.col("doc_id"), tx.word_count(F.col("text")).alias("words")).where("words > 0")
+    words = _kept_chunks(_chunks(spark, sf)).groupBy("doc_id").agg(F.sum("word_count").alias("kept"))
+    return dedupe.low_coverage(d.join(words, "doc_id", "left").select("doc_id", F.round(F.coalesce("kept", F.lit(0)) / F.col("words"), 6).alias("coverage")))
 
 
 @query
@@ -764,7 +768,8 @@ def role_shares(spark, sf):
 @query
 def derived_thresholds(spark, sf):
     domains = table(spark, sf, "pages").agg(F.countDistinct(urls.host(F.col("url")))).first()[0]
-    age = table(spark, sf, "orders").agg(F.max(F.datediff(F.lit("1998-12-01").cast("date"), "o_orderdate"))).first()[0]
+    ages = table(spark, sf, "orders").select(F.datediff(F.lit("1998-12-01").cast("date"), "o_orderdate").alias("age"))
+    age = ordering.percentiles(ages, "age", {"p50": ordering.nearest_rank(0.5)}).first()["p50"] or 0
     return gates.rules_frame(spark, gates.derived_rules(float(domains), float(age), {"faiss": 12.5, "pinecone": 2000.0})).select("gate", "id", "metric", *(F.round(c, 6).alias(c) for c in ("low", "high", "warn_low", "warn_high")))
 
 
@@ -832,8 +837,9 @@ def normalized_records(spark, sf):
 @query
 def saved_page_intake(spark, sf):
     p = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('">'), "html")).otherwise(F.col("html")).alias("html"), "url", "page_id")
-    manifest = p.where("page_id % 4 in (1, 2)").select("file", "url")
-    feed = p.where("page_id % 6 = 0").select(F.col("url").alias("link"), F.lit("Tue, 04 Mar 2025 23:30:00 -0500").alias("pub_date"))
+    # pages that the manifest or the feed shouldn't know stand there under other names
+    manifest = p.select(F.when(F.col("page_id") % 4 % 3 > 0, F.col("file")).otherwise(F.concat(F.lit("other-"), "file")).alias("file"), "url")
+    feed = p.select(F.when(F.col("page_id") % 6 == 0, F.col("url")).otherwise(F.concat(F.lit("https://elsewhere.invalid/"), "file")).alias("link"), F.lit("Tue, 04 Mar 2025 23:30:00 -0500").alias("pub_date"))
     s = ingest.saved_pages(p.select("file", "html"), manifest, feed, spark.createDataFrame([], "doc_id string"), "crm")
     return s.select("file", "status", "requested_url", "source_domain", "rss_pubdate", "content_length", "notes", F.substring_index("doc_id", "::", -1).alias("url_digest"))
 
@@ -841,7 +847,7 @@ def saved_page_intake(spark, sf):
 @query
 def feed_limits(spark, sf):
     p = table(spark, sf, "pages").select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("feed"), F.col("url").alias("link"), F.col("page_id").alias("place"))
-    f = ingest.feed_entries(p.where("place < 100"), p.select("link", "place"), {"even": 10, "odd": 5}, 25)
+    f = ingest.feed_entries(p, p.select("link", "place"), {"even": 10, "odd": 5}, 25)
     return f.select("feed", "link", F.col("place").cast("long").alias("place"))
 
 

@@ -169,9 +169,10 @@ SELECT count(*) AS chunks, count(*) FILTER (WHERE delta <= 50) AS aligned, CAST(
 SELECT doc_id, seq_no, CASE WHEN n >= 2 THEN 'line ' || (n - 1) || '|line ' || (n - 2) ELSE 'line 0' END AS heads FROM a""",
     "near_pairs_exempt": f"WITH RECURSIVE {_PAIRS} SELECT id_a, id_b, round(jaccard, 6) AS jaccard FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b WHERE a.source <> 'src1' AND b.source <> 'src1'",
     "largest_dup_groups": f"WITH RECURSIVE {_PAIRS} SELECT component, count(*) AS members FROM comp GROUP BY 1 ORDER BY members DESC, component LIMIT 5",
-    "low_coverage_docs": f"SELECT doc_id, coverage FROM (SELECT doc_id, round(least(1.0::DOUBLE, 60 * ceil(w / 200) / w), 6) AS coverage FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE w > 0) WHERE coverage < 0.9 ORDER BY coverage, doc_id LIMIT 10",
+    "low_coverage_docs": f"""WITH {_CHUNKS}, kept AS (SELECT doc_id, {_words('text')} AS cw FROM ch QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, seq_no) = 1)
+SELECT doc_id, coverage FROM (SELECT doc_id, round(coalesce(w, 0) / words, 6) AS coverage FROM (SELECT doc_id, {_words('text')} AS words FROM documents) LEFT JOIN (SELECT doc_id, sum(cw) AS w FROM kept GROUP BY 1) USING (doc_id) WHERE words > 0) WHERE coverage < 0.9 ORDER BY coverage, doc_id LIMIT 10""",
     "role_shares": "WITH s AS (SELECT v.value, count(c.role) AS n, count(c.role) / greatest((SELECT count(*) FROM conversations), 1) AS share FROM (VALUES ('user'), ('assistant'), ('nobody')) v(value) LEFT JOIN conversations c ON c.role = v.value GROUP BY 1) SELECT value, n, round(share, 6) AS share, round(min(share) OVER (), 6) AS least_share FROM s",
-    "derived_thresholds": f"""WITH d AS (SELECT count(DISTINCT {_host('url')})::DOUBLE AS n FROM pages), a AS (SELECT max(DATE '1998-12-01' - o_orderdate::DATE)::DOUBLE AS age FROM orders)
+    "derived_thresholds": f"""WITH d AS (SELECT count(DISTINCT {_host('url')})::DOUBLE AS n FROM pages), a AS (SELECT list_sort(list(DATE '1998-12-01' - o_orderdate::DATE))[CAST(ceil(0.5::DOUBLE * count(*)) AS BIGINT)]::DOUBLE AS age FROM orders)
 SELECT * FROM (SELECT 'S7' AS gate, 'G7-03' AS id, 'eval_domains' AS metric, round(greatest(3.0::DOUBLE, 0.75::DOUBLE * n / 10), 6) AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS warn_low, NULL::DOUBLE AS warn_high FROM d
 UNION ALL SELECT 'S7', 'G7-04', 'eval_age', NULL, round(greatest(540.0::DOUBLE, age), 6), NULL, NULL FROM a UNION ALL SELECT 'S4', 'FRS-001', 'mean_age', NULL, greatest(365.0::DOUBLE, floor(age)), NULL, round(greatest(365.0::DOUBLE, floor(age)) * 1.1::DOUBLE, 6) FROM a
 UNION ALL SELECT 'S3', 'G3-03-faiss', 'latency_faiss', NULL, 15.0, NULL, 16.5 UNION ALL SELECT 'S3', 'G3-03-pinecone', 'latency_pinecone', NULL, 1500.0, NULL, 1650.0)""",
@@ -194,7 +195,7 @@ k AS (SELECT *, {_feed('u')} AS requested FROM p), f AS (SELECT DISTINCT {_feed(
 SELECT page_id || '.html' AS file, CASE WHEN requested IS NULL THEN 'WARN' ELSE 'OK' END AS status, requested AS requested_url, coalesce({_host('requested')}, '') AS source_domain, day AS rss_pubdate, strlen(html) AS content_length, 'manual_save=1' || CASE WHEN day IS NOT NULL THEN '; feed=ir_rss' ELSE '' END AS notes, left(sha1(requested), 8) AS url_digest
 FROM k LEFT JOIN f USING (requested)""",
     "feed_limits": f"""WITH p AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS feed, url AS link, page_id AS place, {_feed('url')} AS key FROM pages),
-n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY place, link) AS nth FROM p WHERE place < 100),
+n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY place, link) AS nth FROM p),
 f AS (SELECT key, feed, link, nth AS place FROM n WHERE nth <= CASE feed WHEN 'even' THEN 10 ELSE 5 END QUALIFY row_number() OVER (PARTITION BY key ORDER BY feed, nth) = 1),
 i AS (SELECT key, 'index' AS feed, link, place FROM p WHERE key NOT IN (SELECT key FROM f) QUALIFY row_number() OVER (PARTITION BY key ORDER BY place, link) = 1),
 m AS (SELECT * FROM i QUALIFY row_number() OVER (ORDER BY place, link) <= greatest(0, 25 - (SELECT count(*) FROM f)))

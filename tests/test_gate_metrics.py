@@ -54,7 +54,7 @@ def test_chunks_and_duplicates(spark):
     rows = [("a", 0, "one two three four", 600, 4, 0), ("a", 1, "one two", 90, 2, 10), ("a", 2, "one two three four", 80, 4, 40), ("b", 0, "x", 1, 1, 60), ("b", 1, "y", 1, 1, 300)]
     chunks = spark.createDataFrame(rows, CHUNK)
     sizes = spark.createDataFrame([("press", 700, 200)], "doctype string, median_tokens int, iqr_tokens int")
-    bounds = spark.createDataFrame([("a", [0]), ("b", [20, 100])], "doc_id string, bounds array<int>")
+    bounds = spark.createDataFrame([("a", 0), ("b", 20), ("b", 100)], "doc_id string, pos int")
     got = gate_metrics.chunk_quality(docs, chunks, sizes, bounds)
     # a: two chunks are due, and three are within 1.6 times two, rounded up; n: one is due, and none is within 0.6 times one, rounded down; b: none is due
     assert got == {"count_ok": 2 / 3, "press_envelope": 2 / 3, "adjacent_jaccard": 0.5, "alignment": 0.5}

@@ -209,3 +209,24 @@ def test_hinges_of_a_column(spark):
         half = n // 2
         want = tuple(map(statistics.median, (values[:half] or values, values, values[n - half :] if half else values))) if n else (0.0, 0.0, 0.0)
         assert stats.hinge_values(df, "x") == want
+
+
+def test_marks_of_a_text_of_many_lines(spark):
+    """Starts, headings and boundaries of a text of 200,000 lines, in time that follows its length."""
+    import time
+
+    begun = time.time()
+    n = 200_000
+    d = spark.createDataFrame([("a", "seven c\n" * n), ("b", "")], "doc_id string, text string")
+    starts = chunking.line_starts(d)
+    assert starts.where("doc_id = 'a'").agg(F.count("*"), F.max("pos"), F.max("line")).first()[:] == (n + 2, 8 * n + 1, n + 1)
+    chunks = spark.range(0, 8 * n, 680).select(F.lit("a").alias("doc_id"), F.col("id").alias("start_char"))
+    got = chunking.aligned_starts(chunks, starts.where("pos % 16 = 0"))
+    assert got.where("delta <> least(start_char % 16, 16 - start_char % 16)").count() <= 1 and got.count() == chunks.count()
+    heads = chunking.with_heads(chunks, starts.where("line % 2 = 0").select("doc_id", "pos", F.col("line").cast("string").alias("title")))
+    last = F.floor(F.col("start_char") / 16) * 2
+    assert heads.where(F.col("local_heads")[0] != last.cast("string")).count() == 0 and heads.where("start_char >= 16").where(F.col("local_heads")[1] != (last - 2).cast("string")).count() == 0
+    marks = starts.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("b"))
+    found = d.where("doc_id = 'a'").join(marks, "doc_id").select(chunking.snapped_starts(F.length("text"), F.lit(800), F.lit(681), F.col("b"))).first()[0]
+    assert found[:3] == [0, 680, 1360] and found[-1] + 800 >= 8 * n
+    assert time.time() - begun < 90
