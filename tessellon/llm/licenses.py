@@ -155,7 +155,7 @@ def seams(texts: DataFrame, n: int) -> DataFrame:
     ends = F.transform(lines, lambda w: F.struct(F.slice(w, 1, n).alias("head"), _last(w, n).alias("tail")))
     rows = texts.select("dk", ends.alias("ends")).where(F.size("ends") > 1)
     rows = rows.select("dk", "ends", F.explode(F.sequence(F.lit(1), F.size("ends") - 1)).alias("k"))
-    after = F.slice(F.flatten(F.slice(F.col("ends")["head"], F.col("k") + 1, n)), 1, n)
+    after = F.slice(F.flatten(F.slice("ends", F.col("k") + 1, n)["head"]), 1, n)
     return rows.select("dk", F.element_at("ends", F.col("k"))["tail"].alias("before"), after.alias("after"), F.lit(True).alias("seam"))
 
 

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -470,6 +471,14 @@ def test_wrapped_templates(spark, width):
     assert [got[len(texts) + k]["labels"] for k in range(len(near))] == [""] * len(near)
 
 
+def test_lines_beyond_number(spark):
+    """Time grows with the number of lines, not with its square: a text of 200,000 lines with a notice over its last ones."""
+    text = "licensed words of no notice\n" * 200_000 + "Licensed under the Apache\nLicense, Version 2.0"
+    begun = time.time()
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["labels"] == "apache-2.0" and time.time() - begun < 120
+
+
 # ---------------------------------------------------------------- 6
 
 
