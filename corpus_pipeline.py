@@ -8,6 +8,9 @@ on all rows that the one before kept.
 * near_dup: one document of each near-duplicate class stays: that with the least doc_id (nulls last).
 * decontaminate: documents with a twentieth or more of their words in benchmark windows go.
 * encode: doc_id, n_pieces and ids of every remaining text.
+
+Null and empty texts are kept by quality if its score for an empty text allows it, have no lines to lose, are near-duplicates of each other, hold no window of a
+benchmark and are encoded to no pieces; texts may be as long as a worker's memory allows. An empty table runs through all stages to an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.bound_batches(spark)
-    out = line_dedup.dedup_lines(docs).drop("__tess_gone")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = line_dedup.dedup_lines(docs)
+    out = found.drop("__tess_gone")
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return common.leaving(out, *common.left_by(found))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages in turn. Once a stage's table is written, the one before it and what the stage has staged for itself are deleted."""
+    docs, written = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        docs = common.stage(out, name)
+        common.drop_stage(spark, *written, *common.left_by(out))
+        written = [docs]
         common.reclaim(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

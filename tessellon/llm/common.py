@@ -46,17 +46,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage durably."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_tess_path"] = path
+    return out
 
 
 def drop_stage(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes staged tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        own = frame.__dict__.get("_tess_path")
+        for folder in [own] if own else {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            drop_path(spark, folder)
+
+
+def leaving(frame: DataFrame, *tables: DataFrame) -> DataFrame:
+    """frame, which reads staged tables that nothing else needs: whoever has written it may delete them (left_by)."""
+    frame.__dict__["_tess_left"] = [*left_by(frame), *tables]
+    return frame
+
+
+def left_by(frame: DataFrame) -> list[DataFrame]:
+    return frame.__dict__.get("_tess_left", [])
 
 
 def drop_path(spark: SparkSession, folder: str) -> None:

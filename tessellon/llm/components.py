@@ -72,4 +72,4 @@ def components(edges: DataFrame) -> DataFrame:
         then = _shorter(_star(_star(now, True), False))
         common.drop_stage(now.sparkSession, now)
         now = then
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return common.leaving(now.select(F.col("a").alias("node"), F.col("b").alias("root")), now)

@@ -767,14 +767,16 @@ def _flagged(batches: Iterator[pa.RecordBatch]):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all their columns, with the text's repeated lines taken out, and __tess_gone: the numbers of the lines that went."""
     spark = docs.sparkSession
-    gone = repeated_lines(docs, id_col, text_col).select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone"), F.col("flags").alias("__tess_flags"))
+    lost = repeated_lines(docs, id_col, text_col)
+    gone = lost.select(F.col("dk").alias("__tess_dk"), F.col("gone").alias("__tess_gone"), F.col("flags").alias("__tess_flags"))
     common.reclaim(spark)
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x, k: ~F.coalesce(F.get("__tess_flags", k), F.lit(False)))
     marked = docs.withColumn("__tess_dk", doc_key(id_col, text_col)).join(gone.hint("merge"), "__tess_dk", "left").drop("__tess_dk")
     none = F.array().cast("array<int>")
     text = F.when(F.col("__tess_flags").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, text).withColumn("__tess_gone", F.coalesce("__tess_gone", none)).select(*(f"`{c}`" for c in docs.columns), "__tess_gone")
+    out = marked.withColumn(text_col, text).withColumn("__tess_gone", F.coalesce("__tess_gone", none)).select(*(f"`{c}`" for c in docs.columns), "__tess_gone")
+    return common.leaving(out, lost)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

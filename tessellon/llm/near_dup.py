@@ -341,6 +341,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
         staged.append(common.stage(df, name))
         return staged[-1]
 
+    def rooted(edges: DataFrame) -> DataFrame:
+        found = components(edges)
+        staged.extend(common.left_by(found))
+        return found
+
     signed = stage(sign(docs, id_col, text_col), "signed")
     contents = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y", "bands")))
     postings = contents.mapInArrow(_postings, "key long, node long, n long, x long, y long")
@@ -355,7 +360,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     bags = bags_of(named, docs, text_col)
     staged.append(bags)
     links = stage(verify(pairs.where("kind = 0").select("a", "b"), bags), "links")
-    roots = components(links)
+    roots = rooted(links)
     # pairs of short lists that the first links haven't brought together
     at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     rest = pairs.where("kind = 1").select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
@@ -363,9 +368,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(stage(verify(rest, bags), "links"))
     # long lists that share nodes are one family, whose nodes meet once
     heads = rows.groupBy("key").agg(F.min("node").alias("b"))
-    family = components(rows.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
+    family = rooted(rows.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
     members = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "x", "y"))).join(family, "node")
-    roots = components(links)
+    roots = rooted(links)
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("family", "root").count()
     mains = sizes.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -379,7 +384,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     members = members.select("family", "role.chunk", "role.asks", "node", "n", "x", "y", "root", "closed", "bag")
     members = members.repartition(n, "family", "chunk").sortWithinPartitions("family", "chunk", F.desc("asks"), "node")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(stage(members.mapInArrow(lambda batches: _family_links(batches, bits_apart), "a long, b long"), "links"))
-    out = signed.select("id", "row", "row2", "node").join(components(links), "node", "left")
+    out = signed.select("id", "row", "row2", "node").join(rooted(links), "node", "left")
     out = common.stage(out.select("id", "row", "row2", "node", F.coalesce("root", "node").alias("root")), "classes")
     common.drop_stage(spark, *staged)
     common.reclaim(spark)
@@ -406,7 +411,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = docs.withColumns(dict(zip(keys, (row, row2), strict=True))).join(keepers.hint("merge"), keys, "left_semi")
     every = F.struct(*(f"`{c}`" for c in docs.columns))
     one = kept.groupBy(*keys).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("__tess_one"))
-    return one.select(*(F.col("__tess_one").getField(c).alias(c) for c in docs.columns))
+    return common.leaving(one.select(*(F.col("__tess_one").getField(c).alias(c) for c in docs.columns)), found)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -797,3 +797,31 @@ def test_pipeline_stages(spark, odd):
         assert name == "encode" or docs.columns == before
     assert docs.columns == ["doc_id", "n_pieces", "ids"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@needs_tables
+def test_pipeline_by_brute_force(spark):
+    """The pipeline's rows are those that stages worked out one text at a time leave, and its pieces spell their texts."""
+    table_of = lambda name: table(spark, name)
+    docs = sorted((r["doc_id"], r["text"]) for r in table_of("documents").collect())
+    model = quality.train_from(table_of("documents"), table_of("labels"), ~quality.in_fold(F.col("doc_id"), 5, 0))
+    kept = [(i, t) for i, t in docs if quality.document_scores(model, [t.encode()])[0] >= quality.THRESHOLD]
+    lines = brute_lines([t for _, t in kept])
+    roots = brute_classes(lines)
+    texts = {kept[k][0]: lines[k] for k in range(len(kept)) if roots[k] == k}
+    items = [(str(r["item_id"]), r["text"]) for r in table_of("benchmark").collect()]
+    clean = {i: t for (i, t), found in zip(texts.items(), brute_windows(list(texts.values()), items), strict=True) if not found[4]}
+    before = set(spark.sparkContext._jvm.java.io.File(common.shared_folder(spark).removeprefix("file:") + "/tessellon").list())
+    got = common.stage(corpus_pipeline.run(spark, SF), "pipeline")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(got, pieces.public_model()).collect()} == clean
+    assert all(r["n_pieces"] == len(r["ids"]) for r in got.collect()) and len(docs) > len(kept) > len(texts) > len(clean) > 0
+    # all but the last stage's input and this result is deleted
+    left = set(spark.sparkContext._jvm.java.io.File(common.shared_folder(spark).removeprefix("file:") + "/tessellon").list()) - before
+    assert {n.rsplit("-", 1)[0] for n in left} == {"decontaminate", "pipeline"}
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    for name in ("labels", "benchmark"):
+        table(spark, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
