@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessellon.operators.gates import RULES
-from tessellon.plans.oracles import _CHUNKS, _D2, _HITS, _PAIRS, _SCORED, _STOPS, ORACLES, _capped, _feed, _final, _host, _strip, _terms, _tokens, _words
+from tessellon.plans.oracles import _CHUNKS, _D2, _HITS, _MAIL, _PAIRS, _SCORED, _STOPS, ORACLES, _capped, _feed, _final, _grade, _host, _strip, _terms, _tokens, _words
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 _FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::UHUGEINT), lambda s, c: (xor(s, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981037567433372::UHUGEINT)"
@@ -35,6 +35,42 @@ def _number(x: float | None) -> str:
 
 _RULE_ROWS = ", ".join(f"('{r.gate}', '{r.id}', '{r.metric}', {_number(r.low)}, {_number(r.high)}, {_number(r.warn_low)}, {_number(r.warn_high)})" for r in RULES)
 
+
+def _first_words(x: str, k: int, first: int = 1) -> str:
+    return rf"array_to_string(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')[{first}:{k}], ' ')"
+
+
+def _mail_flags() -> str:
+    return rf"""list_filter([CASE WHEN trim(coalesce(unsub, '')) = '' THEN 'MISSING_UNSUBSCRIBE' END, CASE WHEN trim(coalesce(company, '')) = '' THEN 'MISSING_COMPANY_INFO' END,
+  CASE WHEN regexp_matches(body, '(?i)(^|[^\p{{L}}\p{{N}}_])([0-9]+%[\p{{L}}\p{{N}}_]|(double|guarantee|always|never)([^\p{{L}}\p{{N}}_]|$))') THEN 'UNCITED_CLAIM' END,
+  CASE WHEN len(list_filter(['guaranteed', 'free money', 'no strings attached', 'risk-free', '100% safe'], lambda k: contains(lower(body), k))) > 0 THEN 'PROHIBITED_PHRASE' END], lambda x: x IS NOT NULL) AS critical,
+list_filter([CASE WHEN {_words('body')} > 160 THEN 'EXCESS_LENGTH' END, CASE WHEN {_grade('body')} > 10 THEN 'READABILITY' END], lambda x: x IS NOT NULL) AS warning"""
+
+
+def _mail_round(before: str, k: int) -> str:
+    """One round of checks and edits: CTEs f{k} (flags), a{k} to c{k} (edits) and r{k} (the mail after them)."""
+    bullet = "starts_with(ltrim(x), '- ')"
+    split = "string_split(body, chr(10))"
+    long = f"list_concat(list_filter({split}, lambda x: NOT {bullet}), list_transform(list_filter({split}, lambda x: {bullet})[1:3], lambda x: {_first_words('x', 18)}))"
+    short = f"list_transform(list_filter({split}, lambda x: trim(x) <> ''), lambda x: CASE WHEN {bullet} THEN {_first_words('x', 10)} ELSE {_first_words('x', 12)} END)"
+    has = lambda kind, flag: f"list_contains({kind}, '{flag}')"
+    return f"""f{k} AS (SELECT *, {_mail_flags()} FROM {before}),
+a{k} AS (SELECT * REPLACE (CASE WHEN {has('critical', 'PROHIBITED_PHRASE')} THEN replace(replace(replace(body, 'guaranteed', 'designed to'), 'free money', 'budget savings'), 'no strings attached', 'no additional commitment') ELSE body END AS body) FROM f{k}),
+b{k} AS (SELECT * REPLACE (CASE WHEN {has('critical', 'UNCITED_CLAIM')} THEN body || chr(10) || '(Reference: First card)' ELSE body END AS body) FROM a{k}),
+c{k} AS (SELECT * REPLACE (CASE WHEN {has('warning', 'EXCESS_LENGTH')} THEN array_to_string({long}, chr(10)) ELSE body END AS body) FROM b{k}),
+r{k} AS (SELECT conv_id, turn, CASE WHEN {has('warning', 'READABILITY')} THEN array_to_string({short}, chr(10)) ELSE body END AS body,
+  CASE WHEN {has('critical', 'MISSING_UNSUBSCRIBE')} THEN 'You can unsubscribe at any time by replying ''unsubscribe''.' ELSE unsub END AS unsub,
+  CASE WHEN {has('critical', 'MISSING_COMPANY_INFO')} THEN 'Sent by ACME AI, 123 Market St, San Francisco, CA.' ELSE company END AS company FROM c{k})"""
+
+
+def _mail_shorter(before: str, k: int) -> str:
+    bullet = "starts_with(ltrim(x), '- ')"
+    split = "string_split(body, chr(10))"
+    heads = f"list_filter(list_transform(list_filter({split}, lambda x: NOT {bullet}), lambda x: {_first_words('x', 10)}), lambda x: x <> '')"
+    bullets = f"list_transform(list_filter({split}, lambda x: {bullet})[1:3], lambda x: '- ' || {_first_words('x', 9, 2)})"
+    return f"s{k} AS (SELECT * REPLACE (CASE WHEN {_grade('body')} > 10 OR {_words('body')} > 160 THEN array_to_string(list_concat({heads}, {bullets}), chr(10)) ELSE body END AS body) FROM {before})"
+
+
 # The gates' tables: pages as sidecars, documents as normalised ones, their windows as chunks.
 _GATE_TABLES = f"""{_CHUNKS}, {_MARKS},
 raw AS (SELECT ['sec', 'investor_news', 'newsroom', 'newsroom', 'product', 'dev_docs', 'help_docs', 'wikipedia'][page_id % 8 + 1] AS bucket, CASE page_id % 8 WHEN 2 THEN 'x; feed=corporate' WHEN 3 THEN 'feed=product' END AS notes,
@@ -217,6 +253,8 @@ FROM customer, (VALUES (1), (2), (3), (4)) t(v) WHERE v <> 3 OR c_custkey % 10 <
 FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN '.raw.html' WHEN 1 THEN '.raw.html' ELSE '.pdf' END AS kind FROM pages WHERE page_id % 4 > 0 AND page_id % 5 > 0 AND page_id % 7 > 0)""",
     "sidecar_lookup": "SELECT 'p' || page_id AS doc_id, CAST(CASE WHEN page_id % 4 > 0 THEN CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END END AS BIGINT) AS status, CASE WHEN page_id % 4 > 0 THEN url END AS final_url FROM pages",
     "configured_routes": ORACLES["route_decisions"],
+    "mail_negotiation": f"""WITH {_MAIL}, {_mail_round('mails', 1)}, {_mail_round('r1', 2)}, last AS (SELECT *, {_mail_flags()} FROM r2), {_mail_shorter('last', 1)}, {_mail_shorter('s1', 2)}, {_mail_shorter('s2', 3)}
+SELECT conv_id, turn, body, unsub AS unsubscribe_block, company AS company_info_block, array_to_string(critical, ',') AS critical, array_to_string(warning, ',') AS warning FROM s3""",
     "csv_read_back": "SELECT c_custkey, c_name, c_mktsegment || ',' || c_name AS tags FROM customer",
     "parquet_read_back": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F'",
     "log_words": "SELECT count(*) FILTER (WHERE event_id % 10 = 0) AS errors, count(*) FILTER (WHERE event_id % 10 <> 0) AS fine, CAST(0 AS BIGINT) AS nothing FROM events",
