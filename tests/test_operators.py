@@ -5,7 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tessellon.functions import stats
+from tessellon.functions import stats, vectors
 from tessellon.operators import cards, chunking, dedupe, evaluation, gates, metadata, normalize, retrieval, routing
 from tessellon.sources import readers, writers
 
@@ -109,6 +109,25 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.nearest(v, q, 3).collect()} == one
 
 
+def test_nearest_nulls_lengths_ties_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng, nan, inf = random.Random(4), float("nan"), float("inf")
+    some = [[rng.choice([0.1, 0.7, -0.3]) for _ in range(3)] for _ in range(40)] + [[0.5, 0.5, 0.5]] * 30
+    some += [None, [0.1, None, 0.2], [0.1], [nan, 0.0, 0.0], [inf, 0.0, 0.0], [], [1e30, 1e30, 0.0]]
+    rng.shuffle(some)
+    v = spark.createDataFrame(list(enumerate(some)), "vec_id long, embedding array<float>")
+    q = v.select((F.col("vec_id") + 1000).alias("query_id"), F.col("embedding").alias("query_vec"))
+    d2 = vectors.squared_distance(F.col("embedding"), F.col("query_vec"))
+    want = v.crossJoin(q).select("query_id", "vec_id", d2.alias("d2"))
+    want = retrieval.top_k(want, ["query_id"], [F.col("d2").asc_nulls_last(), F.col("vec_id")], 5)
+    rows = lambda df: sorted(map(str, df.select("query_id", "rank", "vec_id", "d2").collect()))
+    got = retrieval.nearest(v, q, 5)
+    assert rows(got) == rows(want)
+    # nothing is broadcast, and no expression goes over pairs of vectors
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
+
+
 def test_gate_bands(spark):
     rules = gates.rules_frame(spark, [gates.Rule("S1", "G1-04", "m", None, 0.005, None, 0.015), gates.Rule("G01", "a", "none", 1), gates.Rule("S0", "G0-01", "n", 100)])
     m = spark.createDataFrame([("m", 0.005), ("n", 95.0)], "metric string, value double")
