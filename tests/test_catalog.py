@@ -49,3 +49,9 @@ def test_rows_only(spark):
             df = entry.queries()[name](spark, SF)
             rows = df.collect()
             assert rows and len({tuple(map(str, r)) for r in rows}) == len(rows), name
+
+
+@pytest.mark.parametrize("name", ["diversity_merge"])
+def test_hits_are_searched_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert "embedding" not in plan
