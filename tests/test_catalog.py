@@ -51,7 +51,7 @@ def test_rows_only(spark):
             assert rows and len({tuple(map(str, r)) for r in rows}) == len(rows), name
 
 
-@pytest.mark.parametrize("name", ["diversity_merge"])
+@pytest.mark.parametrize("name", ["diversity_merge", "fallback_answers"])
 def test_hits_are_searched_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "embedding" not in plan
