@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.operators.retrieval import top_k
+from tessellon.operators.retrieval import nearest, top_k
 
 #: Links of a node (twice as many in the lowest layer), candidates for them, and the width of a search.
 LINKS, CANDIDATES, WIDTH = 32, 200, 128
@@ -340,6 +340,21 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
     return top_k(found, ["query_id"], [F.col("d2"), F.col("id")], k)
 
 
+def probes_needed(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int, share: float = 0.98, least: int = 1, sample: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec") -> int:
+    """The fewest cells, `least` at least, that hold this share of the exact answers of a sample of the queries: more vectors in more cells need more of them."""
+    if len(index.centroids) <= least:
+        return least
+    asked = usable(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<float>").alias("query_vec")), "query_vec").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    held = usable(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec")), "vec")
+    found = nearest(held, asked, k, "id", "vec").select("query_id", "id").join(held, "id").join(asked, "query_id").select("vec", "query_vec").collect()  # sample * k rows at most
+    if not found:
+        return least
+    cell = _distances(np.array([r["vec"] for r in found], np.float32), index.centroids).argmin(1)
+    apart = _distances(np.array([r["query_vec"] for r in found], np.float32), index.centroids)
+    nth = np.sort((apart < apart[np.arange(len(found)), cell][:, None]).sum(1) + 1)
+    return max(least, int(nth[int(np.ceil(share * len(nth))) - 1]))
+
+
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "id") -> DataFrame:
     """queries, and the mean share of each query's exact answers (query_id, id) that are found."""
     hits = exact.select("query_id", F.col(id_col).alias("id")).join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

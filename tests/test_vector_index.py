@@ -74,6 +74,17 @@ def test_index_against_exact_search(spark, part_rows, probes, least):
     assert vector_index.round_trip(index, df).first()["error_max"] == 0
 
 
+def test_cells_enough_for_the_recall(spark):
+    x = np.random.default_rng(8).normal(size=(1200, 16)).astype(np.float32)
+    df = frame(spark, list(enumerate(x)))
+    index = vector_index.build(df, scratch(spark, "index"), part_rows=40)
+    queries = asked(df.where("vec_id % 6 = 0"))
+    exact = retrieval.nearest(df, queries, 10)
+    share = lambda probes: vector_index.recall(vector_index.search(index, queries, 10, probes), exact, "vec_id").first()["recall"]
+    assert share(3) < 0.9
+    assert share(vector_index.probes_needed(index, df, queries, 10, least=3)) >= 0.95
+
+
 def test_answers_are_ordered_and_ties_go_by_id(spark):
     rows = [(k, [1.0, 0.0]) for k in (9, 3, 5, 3)] + [(None, [1.0, 0.0]), (7, [2.0, 0.0])]
     index = vector_index.build(frame(spark, rows), scratch(spark, "index"))
