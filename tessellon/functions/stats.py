@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,9 @@ def hinge_values(df: DataFrame, x: str) -> tuple[float, float, float]:
 
     at = values_at(df, x, places)
     return tuple((at[a] + at[b]) / 2 for a, b in halves(size)) if size else (0.0, 0.0, 0.0)
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles that doesn't hang on the order of rows: of their first twelve decimals, or, where one is too large for that, NaN or infinite, the usual sum."""
+    exact = x.try_cast("decimal(28,12)")
+    return F.when(F.count(exact) == F.count(x), F.try_sum(exact).cast("double")).otherwise(F.sum(x))

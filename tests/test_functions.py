@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessellon.functions import dates, urls, vectors
+from tessellon.functions import dates, stats, urls, vectors
 from tessellon.functions import text as tx
 from tessellon.operators import ordering
 
@@ -116,3 +116,10 @@ def test_percentiles(spark, n):
     s = sorted(values)
     want = (s[math.ceil(0.9 * n) - 1], s[int(0.95 * (n - 1))], s[round(0.5 * (n - 1))], s[n // 2]) if n else (None,) * 4
     assert tuple(r) == want
+
+
+def test_exact_sum_in_any_order(spark):
+    rows = [1e15, 0.01] + [0.06] * 300 + [-1e15, None]
+    total = lambda r: spark.createDataFrame([(x,) for x in r], "x double").coalesce(1).select(stats.exact_sum(F.col("x"))).first()[0]
+    assert total(rows) == total(rows[::-1]) == 18.01
+    assert total([1e30, 1.0]) == 1e30 and total([float("inf"), 1.0]) == float("inf") and total([None]) is None
