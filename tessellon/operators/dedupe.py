@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
 from tessellon.plans.session import drop, staged
 
+#: Frequent shingles that all tasks know; others are ordered as rare ones.
+MOST_FREQUENT = 100_000
+
 
 def exact_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digest, members and least id of texts that occur more than once."""
@@ -29,36 +36,77 @@ def near_links(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str
     """id_a < id_b and jaccard of texts whose shingle sets are that alike, one text (the least id) standing for all with an equal set; and
     these copies (id_a, id_b, jaccard 1). Together they join whatever the pairs of all texts join.
 
-    Only the sets' rarest shingles are joined (a prefix of n - ceil(threshold n) + 1 must meet), so common passages don't
-    pair everything with everything; exact counts then come from the sets of the pairs that remain. posting_cap, off by default, drops shingles
+    Only a prefix of each set is joined, where frequent shingles come last, so common passages don't pair everything with everything; exact counts then
+    come from the sets of the pairs that remain. posting_cap, off by default, drops shingles
     in more texts than that, which can lose pairs. Texts that fulfil `exempt` (a condition in SQL) are left out."""
     sets = staged(shingle_sets(docs, id_col, text_col, k, exempt), "sets")
     same = [F.xxhash64("s").alias("h"), F.hash("s").alias("h2")]
-    one = staged(sets.groupBy(*same).agg(F.min("id").alias("id"), F.first("s").alias("s")), "distinct")
-    copies = sets.select("id", *same).join(one.select(F.col("id").alias("id_a"), "h", "h2"), ["h", "h2"]).where("id <> id_a")
+    marks = sets.select("id", *same)
+    one = marks.groupBy("h", "h2").agg(F.min("id").alias("id"))
+    copies = marks.join(one.withColumnRenamed("id", "id_a"), ["h", "h2"]).where("id <> id_a")
     copies = staged(copies.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard")), "copies")
-    drop(sets)
-    rows = one.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
-    df = rows.groupBy("s").agg(F.count("*").alias("df"))
-    if posting_cap:
-        df = df.where(F.col("df") <= posting_cap)
-    # shingles of one text alone take part in the order only: they come first
-    shared = df.where("df > 1")
-    met = rows.join(shared, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
-    lone = F.lit(0) if posting_cap else F.col("n") - F.size("own")
-    room = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - lone).cast("int")
-    prefix = met.where(room > 0).select("id", "n", F.explode(F.slice("own", F.lit(1), room)).alias("o")).select("id", "n", "o.s")
+    first = (_capped_prefixes(sets, threshold, posting_cap) if posting_cap else _prefixes(sets, threshold)).join(one.select("id"), "id", "left_semi")
+    prefix = first.select("id", "n", F.posexplode("own").alias("at", "s"))
     a, b = prefix.alias("a"), prefix.alias("b")
     lengths = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    candidates = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & lengths).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    both = candidates.join(one.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
+    # what the sets have in common at most, if this is the first that they share
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    if posting_cap:
+        enough = F.lit(True)
+    candidates = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & lengths & enough).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    candidates = staged(candidates, "candidates")
+    # only the sets of candidates are exchanged
+    named = candidates.select(F.col("id_a").alias("id")).union(candidates.select("id_b")).distinct()
+    some = sets.join(named, "id", "left_semi")
+    both = candidates.join(some.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(some.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
     shared = F.size(F.array_intersect("sa", "sb"))
     pairs = both.select("id_a", "id_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
     pairs = staged(pairs, "links")
-    drop(one)
+    drop(sets, candidates)
     return pairs, copies
 
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n and own, the first n - ceil(threshold n) + 1 shingles of each set. All sets have one order, so two that are that alike share one of these, whatever the order: frequent
+    shingles, as known from a sixteenth of the texts, go last by their number there, and others by hash. A set is cut where it is read."""
+    often = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    rows = often.orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).collect()
+    known = np.array(sorted((r["s"], r["c"]) for r in rows), np.int64).reshape(-1, 2)
+    shared = sets.sparkSession.sparkContext.broadcast(known)
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists, known = part.column(1), shared.value
+        values = lists.flatten().to_numpy()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        often = np.zeros(len(values), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
+            often = np.where(known[place, 0] == values, known[place, 1], 0)
+        ordered = values[np.lexsort((values, often, owner))]
+        room = (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64)
+        own = ordered[np.arange(len(values)) - (np.cumsum(n) - n)[owner] < room[owner]]
+        ends = np.concatenate([[0], np.cumsum(room)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(own))], ["id", "n", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                yield cut(batch.slice(at, 1000))
+
+    return sets.select("id", "s").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, own array<bigint>")
+
+
+def _capped_prefixes(sets: DataFrame, threshold: float, posting_cap: int) -> DataFrame:
+    """As _prefixes, by the shingles' true numbers, without those in more texts than the cap or in one alone."""
+    rows = sets.select("id", F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), F.explode("s").alias("s"))
+    df = rows.groupBy("s").agg(F.countDistinct("h", "h2").alias("df")).where(F.col("df").between(2, posting_cap))
+    met = rows.join(df, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
+    room = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    return met.select("id", "n", F.slice("own", F.lit(1), room)["s"].alias("own"))
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", exempt: str | None = None, posting_cap: int | None = None) -> DataFrame:
     """All pairs of near_links, those of copies among each other and with others included: as many as the texts' groups have. For groups
     and for what stays, links() is enough."""

@@ -260,3 +260,20 @@ def test_marks_of_a_text_of_many_lines(spark):
     found = d.where("doc_id = 'a'").join(marks, "doc_id").select(chunking.snapped_starts(F.length("text"), F.lit(800), F.lit(681), F.col("b"))).first()[0]
     assert found[:3] == [0, 680, 1360] and found[-1] + 800 >= 8 * n
     assert time.time() - begun < 90
+
+
+def test_near_links_lose_nothing_among_frequent_passages(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "MOST_FREQUENT", 30)
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(30)]
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 999)}" for _ in range(60)] + passage
+        texts += [words, words[: rng.randint(80, 90)], [rng.choice(("x", w)) if rng.random() < 0.03 else w for w in words], words]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["id_a"], r["id_b"]): round(r["jaccard"], 9) for r in dedupe.near_pairs(d).collect()}
+    assert got == {p: round(j, 9) for p, j in likeness.items() if j >= 0.85}
+    own = dedupe._prefixes(dedupe.shingle_sets(d, "doc_id", "text", 5), 0.85)
+    assert own.where("size(own) <> n - ceil(0.85 * n - 1e-9) + 1").count() == 0
