@@ -21,6 +21,11 @@ class ChunkConfig:
     least: int = 120
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with further columns that are computed once a row: Catalyst would repeat a column's expression wherever it is named."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def windows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, seq_no, start_char, end_char (inclusive), text, token_count and word_count of each window.
 
@@ -28,22 +33,23 @@ def windows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), id_col: str = "do
     start every round(cpt * (target - overlap)) characters. A last window of fewer than `least` tokens joins the one before if
     both have 1.2 * target tokens or fewer. A text of fewer than `short` tokens is one window; an empty one has none."""
     t = F.col(text_col)
-    n = tx.token_count(t)
-    d = docs.where(F.length(t) > 0).select(F.col(id_col).alias("id"), t.alias("t"), F.length(t).alias("len"), n.alias("n"))
+    d = docs.where(F.length(t) > 0).select(F.col(id_col).alias("id"), t.alias("t"))
+    d = _once(d, F.length("t").alias("len"), tx.token_count(F.col("t")).alias("n"))
     cpt = F.col("len") / F.greatest(F.col("n"), F.lit(1))
     d = d.withColumn("win", F.greatest(F.lit(1), F.bround(cpt * cfg.target)).cast("int")).withColumn("step", F.greatest(F.lit(1), F.bround(cpt * (cfg.target - cfg.overlap))).cast("int"))
     many = F.when((F.col("n") < cfg.short) | (F.col("len") <= F.col("win")), 1).otherwise(1 + F.ceil((F.col("len") - F.col("win")) / F.col("step"))).cast("int")
     d = d.withColumn("k", many)
     piece = lambda i: F.struct(i.alias("seq_no"), (i * F.col("step")).alias("start"), F.when(F.col("k") == 1, F.col("len")).otherwise(F.least(F.col("len"), i * F.col("step") + F.col("win"))).alias("stop"))
-    d = d.withColumn("pieces", F.transform(F.sequence(F.lit(0), F.col("k") - 1), piece))
+    d = _once(d, F.transform(F.sequence(F.lit(0), F.col("k") - 1), piece).alias("pieces"))
     last, prior = F.element_at("pieces", -1), F.try_element_at("pieces", F.lit(-2))
     tokens = lambda p: tx.token_count(F.substring(F.col("t"), p["start"] + 1, p["stop"] - p["start"]))
-    joins = (F.col("k") > 1) & (tokens(last) < cfg.least) & (tokens(last) + tokens(prior) <= int(1.2 * cfg.target))
+    d = _once(d, F.when(F.col("k") > 1, tokens(last)).alias("tail"))
+    joins = F.coalesce(F.col("tail") < cfg.least, F.lit(False)) & (F.col("tail") + tokens(prior) <= int(1.2 * cfg.target))
     both = F.struct(prior["seq_no"].alias("seq_no"), prior["start"].alias("start"), last["stop"].alias("stop"))
     d = d.withColumn("pieces", F.when(joins, F.concat(F.slice("pieces", F.lit(1), F.greatest(F.col("k") - 2, F.lit(0))), F.array(both))).otherwise(F.col("pieces")))
     out = d.select("id", "t", F.explode("pieces").alias("p"))
     body = F.substring(F.col("t"), F.col("p.start") + 1, F.col("p.stop") - F.col("p.start"))
-    out = out.select(F.col("id").alias(id_col), F.col("p.seq_no").alias("seq_no"), F.col("p.start").alias("start_char"), (F.col("p.stop") - 1).alias("end_char"), body.alias("text"))
+    out = _once(out, body.alias("text")).select(F.col("id").alias(id_col), F.col("p.seq_no").alias("seq_no"), F.col("p.start").alias("start_char"), (F.col("p.stop") - 1).alias("end_char"), "text")
     return out.withColumn("token_count", tx.token_count(F.col("text"))).withColumn("word_count", tx.word_count(F.col("text")))
 
 

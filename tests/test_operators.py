@@ -277,3 +277,9 @@ def test_near_links_lose_nothing_among_frequent_passages(spark, monkeypatch):
     assert got == {p: round(j, 9) for p, j in likeness.items() if j >= 0.85}
     own = dedupe._prefixes(dedupe.shingle_sets(d, "doc_id", "text", 5), 0.85)
     assert own.where("size(own) <> n - ceil(0.85 * n - 1e-9) + 1").count() == 0
+
+
+def test_windows_count_a_text_once(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = chunking.windows(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") < 10  # an inlined count stood there 336 times
