@@ -55,3 +55,8 @@ def test_rows_only(spark):
 def test_hits_are_searched_once(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "embedding" not in plan
+
+
+def test_distant_chunks_are_compared_once(spark):
+    plan = entry.queries()["nonadjacent_p95"](spark, SF)._jdf.queryExecution().toString()
+    assert "regexp" not in plan
