@@ -100,11 +100,11 @@ def upper_hinge(n: Column) -> list[Column]:
 
 def percentiles(df: DataFrame, x: str, wanted: dict[str, Places], by: Sequence[str] = ()) -> DataFrame:
     """A row for each group with the values at the wanted places of its ascending order of x (nulls left out); of two places the mean.
-    Equal values are counted before they are ordered, so a value that most rows have is one row."""
-    v = df.select(*by, F.col(x).alias("_x"))
-    counted = v.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = placed(counted, [F.col("_x")], by, "_n", "_before").select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), "_x", "_n", "_before")
-    sizes = v.groupBy(*by).agg(F.count("_x").alias("_size"))
+    Equal values are counted before they are ordered, so a value that most rows have is one row. Only the counts are staged and read again; df is computed once."""
+    own = [f"_by{k}" for k in range(len(by))]
+    counted = df.select(*by, F.col(x).alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
+    numbered = placed(counted, [F.col("_x")], by, "_n", "_before").select(*(F.col(c).alias(o) for c, o in zip(by, own, strict=True)), "_x", "_n", "_before")
+    sizes = numbered.groupBy(*own).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_size")).select(*(F.col(o).alias(c) for c, o in zip(by, own, strict=True)), "_size")
     match = F.lit(True)
     for k, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"_by{k}"))
