@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
+from tessellon.operators.retrieval import top_k
+from tessellon.plans.session import staged
 
 # Phrases that may not occur and their replacements, and the blocks that a mail must have.
 PROHIBITED = ["guaranteed", "free money", "no strings attached", "risk-free", "100% safe"]
@@ -55,10 +57,23 @@ def _pick(cards: list[dict], spare: list[dict], size: int, domains: int) -> list
     return chosen
 
 
+def _within_reach(cards: DataFrame, size: int, domains: int) -> DataFrame:
+    """The cards of each session that `_pick` can take, staged: the first by place (of one id `size` at most), and the first of each domain, those of low
+    confidence apart. Their number hangs on size and domains alone, however many hits a session has. Cards without a place stay."""
+    low = (F.col("confidence") < 0.7).alias("_low")
+    every = staged(cards.select("*", low, F.row_number().over(Window.partitionBy("session", "id").orderBy("place")).alias("_same")), "cards")
+    known = every.where(F.col("place").isNotNull())
+    first = top_k(known.where(F.col("_same") <= size), ["session"], [F.col("place"), F.col("id")], size * (size + 1), "_nth")
+    heads = top_k(known, ["session", "source_domain", "_low"], [F.col("place"), F.col("id")], 1, "_nth")
+    heads = top_k(heads, ["session", "_low"], [F.col("place"), F.col("id")], size + domains + 1, "_nth")
+    return first.unionByName(heads).drop("_nth").dropDuplicates().unionByName(every.where(F.col("place").isNull())).drop("_low", "_same")
+
+
 def select_cards(cards: DataFrame, docs: DataFrame, size: int = 5, domains: int = 4) -> DataFrame:
     """Up to `size` cards a session, from `domains` domains if can be: new domains first, then by place; a card of a repeated domain
     gives way to one of an unseen domain, if need be to a card made from a document of a preferred kind (the first by
-    doc_id of each domain). A session has a few dozen candidates; what is made from documents is one row for each domain."""
+    doc_id of each domain). Of a session's candidates only those within reach meet in a group; what is made from documents is one row for each domain."""
+    cards = _within_reach(cards, size, domains)
     d = docs.where(F.lower("doctype").isin(*PREFERRED) & (F.coalesce("source_domain", F.lit("")) != ""))
     made = d.groupBy("source_domain").agg(F.min_by(F.struct("doc_id", "title", "url", "publish_date", "text"), "doc_id").alias("d")).select(
         F.concat(F.lit("synth::"), "d.doc_id", F.lit("::card")).alias("id"), F.substring(F.coalesce(F.nullif("d.title", F.lit("")), F.lit("Insight")), 1, 120).alias("title"), F.substring(F.coalesce("d.text", F.lit("")), 1, 320).alias("summary"),

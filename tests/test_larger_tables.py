@@ -1,8 +1,11 @@
 """Steps whose work may not grow with what they don't need: one computation of an input, bounded groups."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from tessellon.operators import ordering
+from tessellon.operators import cards, ordering
 
 
 def test_percentiles_compute_their_input_once(spark):
@@ -17,3 +20,22 @@ def test_percentiles_compute_their_input_once(spark):
     got = ordering.percentiles(df, "x", {"p": ordering.upper_median, "m": ordering.median}, ["g"]).orderBy("g").collect()
     assert [tuple(r) for r in got] == [(0, None, None), (1, 49, 49.0), (2, 50, 50.0)]
     assert seen.value == 100
+
+
+def test_cards_within_reach(spark):
+    rng = random.Random(5)
+    rows = []
+    for session in range(12):
+        names = ["", *(f"d{k}" for k in range(rng.choice([1, 2, 3, 40])))]
+        for place in range(rng.choice([3, 8, 400])):
+            rows.append((f"s{session}", place, f"c{rng.randrange(300)}", rng.choice([0.6, 0.7, 0.9]), rng.choice(names[:2]) if place < 6 else rng.choice(names)))
+    fixed = {"title": "t", "summary": "s", "url": "u", "date": "", "evidence_snippet": "e", "doc_id": "1"}
+    frame = pd.DataFrame([{"session": s, "place": p, "id": i, "confidence": c, "source_domain": d} | fixed for s, p, i, c, d in rows])
+    docs = [("7", "press", "T", "u", None, "text", "other"), ("8", "wiki", "T", "u", None, "text", "d0"), ("9", "press", "T", "u", None, "text", "third")]
+    docs = spark.createDataFrame(docs, "doc_id string, doctype string, title string, url string, publish_date string, text string, source_domain string")
+    given = spark.createDataFrame(frame)
+    spare = [{"id": f"synth::{k}::card", "source_domain": d, "confidence": 0.6} for k, d in (("7", "other"), ("8", "d0"), ("9", "third"))]
+    want = {(s, k + 1, c["id"], c["source_domain"]) for s, own in frame.groupby("session") for k, c in enumerate(cards._pick(own.sort_values("place").to_dict("records"), spare, 5, 4))}
+    got = cards.select_cards(given, docs).select("session", "card_no", "id", "source_domain").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert cards._within_reach(given, 5, 4).groupBy("session").count().agg(F.max("count")).first()[0] <= 50
