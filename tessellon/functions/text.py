@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -119,6 +120,19 @@ def terms(c: Column) -> Column:
     return let(F.regexp_extract_all(normalize_text(c), F.lit("([a-z0-9]{2,20})"), F.lit(0)), with_pairs)
 
 
+_TO_ASCII = str.maketrans(_KNOWN)
+_DIGITS, _TOKEN = re.compile("[0-9]+"), re.compile("[a-z0-9]{2,20}")
+
+
+def terms_of(low: str | None) -> list[str]:
+    """`terms` of a text in lower case, for tasks that go on with the terms in Python."""
+    low = low or ""
+    if not low.isascii():
+        low = low.translate(_TO_ASCII).encode("ascii", "ignore").decode()
+    t = _TOKEN.findall(_DIGITS.sub("0", low))
+    return t + [f"bg:{a}_{b}" for a, b in zip(t, t[1:])]
+
+
 def contains_any(c: Column, keys: list[str]) -> Column:
     found = F.lit(False)
     for key in keys:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,28 +38,33 @@ MARGIN = 1e-8
 _MANIFEST = "path string, docs long, entries long"
 
 
-class Components(dict):
-    """Term -> component, the sign in the lowest bit; each term of a worker's texts is hashed once."""
-
-    def __init__(self, dim: int, most: int = 500_000):
-        super().__init__()
-        self.dim, self.most = dim, most
-
-    def __missing__(self, term: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = vx._BASIS ^ vx.SEED
-        for b in term.encode():
-            h = ((h ^ b) * ((1 << 40) + 435)) & ((1 << 64) - 1)
-        got = self[term] = (h % self.dim) * 2 + (h & 1)
-        return got
+@dataclass(frozen=True)
+class Components:
+    dim: int
+
+    def of(self, terms: pa.Array) -> np.ndarray:
+        """Component of each term (a string), the sign in the lowest bit: FNV-1a over the bytes, the terms in step, the longest first."""
+        data, n = terms.cast(pa.large_binary()), len(terms)
+        start = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + n + 1] if n else np.zeros(1, np.int64)
+        size = np.diff(start)
+        order = np.argsort(-size, kind="stable")
+        at, falling = start[:-1][order], -size[order]
+        buffer = data.buffers()[2] if n else None
+        raw = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+        h = np.full(n, vx._BASIS ^ vx.SEED, np.uint64)
+        for k in range(int(-falling[0]) if n else 0):
+            m = np.searchsorted(falling, -k)
+            h[:m] = (h[:m] ^ raw[at[:m] + k]) * np.uint64((1 << 40) + 435)
+        out = np.empty(n, np.int64)
+        out[order] = (h % np.uint64(self.dim) * np.uint64(2) + (h & np.uint64(1))).astype(np.int64)
+        return out
 
 
 def dense_rows(terms: pa.ListArray, known: Components) -> np.ndarray:
     """Unit vectors of lists of terms; zeros for a list without terms."""
     n = len(terms)
     coded = terms.flatten().dictionary_encode()
-    code = np.array([known[t] for t in coded.dictionary.to_pylist()], np.int64)
+    code = known.of(coded.dictionary)
     own = code[coded.indices.to_numpy()] if len(code) else code
     doc = np.repeat(np.arange(n), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     out = np.bincount(doc * known.dim + own // 2, np.where(own % 2, -1.0, 1.0), n * known.dim).reshape(n, known.dim)
@@ -152,8 +157,8 @@ class LexicalIndex:
         return cls(folder, spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest"), id_type)
 
 
-def build(docs: DataFrame, folder: str, terms: Column, id_col: str = "doc_id", dim: int = DIM, part_docs: int = PART_DOCS) -> LexicalIndex:
-    """Indexes every document that has terms (an array of strings)."""
+def build(docs: DataFrame, folder: str, terms: Column, id_col: str = "doc_id", dim: int = DIM, part_docs: int = PART_DOCS, split: Callable[[str | None], list[str]] | None = None) -> LexicalIndex:
+    """Indexes every document that has terms (an array of strings; or, with split, texts that it makes terms of, which spares sending all terms to the tasks)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def flushed(held: list[tuple]) -> pa.RecordBatch:
@@ -167,7 +172,8 @@ def build(docs: DataFrame, folder: str, terms: Column, id_col: str = "doc_id", d
             step = min(500, part_docs)
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
-                rows = dense_rows(some.column(1), known)
+                own = some.column(1) if split is None else pa.array([split(x) for x in some.column(1).to_pylist()], pa.list_(pa.string()))
+                rows = dense_rows(own, known)
                 some, rows = some.filter(pa.array(rows.any(1))), rows[rows.any(1)]
                 if not len(rows):
                     continue

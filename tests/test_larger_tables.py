@@ -3,9 +3,12 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessellon.operators import cards, normalize, ordering
+from tessellon.functions import text as tx
+from tessellon.functions import vectors as vx
+from tessellon.operators import cards, lexical_index, normalize, ordering
 
 
 def test_percentiles_compute_their_input_once(spark):
@@ -48,3 +51,18 @@ def test_pages_reach_python_in_small_batches(spark, capsys):
         assert [r.t for r in df.collect()] == [want, ""]
         df.explain()
         assert "ArrowEvalPython" not in capsys.readouterr().out
+
+
+def test_terms_in_python_are_the_same(spark):
+    texts = ["", None, "A b-cd/ef_gh 12ab34 2024-03", "x" * 45, "Ünï ﬁx ﬃ ΑΣ İstanbul ß", *(f"a{c}b {c}{c} x" for c in list(tx._KNOWN)[::7]), *(f"q{c}r" for c in tx.SEVERAL)]
+    low = F.lower(F.coalesce("t", F.lit("")))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(low.alias("low"), tx.terms(F.col("t")).alias("terms")).collect()
+    assert [tx.terms_of(r.low) for r in rows] == [r.terms for r in rows]
+
+
+def test_terms_are_hashed_in_step(spark):
+    words = ["ab", "", "bg:ab_cdefghij", "x" * 44, "ab"]
+    want = spark.createDataFrame([(w,) for w in words], "w string").select(vx.bucket(F.col("w"), 768), vx.sign(F.col("w"))).collect()
+    got = lexical_index.Components(768).of(pa.array(["no", *words])[1:])
+    assert [(g // 2, -1 if g % 2 else 1) for g in got.tolist()] == [tuple(r) for r in want]
+    assert not len(lexical_index.Components(768).of(pa.array([], pa.string())))
