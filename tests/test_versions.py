@@ -2,9 +2,11 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessellon.plans import catalog
 from tessellon.plans.session import scratch
 from tessellon.sources import versions, writers
 
@@ -110,3 +112,13 @@ def test_many_keys_in_a_file(spark):
     assert writers.read_packed(spark, folder, schema, "doc", [1000]).count() == 0
     lines = spark.read.text(largest["file"]).collect()
     assert '"none":null' in lines[0][0]
+
+
+@pytest.mark.parametrize("first", [12.5, None])
+def test_one_balance_changes_and_zeros_keep_their_sign(spark, tmp_path, first):
+    rows = [(k, f"c{k}", first if k == 0 else -0.0 if k % 3 else 0.25 * k) for k in range(100)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["versioned_update"]).fetchall()
+    assert rows_of(catalog.versioned_update(spark, str(tmp_path))) == sorted(want)
