@@ -5,9 +5,10 @@ bounded size. A task builds a part's graph: layers that thin out upwards, links
 entry to every node. It writes the graph as one Arrow file into the index's folder, which all executors share. A manifest, itself a table in that folder, names
 the files that count, so what a lost or repeated task has left is never read.
 
-A search asks the parts of the nearest cells (`probes`; None: all of them). Queries are sent to the parts, tasks read a part's file and walk its graph for
-a block of queries at a time, and the parts' lists are merged. ``retrieval.nearest`` stays the exact way; ``recall`` says how much of its answer
-the index finds.
+A search asks the parts of the nearest cells (`probes`; None: all of them). Parts are held together in bundles of about PART_ROWS vectors, and a query goes once to each
+bundle in which it asks a part. A task reads a bundle's files one after the other and walks their graphs for a block of queries at a time, or, where a walk would see
+most of the nodes, compares all of them by a matrix product; k rows of a query leave it. ``retrieval.nearest`` stays the exact way; ``recall`` says how much of
+its answer the index finds.
 
 Vectors that are null, empty or of another length than most, or that hold null, NaN or an infinity, are left out. Equal vectors are one
 node with several ids. An empty table gives an index without parts, and searches without rows.
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ from tessellon.operators.retrieval import nearest, top_k
 LINKS, CANDIDATES, WIDTH = 32, 200, 128
 #: Vectors in a part about, cells at most, and sampled vectors for each cell's centroid.
 PART_ROWS, MOST_CELLS, SAMPLED = 20_000, 4096, 64
-#: Queries that walk a graph together, and that one task takes at most of a part.
+#: Queries that walk a graph together, and that one task takes about of a bundle.
 TOGETHER, TASK_QUERIES = 64, 4096
+#: A graph of at most so many times a walk's width is searched whole; pairs of queries and nodes, or of queries and cells, that are held at once.
+WHOLE, PAIRS_AT_ONCE = 8, 1_000_000
 
 
 # ---------------------------------------------------------------- one part's graph
@@ -71,6 +75,29 @@ class Graph:
         found, apart = zip(*(self._walk(queries[a : a + TOGETHER], max(k, width)) for a in range(0, len(queries), TOGETHER)), strict=True)
         return np.concatenate(found)[:, :k], np.concatenate(apart)[:, :k]
 
+    def near(self, queries: np.ndarray, k: int, width: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and nodes: about the k nearest of each query, or, in a small graph, all that may be among these and as near as `within` (squared distances)."""
+        if len(self.vectors) > WHOLE * width:
+            nodes, _ = self.search(queries, k, width)
+            rows, place = np.nonzero(nodes >= 0)
+            return rows, nodes[rows, place]
+        found, step = [], max(1, PAIRS_AT_ONCE // len(self.vectors))
+        with np.errstate(all="ignore"):
+            most = (self.vectors * self.vectors).sum(1).max()
+            for a in range(0, len(queries), step):
+                q = queries[a : a + step]
+                d = _distances(q, self.vectors)
+                error = 8 * (q.shape[1] + 4) * np.finfo(np.float32).eps * ((q * q).sum(1) + most)
+                limit = within[a : a + step] + error
+                take = ~(d > limit[:, None])
+                many = np.flatnonzero(np.count_nonzero(take, axis=1) > k)
+                if len(many) and len(self.vectors) > k:
+                    own = d[many]
+                    take[many] &= ~(own > (np.partition(own, k - 1, axis=1)[:, k - 1] + error[many])[:, None])
+                rows, nodes = np.nonzero(take)
+                found.append((rows + a, nodes))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
     def _apart(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         gaps = self.vectors[nodes] - queries[:, None, :]
         return np.einsum("qnd,qnd->qn", gaps, gaps)
@@ -305,39 +332,111 @@ def _nearest_cells(vectors: DataFrame, schema: str, centers: np.ndarray, probes:
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, width: int = WIDTH, query_id: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
     """query_id, id, d2 and rank of about the k nearest vectors of each query, ties by id; queries without a usable vector have no rows."""
     kind = queries.schema[query_id].dataType.simpleString()
-    schema = f"query_id {kind}, vec array<float>"
     asked = usable(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<float>").alias("vec")), "vec")
-    everywhere = probes is None or probes >= len(index.centroids)
-    asked = asked.crossJoin(index.manifest.select("path")) if everywhere else _nearest_cells(asked, schema, index.centroids, probes).join(index.manifest.select("cell", "path"), "cell")
-    # a part that many queries ask goes to several tasks
-    salt = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // TASK_QUERIES))))
-    dealt = asked.withColumn("salt", salt).select("path", "salt", "query_id", "vec").repartition("path", "salt").sortWithinPartitions("path")
-
-    def answer(part: tuple[Graph, pa.ListArray], batch: pa.RecordBatch) -> pa.RecordBatch:
-        graph, ids = part
-        vectors = _matrix(batch.column(3), graph.vectors.shape[1])
-        nodes, _ = graph.search(vectors, k, width)
-        rows, place = np.nonzero(nodes >= 0)
-        nodes = nodes[rows, place]
-        gaps = vectors[rows].astype(float) - graph.vectors[nodes].astype(float)
-        own = ids.take(pa.array(nodes))
-        several = pa.array(np.repeat(np.arange(len(rows)), own.value_lengths().to_numpy()))
-        found = [batch.column(2).take(pa.array(rows)).take(several), own.flatten(), pa.array((gaps * gaps).sum(1)).take(several)]
-        return pa.RecordBatch.from_arrays(found, ["query_id", "id", "d2"])
+    sizes = {r["cell"]: r["rows"] for r in index.manifest.groupBy("cell").agg(F.sum("rows").alias("rows")).collect()}  # bounded by MOST_CELLS
+    groups, salts = max(1, min(len(index.centroids), -(-sum(sizes.values()) // PART_ROWS))), max(1, -(-asked.count() // TASK_QUERIES))
+    # a bundle is a group of cells, or, of cells in many parts, a slice of them
+    held = np.zeros(groups, int)
+    for cell, rows in sizes.items():
+        held[cell % groups] += rows
+    slices = F.broadcast(queries.sparkSession.createDataFrame([(g, -(-n // (2 * PART_ROWS))) for g, n in enumerate(held.tolist()) if n], "group int, slices int"))
+    files = index.manifest.select("cell", "part", "path", F.pmod("cell", F.lit(groups)).alias("group"))
+    if probes is None or probes >= len(index.centroids):
+        asked = asked.withColumn("cells", F.lit(None).cast("array<int>")).crossJoin(slices)
+    else:
+        asked = _asked_groups(asked, kind, index.centroids, probes, groups).join(slices, "group")
+    # a bundle that many queries ask goes to several tasks
+    asked = asked.select("group", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int").alias("salt"), "query_id", "vec", "cells")
+    files = files.join(slices, "group").select("group", F.pmod("part", "slices").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "cell", "path")
+
+    def answer(asked: pa.Table, files: pa.Table) -> pa.Table:
+        wanted, best = asked.column("cells").combine_chunks(), None
+        owner, cells = np.repeat(np.arange(len(wanted)), pc.fill_null(pc.list_value_length(wanted), 0)), wanted.flatten().to_numpy(zero_copy_only=False)
+        everywhere, vectors = wanted.null_count > 0, asked.column("vec").combine_chunks()
+        for cell, path in zip(files.column("cell").to_pylist(), files.column("path").to_pylist(), strict=True) if asked.num_rows else ():
+            own = np.arange(asked.num_rows) if everywhere else owner[cells == cell]
+            if not len(own):
+                continue
+            graph, ids = _read_part(path)
+            best = best or _Best(_matrix(vectors, graph.vectors.shape[1]), k)
+            best.add(own, graph, ids, width)
+        places, ids, d2 = best.rows() if best else (np.zeros(0, int), pa.array([], pa.int64()), np.zeros(0))
+        return pa.table([asked.column("query_id").take(pa.array(places)), ids, pa.array(d2)], ["query_id", "id", "d2"])
+
+    # twice as many tasks as bundles, so that few tasks have several
+    bundle = ["group", "slice", "salt"]
+    dealt = [d.repartition(2 * groups * salts, *bundle).groupBy(*bundle) for d in (asked, files)]
+    found = dealt[0].cogroup(dealt[1]).applyInArrow(answer, f"query_id {kind}, id long, d2 double")
+    return top_k(found, ["query_id"], [F.col("d2"), F.col("id")], k)
+
+
+def _asked_groups(asked: DataFrame, kind: str, centers: np.ndarray, probes: int, groups: int) -> DataFrame:
+    """Queries (query_id, vec) with each group (cell modulo groups) that has some of the `probes` nearest cells, and these cells."""
+    shared = asked.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        name, part = None, None
+        centers = shared.value
+        p = min(probes, len(centers))
         for batch in batches:
-            paths = np.array(batch.column(0).to_pylist(), object)
-            edges = np.flatnonzero(paths[1:] != paths[:-1]) + 1
-            for a, b in zip([0, *edges], [*edges, len(paths)], strict=True):
-                if paths[a] != name:
-                    name, part = paths[a], _read_part(paths[a])
-                for at in range(a, b, TOGETHER):
-                    yield answer(part, batch.slice(at, min(TOGETHER, b - at)))
-
-    found = dealt.mapInArrow(run, f"query_id {kind}, id long, d2 double")
-    return top_k(found, ["query_id"], [F.col("d2"), F.col("id")], k)
+            for a in range(0, batch.num_rows, step := max(1, PAIRS_AT_ONCE // (10 * p))):
+                part = batch.slice(a, step)
+                d = _distances(_matrix(part.column(1), centers.shape[1]), centers)
+                cells = np.argpartition(d, p - 1, axis=1)[:, :p].ravel()
+                rows = np.repeat(np.arange(part.num_rows), p)
+                order = np.lexsort((cells, cells % groups, rows))
+                rows, cells = rows[order], cells[order]
+                starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (cells[1:] % groups != cells[:-1] % groups)]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(cells.astype(np.int32)))
+                own = part.take(pa.array(rows[starts]))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array((cells[starts] % groups).astype(np.int32)), lists], ["query_id", "vec", "group", "cells"])
+
+    return asked.select("query_id", "vec").mapInArrow(run, f"query_id {kind}, vec array<float>, group int, cells array<int>")
+
+
+class _Best:
+    """The k nearest so far of each query, ties by id, null first."""
+
+    _NULL = np.iinfo(np.int64).min
+
+    def __init__(self, vectors: np.ndarray, k: int):
+        self.vectors, self.k = vectors, k
+        self.d2, self.ids = np.full((len(vectors), k), np.inf), np.full((len(vectors), k), np.iinfo(np.int64).max)
+
+    def add(self, own: np.ndarray, graph: Graph, ids: pa.ListArray, width: int) -> None:
+        """With a part's nodes, of which the queries at `own` are asked."""
+        several = ids.value_lengths().to_numpy()
+        every, node = pc.fill_null(ids.flatten(), int(self._NULL)).to_numpy(), np.repeat(np.arange(len(several)), several)
+        if several.max() > 1:  # of equal vectors the k least ids are enough
+            every = every[np.lexsort((every, node))]
+        starts, several = np.cumsum(several) - several, np.minimum(several, self.k)
+        for a in range(0, len(own), TASK_QUERIES):
+            some = own[a : a + TASK_QUERIES]
+            rows, nodes = graph.near(self.vectors[some], self.k, width, self.d2[some, -1])
+            rows = some[rows]
+            for b in range(0, len(rows), step := PAIRS_AT_ONCE // 16):
+                r, n = rows[b : b + step], nodes[b : b + step]
+                gaps = self.vectors[r].astype(float) - graph.vectors[n].astype(float)
+                d2 = (gaps * gaps).sum(1)
+                near = d2 <= self.d2[r, -1]
+                r, n, d2 = r[near], n[near], d2[near]
+                count = several[n]
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                self._merge(np.repeat(r, count), every[np.repeat(starts[n], count) + nth], np.repeat(d2, count))
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, d2: np.ndarray) -> None:
+        touched, at = np.unique(rows, return_inverse=True)
+        at, n = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at]), len(touched)
+        ids, d2 = np.concatenate([self.ids[touched].ravel(), ids]), np.concatenate([self.d2[touched].ravel(), d2])
+        order = np.lexsort((ids, d2, at))
+        at, ids, d2 = at[order], ids[order], d2[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < self.k
+        self.ids[touched], self.d2[touched] = ids[first].reshape(n, self.k), d2[first].reshape(n, self.k)
+
+    def rows(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Places of the queries, ids and distances."""
+        rows, place = np.nonzero(np.isfinite(self.d2))
+        ids = self.ids[rows, place]
+        return rows, pa.array(ids, mask=ids == self._NULL), self.d2[rows, place]
 
 
 def probes_needed(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int, share: float = 0.98, least: int = 1, sample: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec") -> int:

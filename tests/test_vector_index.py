@@ -120,3 +120,24 @@ def test_many_queries_of_one_part_go_to_several_tasks(spark, monkeypatch):
     index = vector_index.build(df, scratch(spark, "index"))
     got = {(r["query_id"], r["rank"]): r["id"] for r in vector_index.search(index, asked(df), 3).collect()}
     assert got == {(q, n + 1): v for q, row in enumerate(exact(x, x, 3)) for n, v in enumerate(row)}
+
+
+def exchanged(spark):
+    """Rows that all stages so far have written for others."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("probes", [None, 40])
+def test_a_query_goes_once_to_many_small_parts(spark, probes):
+    x = np.random.default_rng(6).normal(size=(1500, 8)).astype(np.float32)
+    df = frame(spark, [(k // 2, v) for k, v in enumerate(np.repeat(x, 2, axis=0))])
+    index = vector_index.build(df, scratch(spark, "index"), part_rows=40)
+    queries = asked(df.where("vec_id % 15 = 0").dropDuplicates(["vec_id"]))
+    parts, before = index.manifest.count(), exchanged(spark)
+    got = vector_index.search(index, queries, 4, probes).collect()
+    assert parts > 60 and len(got) == 400 and exchanged(spark) - before < 3000  # queries by parts were 4,000 rows and more
+    if probes is None:
+        want = retrieval.nearest(df, queries, 4).collect()
+        assert sorted((r["query_id"], r["rank"], r["id"], round(r["d2"], 9)) for r in got) == sorted((r["query_id"], r["rank"], r["vec_id"], round(r["d2"], 9)) for r in want)
