@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tessellon.plans.session import drop, staged
 
 #: Frequent shingles that all tasks know; others are ordered as rare ones.
 MOST_FREQUENT = 100_000
+#: Shingles of texts that are compared in one group, about (a text counts as LEAST_SHINGLES at least), and rows that are broadcast at most.
+GROUP_SHINGLES, LEAST_SHINGLES, FEW = 1 << 20, 512, 1_000_000
 
 
 def exact_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,15 +24,18 @@ def exact_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.groupBy(F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("sha256")).agg(F.count("*").alias("members"), F.min(id_col).alias("first_id")).where("members > 1")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, exempt: str | None = None) -> DataFrame:
-    """id and s (hashes of the distinct shingles in ascending order) of texts of k words or more."""
-    rows = docs.where(f"not ({exempt})") if exempt else docs
-
+def _shingles(text: Column, k: int) -> Column:
     def runs(w: Column) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(*(F.get(w, i + (j - 1)) for j in range(k))))
         return F.when(F.size(w) >= k, F.array_sort(F.array_distinct(every)))
 
-    return rows.select(F.col(id_col).alias("id"), tx.let(tx.ascii_words(F.col(text_col)), runs).alias("s")).where("s is not null")
+    return tx.let(tx.ascii_words(text), runs)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, exempt: str | None = None) -> DataFrame:
+    """id and s (hashes of the distinct shingles in ascending order) of texts of k words or more."""
+    rows = docs.where(f"not ({exempt})") if exempt else docs
+    return rows.select(F.col(id_col).alias("id"), _shingles(F.col(text_col), k).alias("s")).where("s is not null")
 
 
 def near_links(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", exempt: str | None = None, posting_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -37,16 +43,22 @@ def near_links(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str
     these copies (id_a, id_b, jaccard 1). Together they join whatever the pairs of all texts join.
 
     Only a prefix of each set is joined, where frequent shingles come last, so common passages don't pair everything with everything; exact counts then
-    come from the sets of the pairs that remain. posting_cap, off by default, drops shingles
-    in more texts than that, which can lose pairs. Texts that fulfil `exempt` (a condition in SQL) are left out."""
-    sets = staged(shingle_sets(docs, id_col, text_col, k, exempt), "sets")
+    come from the sets of the pairs that remain. Sets are larger than their texts, so they aren't stored: those of candidates are computed once more. posting_cap, off
+    by default, drops shingles in more texts than that, which can lose pairs. Texts that fulfil `exempt` (a condition in SQL) are left out."""
+    rows = docs.where(f"not ({exempt})") if exempt else docs
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     same = [F.xxhash64("s").alias("h"), F.hash("s").alias("h2")]
-    marks = sets.select("id", *same)
+    if posting_cap:
+        heads = staged(shingle_sets(texts, "id", "text", k), "sets")
+        marks, first = heads.select("id", *same), _capped_prefixes(heads, threshold, posting_cap)
+    else:
+        # texts without a set are left out in _prefixes: a condition on sets would compute them twice
+        heads = staged(_prefixes(texts.select("id", _shingles(F.col("text"), k).alias("s")).select("id", "s", *same), threshold), "heads")
+        marks, first = heads, heads
     one = marks.groupBy("h", "h2").agg(F.min("id").alias("id"))
-    copies = marks.join(one.withColumnRenamed("id", "id_a"), ["h", "h2"]).where("id <> id_a")
+    copies = marks.select("id", "h", "h2").join(one.withColumnRenamed("id", "id_a"), ["h", "h2"]).where("id <> id_a")
     copies = staged(copies.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard")), "copies")
-    first = (_capped_prefixes(sets, threshold, posting_cap) if posting_cap else _prefixes(sets, threshold)).join(one.select("id"), "id", "left_semi")
-    prefix = first.select("id", "n", F.posexplode("own").alias("at", "s"))
+    prefix = first.join(_few(copies.select(F.col("id_b").alias("id"))), "id", "left_anti").select("id", "n", F.posexplode("own").alias("at", "s"))
     a, b = prefix.alias("a"), prefix.alias("b")
     lengths = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
     # what the sets have in common at most, if this is the first that they share
@@ -54,26 +66,68 @@ def near_links(docs: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str
     enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
     if posting_cap:
         enough = F.lit(True)
-    candidates = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & lengths & enough).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    candidates = staged(candidates, "candidates")
-    # only the sets of candidates are exchanged
-    named = candidates.select(F.col("id_a").alias("id")).union(candidates.select("id_b")).distinct()
-    some = sets.join(named, "id", "left_semi")
-    both = candidates.join(some.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(some.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    pairs = both.select("id_a", "id_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    pairs = staged(pairs, "links")
-    drop(sets, candidates)
+    named = [F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("id", "n")]
+    candidates = staged(a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.id") < F.col("b.id")) & lengths & enough).select(*named).distinct(), "candidates")
+    drop(heads)
+    pairs = _compared(texts, candidates, threshold, k)
+    drop(candidates)
     return pairs, copies
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows that are broadcast if they aren't many, so that what they are joined to need not be exchanged."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _compared(texts: DataFrame, candidates: DataFrame, threshold: float, k: int) -> DataFrame:
+    """id_a, id_b and jaccard of the candidates (id_a, n_a, id_b, n_b) that are that alike. Candidates of one family (texts with the same least text within two steps) are compared in
+    one group, large families in several by blocks of their texts, so a set is sent about once however many pairs it is in."""
+    sides = candidates.select(F.col("id_a").alias("id"), F.col("n_a").alias("n"), F.col("id_b").alias("other")).union(candidates.select("id_b", "n_b", "id_a"))
+    near = sides.groupBy("id").agg(F.first("n").alias("n"), F.min("other").alias("other")).select("id", "n", F.least("id", "other").alias("family"))
+    further = sides.select("id", "other").join(near.select(F.col("id").alias("other"), F.col("family").alias("further")), "other").groupBy("id").agg(F.min("further").alias("further"))
+    weight = F.greatest("n", F.lit(LEAST_SHINGLES)).cast("long")
+    near = staged(near.join(further, "id").select("id", F.least("family", "further").alias("family"), weight.alias("weight")), "families")
+    blocks = near.groupBy("family").agg(F.ceil(F.sum("weight") / GROUP_SHINGLES).cast("int").alias("blocks"))
+    place = near.join(blocks, "family").select("id", F.struct("family", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).alias("place"))
+    groups = max(1, -(-(near.agg(F.sum("weight")).first()[0] or 0) // GROUP_SHINGLES))
+    dealt = candidates.select("id_a", "id_b").join(place.toDF("id_a", "place_a"), "id_a").join(place.toDF("id_b", "place_b"), "id_b")
+    dealt = staged(dealt.select(F.pmod(F.xxhash64("place_a", "place_b"), F.lit(groups)).cast("int").alias("group"), "id_a", "id_b"), "dealt")
+    wanted = dealt.select(F.col("id_a").alias("id"), "group").union(dealt.select("id_b", "group")).groupBy("id").agg(F.collect_set("group").alias("groups"))
+    sets = texts.join(_few(wanted), "id").select("id", "groups", _shingles(F.col("text"), k).alias("s")).select(F.explode("groups").alias("group"), "id", "s")
+
+    def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        lists, ids = sets.column("s").combine_chunks(), sets.column("id").combine_chunks()
+        values, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(size)
+        a, b = (pc.index_in(pairs.column(c), value_set=ids).to_numpy() for c in ("id_a", "id_b"))
+        order = np.argsort(a, kind="stable")
+        shared = np.zeros(len(a), np.int64)
+        for own in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+            one = values[ends[a[own[0]]] - size[a[own[0]]] : ends[a[own[0]]]]
+            others = np.concatenate([values[ends[j] - size[j] : ends[j]] for j in b[own]])
+            met = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+            shared[own] = np.add.reduceat(met.astype(np.int64), np.cumsum(size[b[own]]) - size[b[own]])
+        jaccard = shared / (size[a] + size[b] - shared)
+        return pa.table([pairs.column("id_a"), pairs.column("id_b"), pa.array(jaccard)], ["id_a", "id_b", "jaccard"]).filter(pa.array(jaccard >= threshold))
+
+    # twice as many tasks as groups, so that few tasks have several
+    both = [d.repartition(2 * groups, "group").groupBy("group") for d in (dealt, sets)]
+    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in ("id_a", "id_b"))
+    pairs = staged(both[0].cogroup(both[1]).applyInArrow(compare, f"{kinds}, jaccard double"), "links")
+    drop(near, dealt)
+    return pairs
+
+
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """id, n and own, the first n - ceil(threshold n) + 1 shingles of each set. All sets have one order, so two that are that alike share one of these, whatever the order: frequent
-    shingles, as known from a sixteenth of the texts, go last by their number there, and others by hash. A set is cut where it is read."""
-    often = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    """id, n and own, the first n - ceil(threshold n) + 1 shingles of each set, and further columns as they are; rows without a set are left out. All sets have one order, so two that are
+    that alike share one of these, whatever the order: frequent shingles, as known from a sixteenth of the texts, go last by their number there, and others by hash. A set is cut where
+    it is read."""
+    # explode() would add a condition on s, for which all texts' sets are computed
+    often = sets.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode_outer("s").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     rows = often.orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).collect()
-    known = np.array(sorted((r["s"], r["c"]) for r in rows), np.int64).reshape(-1, 2)
+    known = np.array(sorted((r["s"], r["c"]) for r in rows if r["s"] is not None), np.int64).reshape(-1, 2)
     shared = sets.sparkSession.sparkContext.broadcast(known)
+    further = [c for c in sets.columns if c not in ("id", "s")]
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         lists, known = part.column(1), shared.value
@@ -88,14 +142,16 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
         room = (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64)
         own = ordered[np.arange(len(values)) - (np.cumsum(n) - n)[owner] < room[owner]]
         ends = np.concatenate([[0], np.cumsum(room)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(own))], ["id", "n", "own"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), *part.columns[2:]], ["id", "n", "own", *further])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                yield cut(batch.slice(at, 1000))
+                part = batch.slice(at, 1000)
+                yield cut(part.filter(part.column(1).is_valid()))
 
-    return sets.select("id", "s").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, own array<bigint>")
+    more = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in further)
+    return sets.select("id", "s", *further).mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, n int, own array<bigint>{more}")
 
 
 def _capped_prefixes(sets: DataFrame, threshold: float, posting_cap: int) -> DataFrame:

@@ -4,11 +4,12 @@ import random
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import cards, lexical_index, normalize, ordering
+from tessellon.operators import cards, dedupe, lexical_index, normalize, ordering
 
 
 def test_percentiles_compute_their_input_once(spark):
@@ -66,3 +67,33 @@ def test_terms_are_hashed_in_step(spark):
     got = lexical_index.Components(768).of(pa.array(["no", *words])[1:])
     assert [(g // 2, -1 if g % 2 else 1) for g in got.tolist()] == [tuple(r) for r in want]
     assert not len(lexical_index.Components(768).of(pa.array([], pa.string())))
+
+
+@pytest.mark.parametrize("group", [1 << 20, 30_000])
+def test_a_text_of_many_pairs_is_sent_for_its_family(spark, monkeypatch, group):
+    monkeypatch.setattr(dedupe, "GROUP_SHINGLES", group, raising=False)
+    rng = random.Random(9)
+    texts = []
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(300)]
+        for _ in range(90):
+            at = rng.sample(range(300), 2)
+            texts.append([f"v{rng.random()}"[3:] if k in at else w for k, w in enumerate(words)])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+    d = spark.createDataFrame([(str(1000 + k), " ".join(t)) for k, t in enumerate(texts)], "doc_id string, text string")
+    kept, staged = {}, dedupe.staged
+    monkeypatch.setattr(dedupe, "staged", lambda df, name="stage": kept.setdefault(name, staged(df, name)))
+    monkeypatch.setattr(dedupe, "drop", lambda *frames: None)
+    got = {(int(r["id_a"]) - 1000, int(r["id_b"]) - 1000): round(r["jaccard"], 9) for r in dedupe.links(d).collect()}
+    assert got == {p: round(j, 9) for p, j in likeness.items() if j >= 0.85} and len(got) > 11_000
+    sent = kept["dealt"].select("group", F.explode(F.array("id_a", "id_b")).alias("id")).distinct().count()
+    assert sent == 270 if group > 30_000 else 270 < sent <= 3 * 270  # not 24,000, two for each pair
+
+
+def test_sets_are_not_stored(spark, monkeypatch):
+    names, staged = [], dedupe.staged
+    monkeypatch.setattr(dedupe, "staged", lambda df, name="stage": names.append((name, df.columns)) or staged(df, name))
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b"), (4, None)], "doc_id long, text string")
+    assert [tuple(r) for r in dedupe.links(d).collect()] == [(1, 2, 1.0)]
+    assert names and not any("s" in columns for _, columns in names)
